@@ -49,3 +49,21 @@ def op8_secrets(spark, sf_dir):
     base = F.filter("spans", lambda x: x["kind"] != "entropy")
     out = scan_secrets(documents(spark, sf_dir))
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count("entropy"))
+
+
+@query("op4_media")
+def op4_media(spark, sf_dir):
+    from voxfield.llm.media import store_as_media
+
+    out = store_as_media(documents(spark, sf_dir))
+    cuts = F.array_join(F.transform("clips", lambda c: F.concat_ws("-", c["start_frame"], c["end_frame"], F.format_number(c["mean_luma"], "0.000"))), ";")
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.lit("frames="), F.col("frames"), F.lit("|clips="), cuts).alias("feature"),
+    )
