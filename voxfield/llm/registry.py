@@ -67,3 +67,14 @@ def op4_media(spark, sf_dir):
         F.sha2("media", 256).alias("media_sha256"),
         F.concat(F.lit("frames="), F.col("frames"), F.lit("|clips="), cuts).alias("feature"),
     )
+
+
+@query("op7_language")
+def op7_language(spark, sf_dir):
+    from voxfield.llm.common import is_held_out
+    from voxfield.llm.langid import identify_languages, learn
+
+    docs = documents(spark, sf_dir)
+    held_out = is_held_out("doc_id", 4, 2)
+    out = identify_languages(docs, learn(docs, ~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
