@@ -78,3 +78,11 @@ def op7_language(spark, sf_dir):
     held_out = is_held_out("doc_id", 4, 2)
     out = identify_languages(docs, learn(docs, ~held_out))
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+@query("op10_simhash")
+def op10_simhash(spark, sf_dir):
+    from voxfield.llm.simhash import near_duplicates
+
+    out = near_duplicates(documents(spark, sf_dir))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
