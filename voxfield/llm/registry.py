@@ -86,3 +86,27 @@ def op10_simhash(spark, sf_dir):
 
     out = near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _mix_sql() -> str:
+    """The mix by plain SQL: all keys of a source in one sort."""
+    return r"""
+    WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, length(text) AS chars FROM documents),
+    keyed AS (SELECT *, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+              / CASE WHEN size >= 20 AND (chars - size + 1) / size BETWEEN 3 AND 12 THEN 1.0 ELSE 0.5 END AS key FROM sized),
+    src AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM keyed GROUP BY source),
+    lev AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+            FROM src WINDOW b AS (ORDER BY 3 * source_size / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    tar AS (SELECT source, source_size, round(least(3.0 * source_size, weight * (SELECT min(level) FROM lev WHERE level * weight <= 3 * source_size))::DOUBLE, 6) AS target FROM lev),
+    run AS (SELECT k.doc_id, k.size, t.source_size, t.target, coalesce(floor(t.target / nullif(t.source_size, 0)), 0)::BIGINT AS epochs,
+            sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+            FROM keyed k JOIN tar t ON k.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN epochs < 3 AND target - epochs * source_size > 0 AND upto - size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM run
+    """
+
+
+@query("op5_mixing", _mix_sql())
+def op5_mixing(spark, sf_dir):
+    from voxfield.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir))
