@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxfield.llm.common import lists, text_blocks
+from voxfield.llm.common import as_bytes, lists, text_blocks
 
 LONG = 256
 CACHED = 150_000  # pieces a worker remembers before it starts again
@@ -190,8 +190,9 @@ def _tokenizer(packed: bytes, pattern: str) -> ByteBPE:
     return _loaded[packed, pattern]
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
-    """id, ids array<int>, and with decode=True also decoded binary, made from the ids alone. The driver reads the rank
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, verify: bool = False) -> DataFrame:
+    """id, ids array<int>, with decode=True also decoded binary, made from the ids alone, and with verify=True also exact: do the
+    ids decode to the text's bytes. The driver reads the rank
     file and ships it to the tasks; its size is that of the vocabulary, whatever the input."""
     with open(ranks_path, "rb") as f:
         packed = zlib.compress(f.read())
@@ -203,12 +204,19 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             ids = bpe.encode([x or "" for x in block.column("text").to_pylist()])
             sizes = [len(x) for x in ids]
             columns = [block.column("id"), lists(np.fromiter(chain.from_iterable(ids), np.int32, sum(sizes)), sizes, pa.int32())]
+            names = ["id", "ids"]
+            if decode or verify:
+                decoded = [bpe.decode(x) for x in ids]
             if decode:
-                columns.append(pa.array([bpe.decode(x) for x in ids], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"][: len(columns)])
+                columns.append(pa.array(decoded, pa.binary()))
+                names.append("decoded")
+            if verify:
+                columns.append(pa.array([a == b for a, b in zip(decoded, as_bytes(block.column("text")), strict=True)]))
+                names.append("exact")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded binary" * decode)
+    out = rows.mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded binary" * decode + ", exact boolean" * verify)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -33,8 +33,8 @@ def word_count(text: Column) -> Column:
 
 def quality_weight(text: Column, size: Column) -> Column:
     """1 for texts of 20 words or more whose words have 3 to 12 characters on average, else 0.5."""
-    mean = (F.length(text) - size + 1) / size
-    return F.when((size >= 20) & mean.between(3, 12), 1.0).otherwise(0.5)
+    mean = F.try_divide(F.length(text) - size + 1, size)
+    return F.when(F.coalesce((size >= 20) & mean.between(3, 12), F.lit(False)), 1.0).otherwise(0.5)
 
 
 def sampling_key(id_: Column, weight: Column) -> Column:
@@ -49,8 +49,9 @@ def targets(sources: DataFrame, cap: int = CAP) -> DataFrame:
     weighed = sources.withColumn("weight", ((F.row_number().over(order) - 1) % 3 + 1).cast("double"))
     by_ratio = Window.orderBy(F.col("source_size") * cap / F.col("weight"), F.col("source").cast("binary").asc_nulls_last())
     below, whole = by_ratio.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(F.lit(1))
+    # if the sources before one are at their caps, the others share this level; it rises up to the first one under its cap, then falls
     level = (F.sum("source_size").over(whole) - F.coalesce(F.sum(F.col("source_size") * cap).over(below), F.lit(0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(below), F.lit(0.0)))
-    first = weighed.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("source_size") * cap, F.col("level"))).over(whole))
+    first = weighed.withColumn("level", level).withColumn("level", F.max("level").over(whole))
     return first.withColumn("target", F.round(F.coalesce(F.least(F.col("source_size") * cap, F.col("level") * F.col("weight")), F.lit(0.0)).cast("double"), 6)).drop("level", "weight")
 
 
@@ -78,3 +79,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     both = rest.unionByName(cut)
     taken = F.when(F.col("extra") & (F.col("epochs") < cap), F.col("epochs") + 1).otherwise(F.col("epochs")) * F.col("size")
     return both.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; documents without words aren't taken. All columns stay. Rows that
+    share an id are all taken as often as the one taken most."""
+    taken = mix(docs, id_col, text_col, source_col, cap).where("size > 0")
+    times = taken.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times")).where("_times > 0")
+    return docs.join(times, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -56,7 +56,7 @@ def op4_media(spark, sf_dir):
     from voxfield.llm.media import store_as_media
 
     out = store_as_media(documents(spark, sf_dir))
-    cuts = F.array_join(F.transform("clips", lambda c: F.concat_ws("-", c["start_frame"], c["end_frame"], F.format_number(c["mean_luma"], "0.000"))), ";")
+    cuts = F.array_join(F.transform("clips", lambda c: F.concat_ws("-", c["start_frame"], c["end_frame"], F.format_string("%.3f", c["mean_luma"]))), ";")
     return out.select(
         "doc_id",
         "n_bytes",
@@ -97,7 +97,7 @@ def _mix_sql() -> str:
     src AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM keyed GROUP BY source),
     lev AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
             FROM src WINDOW b AS (ORDER BY 3 * source_size / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    tar AS (SELECT source, source_size, round(least(3.0 * source_size, weight * (SELECT min(level) FROM lev WHERE level * weight <= 3 * source_size))::DOUBLE, 6) AS target FROM lev),
+    tar AS (SELECT source, source_size, round(least(3.0 * source_size, weight * (SELECT max(level) FROM lev))::DOUBLE, 6) AS target FROM lev),
     run AS (SELECT k.doc_id, k.size, t.source_size, t.target, coalesce(floor(t.target / nullif(t.source_size, 0)), 0)::BIGINT AS epochs,
             sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
             FROM keyed k JOIN tar t ON k.source IS NOT DISTINCT FROM t.source)
@@ -127,3 +127,14 @@ def op3_topk(spark, sf_dir):
     from voxfield.llm.topk import top_k
 
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    from voxfield.llm.common import is_held_out
+    from voxfield.llm.toxicity import learn, score_toxicity
+
+    docs, held_out = documents(spark, sf_dir), is_held_out("doc_id", 3, 1)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    out = score_toxicity(docs, learn(docs, labels))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

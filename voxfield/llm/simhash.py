@@ -3,12 +3,12 @@
 Fingerprints come from one pass over the texts. Documents with equal fingerprints are grouped first (partial sums, so a
 group of copies of any size costs a row for each task), and only distinct fingerprints are joined.
 
-Join: 64 bits are cut into 2*budget blocks; two fingerprints with at most `budget` differing bits agree in at least
-`budget` of them, so every linked pair meets under the key of some choice of `budget` blocks (for a budget of 2: 4
-blocks of 16 bits, 6 choices, keys of 32 bits). The fingerprints of a key are a subtree of the binary trie over the bits
+Join: 64 bits are cut into budget + 2 blocks; two fingerprints with at most `budget` differing bits agree in at least
+two of them, so every linked pair meets under the key of some choice of two blocks (for a budget of 2: 4 blocks of 16
+bits, 6 choices, keys of 32 bits). The fingerprints of a key are a subtree of the binary trie over the bits
 with the key's blocks first. The join walks pairs of trie nodes together, level by level, adds up the bits in which they
 differ and drops a pair of nodes once its sum exceeds the budget; all subtrees of a task are walked in one numpy frontier. A pair
-that meets under several keys is only reported under the first. Each task reports a spanning forest of its links instead of all, which
+that meets under several keys is found under each. Each task reports a spanning forest of its links instead of all, which
 joins the same classes. Distinct fingerprints within the budget of one another number at most 1+64+2016, whatever the number of copies.
 
 A key that holds more than HOT distinct fingerprints is cut again: under it the other 64-32 bits are cut and chosen from in the same way,
@@ -39,8 +39,8 @@ HOT = 20_000
 _LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """The SimHash of the XXH64 (seed 42) of a text's word shingles, repeats included; 0 for a text without words."""
+def fingerprint(text: bytes, words: int = WORDS, once: bool = False) -> int:
+    """The SimHash of the XXH64 (seed 42) of a text's word shingles, repeats included unless `once`; 0 for a text without words."""
     import xxhash
 
     cut = text.lower().split()  # bytes: A-Z only, and exactly the white space of the contract
@@ -51,10 +51,13 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     starts = np.cumsum(size + 1) - size - 1
     ends = starts + size
     if len(cut) > words:
-        starts, ends = starts[: 1 - words], ends[words - 1 :]
+        starts, ends = starts[: len(cut) - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
+    if once:
+        places = {bytes(joined[a:b]): (a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
+        starts, ends = (np.array(x, np.int64) for x in zip(*places.values(), strict=True))
     h = np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
     out, n = 0, len(h)
     for k in range(8):  # eight counters at once, in the bytes of a word
@@ -65,13 +68,13 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, once: bool = False) -> DataFrame:
     """id and fp (the 64 bits as a signed long); no shuffle."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
-            fps = np.array([fingerprint(x, words) for x in as_bytes(block.column("text"))], np.uint64)
+            fps = np.array([fingerprint(x, words, once) for x in as_bytes(block.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
@@ -141,10 +144,10 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return child, root[child]
 
 
-def _plans(bits: list[int], budget: int) -> list[tuple[list[int], list[int]]]:
-    """Choices of `budget` of 2*budget blocks of these bits: (bits of the key, bits of all)."""
-    blocks = [x.tolist() for x in np.array_split(np.array(bits), 2 * budget)]
-    return [sum((blocks[k] for k in c), []) for c in combinations(range(len(blocks)), budget)]
+def _plans(bits: list[int], budget: int, agree: int = 2) -> list[list[int]]:
+    """The bits of every choice of `agree` of budget + agree blocks of these bits."""
+    blocks = [x.tolist() for x in np.array_split(np.array(bits), budget + agree)]
+    return [sum((blocks[k] for k in c), []) for c in combinations(range(len(blocks)), agree)]
 
 
 def _bits_of(fp: str, bits: list[int]):
@@ -242,10 +245,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(labelled, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, words: int = 5) -> DataFrame:
-    """docs with one document of each class: the row with the smallest id; of rows that repeat that id, the one with the least text.
-    Rows without an id stay. All columns stay."""
-    classes_ = near_duplicates(docs, id_col, text_col, budget, words).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    kept = docs.join(classes_, docs[id_col] == F.col("_kept"), "left_semi")
-    one = kept.groupBy(id_col).agg(F.min_by(F.struct(*[x for x in docs.columns]), F.coalesce(F.col(text_col), F.lit(""))).alias("_row"))
+def shingle_overlap(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """pairs (x, y) of ids with the Jaccard similarity of their texts' sets of word shingles. Only texts that some pair
+    names are cut into shingles; the pairs then join hashed sets."""
+    import xxhash
+
+    wanted = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "id", "left_semi")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, most=1 << 20):
+            sets = []
+            for x in as_bytes(block.column("text")):
+                w = x.lower().split()
+                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))], np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(sets, pa.binary())], ["id", "grams"])
+
+    # of rows that repeat an id the set with the least bytes stands for it
+    grams = store(texts.mapInArrow(cut, f"id {texts.schema['id'].dataType.simpleString()}, grams binary").groupBy("id").agg(F.min("grams").alias("grams")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            like = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                like.append(both / (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(like, pa.float64())], ["x", "y", "jaccard"])
+
+    sides = pairs.join(grams.select(F.col("id").alias("x"), F.col("grams").alias("a")), "x").join(grams.select(F.col("id").alias("y"), F.col("grams").alias("b")), "y").select("x", "y", "a", "b")
+    kind = sides.schema["x"].dataType.simpleString()
+    return sides.mapInArrow(compare, f"x {kind}, y {kind}, jaccard double")
+
+
+def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, budget: int = 5) -> DataFrame:
+    """id and component_id of near copies: texts whose sets of `words`-word shingles overlap by `least` or more.
+
+    Few changed words move half of the bits of a fingerprint of long shingles, so candidates come from fingerprints of
+    the texts' distinct single words, within `budget` bits; each class of candidates of a task is checked against its first text,
+    by the exact overlap. Texts that repeat are one candidate. Rows with a null id have no class."""
+    rows = docs.where(F.col(id_col).isNotNull())
+    marked = store(fingerprints(rows.select(F.col(id_col), F.col(text_col)), id_col, text_col, 1, True))
+    leads = store(marked.groupBy("fp").agg(F.min("id").alias("lead")))
+    inside = marked.join(leads, "fp").where("id <> lead").select(F.col("lead").alias("x"), F.col("id").alias("y"))
+    a, b = (leads.select(F.col("fp").alias(x), F.col("lead").alias("lead_" + x)) for x in "ab")
+    across = links(leads.select("fp"), budget).distinct().join(a, "a").join(b, "b").select(F.col("lead_a").alias("x"), F.col("lead_b").alias("y"))
+    pairs = store(inside.union(across).distinct())
+    near = classes(shingle_overlap(pairs, rows, id_col, text_col, words).where(F.col("jaccard") >= least).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    ids = marked.select("id").distinct()
+    return ids.join(near, ids["id"] == near["node"], "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one document of each class of near copies: that with the smallest id (of rows that repeat it, the one with the
+    least text). Rows without an id stay. All columns stay."""
+    gone = copy_classes(docs, id_col, text_col, words, least).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
+    kept = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    one = kept.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("_row"))
     return one.select(*[F.col("_row")[x].alias(x) for x in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))
