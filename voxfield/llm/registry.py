@@ -138,3 +138,11 @@ def op1_toxicity(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
     out = score_toxicity(docs, learn(docs, labels))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op2_substrings")
+def op2_substrings(spark, sf_dir):
+    from voxfield.llm.substring import remove_repeats
+
+    out = remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.size("removed").cast("long").alias("n_passages"))
