@@ -146,3 +146,13 @@ def op2_substrings(spark, sf_dir):
 
     out = remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), F.size("removed").cast("long").alias("n_passages"))
+
+
+@query("op9_language_model")
+def op9_language_model(spark, sf_dir):
+    from voxfield.llm.common import is_held_out
+    from voxfield.llm.ngram_lm import score_texts
+
+    docs, held_out = documents(spark, sf_dir), is_held_out("doc_id", 5, 1)
+    out = score_texts(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
