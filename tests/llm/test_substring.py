@@ -48,5 +48,5 @@ def test_matches_brute_force(spark):
 
 def test_edges(spark):
     long = " ".join(f"x{i % 977}" for i in range(30000))
-    check(spark, [(3, None), (4, ""), (None, long), (5, long), (5, long), (5, long + " y"), (1, " ".join(long.split()[:20])), (2, "a b"), (7, "same " * 50), (9, "same " * 14)])
+    check(spark, [(3, None), (4, ""), (None, long), (5, long), (5, long), (5, long + " y"), (1, " ".join(long.split()[:20])), (2, "a b"), (7, "same " * 50), (9, "same " * 14), (20, "same " * 900), (21, "a b " * 700), (22, "a b " * 650)])
     assert substring.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0

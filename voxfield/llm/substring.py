@@ -136,7 +136,7 @@ def _send(texts: list[bytes], ids: np.ndarray, tags: np.ndarray, homes: np.ndarr
         docs, local = np.unique(doc[r], return_inverse=True)
         yield int(part[r[0]]), _join(
             ids[docs].tobytes(), tags[docs].tobytes(), homes[docs].astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), start[r].astype(np.uint32).tobytes(),
-            length[a:b].astype(np.uint8).tobytes(), _narrow(least[r], 6), _narrow(whole[ends[a] : ends[b]], 5),
+            length[a:b].astype(np.uint32).tobytes(), _narrow(least[r], 6), _narrow(whole[ends[a] : ends[b]], 5),
         )
 
 
@@ -149,7 +149,7 @@ def _receive(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
     shift = np.cumsum([0, *(len(x[0]) // 8 for x in cut[:-1])])
     doc = np.concatenate([np.frombuffer(x[3], np.uint32).astype(np.int64) + s for x, s in zip(cut, shift, strict=True)])
     start = np.concatenate([np.frombuffer(x[4], np.uint32) for x in cut])
-    length = np.concatenate([np.frombuffer(x[5], np.uint8) for x in cut]).astype(np.int64)
+    length = np.concatenate([np.frombuffer(x[5], np.uint32) for x in cut]).astype(np.int64)
     least = np.concatenate([_wide(x[6], 6) for x in cut])
     # first level: only 7-word windows of several documents go on
     order = np.argsort(least)
