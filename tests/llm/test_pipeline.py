@@ -10,7 +10,11 @@ pipeline = pytest.importorskip("corpus_pipeline")
 def test_stages(spark, tmp_path):
     from tests.llm.test_langid import DE, EN
 
-    rows = [(i, " ".join(random.Random(i).choices(EN if i % 2 else DE, k=60)), "en" if i % 2 else "de", f"src{i % 3}", 5) for i in range(40)]
+    def sentence(i):
+        rng, words = random.Random(i), EN if i % 2 else DE
+        return " ".join(rng.choice(words) + rng.choice(words) for _ in range(80))
+
+    rows = [(i, sentence(i), "en" if i % 2 else "de", f"src{i % 3}", 5) for i in range(40)]
     rows += [(100, rows[0][1], "de", "src1", 5), (101, rows[1][1] + " more", "en", "src2", 5), (102, "12 34", "en", "src0", 5), (103, None, None, None, 0), (104, rows[3][1] + " token = abcdefgh1234 " + " ".join(DE), "en", "src0", 5)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
