@@ -185,3 +185,30 @@ def test_stream_state(spark, tmp_path):
     S.upsert_state(out.drop("_batch"), f"{tmp_path}/state", ["user_id"], "event_id")
     S.upsert_state(out.drop("_batch"), f"{tmp_path}/state", ["user_id"], "event_id")
     assert spark.read.parquet(f"{tmp_path}/state").count() == 3
+
+
+def test_raw_post_files(spark, tmp_path):
+    import json
+
+    from voxfield.schema import flat_replies
+    from voxfield.sources import files
+
+    post = {"id": "1", "source": "s", "body": "b", "posted_at": "2026-01-01T00:00:00Z", "engagement_metrics": {"likes": 3}, "replies": [{"id": "r", "body": "x"}]}
+    (tmp_path / "a.json").write_text(json.dumps([post, post | {"id": "2", "replies": []}]))
+    (tmp_path / "a._run.json").write_text('{"emitted": 2}')
+    (tmp_path / "b.json").write_text(json.dumps([post | {"id": "3"}]))
+    rows = files.raw_posts(spark, str(tmp_path))
+    assert {r["id"] for r in rows.select("id").collect()} == {"1", "2", "3"}
+    assert [r["id"] for r in files.newest(rows).select("id").collect()] == ["3"]
+    assert flat_replies(rows).count() == 2 and files.last_changed(rows, "source").count() == 1
+    (tmp_path / "log.jsonl").write_text('{"id": 1, "type": "queued", "data": "{}"}\nbroken\n{"id": 2, "type": "done", "data": "{}"}\n')
+    assert [r["type"] for r in files.event_log(spark, f"{tmp_path}/log.jsonl").orderBy("id").collect()] == ["queued", "done"]
+
+
+def test_search_results_and_cards(spark):
+    from voxfield.sources.feeds import search_results
+
+    page = '<a href="//x.org/l/?uddg=https%3A%2F%2Fexample.org%2Fa">A</a><a href="/b">B</a><p class="r">too short</p><p class="r">a review of some length</p>'
+    pages = spark.createDataFrame([(1, page), (2, None)], "k int, h string")
+    assert [r["url"] for r in search_results(pages, "h", "k").orderBy("pos").collect()] == ["https://example.org/a", "/b"]
+    assert [r["body"] for r in html.page_cards(pages, "k", "h", "r").collect()] == ["a review of some length"]
