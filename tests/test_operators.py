@@ -212,3 +212,23 @@ def test_search_results_and_cards(spark):
     pages = spark.createDataFrame([(1, page), (2, None)], "k int, h string")
     assert [r["url"] for r in search_results(pages, "h", "k").orderBy("pos").collect()] == ["https://example.org/a", "/b"]
     assert [r["body"] for r in html.page_cards(pages, "k", "h", "r").collect()] == ["a review of some length"]
+
+
+def test_synthesis_retries_and_isolates(spark):
+    from voxfield.operators import synthesis as S
+
+    block = "[doc_0123456789ab] (x)\n  some words here\n"
+    docs = [("doc_0123456789ab", "some words here")]
+    packs = spark.createDataFrame([(1, block, docs)], "cluster int, block string, docs array<struct<doc: string, text: string>>")
+    good = S.synthesize(packs, S.quoting_client).first()
+    assert good["attempts"] == 2 and good["errors"] == []
+
+    def failing():
+        def ask(prompt):
+            raise RuntimeError("down")
+
+        return ask
+
+    bad = S.synthesize(packs, failing).first()
+    assert bad["errors"] == ["call failed: down"]
+    assert S.persona_errors({"goals": [{"claim": "x", "evidence": ["doc_z"]}], "representative_quotes": []}, {"doc_a"}, {}) == ["goals[0] cites unknown doc_z", "0 quotes, at least 1 needed"]
