@@ -140,7 +140,18 @@ def op1_toxicity(spark, sf_dir):
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-@query("op2_substrings")
+_SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+late AS (SELECT doc_id, i FROM win JOIN (SELECT k, min(doc_id) AS m FROM win GROUP BY k) USING (k) WHERE doc_id > m),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM late, (SELECT unnest(range(13)) AS j)),
+runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (d IS NULL OR d > 1) AS n_passages FROM (SELECT doc_id, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS d FROM gone) GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w) ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(n_passages, 0)::BIGINT AS n_passages FROM w LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op2_substrings", _SUBSTRING_SQL)
 def op2_substrings(spark, sf_dir):
     from voxfield.llm.substring import remove_repeats
 

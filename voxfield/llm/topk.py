@@ -64,13 +64,15 @@ def tile_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
     bits = max(1, len(ids) - 1).bit_length()
     if bound < 2.0 ** (62 - bits) and bound < 2.0**53:
-        scores = (q @ x.T).astype(np.int64)
-        place = np.int64((1 << bits) - 1) - np.arange(len(ids))
-        packed = (scores << bits) + place
-        packed[q_ids[:, None] == ids[None, :]] = np.iinfo(np.int64).min
-        n = min(k, len(ids))
-        best = -np.sort(-np.partition(packed, len(ids) - n, axis=1)[:, len(ids) - n :], axis=1)
-        return [[(v >> bits, int(ids[((1 << bits) - 1) - (v & ((1 << bits) - 1))])) for v in row if v != np.iinfo(np.int64).min] for row in best.tolist()]
+        mask, least, n, out = (1 << bits) - 1, np.iinfo(np.int64).min, min(k, len(ids)), []
+        place = np.int64(mask) - np.arange(len(ids))
+        step = max(1, (1 << 21) // len(ids))  # so many queries at once that a product stays at 16 MB
+        for a in range(0, len(q), step):
+            packed = ((q[a : a + step] @ x.T).astype(np.int64) << bits) + place
+            packed[q_ids[a : a + step, None] == ids[None, :]] = least
+            best = -np.sort(-np.partition(packed, len(ids) - n, axis=1)[:, len(ids) - n :], axis=1)
+            out += [[(v >> bits, int(ids[mask - (v & mask)])) for v in row if v != least] for row in best.tolist()]
+        return out
     whole = [[int(y) for y in row] for row in x.tolist()]
     clamp = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
     out = []
