@@ -11,7 +11,7 @@ differ and drops a pair of nodes once its sum exceeds the budget; all subtrees o
 that meets under several keys is found under each. Each task reports a spanning forest of its links instead of all, which
 joins the same classes. Distinct fingerprints within the budget of one another number at most 1+64+2016, whatever the number of copies.
 
-A key that holds more than HOT distinct fingerprints is cut again: under it the other 64-32 bits are cut and chosen from in the same way,
+A key that holds more than HOT distinct fingerprints is cut again: under it the other bits are cut and chosen from in the same way,
 so no group depends on a single task, and no pair is lost.
 
 Classes: labels (smallest id) spread over links with pointer jumping until nothing changes; tables of each round are written to the
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxfield.llm.common import as_bytes, by_key, shuffle_width, store, text_blocks
+from voxfield.llm.substring import _wide
 
 WORDS = 3
 BUDGET = 2
@@ -68,16 +69,21 @@ def fingerprint(text: bytes, words: int = WORDS, once: bool = False) -> int:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, once: bool = False) -> DataFrame:
-    """id and fp (the 64 bits as a signed long); no shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, once: bool = False, same: bool = False) -> DataFrame:
+    """id and fp (the 64 bits as a signed long), with same=True also a hash of all lower-cased words in order; no shuffle."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for block in text_blocks(batches):
-            fps = np.array([fingerprint(x, words, once) for x in as_bytes(block.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
+            texts = as_bytes(block.column("text"))
+            columns = [np.array([fingerprint(x, words, once) for x in texts], np.uint64)]
+            if same:
+                columns.append(np.array([xxhash.xxh64_intdigest(b" ".join(x.lower().split())) for x in texts], np.uint64))
+            yield pa.RecordBatch.from_arrays([block.column("id"), *(pa.array(x.view(np.int64)) for x in columns)], ["id", "fp", "same"][: 1 + len(columns)])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint" + ", same bigint" * same)
 
 
 def trie_pairs(codes: np.ndarray, groups: np.ndarray, budget: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -126,24 +132,6 @@ def _middle(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: int) -> np.n
     return lo
 
 
-def spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest over n places with the classes of the links (i, j): each place that has a link, with its class's least place."""
-    root = np.arange(n)
-    while len(i):
-        a, b = root[i], root[j]
-        i, j = i[a != b], j[a != b]
-        if not len(i):
-            break
-        np.minimum.at(root, np.maximum(root[i], root[j]), np.minimum(root[i], root[j]))
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-    child = np.flatnonzero(root != np.arange(n))
-    return child, root[child]
-
-
 def _plans(bits: list[int], budget: int, agree: int = 2) -> list[list[int]]:
     """The bits of every choice of `agree` of budget + agree blocks of these bits."""
     blocks = [x.tolist() for x in np.array_split(np.array(bits), budget + agree)]
@@ -164,16 +152,15 @@ def links(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFram
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     plans = _plans(list(range(63, -1, -1)), budget)
     keyed = distinct.select("fp", F.posexplode(F.array(*[_bits_of("fp", x) for x in plans]))).select("fp", F.col("pos").alias("plan"), F.col("col").alias("key"))
-    sizes = keyed.groupBy("plan", "key").count().where(F.col("count") > 1)
-    sizes = store(sizes)  # groups of one have no pairs: most keys of a corpus go here
-    big = sizes.where(F.col("count") > hot)
+    # a table of the hot keys only, mostly empty; every other row goes on as it is
+    big = store(keyed.groupBy("plan", "key").count().where(F.col("count") > hot).select("plan", "key"))
     under = {k: [sorted(x) for x in _plans([b for b in range(63, -1, -1) if b not in set(p)], budget)] for k, p in enumerate(plans)}
     more = max(len(x) for x in under.values())
-    grouped = keyed.join(sizes.select("plan", "key", "count"), ["plan", "key"])
-    small = grouped.where(F.col("count") <= hot).select("fp", "plan", F.lit(-1).alias("sub"), "key", F.lit(0).cast("long").alias("key2"))
-    if big.limit(1).count():
+    some_hot = big.limit(1).count() > 0
+    small = (keyed.join(big, ["plan", "key"], "left_anti") if some_hot else keyed).select("fp", "plan", F.lit(-1).alias("sub"), "key", F.lit(0).cast("long").alias("key2"))
+    if some_hot:
         sub_key = F.array(*[F.coalesce(*[F.when(F.col("plan") == k, _bits_of("fp", x[s])) for k, x in under.items()]) for s in range(more)])
-        large = grouped.where(F.col("count") > hot).select("fp", "plan", "key", F.posexplode(sub_key)).select("fp", "plan", F.col("pos").alias("sub"), "key", F.col("col").alias("key2"))
+        large = keyed.join(big, ["plan", "key"], "left_semi").select("fp", "plan", "key", F.posexplode(sub_key)).select("fp", "plan", F.col("pos").alias("sub"), "key", F.col("col").alias("key2"))
         small = small.unionByName(large)
     width = shuffle_width(spark)
 
@@ -258,7 +245,7 @@ def shingle_overlap(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: st
             sets = []
             for x in as_bytes(block.column("text")):
                 w = x.lower().split()
-                sets.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + words])) for i in range(max(1, len(w) - words + 1))], np.uint64)).tobytes())
+                sets.append(np.ascontiguousarray(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + words])) >> 24 for i in range(max(1, len(w) - words + 1))], np.uint64))).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
             yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(sets, pa.binary())], ["id", "grams"])
 
     # of rows that repeat an id the set with the least bytes stands for it
@@ -268,7 +255,7 @@ def shingle_overlap(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: st
         for batch in batches:
             like = []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                a, b = _wide(a, 5), _wide(b, 5)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 like.append(both / (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(like, pa.float64())], ["x", "y", "jaccard"])
@@ -285,13 +272,16 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the texts' distinct single words, within `budget` bits; each class of candidates of a task is checked against its first text,
     by the exact overlap. Texts that repeat are one candidate. Rows with a null id have no class."""
     rows = docs.where(F.col(id_col).isNotNull())
-    marked = store(fingerprints(rows.select(F.col(id_col), F.col(text_col)), id_col, text_col, 1, True))
-    leads = store(marked.groupBy("fp").agg(F.min("id").alias("lead")))
-    inside = marked.join(leads, "fp").where("id <> lead").select(F.col("lead").alias("x"), F.col("id").alias("y"))
+    marked = store(fingerprints(rows, id_col, text_col, 1, True, True))
+    # rows whose lower-cased words are equal need no comparison
+    texts = store(marked.groupBy("fp", "same").agg(F.min("id").alias("rep")))
+    equal = marked.join(texts, ["fp", "same"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    leads = store(texts.groupBy("fp").agg(F.min("rep").alias("lead")))
+    inside = texts.join(leads, "fp").where("rep <> lead").select(F.col("lead").alias("x"), F.col("rep").alias("y"))
     a, b = (leads.select(F.col("fp").alias(x), F.col("lead").alias("lead_" + x)) for x in "ab")
     across = links(leads.select("fp"), budget).distinct().join(a, "a").join(b, "b").select(F.col("lead_a").alias("x"), F.col("lead_b").alias("y"))
     pairs = store(inside.union(across).distinct())
-    near = classes(shingle_overlap(pairs, rows, id_col, text_col, words).where(F.col("jaccard") >= least).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    near = classes(equal.union(shingle_overlap(pairs, rows, id_col, text_col, words).where(F.col("jaccard") >= least).select(F.col("x").alias("a"), F.col("y").alias("b"))))
     ids = marked.select("id").distinct()
     return ids.join(near, ids["id"] == near["node"], "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("component_id"))
 
