@@ -222,7 +222,8 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         return fit([], np.zeros(0), 0.0)
     share = F.create_map(*[F.lit(x) for y, n in seen.items() for x in (y, min(1.0, per_class / n))])
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 24)) < share[F.col("y")] * (1 << 24))
-    got = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(picked, "id").select("id", "text", "y").toArrow()
+    # the picked ids number about 2 * per_class, whatever the input, so they are sent to the texts
+    got = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id").select("id", "text", "y").toArrow()
     order = sorted(range(got.num_rows), key=lambda i: (got["id"][i].as_py(), got["text"][i].as_py(), got["y"][i].as_py()))
     texts, y = got["text"].to_pylist(), got["y"].to_pylist()
     return fit([texts[i] for i in order], np.array([y[i] for i in order]), seen.get(1, 0) / sum(seen.values()))
