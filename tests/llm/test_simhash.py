@@ -97,3 +97,28 @@ def test_keep_one(spark):
     rows += [(None, base[0]), (200, None), (200, None)]
     kept = simhash.keep_one(frame(spark, rows)).select("doc_id").collect()
     assert sorted((r[0] is None, r[0] or 0) for r in kept) == sorted([(True, 0), (False, 200)] + [(False, 10 * i + 1) for i in range(6)] + [(False, 100 + i) for i in range(6)])
+
+
+@pytest.mark.parametrize("most", [1 << 14, 3])
+def test_copy_classes_like_brute_force(spark, monkeypatch, most):
+    """Texts with few words, shared passages, and copies with changed words around an overlap of 0.8 to 0.9."""
+    overlap = simhash.shingle_overlap
+    monkeypatch.setattr(simhash, "shingle_overlap", lambda *a: overlap(*a, most=most))
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(60)]
+    notice = " ".join(rng.choices(vocabulary, k=25))
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([3, 8, 40, 90, 150]))]
+        texts.append(" ".join(base) + (" " + notice if rng.random() < 0.4 else ""))
+        for _ in range(rng.randint(0, 5)):
+            w = texts[-1 if rng.random() < 0.5 else rng.randrange(len(texts))].split()
+            for _ in range(max(1, len(w) // rng.choice([40, 60, 100]))):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x.split() for x in texts)]
+    like = {(i, j): len(a & sets[j]) / len(a | sets[j]) for i, a in enumerate(sets) for j in range(i)}
+    assert sum(0.8 <= x < 0.9 for x in like.values()) > 20
+    root = roots(len(texts), [p for p, x in like.items() if x >= 0.8])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.copy_classes(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == root

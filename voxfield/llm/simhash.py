@@ -28,11 +28,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxfield.llm.common import as_bytes, by_key, shuffle_width, store, text_blocks
-from voxfield.llm.substring import _wide
 
 WORDS = 3
 BUDGET = 2
@@ -232,56 +232,221 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(labelled, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def shingle_overlap(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """pairs (x, y) of ids with the Jaccard similarity of their texts' sets of word shingles. Only texts that some pair
-    names are cut into shingles; the pairs then join hashed sets."""
-    import xxhash
+class _Hashes(dict):
+    """XXH64 of words, kept up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 1 << 18:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def shingles(cut: list[bytes], words: int, hashes: _Hashes) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the runs of `words` words; a shorter text is one run."""
+    h = np.fromiter(map(hashes.__getitem__, cut), np.uint64, len(cut)) if cut else np.zeros(1, np.uint64)
+    long = min(words, len(h))
+    out = h[: len(h) - long + 1].copy()
+    for k in range(1, long):
+        out = (out ^ (out >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - long + 1 + k]
+    out = (out ^ (out >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.unique(out ^ (out >> np.uint64(29)))
 
-    wanted = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "id", "left_semi")
+
+def _shared(rows: DataFrame, words: int, most: int = 20_000, keep: int = 1 << 16) -> np.ndarray:
+    """Hashes of shingles that several of about `most` sampled texts hold, rarest first, `keep` of the most frequent at most.
+    They only order the shingles: what is found does not depend on the sample."""
+    n = rows.count()
+    part = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most / max(n, 1))) + 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, most=1 << 20):
-            sets = []
-            for x in as_bytes(block.column("text")):
-                w = x.lower().split()
-                sets.append(np.ascontiguousarray(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + words])) >> 24 for i in range(max(1, len(w) - words + 1))], np.uint64))).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(sets, pa.binary())], ["id", "grams"])
+        hashes = _Hashes()
+        for block in text_blocks(batches):
+            sets = [shingles(x.lower().split(), words, hashes) for x in as_bytes(block.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+
+    counts = part.mapInArrow(cut, "h bigint").groupBy("h").count().where("count > 2")
+    top = counts.orderBy(F.desc("count"), "h").limit(keep).toArrow()
+    return top["h"].to_numpy().view(np.uint64)[::-1].copy()
+
+
+def _ordered(grams: np.ndarray, by_hash: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The shingles in the order of all texts: those not shared by hash, then the shared ones from rare to frequent."""
+    key = grams >> np.uint64(1)
+    if len(by_hash):
+        at = np.minimum(np.searchsorted(by_hash, grams), len(by_hash) - 1)
+        key = np.where(by_hash[at] == grams, np.uint64(1 << 63) + place[at], key)
+    key.sort()
+    return key
+
+
+def candidate_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, pos: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places that meet under a token and whose sizes and places in order still allow an overlap of `least`. Rows come sorted
+    by token and size. A pair that reaches it passes under the first token it shares, since nothing before that is common."""
+    k = np.arange(len(token))
+    for d in range(1, len(token)):
+        k = k[k + d < len(token)]
+        k = k[(token[k] == token[k + d]) & (size[k] >= least * size[k + d] - 1e-9)]  # sizes grow with d: what fails stays out
+        if not len(k):
+            return
+        a, b = k, k + d
+        rest = np.minimum(size[a] - pos[a], size[b] - pos[b])
+        ok = (rest >= least / (1 + least) * (size[a] + size[b]) - 1e-9) & (node[a] != node[b])
+        if ok.any():
+            yield a[ok], b[ok]
+
+
+def prefix_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """texts (same, n, prefix) -> distinct pairs (x, y), x < y, of texts that may overlap by `least`; none that does is left out.
+    The rows of one token are in memory together."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                block = batch.slice(at, 2000)
+                sets = [np.frombuffer(x, np.int64) for x in block.column("prefix").to_pylist()]
+                if sets:
+                    long = np.array([len(x) for x in sets])
+                    pos = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *(pa.array(np.repeat(block.column(c).to_numpy(), long)) for c in ("same", "n")), pa.array(pos.astype(np.int32))], ["token", "same", "n", "pos"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 500_000:
+                t = pa.Table.from_batches(held).combine_chunks()
+                token = t["token"].to_numpy()
+                end = int(np.searchsorted(token, token[-1]))  # the last token may go on
+                if end:
+                    yield from solve(t.slice(0, end))
+                held, rows = t.slice(end).to_batches(), len(t) - end
+        if held:
+            yield from solve(pa.Table.from_batches(held))
 
-    # of rows that repeat an id the set with the least bytes stands for it
-    grams = store(texts.mapInArrow(cut, f"id {texts.schema['id'].dataType.simpleString()}, grams binary").groupBy("id").agg(F.min("grams").alias("grams")))
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, node, size, pos = (t[c].to_numpy() for c in ("token", "same", "n", "pos"))
+        seen: list[np.ndarray] = []
+        count = 0
+        for a, b in candidate_pairs(token, node, size, pos, least):
+            seen.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1))
+            count += len(a)
+            if count >= 1 << 20:
+                yield distinct(seen)
+                seen, count = [], 0
+        if seen:
+            yield distinct(seen)
+
+    def distinct(seen: list[np.ndarray]) -> pa.RecordBatch:
+        p = np.concatenate(seen)
+        p = p[np.lexsort((p[:, 1], p[:, 0]))]
+        p = p[np.concatenate([[True], (p[1:] != p[:-1]).any(1)])]
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["x", "y"])
+
+    width = shuffle_width(texts.sparkSession)
+    rows = texts.select("same", "n", "prefix").mapInArrow(spread, "token bigint, same bigint, n int, pos int")
+    return rows.repartition(width, "token").sortWithinPartitions("token", "n").mapInArrow(meet, "x bigint, y bigint").distinct()
+
+
+def shingle_overlap(pairs: DataFrame, docs: DataFrame, words: int, most: int = 1 << 14) -> DataFrame:
+    """pairs (x, rep_x, y, rep_y) of texts, by the hash of their words and an id that has them, with the Jaccard similarity of their sets
+    of word shingles. Only texts of docs (id, text) that some pair names are cut into shingles. The sets of a connected component of
+    pairs travel once, together; in components of more than `most` texts each pair joins its two sets instead."""
+    of = classes(pairs.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")))
+    sized = store(of.join(of.groupBy("root").count(), "root").select(F.col("node").alias("id"), "root", (F.col("count") > most).alias("large")))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for block in text_blocks(batches, most=1 << 20):
+            split = [x.lower().split() for x in as_bytes(block.column("text"))]
+            sets = [shingles(x, words, hashes).tobytes() for x in split]
+            yield pa.RecordBatch.from_arrays([block.column("root"), pa.array(_same(split)), pa.array(sets, pa.binary())], ["root", "same", "grams"])
+
+    kind = pairs.schema["rep_x"].dataType.simpleString()
+    schema = f"rep_x {kind}, rep_y {kind}, jaccard double"
+
+    def like(a: bytes, b: bytes) -> float:
+        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both / (len(a) + len(b) - both)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in by_key(batches, "g"):
+            named = pc.is_valid(t["grams"])
+            texts, some = t.filter(named), t.filter(pc.invert(named))
+            sets = dict(zip(texts["x"].to_pylist(), texts["grams"].to_pylist(), strict=True))
+            found = [like(sets[a], sets[b]) for a, b in zip(some["x"].to_pylist(), some["y"].to_pylist(), strict=True)]
+            if found:
+                out = pa.table([some["rep_x"], some["rep_y"], pa.array(found, pa.float64())], ["rep_x", "rep_y", "jaccard"])
+                yield from out.combine_chunks().to_batches()
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            like = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                a, b = _wide(a, 5), _wide(b, 5)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                like.append(both / (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(like, pa.float64())], ["x", "y", "jaccard"])
-
-    sides = pairs.join(grams.select(F.col("id").alias("x"), F.col("grams").alias("a")), "x").join(grams.select(F.col("id").alias("y"), F.col("grams").alias("b")), "y").select("x", "y", "a", "b")
-    kind = sides.schema["x"].dataType.simpleString()
-    return sides.mapInArrow(compare, f"x {kind}, y {kind}, jaccard double")
-
-
-def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, budget: int = 5) -> DataFrame:
-    """id and component_id of near copies: texts whose sets of `words`-word shingles overlap by `least` or more.
-
-    Few changed words move half of the bits of a fingerprint of long shingles, so candidates come from fingerprints of
-    the texts' distinct single words, within `budget` bits; each class of candidates of a task is checked against its first text,
-    by the exact overlap. Texts that repeat are one candidate. Rows with a null id have no class."""
-    rows = docs.where(F.col(id_col).isNotNull())
-    marked = store(fingerprints(rows, id_col, text_col, 1, True, True))
+            found = [like(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep_x"), batch.column("rep_y"), pa.array(found, pa.float64())], ["rep_x", "rep_y", "jaccard"])
+
+    def parts(large: bool) -> tuple[DataFrame, DataFrame]:
+        some = sized.where("large" if large else "not large").select("id", "root")
+        sets = docs.join(some, "id").select("root", "text").mapInArrow(cut, f"root {kind}, same bigint, grams binary")
+        return sets, pairs.join(some.withColumnRenamed("id", "rep_x"), "rep_x")
+
+    sets, some = parts(False)
+    rows = some.select(F.xxhash64("root").alias("g"), "x", "y", "rep_x", "rep_y", F.lit(None).cast("binary").alias("grams"))
+    none = F.lit(None).cast(kind)
+    rows = rows.unionByName(sets.select(F.xxhash64("root").alias("g"), F.col("same").alias("x"), F.lit(0).cast("long").alias("y"), none.alias("rep_x"), none.alias("rep_y"), "grams"))
+    out = rows.repartition(shuffle_width(docs.sparkSession), "g").sortWithinPartitions("g").mapInArrow(together, schema)
+    if not sized.where("large").limit(1).count():
+        return out
+    sets, some = parts(True)
+    grams = store(sets.groupBy("same").agg(F.min("grams").alias("grams")))
+    sides = some.join(grams.select(F.col("same").alias("x"), F.col("grams").alias("a")), "x").join(grams.select(F.col("same").alias("y"), F.col("grams").alias("b")), "y")
+    return out.unionByName(sides.select("rep_x", "rep_y", "a", "b").mapInArrow(apart, schema))
+
+
+def _same(split: list[list[bytes]]) -> np.ndarray:
+    """A hash of all words in order, for each text."""
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(b" ".join(x)) for x in split], np.uint64).view(np.int64)
+
+
+def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """id and component_id of near copies: texts whose sets of `words`-word shingles overlap by `least` or more, and chains of them.
+
+    Candidates come from an exact prefix filter, not from fingerprints (few changed words move half of the bits of a fingerprint
+    of long shingles): in one order of all shingles, two sets of n and m that overlap so far share one of the first
+    n - ceil(least * n) + 1 and m - ceil(least * m) + 1. Every candidate is checked by the exact overlap. Shared shingles come last in
+    the order, so passages that many texts hold bring few texts together. Texts that repeat are one candidate. Rows with a null id
+    have no class."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    shared = _shared(rows, words)
+    order = np.argsort(shared)
+    sent = rows.sparkSession.sparkContext.broadcast((shared[order], order.astype(np.uint64)))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        by_hash, place = sent.value
+        for block in text_blocks(batches):
+            split = [x.lower().split() for x in as_bytes(block.column("text"))]
+            sets = [shingles(x, words, hashes) for x in split]
+            prefix = [_ordered(x, by_hash, place)[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1].tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(_same(split)), pa.array([len(x) for x in sets], pa.int32()), pa.array(prefix, pa.binary())], ["id", "same", "n", "prefix"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    marked = store(rows.mapInArrow(mark, f"id {kind}, same bigint, n int, prefix binary"))
     # rows whose lower-cased words are equal need no comparison
-    texts = store(marked.groupBy("fp", "same").agg(F.min("id").alias("rep")))
-    equal = marked.join(texts, ["fp", "same"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    leads = store(texts.groupBy("fp").agg(F.min("rep").alias("lead")))
-    inside = texts.join(leads, "fp").where("rep <> lead").select(F.col("lead").alias("x"), F.col("rep").alias("y"))
-    a, b = (leads.select(F.col("fp").alias(x), F.col("lead").alias("lead_" + x)) for x in "ab")
-    across = links(leads.select("fp"), budget).distinct().join(a, "a").join(b, "b").select(F.col("lead_a").alias("x"), F.col("lead_b").alias("y"))
-    pairs = store(inside.union(across).distinct())
-    near = classes(equal.union(shingle_overlap(pairs, rows, id_col, text_col, words).where(F.col("jaccard") >= least).select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    texts = store(marked.groupBy("same").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("prefix").alias("prefix")))
+    reps = texts.select("same", "rep")
+    equal = marked.select("id", "same").join(reps, "same").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    x, y = (reps.select(F.col("same").alias(c), F.col("rep").alias("rep_" + c)) for c in "xy")
+    pairs = store(prefix_pairs(texts, least).join(x, "x").join(y, "y").where("rep_x <> rep_y"))  # texts of one id are together anyway
+    near = classes(equal.union(shingle_overlap(pairs, rows, words).where(F.col("jaccard") >= least).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))))
     ids = marked.select("id").distinct()
     return ids.join(near, ids["id"] == near["node"], "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("component_id"))
 
