@@ -62,3 +62,14 @@ def test_operator(spark):
     red = {r["doc_id"]: r for r in secrets.redact_secrets(df).collect()}
     assert red[1]["text"] is None and red[0]["text"] == "" and red[2]["text"] == "[SECRET]\"" and red[2]["spans"] == "clash"
     assert red[11]["text"] == "é é [SECRET] é"
+
+
+def test_random_keys_are_not_paths():
+    rng = random.Random(7)
+    for alphabet in ("-_", "+/"):
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + alphabet
+        for n, most in ((24, 0.03), (32, 0.01), (40, 0.005)):
+            keys = ["".join(rng.choices(letters, k=n)) for _ in range(3000)]
+            assert sum(not secrets.find_secrets(x) for x in keys) <= most * len(keys)
+    for path in ("src/main/python/Module/test_file2", "user-guide_2024-01-15/CHAPTER3/part", "/a/b2/usr/local/share/doc/"):
+        assert secrets.find_secrets(path) == []

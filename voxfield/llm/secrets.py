@@ -35,7 +35,8 @@ CANDIDATE = re.compile(rf"[A-Za-z0-9+/=_-]{{{WINDOW},}}")
 ALLOWED = re.compile(
     r"""[A-Za-z]+ | [0-9]+ | [A-Za-z_/=+-]+ | [0-9_/=+-]+        # words, numbers, joined words
     | [0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}
-    | (?:[A-Za-z0-9]{1,15}[/_-])+[A-Za-z0-9]{0,15}               # paths and names of short parts
+    # paths and names of short parts that look like words or numbers: one case or capitalised, digits only at the end
+    | (?:(?=[A-Za-z0-9]{1,15}[/_-])(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]*[/_-])+(?![A-Za-z0-9]{16})(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]*
     """,
     re.VERBOSE,
 )
