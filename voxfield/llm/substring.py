@@ -1,7 +1,8 @@
-"""Substring dedup: removes passages that a document with a smaller id has too, by level-wise doubling of windows.
+"""Substring dedup: removes passages that a document with a smaller id has too, by windows of 13 words that meet under a 7-word one.
 
-Levels: windows of HALF = 7 words, then of WINDOW = 13 = 2*7 - 1. Only 7-word windows that repeat in another document are
-extended to 13 words; at 13, the length at which words are removed, no longer window is needed. Of the seven 7-word windows
+Levels: windows of HALF = 7 words and of WINDOW = 13 = 2*7 - 1. They replace a doubling that would extend only repeating short
+windows: every 13-word window is hashed and, unless its block settles it, sent; the 7-word test only saves comparisons at the
+receiver. That takes one exchange of hashes; short windows first would take another. Of the seven 7-word windows
 inside a 13-word window one stands for it, that of least hash: equal 13-word windows have the same one, so it names the
 place where they meet. Neighbouring windows mostly share it and travel together as a run.
 
