@@ -86,3 +86,16 @@ def test_mixed_repeats_rows(spark):
         assert r["target"] == "clash"
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
     assert got == {k: n for k, n in want.items() if n}
+
+
+def test_mixed_counts_rows_that_share_an_id(spark):
+    """Repeated and null ids are taken row by row, so targets are met as by `mix`."""
+    rows = [(i % 7 if i % 3 else None, " ".join(["word"] * (1 + i % 5)), "abc"[i % 11 % 3]) for i in range(300)]
+    df = spark.createDataFrame([(d, t, s, 7, "clash") for d, t, s in rows], SCHEMA)
+    for bins in (4096, 16):
+        want, got = {}, {}
+        for (d, t, s), r in zip(rows, brute(rows), strict=True):
+            want[d, t, s] = want.get((d, t, s), 0) + r[4] // r[1]
+        for r in mixing.mixed(df, bin_rows=bins).collect():
+            got[r["doc_id"], r["text"], r["source"]] = got.get((r["doc_id"], r["text"], r["source"]), 0) + 1
+        assert got == {k: n for k, n in want.items() if n}

@@ -99,7 +99,7 @@ def test_keep_one(spark):
     assert sorted((r[0] is None, r[0] or 0) for r in kept) == sorted([(True, 0), (False, 200)] + [(False, 10 * i + 1) for i in range(6)] + [(False, 100 + i) for i in range(6)])
 
 
-@pytest.mark.parametrize("most", [1 << 14, 3])
+@pytest.mark.parametrize("most", [1 << 22, 3])
 def test_copy_classes_like_brute_force(spark, monkeypatch, most):
     """Texts with few words, shared passages, and copies with changed words around an overlap of 0.8 to 0.9."""
     overlap = simhash.shingle_overlap
@@ -122,3 +122,18 @@ def test_copy_classes_like_brute_force(spark, monkeypatch, most):
     root = roots(len(texts), [p for p, x in like.items() if x >= 0.8])
     got = {r["doc_id"]: r["component_id"] for r in simhash.copy_classes(frame(spark, list(enumerate(texts)))).collect()}
     assert [got[i] for i in range(len(texts))] == root
+
+
+def test_one_id_with_several_texts(spark):
+    """Other texts of an id are no copies of it; equal rows are."""
+    rng = random.Random(5)
+    a, b, c = (" ".join(f"w{rng.randint(0, 999)}" for _ in range(90)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (1, a + " tail"), (2, b), (3, c), (4, c + " end"), (4, a)]
+    kept = sorted((r[0], r[1]) for r in simhash.keep_one(frame(spark, rows)).select("doc_id", "text").collect())
+    first = [r for r in kept if r[0] == 1]
+    assert [r for r in kept if r[0] != 1] == [(3, c)] and len(first) == 2 and (1, b) in first
+
+
+def test_keep_one_of_nothing(spark):
+    assert simhash.keep_one(frame(spark, [])).count() == 0
+    assert simhash.keep_one(frame(spark, [(None, None), (None, "x")])).count() == 2

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -42,40 +44,101 @@ def lists(values: np.ndarray, lengths: np.ndarray | list[int], kind: pa.DataType
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
+def _narrow(x: np.ndarray, size: int) -> bytes:
+    """The low `size` bytes of each number."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
+def _wide(raw: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    return out.view(np.uint64)[:, 0]
+
+
 def is_held_out(id_col: str, parts: int, part: int):
     """True for documents whose crc32 of the id's decimal text leaves `part` when divided by `parts`; null ids are not."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
 
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the checkpoint folder that was set on the context.
+    Where neither is set, a local session uses a temporary folder of its own; on a cluster that is an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top:
+        return top.rstrip("/")
+    jsc = spark.sparkContext._jsc.sc()
+    if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="voxfield-"))
+    return jsc.getCheckpointDir().get().rstrip("/")
 
 
 def store(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Writes df as a table in the session's shared checkpoint folder and reads it back, which cuts its lineage;
-    lost executors cost only a reread. The folder is removed when the driver ends."""
+    """Writes df as a table in the shared folder and reads it back, which cuts its lineage; lost executors cost only a reread. `drop`
+    removes it once nothing reads it any more; what is left goes when the driver ends."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir("/tmp/voxfield-checkpoints")
-        top = jsc.getCheckpointDir().get()
-    path = f"{top.rstrip('/')}/voxfield-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/voxfield-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._voxfield_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables made by `store`, which nothing may read any more. Other DataFrames are left alone."""
+    for df in tables:
+        path = getattr(df, "_voxfield_path", None)
+        if path and _made.pop(path, None):
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives `store` for results; every other table made meanwhile is removed at the end."""
+    before, kept = set(_made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = store(df)
+        kept.add(out._voxfield_path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in set(_made) - before - kept:
+            _delete(_made.pop(path), path)
 
 
 @atexit.register
 def _remove() -> None:
-    for spark, path in _made:
+    for path, spark in _made.items():
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: its folder goes with it
             return
 
 
+def join_hot(rows: DataFrame, small: DataFrame, key: str, small_key: str, count: str, total: int, parts: int = 1000) -> DataFrame:
+    """rows with the columns of small, which has one row for each key and in `count` the number of rows with it; rows without one get
+    nulls. Keys with more than total / parts rows, at most `parts` of them, are broadcast, so that no task gets all rows of one."""
+    bound = total // parts
+    hot = F.broadcast(small.where(F.col(count) > bound))
+    there = rows.join(hot, rows[key] == hot[small_key])
+    rest = rows.join(hot.select(small_key), rows[key] == hot[small_key], "left_anti")
+    cold = small.where(F.col(count) <= bound)
+    return there.unionByName(rest.join(cold, rest[key] == cold[small_key], "left"))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

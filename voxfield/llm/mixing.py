@@ -55,18 +55,21 @@ def targets(sources: DataFrame, cap: int = CAP) -> DataFrame:
     return first.withColumn("target", F.round(F.coalesce(F.least(F.col("source_size") * cap, F.col("level") * F.col("weight")), F.lit(0.0)).cast("double"), 6)).drop("level", "weight")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP, bin_rows: int = BIN) -> DataFrame:
-    """id, size, source_size, target and taken (words, repeats counted), a row for each document."""
-    text = F.col(text_col)
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), text.alias("text"), word_count(text).alias("size"))
-    sized = sized.select("id", "source", "size", sampling_key(F.col("id"), quality_weight(F.col("text"), F.col("size"))).alias("key"))
-    sized = store(sized)  # one pass over the texts; what follows reads four narrow columns
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs with the columns _id, _source, _size and _key."""
+    size = word_count(F.col(text_col))
+    sized = docs.withColumns({"_id": F.col(id_col), "_source": F.col(source_col), "_size": size})
+    return sized.withColumn("_key", sampling_key(F.col("_id"), quality_weight(F.col(text_col), F.col("_size"))))
+
+
+def _dealt(sized: DataFrame, cap: int, bin_rows: int) -> tuple[DataFrame, DataFrame]:
+    """sized (id, source, size, key) -> rows with source_size, target, epochs and extra (is the row taken fractionally), and the plan by
+    source: target, epochs, left, docs, end_bin and before."""
     sources = store(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), cap))
     part = sources.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)))
     part = part.withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
     rows = sized.join(part, sized["source"].eqNullSafe(part["source"])).drop(part["source"])
-    # even bins for keys of weight 1; other weights shift rows between bins but keep the order
-    rows = rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("docs") / bin_rows)))
+    rows = rows.withColumn("bin", _bin(F.col("key"), F.col("docs"), bin_rows))
     sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
     run = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     ends = sums.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0))).where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("words") > F.col("left")))
@@ -76,14 +79,48 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     order = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = cut.withColumn("extra", F.col("before") + F.sum("size").over(order) - F.col("size") / 2 <= F.col("left"))
     rest = rows.where(F.col("end_bin").isNull() | (F.col("bin") != F.col("end_bin"))).withColumn("extra", (F.col("left") > 0) & (F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin"))))
-    both = rest.unionByName(cut)
-    taken = F.when(F.col("extra") & (F.col("epochs") < cap), F.col("epochs") + 1).otherwise(F.col("epochs")) * F.col("size")
-    return both.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rest.unionByName(cut), part.join(ends, F.col("source").eqNullSafe(F.col("end_source")), "left").drop("end_source")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; documents without words aren't taken. All columns stay. Rows that
-    share an id are all taken as often as the one taken most."""
-    taken = mix(docs, id_col, text_col, source_col, cap).where("size > 0")
-    times = taken.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times")).where("_times > 0")
-    return docs.join(times, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+def _bin(key: Column, docs: Column, bin_rows: int) -> Column:
+    """Even bins for keys of weight 1; other weights shift rows between bins but keep the order."""
+    return F.floor((1 - F.exp(-key)) * F.ceil(docs / bin_rows))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP, bin_rows: int = BIN) -> DataFrame:
+    """id, size, source_size, target and taken (words, repeats counted), a row for each document."""
+    # one pass over the texts; what follows reads four narrow columns
+    sized = store(_sized(docs, id_col, text_col, source_col).select(*[F.col("_" + c).alias(c) for c in ("id", "source", "size", "key")]))
+    rows, _ = _dealt(sized, cap, bin_rows)
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (_times(cap) * F.col("size")).cast("long").alias("taken"))
+
+
+def _times(cap: int) -> Column:
+    return F.when(F.col("extra") & (F.col("epochs") < cap), F.col("epochs") + 1).otherwise(F.col("epochs"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP, bin_rows: int = BIN) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; documents without words aren't taken. All columns stay.
+
+    Rows are taken in the order of (key, id, size), so the fractional part of a source is known by the last row taken: texts are
+    compared with that and not exchanged. Of rows that equal that last one, as many as the mix takes are taken, by the hash of the text."""
+    sized = store(_sized(docs, id_col, text_col, source_col).select(*[F.col("_" + c).alias(c) for c in ("id", "source", "size", "key")]))
+    rows, part = _dealt(sized, cap, bin_rows)
+    alike = rows.where(F.col("bin") == F.col("end_bin")).groupBy("source", "key", "id", "size").agg(F.count_if("extra").alias("some"), F.count("*").alias("all"))
+    last = alike.where("some > 0").groupBy("source").agg(F.max(F.struct("key", "id", "size", "some", "all")).alias("last"))
+    plan = part.join(last, part["source"].eqNullSafe(last["source"]), "left").drop(last["source"])
+    plan = store(plan.select(F.col("source").alias("_plan_source"), *[F.col(c).alias("_" + c) for c in ("docs", "epochs", "left", "end_bin", "last")]))
+    bare = _sized(docs, id_col, text_col, source_col).where("_size > 0")
+    met = bare.join(plan, F.col("_source").eqNullSafe(F.col("_plan_source"))).withColumn("_bin", _bin(F.col("_key"), F.col("_docs"), bin_rows))
+    here, end = F.struct("_key", "_id", "_size"), F.struct("_last.key", "_last.id", "_last.size")
+    early = F.col("_end_bin").isNull() | (F.col("_bin") < F.col("_end_bin"))
+    # struct comparison puts nulls first, as the sort does
+    inside = (F.col("_bin") == F.col("_end_bin")) & F.col("_last").isNotNull() & (here <= end)
+    met = met.withColumn("_extra", (F.col("_left") > 0) & F.coalesce(early | inside, F.lit(False)))
+    if plan.where("_last.some < _last.all").limit(1).count():
+        tied = F.coalesce((F.col("_bin") == F.col("_end_bin")) & (here == end) & (F.col("_last.some") < F.col("_last.all")), F.lit(False))
+        nth = F.row_number().over(Window.partitionBy("_source").orderBy(F.xxhash64(text_col)))
+        met = met.where(~tied).unionByName(met.where(tied).withColumn("_extra", nth <= F.col("_last.some")))
+    times = F.when(F.col("_extra") & (F.col("_epochs") < cap), F.col("_epochs") + 1).otherwise(F.col("_epochs")).cast("int")
+    met = met.withColumn("_times", times).where("_times > 0")
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -32,16 +32,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxfield.llm.common import as_bytes, by_key, shuffle_width, store, text_blocks
+from voxfield.llm.common import _narrow, _wide, as_bytes, by_key, drop, join_hot, shuffle_width, store, text_blocks
 
 WORDS = 3
 BUDGET = 2
 HOT = 20_000
+MOST = 4 << 20  # shingles of a component that are compared in one task
 _LANES = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: bytes, words: int = WORDS, once: bool = False) -> int:
-    """The SimHash of the XXH64 (seed 42) of a text's word shingles, repeats included unless `once`; 0 for a text without words."""
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """The SimHash of the XXH64 (seed 42) of a text's word shingles, repeats included; 0 for a text without words."""
     import xxhash
 
     cut = text.lower().split()  # bytes: A-Z only, and exactly the white space of the contract
@@ -56,9 +57,6 @@ def fingerprint(text: bytes, words: int = WORDS, once: bool = False) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    if once:
-        places = {bytes(joined[a:b]): (a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
-        starts, ends = (np.array(x, np.int64) for x in zip(*places.values(), strict=True))
     h = np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
     out, n = 0, len(h)
     for k in range(8):  # eight counters at once, in the bytes of a word
@@ -69,21 +67,16 @@ def fingerprint(text: bytes, words: int = WORDS, once: bool = False) -> int:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, once: bool = False, same: bool = False) -> DataFrame:
-    """id and fp (the 64 bits as a signed long), with same=True also a hash of all lower-cased words in order; no shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """id and fp (the 64 bits as a signed long); no shuffle."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for block in text_blocks(batches):
-            texts = as_bytes(block.column("text"))
-            columns = [np.array([fingerprint(x, words, once) for x in texts], np.uint64)]
-            if same:
-                columns.append(np.array([xxhash.xxh64_intdigest(b" ".join(x.lower().split())) for x in texts], np.uint64))
-            yield pa.RecordBatch.from_arrays([block.column("id"), *(pa.array(x.view(np.int64)) for x in columns)], ["id", "fp", "same"][: 1 + len(columns)])
+            found = np.array([fingerprint(x, words) for x in as_bytes(block.column("text"))], np.uint64)
+            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(found.view(np.int64))], ["id", "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint" + ", same bigint" * same)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
 
 
 def trie_pairs(codes: np.ndarray, groups: np.ndarray, budget: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -206,30 +199,40 @@ def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def classes(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of edges (a, b): root is the least node of the class. Each round every node takes the least
-    label around it and then the label of that label; the rounds grow with the logarithm of a class's width."""
+    label around it and then the label of that label; the rounds grow with the logarithm of a class's width. The labels' own
+    labels are looked up by `join_hot`, since a large class has one label in most rows."""
     both = store(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).distinct())
-    labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    held = labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    nodes = labels.count()
     while True:
         around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        hop = labels.join(around, labels["node"] == around["a"], "left").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
-        hop = store(hop)
-        jump = hop.select(F.col("node").alias("n"), F.col("root").alias("r"))
-        new = store(hop.join(jump, hop["root"] == jump["n"], "left").select("node", F.least("root", "r").alias("root"), "old"))
-        if not new.where("root <> old").limit(1).count():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+        hop = store(labels.join(around, labels["node"] == around["a"], "left").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old")))
+        drop(held)
+        asked = hop.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("n"))
+        up = store(asked.join(hop.select(F.col("node").alias("r"), F.col("root").alias("up")), "r"))
+        held = store(join_hot(hop, up, "root", "r", "n", nodes).select("node", F.least("root", "up").alias("root"), "old"))
+        drop(hop, up)
+        labels = held.select("node", "root")
+        if not held.where("root <> old").limit(1).count():
+            drop(both)
+            return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, words: int = WORDS) -> DataFrame:
     """id, fp and component_id, a row for each document."""
     rows = store(fingerprints(docs, id_col, text_col, words))
-    groups = store(rows.groupBy("fp").agg(F.min("id").alias("rep")))
+    groups = store(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
     found = store(links(groups.select("fp"), budget).distinct())
     root = classes(found)
-    member = groups.join(root, groups["fp"] == root["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labelled = store(member.join(least, "root").select("fp", "component_id"))
-    return rows.join(labelled, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    # a fingerprint without a link is its own class and needs no further exchange
+    alone = groups.join(root, groups["fp"] == root["node"], "left_anti").select("fp", F.col("rep").alias("component_id"), "n")
+    member = store(groups.join(root, groups["fp"] == root["node"]).select("fp", "rep", "n", "root"))
+    least = store(member.groupBy(F.col("root").alias("top")).agg(F.min("rep").alias("component_id"), F.count("*").alias("m")))
+    of = join_hot(member, least, "root", "top", "m", member.count()).select("fp", "component_id", "n")
+    labelled = store(alone.unionByName(of))
+    drop(found, root, member, least)
+    out = join_hot(rows, labelled.withColumnRenamed("fp", "f"), "fp", "f", "n", rows.count())
+    return out.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 class _Hashes(dict):
@@ -282,35 +285,37 @@ def _ordered(grams: np.ndarray, by_hash: np.ndarray, place: np.ndarray) -> np.nd
     return key
 
 
-def candidate_pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, pos: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places that meet under a token and whose sizes and places in order still allow an overlap of `least`. Rows come sorted
-    by token and size. A pair that reaches it passes under the first token it shares, since nothing before that is common."""
+def candidate_pairs(token: np.ndarray, size: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places that share a token and whose sizes allow an overlap of `least`. Rows come sorted by token and size."""
     k = np.arange(len(token))
     for d in range(1, len(token)):
         k = k[k + d < len(token)]
         k = k[(token[k] == token[k + d]) & (size[k] >= least * size[k + d] - 1e-9)]  # sizes grow with d: what fails stays out
         if not len(k):
             return
-        a, b = k, k + d
-        rest = np.minimum(size[a] - pos[a], size[b] - pos[b])
-        ok = (rest >= least / (1 + least) * (size[a] + size[b]) - 1e-9) & (node[a] != node[b])
-        if ok.any():
-            yield a[ok], b[ok]
+        yield k, k + d
+
 
+def _pair_hash(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    h = (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (y.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
 
-def prefix_pairs(texts: DataFrame, least: float) -> DataFrame:
-    """texts (same, n, prefix) -> distinct pairs (x, y), x < y, of texts that may overlap by `least`; none that does is left out.
-    The rows of one token are in memory together."""
+
+def prefix_pairs(marked: DataFrame, least: float) -> DataFrame:
+    """marked (same, n, prefix) -> (x, y, shared), x < y: pairs of texts that may overlap by `least`, none that does is left out,
+    and how many prefix shingles they share. A pair that reaches it passes the test of places under the first shingle it shares,
+    since nothing before that is common; the names of a pair travel from there only, elsewhere its hash and a count. The rows of
+    one shingle are in memory together."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 block = batch.slice(at, 2000)
                 sets = [np.frombuffer(x, np.int64) for x in block.column("prefix").to_pylist()]
-                if sets:
-                    long = np.array([len(x) for x in sets])
-                    pos = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *(pa.array(np.repeat(block.column(c).to_numpy(), long)) for c in ("same", "n")), pa.array(pos.astype(np.int32))], ["token", "same", "n", "pos"])
+                long = np.array([len(x) for x in sets], np.int64)
+                pos = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *(pa.array(np.repeat(block.column(c).to_numpy(), long)) for c in ("same", "n")), pa.array(pos.astype(np.int32))], ["token", "same", "n", "pos"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -332,47 +337,64 @@ def prefix_pairs(texts: DataFrame, least: float) -> DataFrame:
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
         token, node, size, pos = (t[c].to_numpy() for c in ("token", "same", "n", "pos"))
-        seen: list[np.ndarray] = []
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # copies in other blocks of documents
+        several = np.zeros(len(token), bool)
+        several[1:] = token[1:] == token[:-1]
+        several[:-1] |= several[1:]
+        token, node, size, pos = (x[new & several] for x in (token, node, size, pos))
+        seen: list[tuple[np.ndarray, ...]] = []
         count = 0
-        for a, b in candidate_pairs(token, node, size, pos, least):
-            seen.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])], 1))
+        for a, b in candidate_pairs(token, size, least):
+            rest = np.minimum(size[a] - pos[a], size[b] - pos[b])
+            seen.append((np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), rest >= least / (1 + least) * (size[a] + size[b]) - 1e-9))
             count += len(a)
             if count >= 1 << 20:
-                yield distinct(seen)
+                yield counted(seen)
                 seen, count = [], 0
         if seen:
-            yield distinct(seen)
-
-    def distinct(seen: list[np.ndarray]) -> pa.RecordBatch:
-        p = np.concatenate(seen)
-        p = p[np.lexsort((p[:, 1], p[:, 0]))]
-        p = p[np.concatenate([[True], (p[1:] != p[:-1]).any(1)])]
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["x", "y"])
-
-    width = shuffle_width(texts.sparkSession)
-    rows = texts.select("same", "n", "prefix").mapInArrow(spread, "token bigint, same bigint, n int, pos int")
-    return rows.repartition(width, "token").sortWithinPartitions("token", "n").mapInArrow(meet, "x bigint, y bigint").distinct()
-
-
-def shingle_overlap(pairs: DataFrame, docs: DataFrame, words: int, most: int = 1 << 14) -> DataFrame:
-    """pairs (x, rep_x, y, rep_y) of texts, by the hash of their words and an id that has them, with the Jaccard similarity of their sets
-    of word shingles. Only texts of docs (id, text) that some pair names are cut into shingles. The sets of a connected component of
-    pairs travel once, together; in components of more than `most` texts each pair joins its two sets instead."""
-    of = classes(pairs.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")))
-    sized = store(of.join(of.groupBy("root").count(), "root").select(F.col("node").alias("id"), "root", (F.col("count") > most).alias("large")))
+            yield counted(seen)
+
+    def counted(seen: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        x, y, ok = (np.concatenate(c) for c in zip(*seen, strict=True))
+        h = _pair_hash(x, y)
+        order = np.argsort(h)
+        first = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
+        named = np.logical_or.reduceat(ok[order], first)
+        at = order[first]
+        n = np.diff(np.append(first, len(h))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(n), pa.array(x[at], mask=~named), pa.array(y[at], mask=~named)], ["h", "c", "x", "y"])
+
+    width = shuffle_width(marked.sparkSession)
+    rows = marked.select("same", "n", "prefix").where(F.length("prefix") > 0).mapInArrow(spread, "token bigint, same bigint, n int, pos int")
+    met = rows.repartition(width, "token").sortWithinPartitions("token", "n", "same").mapInArrow(meet, "h bigint, c int, x bigint, y bigint")
+    return met.groupBy("h").agg(F.sum("c").alias("shared"), F.max("x").alias("x"), F.max("y").alias("y")).where("x is not null").select("x", "y", "shared")
+
+
+def shingle_overlap(pairs: DataFrame, docs: DataFrame, words: int, most: int = MOST) -> DataFrame:
+    """pairs (x, rep_x, n_x, y, rep_y, n_y) of texts, by the hash of their words, an id that has them and the size of their sets, ->
+    (x, y, jaccard) of their sets of word shingles. Only texts of docs (id, text) that some pair names are cut into shingles. The sets
+    of a connected component of pairs travel once, together; in components of more than `most` shingles each pair joins its two sets
+    instead, so no task holds more. Shingles are compared by 40 bits of their hash."""
+    of = classes(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    names = pairs.select(F.col("x").alias("same"), F.col("rep_x").alias("id"), F.col("n_x").alias("n")).union(pairs.select("y", "rep_y", "n_y")).distinct()
+    sized = of.join(names, of["node"] == names["same"]).select("same", "id", "n", "root")
+    weight = sized.groupBy("root").agg(F.sum("n").alias("total"))
+    sized = store(sized.join(weight, "root").select("same", "id", "root", (F.col("total") > most).alias("large")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for block in text_blocks(batches, most=1 << 20):
             split = [x.lower().split() for x in as_bytes(block.column("text"))]
-            sets = [shingles(x, words, hashes).tobytes() for x in split]
-            yield pa.RecordBatch.from_arrays([block.column("root"), pa.array(_same(split)), pa.array(sets, pa.binary())], ["root", "same", "grams"])
+            right = np.flatnonzero(_same(split) == block.column("same").to_numpy()).tolist()  # an id may have other texts too
+            if right:
+                sets = [_narrow(np.unique(shingles(split[i], words, hashes) >> np.uint64(24)), 5) for i in right]
+                block = block.take(pa.array(right))
+                yield pa.RecordBatch.from_arrays([block.column("root"), block.column("same"), pa.array(sets, pa.binary())], ["root", "same", "grams"])
 
-    kind = pairs.schema["rep_x"].dataType.simpleString()
-    schema = f"rep_x {kind}, rep_y {kind}, jaccard double"
+    schema = "x bigint, y bigint, jaccard double"
 
-    def like(a: bytes, b: bytes) -> float:
-        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    def like(a: np.ndarray, b: np.ndarray) -> float:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return both / (len(a) + len(b) - both)
 
@@ -380,33 +402,31 @@ def shingle_overlap(pairs: DataFrame, docs: DataFrame, words: int, most: int = 1
         for _, t in by_key(batches, "g"):
             named = pc.is_valid(t["grams"])
             texts, some = t.filter(named), t.filter(pc.invert(named))
-            sets = dict(zip(texts["x"].to_pylist(), texts["grams"].to_pylist(), strict=True))
+            sets = {k: _wide(v.as_py(), 5) for k, v in zip(texts["x"].to_pylist(), texts["grams"], strict=True)}
             found = [like(sets[a], sets[b]) for a, b in zip(some["x"].to_pylist(), some["y"].to_pylist(), strict=True)]
             if found:
-                out = pa.table([some["rep_x"], some["rep_y"], pa.array(found, pa.float64())], ["rep_x", "rep_y", "jaccard"])
-                yield from out.combine_chunks().to_batches()
+                yield from pa.table([some["x"], some["y"], pa.array(found, pa.float64())], ["x", "y", "jaccard"]).combine_chunks().to_batches()
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [like(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep_x"), batch.column("rep_y"), pa.array(found, pa.float64())], ["rep_x", "rep_y", "jaccard"])
+            found = [like(_wide(a.as_py(), 5), _wide(b.as_py(), 5)) for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(found, pa.float64())], ["x", "y", "jaccard"])
 
     def parts(large: bool) -> tuple[DataFrame, DataFrame]:
-        some = sized.where("large" if large else "not large").select("id", "root")
-        sets = docs.join(some, "id").select("root", "text").mapInArrow(cut, f"root {kind}, same bigint, grams binary")
-        return sets, pairs.join(some.withColumnRenamed("id", "rep_x"), "rep_x")
+        some = sized.where("large" if large else "not large").select("id", "root", "same")
+        sets = docs.join(some, "id").select("root", "same", "text").mapInArrow(cut, "root bigint, same bigint, grams binary")
+        return sets, pairs.select("x", "y").join(some.select(F.col("same").alias("x"), "root"), "x")
 
     sets, some = parts(False)
-    rows = some.select(F.xxhash64("root").alias("g"), "x", "y", "rep_x", "rep_y", F.lit(None).cast("binary").alias("grams"))
-    none = F.lit(None).cast(kind)
-    rows = rows.unionByName(sets.select(F.xxhash64("root").alias("g"), F.col("same").alias("x"), F.lit(0).cast("long").alias("y"), none.alias("rep_x"), none.alias("rep_y"), "grams"))
+    rows = some.select(F.xxhash64("root").alias("g"), "x", "y", F.lit(None).cast("binary").alias("grams"))
+    rows = rows.unionByName(sets.select(F.xxhash64("root").alias("g"), F.col("same").alias("x"), F.lit(0).cast("long").alias("y"), "grams"))
     out = rows.repartition(shuffle_width(docs.sparkSession), "g").sortWithinPartitions("g").mapInArrow(together, schema)
     if not sized.where("large").limit(1).count():
         return out
     sets, some = parts(True)
-    grams = store(sets.groupBy("same").agg(F.min("grams").alias("grams")))
+    grams = store(sets.dropDuplicates(["same"]).select("same", "grams"))
     sides = some.join(grams.select(F.col("same").alias("x"), F.col("grams").alias("a")), "x").join(grams.select(F.col("same").alias("y"), F.col("grams").alias("b")), "y")
-    return out.unionByName(sides.select("rep_x", "rep_y", "a", "b").mapInArrow(apart, schema))
+    return out.unionByName(sides.select("x", "y", "a", "b").mapInArrow(apart, schema))
 
 
 def _same(split: list[list[bytes]]) -> np.ndarray:
@@ -416,15 +436,17 @@ def _same(split: list[list[bytes]]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b" ".join(x)) for x in split], np.uint64).view(np.int64)
 
 
-def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """id and component_id of near copies: texts whose sets of `words`-word shingles overlap by `least` or more, and chains of them.
+def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Two tables. Rows (id, raw, same), a row for each document with an id: raw is the xxhash64 of its text, same that of its
+    lower-cased words. Texts (same, rows, root, class_id): root names the text's class of near copies, class_id is the least id in
+    it, rows the number of its rows. Texts whose sets of `words`-word shingles overlap by `least` or more are near copies, and so are chains of them.
 
     Candidates come from an exact prefix filter, not from fingerprints (few changed words move half of the bits of a fingerprint
     of long shingles): in one order of all shingles, two sets of n and m that overlap so far share one of the first
-    n - ceil(least * n) + 1 and m - ceil(least * m) + 1. Every candidate is checked by the exact overlap. Shared shingles come last in
-    the order, so passages that many texts hold bring few texts together. Texts that repeat are one candidate. Rows with a null id
-    have no class."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    n - ceil(least * n) + 1 and m - ceil(least * m) + 1. Of the prefix that ends first in that order, what isn't shared is in no
+    part of the other set, so pairs that share too little of it drop out by counts alone. Every pair left is checked by the exact
+    overlap. Shared shingles come last in the order, so passages that many texts hold bring few texts together."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shared = _shared(rows, words)
     order = np.argsort(shared)
     sent = rows.sparkSession.sparkContext.broadcast((shared[order], order.astype(np.uint64)))
@@ -434,27 +456,66 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         by_hash, place = sent.value
         for block in text_blocks(batches):
             split = [x.lower().split() for x in as_bytes(block.column("text"))]
-            sets = [shingles(x, words, hashes) for x in split]
-            prefix = [_ordered(x, by_hash, place)[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1].tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(_same(split)), pa.array([len(x) for x in sets], pa.int32()), pa.array(prefix, pa.binary())], ["id", "same", "n", "prefix"])
+            same = _same(split)
+            n, prefix, last = np.zeros(len(split), np.int32), [b""] * len(split), np.zeros(len(split), np.uint64)
+            done: dict[int, int] = {}
+            for i, (x, k) in enumerate(zip(split, same.tolist(), strict=True)):
+                if (j := done.setdefault(k, i)) < i:  # a copy within the block
+                    n[i], last[i] = n[j], last[j]
+                    continue
+                grams = shingles(x, words, hashes)
+                n[i] = len(grams)
+                first = _ordered(grams, by_hash, place)[: _prefix(len(grams), least)]
+                prefix[i], last[i] = first.tobytes(), first[-1]
+            last = (last ^ np.uint64(1 << 63)).view(np.int64)  # the same order in signed numbers
+            yield pa.RecordBatch.from_arrays([block.column("id"), block.column("raw"), pa.array(same), pa.array(n), pa.array(last), pa.array(prefix, pa.binary())], ["id", "raw", "same", "n", "last", "prefix"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    marked = store(rows.mapInArrow(mark, f"id {kind}, same bigint, n int, prefix binary"))
-    # rows whose lower-cased words are equal need no comparison
-    texts = store(marked.groupBy("same").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("prefix").alias("prefix")))
-    reps = texts.select("same", "rep")
-    equal = marked.select("id", "same").join(reps, "same").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    x, y = (reps.select(F.col("same").alias(c), F.col("rep").alias("rep_" + c)) for c in "xy")
-    pairs = store(prefix_pairs(texts, least).join(x, "x").join(y, "y").where("rep_x <> rep_y"))  # texts of one id are together anyway
-    near = classes(equal.union(shingle_overlap(pairs, rows, words).where(F.col("jaccard") >= least).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))))
-    ids = marked.select("id").distinct()
-    return ids.join(near, ids["id"] == near["node"], "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("component_id"))
+    marked = store(rows.withColumn("raw", F.xxhash64("text")).mapInArrow(mark, f"id {kind}, raw bigint, same bigint, n int, last bigint, prefix binary"))
+    texts = store(marked.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.min("n").alias("n"), F.min("last").alias("last")))
+    x, y = (texts.select(F.col("same").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("rep", "n", "last")]) for c in "xy")
+    beyond = lambda n: F.ceil(F.col(n) * least - 1e-9) - 1  # what follows a prefix
+    most = F.when(F.col("last_x") <= F.col("last_y"), beyond("n_x")).otherwise(beyond("n_y")) + F.col("shared")
+    met = prefix_pairs(marked, least).join(x, "x").join(y, "y")
+    pairs = store(met.where(most >= F.ceil((F.col("n_x") + F.col("n_y")) * (least / (1 + least)) - 1e-9)).drop("last_x", "last_y", "shared"))
+    near = store(shingle_overlap(pairs, rows, words).where(F.col("jaccard") >= least).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    of = classes(near)
+    member = store(texts.join(of, texts["same"] == of["node"], "left").select("same", "rep", "rows", F.coalesce("root", "same").alias("root")))
+    top = store(member.groupBy(F.col("root").alias("top")).agg(F.min("rep").alias("class_id"), F.count("*").alias("m")))
+    classed = store(join_hot(member, top, "root", "top", "m", member.count()).select("same", "rows", "root", "class_id"))
+    drop(pairs, near, of, member, top)
+    return marked.select("id", "raw", "same"), classed
+
+
+def _prefix(n: int, least: float) -> int:
+    return n - int(np.ceil(least * n - 1e-9)) + 1
+
+
+def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """id and component_id (the least id of the class of near copies, see `text_classes`), a row for each document with an id. An id that
+    has several texts has a row for each of them."""
+    rows, texts = text_classes(docs, id_col, text_col, words, least)
+    out = join_hot(rows, texts.withColumnRenamed("same", "s"), "same", "s", "rows", rows.count())
+    return out.select(F.col("id").alias(id_col), F.col("class_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """docs with one document of each class of near copies: that with the smallest id (of rows that repeat it, the one with the
-    least text). Rows without an id stay. All columns stay."""
-    gone = copy_classes(docs, id_col, text_col, words, least).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    kept = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    one = kept.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("_row"))
-    return one.select(*[F.col("_row")[x].alias(x) for x in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each class of near copies: that with the smallest id (of several texts of that id in the class, that of the
+    least hash; of rows that repeat both, one of them). An id that has texts of several classes stays in each class whose least id it
+    is. Rows without an id stay. All columns stay."""
+    rows, texts = text_classes(docs, id_col, text_col, words, least)
+    total = rows.count()
+    of = store(join_hot(rows, texts.withColumnRenamed("same", "s"), "same", "s", "rows", total).select("id", "raw", "root", "class_id"))
+    stays = store(of.where("id = class_id").groupBy("root", "id").agg(F.min("raw").alias("raw"), F.count("*").alias("n")))
+    # ids that repeat need more than the comparison with the least id: their other rows are told apart by text, then by row
+    some = store(of.join(stays.where("n > 1"), ["root", "id"]).select("id", of["raw"], (of["raw"] == stays["raw"]).alias("first")).groupBy("id", "raw").agg(F.max("first").alias("first"), F.count("*").alias("n")))
+    gone = of.where("id <> class_id").select("id", "raw").unionByName(some.where("not first").select("id", "raw")).distinct()
+    gone = store(gone.select(F.col("id").alias("_gone_id"), F.col("raw").alias("_gone_raw")))
+    raw = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kept = docs.join(gone, (F.col(id_col) == F.col("_gone_id")) & (raw == F.col("_gone_raw")), "left_anti")
+    again = store(some.where("first and n > 1").select(F.col("id").alias("_again_id"), F.col("raw").alias("_again_raw")))
+    if not again.limit(1).count():
+        return kept
+    on = (F.col(id_col) == F.col("_again_id")) & (raw == F.col("_again_raw"))
+    one = kept.join(again, on, "left_semi").withColumn("_raw", raw).dropDuplicates([id_col, "_raw"]).drop("_raw")
+    return kept.join(again, on, "left_anti").unionByName(one)
