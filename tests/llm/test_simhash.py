@@ -99,11 +99,11 @@ def test_keep_one(spark):
     assert sorted((r[0] is None, r[0] or 0) for r in kept) == sorted([(True, 0), (False, 200)] + [(False, 10 * i + 1) for i in range(6)] + [(False, 100 + i) for i in range(6)])
 
 
-@pytest.mark.parametrize("most", [1 << 22, 3])
+@pytest.mark.parametrize("most", [1 << 22, 1000, 3])
 def test_copy_classes_like_brute_force(spark, monkeypatch, most):
     """Texts with few words, shared passages, and copies with changed words around an overlap of 0.8 to 0.9."""
-    overlap = simhash.shingle_overlap
-    monkeypatch.setattr(simhash, "shingle_overlap", lambda *a: overlap(*a, most=most))
+    links = simhash.overlap_links
+    monkeypatch.setattr(simhash, "overlap_links", lambda *a: links(*a, most=most))
     rng = random.Random(12)
     vocabulary = [f"w{i}" for i in range(60)]
     notice = " ".join(rng.choices(vocabulary, k=25))

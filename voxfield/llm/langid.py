@@ -205,7 +205,7 @@ def identify_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-        for block in text_blocks(batches, most=8 << 20):
+        for block in text_blocks(batches, most=2 << 20):
             got = identify(model, [x or "" for x in block.column("text").to_pylist()])
             spans = pa.array([[{"start": a, "end": b, "lang": x} for a, b, x in s] for _, _, s in got], kind)
             yield pa.RecordBatch.from_arrays([block.column("id"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), spans], ["id", "lang_pred", "score", "spans"])
@@ -218,7 +218,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5, text_col:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, text_col, most=8 << 20):
+        for block in text_blocks(batches, text_col, most=2 << 20):
             got = identify(model, [x or "" for x in block.column(text_col).to_pylist()])
             yield block.filter(pa.array([x[0] != "und" and x[1] >= least for x in got]))
 

@@ -23,12 +23,11 @@ id that is not null (null if there is none). Repeated rows are repeated. Other c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +36,7 @@ from voxfield.llm.common import _narrow, _wide, as_bytes, by_key, drop, join_hot
 WORDS = 3
 BUDGET = 2
 HOT = 20_000
-MOST = 4 << 20  # shingles of a component that are compared in one task
+MOST = 2 << 20  # shingles of a component that are compared in one task
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -285,15 +284,67 @@ def _ordered(grams: np.ndarray, by_hash: np.ndarray, place: np.ndarray) -> np.nd
     return key
 
 
-def candidate_pairs(token: np.ndarray, size: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places that share a token and whose sizes allow an overlap of `least`. Rows come sorted by token and size."""
-    k = np.arange(len(token))
-    for d in range(1, len(token)):
+def grow_classes(token: np.ndarray, node: np.ndarray, size: np.ndarray, pos: np.ndarray, root: np.ndarray, least: float, judge: Callable[[int, int], bool] | None = None) -> np.ndarray:
+    """Joins the classes (root[node], the least node) of pairs that may overlap by `least`, and that `judge` accepts: those that share a
+    token, whose sizes allow it, and whose places do: a pair that reaches it passes under the first token it shares, since nothing
+    before that is common. Rows come sorted by token and size. Neighbours come first, then rows ever further apart; tokens whose rows
+    have become one class are left, so a large group of copies costs about its rows. A pair is judged once."""
+    new = np.concatenate([[True], token[1:] != token[:-1]])
+    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    k, d, judged = np.arange(len(token)), 0, set()
+    while True:
+        d += 1
         k = k[k + d < len(token)]
         k = k[(token[k] == token[k + d]) & (size[k] >= least * size[k + d] - 1e-9)]  # sizes grow with d: what fails stays out
         if not len(k):
-            return
-        yield k, k + d
+            return root
+        a, b = k, k + d
+        rest = np.minimum(size[a] - pos[a], size[b] - pos[b])
+        ok = (rest >= least / (1 + least) * (size[a] + size[b]) - 1e-9) & (root[node[a]] != root[node[b]])
+        if ok.any():
+            a, b = node[a[ok]], node[b[ok]]
+            if judge is None:
+                root = _merge(root, a, b)
+            else:
+                for i, j in sorted(set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) - judged):
+                    judged.add((i, j))
+                    if root[i] != root[j] and judge(i, j):
+                        root = _merge(root, np.array([i]), np.array([j]))
+        if d & (d - 1) == 0:
+            of = root[node]
+            one = np.minimum.reduceat(of, starts) == np.maximum.reduceat(of, starts)
+            k = k[~one[group[k]]]
+
+
+def overlap_classes(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """The least place of the class of each of these sets, where an overlap of `least` or more links two. Candidates come from a prefix
+    filter in the order of how many of the sets have a shingle."""
+    n = np.array([len(x) for x in sets])
+    root = np.arange(len(sets))
+
+    def alike(i: int, j: int) -> bool:
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return both >= least * (n[i] + n[j] - both) - 1e-9
+
+    if len(sets) == 2:
+        return np.array([0, 0 if alike(0, 1) else 1])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    place, rare = rank[place], int((count == 1).sum())  # ranks below `rare` are in one set only
+    tokens, nodes, where = [], [], []
+    for i, x in enumerate(np.split(place, np.cumsum(n)[:-1])):
+        first = np.sort(x)[: _prefix(len(x), least)]
+        some = np.flatnonzero(first >= rare)
+        tokens.append(first[some])
+        nodes.append(np.full(len(some), i))
+        where.append(some)
+    token, node, pos = (np.concatenate(x) for x in (tokens, nodes, where))
+    if not len(token):
+        return root
+    order = np.lexsort((node, n[node], token))
+    token, node, pos = token[order], node[order], pos[order]
+    return grow_classes(token, node, n[node], pos, root, least, alike)
 
 
 def _pair_hash(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -302,58 +353,92 @@ def _pair_hash(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def prefix_pairs(marked: DataFrame, least: float) -> DataFrame:
-    """marked (same, n, prefix) -> (x, y, shared), x < y: pairs of texts that may overlap by `least`, none that does is left out,
-    and how many prefix shingles they share. A pair that reaches it passes the test of places under the first shingle it shares,
-    since nothing before that is common; the names of a pair travel from there only, elsewhere its hash and a count. The rows of
-    one shingle are in memory together."""
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(same, n, prefix) -> a row for each shingle of a prefix."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            block = batch.slice(at, 2000)
+            sets = [np.frombuffer(x, np.int64) for x in block.column("prefix").to_pylist()]
+            long = np.array([len(x) for x in sets], np.int64)
+            pos = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *(pa.array(np.repeat(block.column(c).to_numpy(), long)) for c in ("same", "n")), pa.array(pos.astype(np.int32))], ["token", "same", "n", "pos"])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                block = batch.slice(at, 2000)
-                sets = [np.frombuffer(x, np.int64) for x in block.column("prefix").to_pylist()]
-                long = np.array([len(x) for x in sets], np.int64)
-                pos = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *(pa.array(np.repeat(block.column(c).to_numpy(), long)) for c in ("same", "n")), pa.array(pos.astype(np.int32))], ["token", "same", "n", "pos"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 500_000:
-                t = pa.Table.from_batches(held).combine_chunks()
-                token = t["token"].to_numpy()
-                end = int(np.searchsorted(token, token[-1]))  # the last token may go on
-                if end:
-                    yield from solve(t.slice(0, end))
-                held, rows = t.slice(end).to_batches(), len(t) - end
-        if held:
-            yield from solve(pa.Table.from_batches(held))
+def _tokens(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """(token, same, n, pos) of rows sorted by token, n and same, in pieces of about `most` rows that hold whole tokens; without repeats
+    of a text (copies in other blocks of documents) and without tokens of one text."""
 
-    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def piece(t: pa.Table) -> tuple[np.ndarray, ...]:
         token, node, size, pos = (t[c].to_numpy() for c in ("token", "same", "n", "pos"))
         new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # copies in other blocks of documents
+        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        token, node, size, pos = (x[new] for x in (token, node, size, pos))
         several = np.zeros(len(token), bool)
         several[1:] = token[1:] == token[:-1]
         several[:-1] |= several[1:]
-        token, node, size, pos = (x[new & several] for x in (token, node, size, pos))
-        seen: list[tuple[np.ndarray, ...]] = []
-        count = 0
-        for a, b in candidate_pairs(token, size, least):
-            rest = np.minimum(size[a] - pos[a], size[b] - pos[b])
-            seen.append((np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), rest >= least / (1 + least) * (size[a] + size[b]) - 1e-9))
-            count += len(a)
-            if count >= 1 << 20:
+        return tuple(x[several] for x in (token, node, size, pos))
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= most:
+            t = pa.Table.from_batches(held).combine_chunks()
+            token = t["token"].to_numpy()
+            end = int(np.searchsorted(token, token[-1]))  # the last token may go on
+            if end:
+                yield piece(t.slice(0, end))
+            held, rows = t.slice(end).to_batches(), len(t) - end
+    if held:
+        yield piece(pa.Table.from_batches(held))
+
+
+def _by_token(marked: DataFrame) -> DataFrame:
+    rows = marked.select("same", "n", "prefix").where(F.length("prefix") > 0).mapInArrow(_spread, "token bigint, same bigint, n int, pos int")
+    return rows.repartition(shuffle_width(marked.sparkSession), "token").sortWithinPartitions("token", "n", "same")
+
+
+def prefix_forest(marked: DataFrame, least: float) -> DataFrame:
+    """marked (same, n, prefix) -> links (a, b) whose classes are those of all pairs of texts that may overlap by `least` by the places of a
+    shared prefix shingle; a forest for each piece of the shingles, so no group of texts is written out as pairs."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, same, size, pos in _tokens(batches):
+            if len(token):
+                names, node = np.unique(same, return_inverse=True)
+                root = grow_classes(token, node, size, pos, np.arange(len(names)), least)
+                child = np.flatnonzero(root != np.arange(len(names)))
+                yield pa.RecordBatch.from_arrays([pa.array(names[root[child]]), pa.array(names[child])], ["a", "b"])
+
+    return _by_token(marked).mapInArrow(meet, "a bigint, b bigint")
+
+
+def prefix_pairs(marked: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """marked (same, n, prefix) and texts (same, n, last) -> pairs (x, y), x < y, of texts that may overlap by `least`, none that does is left
+    out. Of the prefix that ends first in the order of the shingles, what isn't shared is in no part of the other set, so counts of the shared
+    ones tell most pairs apart. The names of a pair travel from a shingle whose places allow it, elsewhere its hash and a count."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, node, size, pos in _tokens(batches):
+            seen: list[tuple[np.ndarray, ...]] = []
+            k, count = np.arange(len(token)), 0
+            for d in range(1, len(token)):
+                k = k[k + d < len(token)]
+                k = k[(token[k] == token[k + d]) & (size[k] >= least * size[k + d] - 1e-9)]
+                if not len(k):
+                    break
+                a, b = k, k + d
+                rest = np.minimum(size[a] - pos[a], size[b] - pos[b])
+                seen.append((np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), rest >= least / (1 + least) * (size[a] + size[b]) - 1e-9))
+                count += len(a)
+                if count >= 1 << 20:
+                    yield counted(seen)
+                    seen, count = [], 0
+            if seen:
                 yield counted(seen)
-                seen, count = [], 0
-        if seen:
-            yield counted(seen)
 
     def counted(seen: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         x, y, ok = (np.concatenate(c) for c in zip(*seen, strict=True))
@@ -365,22 +450,35 @@ def prefix_pairs(marked: DataFrame, least: float) -> DataFrame:
         n = np.diff(np.append(first, len(h))).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(n), pa.array(x[at], mask=~named), pa.array(y[at], mask=~named)], ["h", "c", "x", "y"])
 
-    width = shuffle_width(marked.sparkSession)
-    rows = marked.select("same", "n", "prefix").where(F.length("prefix") > 0).mapInArrow(spread, "token bigint, same bigint, n int, pos int")
-    met = rows.repartition(width, "token").sortWithinPartitions("token", "n", "same").mapInArrow(meet, "h bigint, c int, x bigint, y bigint")
-    return met.groupBy("h").agg(F.sum("c").alias("shared"), F.max("x").alias("x"), F.max("y").alias("y")).where("x is not null").select("x", "y", "shared")
+    met = _by_token(marked).mapInArrow(meet, "h bigint, c int, x bigint, y bigint")
+    met = met.groupBy("h").agg(F.sum("c").alias("shared"), F.max("x").alias("x"), F.max("y").alias("y")).where("x is not null")
+    x, y = (texts.select(F.col("same").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("n", "last")]) for c in "xy")
+    beyond = lambda n: F.ceil(F.col(n) * least - 1e-9) - 1  # what follows a prefix
+    most = F.when(F.col("last_x") <= F.col("last_y"), beyond("n_x")).otherwise(beyond("n_y")) + F.col("shared")
+    need = F.ceil((F.col("n_x") + F.col("n_y")) * (least / (1 + least)) - 1e-9)
+    return met.join(x, "x").join(y, "y").where(most >= need).select("x", "y")
+
+
+def _weighed(of: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """(same, rep, root, large): members of classes of (node, root), and whether the class has more than `most` shingles."""
+    sized = of.join(texts, of["node"] == texts["same"]).select("same", "rep", "n", "root")
+    total = sized.groupBy("root").agg(F.sum("n").alias("total"))
+    return store(sized.join(total, "root").select("same", "rep", "root", (F.col("total") > most).alias("large")))
+
+
+def overlap_links(marked: DataFrame, texts: DataFrame, docs: DataFrame, words: int, least: float, most: int = MOST) -> DataFrame:
+    """Links (a, b) of texts whose classes are those of all pairs with an overlap of `least` or more; marked (same, n, prefix), texts (same, rep,
+    n, last), docs (id, text).
 
+    Classes of candidates from `prefix_forest` meet in one task each: the sets of shingles travel once and pairs are judged there. A
+    class of more than `most` shingles, as long texts make that share a passage, is parted first by `prefix_pairs`. What is larger even
+    then is judged pair by pair, each with its two sets, so no task holds more. Shingles are compared by 40 bits of their hash."""
+    first = _weighed(classes(prefix_forest(marked, least)), texts, most)
 
-def shingle_overlap(pairs: DataFrame, docs: DataFrame, words: int, most: int = MOST) -> DataFrame:
-    """pairs (x, rep_x, n_x, y, rep_y, n_y) of texts, by the hash of their words, an id that has them and the size of their sets, ->
-    (x, y, jaccard) of their sets of word shingles. Only texts of docs (id, text) that some pair names are cut into shingles. The sets
-    of a connected component of pairs travel once, together; in components of more than `most` shingles each pair joins its two sets
-    instead, so no task holds more. Shingles are compared by 40 bits of their hash."""
-    of = classes(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    names = pairs.select(F.col("x").alias("same"), F.col("rep_x").alias("id"), F.col("n_x").alias("n")).union(pairs.select("y", "rep_y", "n_y")).distinct()
-    sized = of.join(names, of["node"] == names["same"]).select("same", "id", "n", "root")
-    weight = sized.groupBy("root").agg(F.sum("n").alias("total"))
-    sized = store(sized.join(weight, "root").select("same", "id", "root", (F.col("total") > most).alias("large")))
+    def sets_of(some: DataFrame) -> DataFrame:
+        """(root, same, grams): only texts of `some` (same, rep, root) are cut."""
+        named = docs.join(some.select(F.col("rep").alias("id"), "same", "root"), "id")
+        return named.select("root", "same", "text").mapInArrow(cut, "root bigint, same bigint, grams binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -392,41 +490,39 @@ def shingle_overlap(pairs: DataFrame, docs: DataFrame, words: int, most: int = M
                 block = block.take(pa.array(right))
                 yield pa.RecordBatch.from_arrays([block.column("root"), block.column("same"), pa.array(sets, pa.binary())], ["root", "same", "grams"])
 
-    schema = "x bigint, y bigint, jaccard double"
-
-    def like(a: np.ndarray, b: np.ndarray) -> float:
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return both / (len(a) + len(b) - both)
-
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t in by_key(batches, "g"):
-            named = pc.is_valid(t["grams"])
-            texts, some = t.filter(named), t.filter(pc.invert(named))
-            sets = {k: _wide(v.as_py(), 5) for k, v in zip(texts["x"].to_pylist(), texts["grams"], strict=True)}
-            found = [like(sets[a], sets[b]) for a, b in zip(some["x"].to_pylist(), some["y"].to_pylist(), strict=True)]
-            if found:
-                yield from pa.table([some["x"], some["y"], pa.array(found, pa.float64())], ["x", "y", "jaccard"]).combine_chunks().to_batches()
+        for _, t in by_key(batches, "root"):
+            sets = {k: v for k, v in zip(t["same"].to_pylist(), t["grams"], strict=True)}  # equal rows are one text
+            names = sorted(sets)
+            root = overlap_classes([_wide(sets[k].as_py(), 5) for k in names], least) if len(names) > 1 else np.zeros(1, np.int64)
+            child = np.flatnonzero(root != np.arange(len(names))).tolist()
+            if child:
+                yield pa.RecordBatch.from_arrays([pa.array([names[root[i]] for i in child], pa.int64()), pa.array([names[i] for i in child], pa.int64())], ["a", "b"])
+
+    def solved(some: DataFrame) -> DataFrame:
+        dealt = sets_of(some).repartition(shuffle_width(docs.sparkSession), "root").sortWithinPartitions("root")
+        return dealt.mapInArrow(together, "a bigint, b bigint")
+
+    out = solved(first.where("not large"))
+    if not first.where("large").limit(1).count():
+        return out
+    some = marked.join(first.where("large").select("same"), "same", "left_semi")
+    pairs = store(prefix_pairs(some, texts, least))
+    second = _weighed(classes(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))), texts, most)
+    out = out.unionByName(solved(second.where("not large")))
+    if not second.where("large").limit(1).count():
+        return out
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [like(_wide(a.as_py(), 5), _wide(b.as_py(), 5)) for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(found, pa.float64())], ["x", "y", "jaccard"])
-
-    def parts(large: bool) -> tuple[DataFrame, DataFrame]:
-        some = sized.where("large" if large else "not large").select("id", "root", "same")
-        sets = docs.join(some, "id").select("root", "same", "text").mapInArrow(cut, "root bigint, same bigint, grams binary")
-        return sets, pairs.select("x", "y").join(some.select(F.col("same").alias("x"), "root"), "x")
-
-    sets, some = parts(False)
-    rows = some.select(F.xxhash64("root").alias("g"), "x", "y", F.lit(None).cast("binary").alias("grams"))
-    rows = rows.unionByName(sets.select(F.xxhash64("root").alias("g"), F.col("same").alias("x"), F.lit(0).cast("long").alias("y"), "grams"))
-    out = rows.repartition(shuffle_width(docs.sparkSession), "g").sortWithinPartitions("g").mapInArrow(together, schema)
-    if not sized.where("large").limit(1).count():
-        return out
-    sets, some = parts(True)
-    grams = store(sets.dropDuplicates(["same"]).select("same", "grams"))
-    sides = some.join(grams.select(F.col("same").alias("x"), F.col("grams").alias("a")), "x").join(grams.select(F.col("same").alias("y"), F.col("grams").alias("b")), "y")
-    return out.unionByName(sides.select("x", "y", "a", "b").mapInArrow(apart, schema))
+            ok = [len(set(overlap_classes([_wide(a.as_py(), 5), _wide(b.as_py(), 5)], least).tolist())) == 1 for a, b in zip(batch.column("g"), batch.column("h"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    large = second.where("large")
+    grams = store(sets_of(large).dropDuplicates(["same"]).select("same", "grams"))
+    sides = pairs.join(large.select(F.col("same").alias("x")), "x", "left_semi").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    sides = sides.join(grams.select(F.col("same").alias("a"), F.col("grams").alias("g")), "a").join(grams.select(F.col("same").alias("b"), F.col("grams").alias("h")), "b")
+    return out.unionByName(sides.select("a", "b", "g", "h").mapInArrow(apart, "a bigint, b bigint"))
 
 
 def _same(split: list[list[bytes]]) -> np.ndarray:
@@ -443,8 +539,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Candidates come from an exact prefix filter, not from fingerprints (few changed words move half of the bits of a fingerprint
     of long shingles): in one order of all shingles, two sets of n and m that overlap so far share one of the first
-    n - ceil(least * n) + 1 and m - ceil(least * m) + 1. Of the prefix that ends first in that order, what isn't shared is in no
-    part of the other set, so pairs that share too little of it drop out by counts alone. Every pair left is checked by the exact
+    n - ceil(least * n) + 1 and m - ceil(least * m) + 1. Every candidate that isn't of its partner's class yet is checked by the exact
     overlap. Shared shingles come last in the order, so passages that many texts hold bring few texts together."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shared = _shared(rows, words)
@@ -473,17 +568,12 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = rows.schema["id"].dataType.simpleString()
     marked = store(rows.withColumn("raw", F.xxhash64("text")).mapInArrow(mark, f"id {kind}, raw bigint, same bigint, n int, last bigint, prefix binary"))
     texts = store(marked.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.min("n").alias("n"), F.min("last").alias("last")))
-    x, y = (texts.select(F.col("same").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("rep", "n", "last")]) for c in "xy")
-    beyond = lambda n: F.ceil(F.col(n) * least - 1e-9) - 1  # what follows a prefix
-    most = F.when(F.col("last_x") <= F.col("last_y"), beyond("n_x")).otherwise(beyond("n_y")) + F.col("shared")
-    met = prefix_pairs(marked, least).join(x, "x").join(y, "y")
-    pairs = store(met.where(most >= F.ceil((F.col("n_x") + F.col("n_y")) * (least / (1 + least)) - 1e-9)).drop("last_x", "last_y", "shared"))
-    near = store(shingle_overlap(pairs, rows, words).where(F.col("jaccard") >= least).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    near = store(overlap_links(marked, texts, rows, words, least))
     of = classes(near)
     member = store(texts.join(of, texts["same"] == of["node"], "left").select("same", "rep", "rows", F.coalesce("root", "same").alias("root")))
     top = store(member.groupBy(F.col("root").alias("top")).agg(F.min("rep").alias("class_id"), F.count("*").alias("m")))
     classed = store(join_hot(member, top, "root", "top", "m", member.count()).select("same", "rows", "root", "class_id"))
-    drop(pairs, near, of, member, top)
+    drop(near, member, top)
     return marked.select("id", "raw", "same"), classed
 
 
