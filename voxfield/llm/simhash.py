@@ -14,8 +14,8 @@ joins the same classes. Distinct fingerprints within the budget of one another n
 A key that holds more than HOT distinct fingerprints is cut again: under it the other bits are cut and chosen from in the same way,
 so no group depends on a single task, and no pair is lost.
 
-Classes: labels (smallest id) spread over links with pointer jumping until nothing changes; tables of each round are written to the
-shared folder. Nothing is collected but the number of changes.
+Classes: every node chooses the first one around it, links are drawn between what was chosen, until none is left; tables of each round
+are written to the shared folder. Nothing is collected but whether links are left.
 
 Nulls: a null text is an empty one: fingerprint 0, linked like any other. A null id keeps its fingerprint; component_id is the smallest
 id that is not null (null if there is none). Repeated rows are repeated. Other columns are not carried.
@@ -28,6 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,24 +198,33 @@ def _merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def classes(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of edges (a, b): root is the least node of the class. Each round every node takes the least
-    label around it and then the label of that label; the rounds grow with the logarithm of a class's width. The labels' own
-    labels are looked up by `join_hot`, since a large class has one label in most rows."""
-    both = store(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).distinct())
-    held = labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    nodes = labels.count()
-    while True:
-        around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        hop = store(labels.join(around, labels["node"] == around["a"], "left").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old")))
-        drop(held)
-        asked = hop.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("n"))
-        up = store(asked.join(hop.select(F.col("node").alias("r"), F.col("root").alias("up")), "r"))
-        held = store(join_hot(hop, up, "root", "r", "n", nodes).select("node", F.least("root", "up").alias("root"), "old"))
-        drop(hop, up)
-        labels = held.select("node", "root")
-        if not held.where("root <> old").limit(1).count():
-            drop(both)
-            return labels
+    """(node, root) for the nodes of links (a, b); root names the class: its node of least xxhash64. Each round every node takes the node
+    that comes first around it, and that node's own choice; links are then drawn between what was chosen, which are far fewer, and the next
+    round sees only those. At the end the choices are followed back. The order by hash makes chains of ascending ids as quick as others.
+    Choices are looked up by `join_hot`, since a large class makes one choice in many rows."""
+    first = lambda x: F.xxhash64(x)
+    open_ = store(edges.where("a <> b").select("a", "b"))
+    chosen: list[DataFrame] = []
+    while open_.limit(1).count():
+        both = open_.unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", first("b")).alias("m"))
+        near = store(near.select("node", F.when(first("m") < first("node"), F.col("m")).otherwise(F.col("node")).alias("root")))
+        up = near.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("n")).join(near.select(F.col("node").alias("r"), F.col("root").alias("up")), "r")
+        labels = store(join_hot(near, store(up), "root", "r", "n", near.count()).select("node", F.col("up").alias("root")))
+        chosen.append(labels)
+        a, b = (labels.select(F.col("node").alias(c), F.col("root").alias("r" + c)) for c in "ab")
+        left = open_.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        left = store(left.distinct())
+        drop(open_, near)
+        open_ = left
+    if not chosen:
+        return open_.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = chosen.pop()
+    while chosen:
+        labels = chosen.pop()
+        asked = labels.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("n")).join(out.select(F.col("node").alias("r"), F.col("root").alias("top")), "r")
+        out = store(join_hot(labels, store(asked), "root", "r", "n", labels.count()).select("node", F.coalesce("top", "root").alias("root")))
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, words: int = WORDS) -> DataFrame:
@@ -466,61 +476,63 @@ def _weighed(of: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     return store(sized.join(total, "root").select("same", "rep", "root", (F.col("total") > most).alias("large")))
 
 
-def overlap_links(marked: DataFrame, texts: DataFrame, docs: DataFrame, words: int, least: float, most: int = MOST) -> DataFrame:
+def overlap_links(marked: DataFrame, texts: DataFrame, docs: DataFrame, words: int, least: float, order: Broadcast, most: int = MOST) -> DataFrame:
     """Links (a, b) of texts whose classes are those of all pairs with an overlap of `least` or more; marked (same, n, prefix), texts (same, rep,
-    n, last), docs (id, text).
+    n, last), docs (id, text), order: that of the prefixes.
 
     Classes of candidates from `prefix_forest` meet in one task each: the sets of shingles travel once and pairs are judged there. A
     class of more than `most` shingles, as long texts make that share a passage, is parted first by `prefix_pairs`. What is larger even
     then is judged pair by pair, each with its two sets, so no task holds more. Shingles are compared by 40 bits of their hash."""
     first = _weighed(classes(prefix_forest(marked, least)), texts, most)
 
-    def sets_of(some: DataFrame) -> DataFrame:
-        """(root, same, grams): only texts of `some` (same, rep, root) are cut."""
-        named = docs.join(some.select(F.col("rep").alias("id"), "same", "root"), "id")
-        return named.select("root", "same", "text").mapInArrow(cut, "root bigint, same bigint, grams binary")
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
+        by_hash, place = order.value
         for block in text_blocks(batches, most=1 << 20):
             split = [x.lower().split() for x in as_bytes(block.column("text"))]
             right = np.flatnonzero(_same(split) == block.column("same").to_numpy()).tolist()  # an id may have other texts too
             if right:
-                sets = [_narrow(np.unique(shingles(split[i], words, hashes) >> np.uint64(24)), 5) for i in right]
                 block = block.take(pa.array(right))
-                yield pa.RecordBatch.from_arrays([block.column("root"), block.column("same"), pa.array(sets, pa.binary())], ["root", "same", "grams"])
+                sets = [shingles(split[i], words, hashes) for i in right]
+                prefix = [_ordered(x, by_hash, place)[: _prefix(len(x), least)].tobytes() if wide else b"" for x, wide in zip(sets, block.column("large").to_pylist(), strict=True)]
+                grams = [_narrow(np.unique(x >> np.uint64(24)), 5) for x in sets]
+                yield pa.RecordBatch.from_arrays([block.column("root"), block.column("same"), block.column("large"), pa.array([len(x) for x in sets], pa.int32()), pa.array(prefix, pa.binary()), pa.array(grams, pa.binary())], ["root", "same", "large", "n", "prefix", "grams"])
+
+    # by merge at every size: the texts that take part grow with the input, and so would their broadcast ids
+    named = docs.join(first.select(F.col("rep").alias("id"), "same", "root", "large").hint("merge"), "id")
+    sets = store(named.select("root", "same", "large", "text").mapInArrow(cut, "root bigint, same bigint, large boolean, n int, prefix binary, grams binary"))
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in by_key(batches, "root"):
-            sets = {k: v for k, v in zip(t["same"].to_pylist(), t["grams"], strict=True)}  # equal rows are one text
-            names = sorted(sets)
-            root = overlap_classes([_wide(sets[k].as_py(), 5) for k in names], least) if len(names) > 1 else np.zeros(1, np.int64)
+            found = {k: v for k, v in zip(t["same"].to_pylist(), t["grams"], strict=True)}  # equal rows are one text
+            names = sorted(found)
+            root = overlap_classes([_wide(found[k].as_py(), 5) for k in names], least) if len(names) > 1 else np.zeros(1, np.int64)
             child = np.flatnonzero(root != np.arange(len(names))).tolist()
             if child:
                 yield pa.RecordBatch.from_arrays([pa.array([names[root[i]] for i in child], pa.int64()), pa.array([names[i] for i in child], pa.int64())], ["a", "b"])
 
     def solved(some: DataFrame) -> DataFrame:
-        dealt = sets_of(some).repartition(shuffle_width(docs.sparkSession), "root").sortWithinPartitions("root")
+        dealt = some.repartition(shuffle_width(docs.sparkSession), "root").sortWithinPartitions("root")
         return dealt.mapInArrow(together, "a bigint, b bigint")
 
-    out = solved(first.where("not large"))
-    if not first.where("large").limit(1).count():
+    out = solved(sets.where("not large").select("root", "same", "grams"))
+    large = sets.where("large")
+    if not large.limit(1).count():
         return out
-    some = marked.join(first.where("large").select("same"), "same", "left_semi")
-    pairs = store(prefix_pairs(some, texts, least))
-    second = _weighed(classes(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))), texts, most)
-    out = out.unionByName(solved(second.where("not large")))
-    if not second.where("large").limit(1).count():
+    pairs = store(prefix_pairs(large, texts, least))
+    second = _weighed(classes(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))), texts, most).withColumnRenamed("large", "still")
+    parted = large.select("same", "grams").join(second.select("same", "root", "still"), "same")
+    out = out.unionByName(solved(parted.where("not still").select("root", "same", "grams")))
+    if not second.where("still").limit(1).count():
         return out
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [len(set(overlap_classes([_wide(a.as_py(), 5), _wide(b.as_py(), 5)], least).tolist())) == 1 for a, b in zip(batch.column("g"), batch.column("h"), strict=True)]
+            ok = [overlap_classes([_wide(a.as_py(), 5), _wide(b.as_py(), 5)], least)[1] == 0 for a, b in zip(batch.column("g"), batch.column("h"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    large = second.where("large")
-    grams = store(sets_of(large).dropDuplicates(["same"]).select("same", "grams"))
-    sides = pairs.join(large.select(F.col("same").alias("x")), "x", "left_semi").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    grams = store(parted.where("still").dropDuplicates(["same"]).select("same", "grams"))
+    sides = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
     sides = sides.join(grams.select(F.col("same").alias("a"), F.col("grams").alias("g")), "a").join(grams.select(F.col("same").alias("b"), F.col("grams").alias("h")), "b")
     return out.unionByName(sides.select("a", "b", "g", "h").mapInArrow(apart, "a bigint, b bigint"))
 
@@ -568,7 +580,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = rows.schema["id"].dataType.simpleString()
     marked = store(rows.withColumn("raw", F.xxhash64("text")).mapInArrow(mark, f"id {kind}, raw bigint, same bigint, n int, last bigint, prefix binary"))
     texts = store(marked.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.min("n").alias("n"), F.min("last").alias("last")))
-    near = store(overlap_links(marked, texts, rows, words, least))
+    near = store(overlap_links(marked, texts, rows, words, least, sent))
     of = classes(near)
     member = store(texts.join(of, texts["same"] == of["node"], "left").select("same", "rep", "rows", F.coalesce("root", "same").alias("root")))
     top = store(member.groupBy(F.col("root").alias("top")).agg(F.min("rep").alias("class_id"), F.count("*").alias("m")))
