@@ -92,6 +92,33 @@ def test_operator(spark):
         assert got[i]["n_bytes"] == len((x or "").encode()) and bytes(got[i]["payload"]).rstrip(b"\0") == (x or "").encode()
     assert got[2]["media"] == got[3]["media"] and got[0]["media"] == got[1]["media"]
     assert media.store_as_media(df.limit(0)).count() == 0
-    files = spark.createDataFrame([(1, got[5]["media"]), (2, None), (3, bytearray(b"junk"))], "id long, media binary")
+    files = spark.createDataFrame([(1, got[5]["media"]), (2, None), (3, bytearray(b"junk")), (4, bytearray(damaged(media.pack(b"abc"))))], "id long, media binary")
     rows = media.media_clips(files, "id", "media").collect()
-    assert {r["id"] for r in rows if r["error"]} == {2, 3} and sum(r["id"] == 1 for r in rows) == len(got[5]["clips"])
+    assert {r["id"] for r in rows if r["error"]} == {2, 3, 4} and sum(r["id"] == 1 for r in rows) == len(got[5]["clips"])
+
+
+def damaged(avi):
+    """Sampling factors of 0, which nothing may divide by."""
+    at = avi.index(b"\xff\xc0")
+    return avi[: at + 11] + b"\0" + avi[at + 12 :]
+
+
+def test_damaged_frames_end_early():
+    frame = media.encode_frames(np.zeros((1, 64), np.uint8))[0]
+    at = frame.index(b"\xff\xc0")
+    huge = frame[: at + 5] + b"\xff\xff\xff\xff" + frame[at + 9 :]
+    with pytest.raises(ValueError):
+        media._general(b"\x12\x34", 65535, 65535, [(1, 1, 1, 0)], {1: 0}, {0: np.ones(64)}, {}, 0)
+    with pytest.raises((ValueError, IndexError)):
+        media.decode_frame(huge[:200])
+
+
+def test_standard_tables_stand_in():
+    """A frame without tables reads like one that brings the typical ones."""
+    tables = media._standard()
+    assert {k: len(x) for k, x in tables.items()} == {0x00: 12, 0x01: 12, 0x10: 162, 0x11: 162}
+    assert all(sum(2.0**-n for n, _ in x) < 1 for x in tables.values())
+    # luma DC category 3 (code 100), value 5 (101); end of block (1010); then category 0 (00) and end of block
+    raw = int("100" + "101" + "1010" + "00" + "1010" + "1" * 2, 2).to_bytes(2, "big")
+    out = media._general(raw, 8, 16, [(1, 1, 1, 0)], {1: 0}, {0: np.full(64, 8.0)}, {}, 0)
+    assert out.shape == (8, 16) and set(out.reshape(-1).tolist()) == {133}

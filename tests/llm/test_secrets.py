@@ -73,3 +73,14 @@ def test_random_keys_are_not_paths():
             assert sum(not secrets.find_secrets(x) for x in keys) <= most * len(keys)
     for path in ("src/main/python/Module/test_file2", "user-guide_2024-01-15/CHAPTER3/part", "/a/b2/usr/local/share/doc/"):
         assert secrets.find_secrets(path) == []
+
+
+def test_entropy_spans_among_many_others():
+    """A span is left out only if one of the patterns' spans holds it whole."""
+    from voxfield.llm.secrets import find_secrets
+
+    text = "token=k9Xw3Qz7Lm2Pv8Rt5Yb1Ns4Hd6 " + "deadbeefdeadbeefdeadbeefdeadbeef12 k9Xw3Qz7Lm2Pv8Rt5Yb1Ns4Hd6 " * 3000
+    spans = find_secrets(text)
+    base = [x for x in spans if x[0] != "entropy"]
+    assert sum(x[0] == "hex" for x in spans) == 3000 and sum(x[0] == "entropy" for x in spans) == 3000
+    assert not any(a <= s and e <= b for k, s, e in spans[:50] if k == "entropy" for _, a, b in base[:50])

@@ -40,3 +40,23 @@ def test_edges(spark):
     check(spark, rows)
     check(spark, [(0, [1.0])])
     assert topk.top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 5 == 0).count() == 0
+
+
+def test_beyond_doubles(spark):
+    """Components that the scale takes beyond a double count as the largest one."""
+    top = 1.7976931348623157e308
+    df = spark.createDataFrame([(0, [1e308, 0.0], "c", 1), (1, [0.0, 2.0], "c", 1), (2, [1e308, 1.0], "c", 1), (5, [0.25, 0.25], "c", 1)], SCHEMA)
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(df, F.col("vec_id") % 5 == 0).collect()}
+    assert got[0, 1] == 0 and got[0, 2] == (1 << 63) - 1 and got[5, 1] == 64 * 512 and got[5, 2] == min((1 << 63) - 1, int(top))
+
+
+def test_wide_numbers_are_exact():
+    import numpy as np
+
+    rng = random.Random(4)
+    q, x = ([[float(rng.randint(-(1 << 40), 1 << 40)) for _ in range(3)] for _ in range(n)] for n in (3, 20))
+    got = topk.tile_top(np.array([100, 101, 4]), np.array(q), np.arange(20), np.array(x), 4)
+    clamp = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    for i, (a, row) in enumerate(zip(q, got, strict=True)):
+        want = sorted((-clamp(sum(int(u) * int(v) for u, v in zip(a, b, strict=True))), j) for j, b in enumerate(x) if i < 2 or j != 4)[:4]
+        assert row == [(-s, j) for s, j in want]

@@ -3,7 +3,7 @@
 Texts are cut by the tokenizer's pattern; the distinct pieces of a block that are not yet known go into matrices of
 token ids, one row per piece, one matrix per length bucket. In each round every row merges its leftmost pair of least
 rank: pair ranks come from a hash table in numpy, and the row is compacted by one column. Rows leave the matrix when no
-pair can merge. Pieces beyond LONG bytes, of which a matrix would need as many rounds as bytes, are merged by the same
+pair can merge. Pieces beyond LONG bytes, of which a matrix would need as many rounds as bytes, each over all of them, are merged by the same
 rule with a heap, so that one long run of letters costs n log n.
 
 Nulls: a null text is an empty one (no ids). Repeated rows give repeated results; row order and partitioning do not
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from voxfield.llm.common import as_bytes, lists, text_blocks
 
-LONG = 256
-CACHED = 150_000  # pieces a worker remembers before it starts again
+LONG = 4096
+CACHED = 24 << 20  # bytes of pieces and ids that a worker remembers before it starts again
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,6 +86,7 @@ class ByteBPE:
         self.joins = {(a, b): i for a, b, i in joins}
         self.pairs = PairTable(self.joins)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     @classmethod
     def parse(cls, lines: bytes, pattern: str) -> ByteBPE:
@@ -149,6 +150,7 @@ class ByteBPE:
         buckets: dict[int, list[tuple[str, bytes]]] = {}
         for piece in pieces:
             raw = piece.encode()
+            self.held += 160 + 6 * len(raw)  # the text, its ids and the entry
             whole = self.ranks.get(raw)
             if whole is not None:
                 self.known[piece] = (whole,)
@@ -169,8 +171,8 @@ class ByteBPE:
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""
         cut = [self.find(x) for x in texts]
-        if len(self.known) > CACHED:
-            self.known = {}
+        if self.held > CACHED:
+            self.known, self.held = {}, 0
         self.learn(set(chain.from_iterable(cut)) - self.known.keys())
         get = self.known.__getitem__
         return [list(chain.from_iterable(map(get, x))) for x in cut]

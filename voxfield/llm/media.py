@@ -5,7 +5,8 @@ DC coefficient decodes to 64 equal pixels of exactly that byte, so the lossy cod
 decoder shows them. The Huffman table gives category s a code of 9-s bits, so that code and magnitude bits make 9
 for every difference, and the end of a block is 1 bit: 10 bits a block, which numpy packs and unpacks as a whole.
 Reading parses the RIFF chunks and the idx1 index, then decodes each frame; frames by other encoders (any baseline
-Huffman tables, subsampled colour, restart intervals) go through a general decoder, which returns their luma.
+Huffman tables, or the standard ones where a file leaves them out, subsampled colour, restart intervals) go through a general decoder,
+which returns their luma.
 
 Shots: the difference of neighbouring frames is half the sum of absolute differences of their 16-bin luma histograms. A
 shot ends where that exceeds both FLOOR and the mean plus 3 deviations of up to 8 differences before it in the shot.
@@ -15,6 +16,7 @@ Nulls: a null text is an empty one; its payload is 64 zero bytes. Equal texts gi
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -166,11 +168,15 @@ def decode_frame(data: bytes) -> np.ndarray:
     if frame is None:
         raise ValueError("no frame header")
     (_, height, width, _), parts = frame
+    if not parts or any(not 1 <= p[1] <= 4 or not 1 <= p[2] <= 4 for p in parts) or not height or not width:
+        raise ValueError("damaged frame header")
     scan = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
     end = data.rfind(b"\xff\xd9")
     coded = data[at : end if end >= 0 else len(data)]
     if len(parts) == 1 and not restart and huff.get(0) == _FIXED_DC and huff.get(16) == _FIXED_AC and quant[parts[0][3]][0] == 8:
         rows, columns = -(-height // 8), -(-width // 8)
+        if 10 * rows * columns > 8 * len(coded):
+            raise ValueError("frame ends early")
         return _flat(coded.replace(b"\xff\x00", b"\xff"), rows * columns).reshape(rows, columns)
     return _general(coded, height, width, parts, scan, quant, huff, restart)
 
@@ -189,48 +195,76 @@ def _flat(raw: bytes, blocks: int) -> np.ndarray:
     return value.astype(np.uint8)
 
 
+def _codes(symbols: tuple[tuple[int, int], ...]) -> tuple[list[int], list[int]]:
+    """For each 16 bits that may come: the length of the code that they begin with (0: none) and its symbol."""
+    sizes, values, at, last = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8), 0, 0
+    for n, s in symbols:
+        if n < last or at + (1 << (16 - n)) > 1 << 16:
+            raise ValueError("damaged Huffman table")
+        sizes[at : at + (1 << (16 - n))], values[at : at + (1 << (16 - n))] = n, s
+        at, last = at + (1 << (16 - n)), n
+    return sizes.tolist(), values.tolist()
+
+
+def _standard() -> dict[int, tuple[tuple[int, int], ...]]:
+    """The typical tables of the JPEG standard (Annex K), which camera files leave out: class and number -> (length, symbol)."""
+    # How many codes each length has, and the first AC symbols; the others follow in ascending order.
+    counts = {
+        0x00: [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0],
+        0x01: [0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0],
+        0x10: [0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125],
+        0x11: [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119],
+    }
+    luma = bytes.fromhex("01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282")
+    chroma = bytes.fromhex("000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1")
+    every = [0x00, 0xF0, *(r << 4 | s for r in range(16) for s in range(1, 11))]
+    symbols = {0x00: list(range(12)), 0x01: list(range(12))}
+    for k, head in ((0x10, luma), (0x11, chroma)):
+        symbols[k] = [*head, *sorted(set(every) - set(head))]
+    return {k: tuple((n, s) for n, s in zip([n for n, c in enumerate(counts[k], 1) for _ in range(c)], symbols[k], strict=True)) for k in counts}
+
+
 def _general(coded: bytes, height: int, width: int, parts: list, scan: dict, quant: dict, huff: dict, restart: int) -> np.ndarray:
-    """Baseline decoding bit by bit, for frames of other encoders."""
-    lookup = {}
-    for k, symbols in huff.items():
-        code, last, lookup[k] = 0, 0, {}
-        for n, s in symbols:
-            code <<= n - last
-            lookup[k][n, code] = s
-            code, last = code + 1, n
+    """Baseline decoding for frames of other encoders: codes are looked up by the next 16 bits."""
     wide, high = max(p[1] for p in parts), max(p[2] for p in parts)
     across, down = -(-width // (8 * wide)), -(-height // (8 * high))
+    blocks = sum(p[1] * p[2] for p in parts)
+    if across * down * blocks > 4 * len(coded):  # a block takes two bits at least
+        raise ValueError("frame ends early")
+    huff = _standard() | huff
+    lookup = {k: _codes(x) for k, x in huff.items()}
+    tables = [(lookup[scan[p[0]] >> 4], lookup[16 | scan[p[0]] & 15]) for p in parts]
     luma = np.zeros((down * parts[0][2] * 8, across * parts[0][1] * 8))
-    import re
-
-    pieces = [x.replace(b"\xff\x00", b"\xff") for x in re.split(rb"\xff[\xd0-\xd7]", coded)]
     done = 0
-    for piece in pieces:
-        bits, at, total = int.from_bytes(piece, "big"), 0, 8 * len(piece)
+    for piece in re.split(rb"\xff[\xd0-\xd7]", coded):
+        raw = piece.replace(b"\xff\x00", b"\xff")
+        at, total, raw = 0, 8 * len(raw), raw + b"\0" * 4
 
-        def take(n: int) -> int:
+        def symbol(table: tuple[list[int], list[int]]) -> int:
             nonlocal at
-            if at + n > total:
-                raise ValueError("frame ends early")
+            k = at >> 3
+            bits = (raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]) >> (8 - (at & 7)) & 0xFFFF
+            n = table[0][bits]
             at += n
-            return bits >> (total - at) & ((1 << n) - 1)
-
-        def symbol(table: dict) -> int:
-            code = 0
-            for n in range(1, 17):
-                code = code << 1 | take(1)
-                if (n, code) in table:
-                    return table[n, code]
-            raise ValueError("unknown code")
+            if not n or at > total:
+                raise ValueError("frame ends early" if n else "unknown code")
+            return table[1][bits]
 
         def number(s: int) -> int:
-            v = take(s) if s else 0
-            return v if not s or v >> (s - 1) else v - (1 << s) + 1
+            nonlocal at
+            if not s:
+                return 0
+            k = at >> 3
+            at += s
+            if at > total:
+                raise ValueError("frame ends early")
+            v = int.from_bytes(raw[k : k + 4], "big") >> (32 - (at - 8 * k)) & ((1 << s) - 1)
+            return v if v >> (s - 1) else v - (1 << s) + 1
 
         before = [0] * len(parts)
         for mcu in range(done, min(across * down, done + restart) if restart else across * down):
-            for c, (name, h, v, q) in enumerate(parts):
-                dc, ac = lookup[scan[name] >> 4], lookup[16 | scan[name] & 15]
+            for c, (_, h, v, q) in enumerate(parts):
+                dc, ac = tables[c]
                 for k in range(h * v):
                     block = np.zeros(64)
                     before[c] += number(symbol(dc))
@@ -329,7 +363,7 @@ def media_clips(files: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     avi = read_avi(x or b"")
                     found.append(clips([decode_frame(y) for y in avi["frames"]], avi["fps"]))
                     errors.append(None)
-                except (ValueError, IndexError, KeyError, struct.error) as e:
+                except (ValueError, IndexError, KeyError, ArithmeticError, struct.error) as e:
                     found.append([])
                     errors.append(str(e))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(errors, pa.string()), pa.array(found, _CLIPS)], ["id", "error", "clips"])

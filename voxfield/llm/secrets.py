@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,14 +74,16 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
     spans = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     spans += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
-    base = [x[1:] for x in spans]
+    base = sorted(x[1:] for x in spans)
+    starts, reach = [x[0] for x in base], list(accumulate((x[1] for x in base), max))
     for m in CANDIDATE.finditer(text):
         run = m.group()
         if ALLOWED.fullmatch(run):
             continue
         for a, b in windows_of(run, LEAST["hex" if HEXES.fullmatch(run) else "mixed"]):
             a, b = a + m.start(), b + m.start()
-            if not any(s <= a and b <= e for s, e in base):
+            k = bisect_right(starts, a)
+            if not k or reach[k - 1] < b:  # no span that begins by a reaches b
                 spans.append(("entropy", a, b))
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -2,8 +2,8 @@
 
 Vectors become integers, floor(scale * x). All vectors are dealt into shards by a hash of their id, and packed as matrices of at most
 SHARD rows; the stated queries are packed as blocks of at most BLOCK rows and sent to every shard group (a query set in blocks against all rows).
-A tile is one product of a block and a shard matrix: in float64 while every partial sum stays below 2^53 and so exact, else in Python's
-integers. From each tile each query keeps its k best by (score, -id), by partial selection on one number that holds both.
+A tile is one product of a block and a shard matrix: in float64 while every partial sum stays below 2^53 and so exact, else in matrices of
+Python's integers. From each tile each query keeps its k best by (score, -id), by partial selection on one number that holds both.
 Lists of the same query merge level by level, FAN lists at a time, until one is left.
 
 Candidates are all rows but those with the query's own id. Vectors that are null, empty, or hold a null or non-finite component take no part, neither as queries nor as candidates;
@@ -13,6 +13,7 @@ several different vectors takes its list over all of them. Scores beyond 64 bits
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from voxfield.llm.common import by_key, map_batches
 SHARD = 1 << 15
 BLOCK = 1 << 10
 FAN = 8
+_TOP = float(np.finfo(np.float64).max)  # finite components that the scale makes infinite count as this
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -36,7 +38,7 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) ->
 
 def _floor(x: Column) -> Column:
     """floor as a double, beyond 64 bits too."""
-    return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
+    return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(F.greatest(F.lit(-_TOP), F.least(F.lit(_TOP), x)))
 
 
 def _packed(rows: DataFrame, group: Column, most: int) -> DataFrame:
@@ -51,7 +53,7 @@ def _packed(rows: DataFrame, group: Column, most: int) -> DataFrame:
             for k in range(0, len(ids), most):
                 part = order[k : k + most]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([table["g"][0].as_py()], pa.int64()), pa.array([flat.shape[1]], pa.int32()), pa.array([ids[part].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(flat[part]).tobytes()], pa.binary())],
+                    [pa.array([table["g"][0].as_py()], pa.int64()), pa.array([flat.shape[1]], pa.int32()), pa.array([ids[part].tobytes()], pa.binary()), pa.array([_pack(flat[part])], pa.binary())],
                     ["g", "dim", "ids", "data"],
                 )
 
@@ -73,16 +75,26 @@ def tile_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k
             best = -np.sort(-np.partition(packed, len(ids) - n, axis=1)[:, len(ids) - n :], axis=1)
             out += [[(v >> bits, int(ids[mask - (v & mask)])) for v in row if v != least] for row in best.tolist()]
         return out
-    whole = [[int(y) for y in row] for row in x.tolist()]
-    clamp = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
-    out = []
-    for qid, row in zip(q_ids.tolist(), q.tolist(), strict=True):
-        row = [int(y) for y in row]
-        found = [(clamp(sum(a * b for a, b in zip(row, y, strict=True))), i) for i, y in zip(ids.tolist(), whole, strict=True) if i != qid]
-        out.append(sorted(found, key=lambda z: (-z[0], z[1]))[:k])
+    # beyond 53 bits: the same products in Python's integers, fewer at once; scores beyond 64 bits are clamped
+    exact = np.frompyfunc(int, 1, 1)
+    q, x, out = exact(q), exact(x).T, []
+    step = max(1, (1 << 16) // len(ids))
+    for a in range(0, len(q), step):
+        for qid, row in zip(q_ids[a : a + step].tolist(), (q[a : a + step] @ x).tolist(), strict=True):
+            found = ((max(-(1 << 63), min((1 << 63) - 1, s)), -i) for s, i in zip(row, ids.tolist(), strict=True) if i != qid)
+            out.append([(s, -i) for s, i in heapq.nlargest(k, found)])
     return out
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers in two bytes each where those hold them, else as doubles; the first byte says which."""
+    return b"h" + x.astype(np.int16).tobytes() if np.abs(x).max(initial=0) < 1 << 15 else b"d" + x.tobytes()
+
+
+def _unpack(raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, np.int16 if raw[:1] == b"h" else np.float64, offset=1).astype(np.float64).reshape(-1, dim)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), id and score of each query's k best candidates (all, if fewer)."""
     spark = vectors.sparkSession
@@ -90,23 +102,33 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     queries = quantised(vectors.where(is_query), id_col, vector_col, scale).distinct()
     groups = max(1, -(-vectors.count() // shard))
     slots = max(groups, spark.sparkContext.defaultParallelism)
-    shards = _packed(rows, F.pmod(F.xxhash64("id"), F.lit(slots)), shard).withColumnRenamed("ids", "s_ids").withColumnRenamed("data", "s_data")
+    shards = _packed(rows, F.pmod(F.xxhash64("id"), F.lit(slots)), shard)
     # the number of blocks follows the queries; their rows are spread by id so that no task packs them all
     blocks = _packed(queries, F.pmod(F.xxhash64("id", F.lit("q")), F.lit(slots)), block)
-    blocks = blocks.select("dim", "ids", "data", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))).alias("g"))
+    blocks = blocks.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long")))).select(*shards.columns)
+    kind = pa.list_(pa.struct([("neg", pa.int64()), ("id", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by slot and length, shards first: those are held, and each block of queries meets them."""
+        here, held = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                g, dim, ids, data, s_ids, s_data = (batch.column(c)[i].as_py() for c in ("g", "dim", "ids", "data", "s_ids", "s_data"))
-                q_ids = np.frombuffer(ids, np.int64)
-                top = tile_top(q_ids, np.frombuffer(data).reshape(-1, dim), np.frombuffer(s_ids, np.int64), np.frombuffer(s_data).reshape(-1, dim), k)
-                kind = pa.list_(pa.struct([("neg", pa.int64()), ("id", pa.int64())]))
-                # -1 - score turns the order around and stays within 64 bits
-                lists = pa.array([[{"neg": -1 - s, "id": v} for s, v in x] for x in top], kind)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array([g] * len(q_ids), pa.int64()), lists], ["query_id", "node", "top"])
-
-    tiles = map_batches(blocks.join(shards, ["g", "dim"]), run, "query_id bigint, node bigint, top array<struct<neg: bigint, id: bigint>>")
+                g, dim, queries, ids, data = (batch.column(c)[i].as_py() for c in ("g", "dim", "queries", "ids", "data"))
+                if (g, dim) != here:
+                    here, held = (g, dim), []
+                ids, data = np.frombuffer(ids, np.int64), _unpack(data, dim)
+                if not queries:
+                    held.append((ids, data))
+                    continue
+                for s_ids, s_data in held:
+                    top = tile_top(ids, data, s_ids, s_data, k)
+                    # -1 - score turns the order around and stays within 64 bits
+                    lists = pa.array([[{"neg": -1 - s, "id": v} for s, v in x] for x in top], kind)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([g] * len(ids), pa.int64()), lists], ["query_id", "node", "top"])
+
+    both = shards.withColumn("queries", F.lit(False)).unionByName(blocks.withColumn("queries", F.lit(True)))
+    dealt = both.repartition(slots, "g").sortWithinPartitions("g", "dim", "queries")
+    tiles = map_batches(dealt, run, "query_id bigint, node bigint, top array<struct<neg: bigint, id: bigint>>")
     wide = slots
     while True:  # one level of the tree: FAN nodes of a query become one
         wide = -(-wide // FAN)
