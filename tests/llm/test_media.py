@@ -119,6 +119,6 @@ def test_standard_tables_stand_in():
     assert {k: len(x) for k, x in tables.items()} == {0x00: 12, 0x01: 12, 0x10: 162, 0x11: 162}
     assert all(sum(2.0**-n for n, _ in x) < 1 for x in tables.values())
     # luma DC category 3 (code 100), value 5 (101); end of block (1010); then category 0 (00) and end of block
-    raw = int("100" + "101" + "1010" + "00" + "1010" + "1" * 2, 2).to_bytes(2, "big")
+    raw = int("100" + "101" + "1010" + "00" + "1010", 2).to_bytes(2, "big")
     out = media._general(raw, 8, 16, [(1, 1, 1, 0)], {1: 0}, {0: np.full(64, 8.0)}, {}, 0)
     assert out.shape == (8, 16) and set(out.reshape(-1).tolist()) == {133}

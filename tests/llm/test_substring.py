@@ -25,10 +25,33 @@ def brute(rows, window):
     return sorted(out, key=repr)
 
 
-def check(spark, rows, window=13, **kw):
+def longest(rows, window):
+    """The last of window, 2 * window, ... words at which a window of a row starts in a row of another id."""
+    words, out = [(t or "").split() for _, t in rows], [0] * len(rows)
+    level = window
+    while True:
+        who = {}
+        for (d, _), w in zip(rows, words, strict=True):
+            if d is not None:
+                for i in range(len(w) - level + 1):
+                    who.setdefault(tuple(w[i : i + level]), set()).add(d)
+        who = {k for k, x in who.items() if len(x) > 1}
+        if not who:
+            return out
+        for n, ((d, _), w) in enumerate(zip(rows, words, strict=True)):
+            if d is not None and any(tuple(w[i : i + level]) in who for i in range(len(w) - level + 1)):
+                out[n] = level
+        level *= 2
+
+
+def check(spark, rows, window=13, levels=False, **kw):
     df = spark.createDataFrame([(d, t, 5, "clash") for d, t in rows], SCHEMA).repartition(3)
-    got = substring.remove_repeats(df, window=window, **kw).select("doc_id", "n_words", "n_removed", "kept_text")
-    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, window)
+    got = substring.remove_repeats(df, window=window, **kw).select("doc_id", "n_words", "n_removed", "kept_text", "longest").collect()
+    assert sorted((tuple(r)[:4] for r in got), key=repr) == brute(rows, window)
+    if levels:
+        assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], r["longest"]) for r in got) == sorted(
+            (d if d is not None else -1, len((t or "").split()), x) for (d, t), x in zip(rows, longest(rows, window), strict=True)
+        )
 
 
 def test_matches_brute_force(spark):
@@ -42,8 +65,9 @@ def test_matches_brute_force(spark):
             text += [rng.choice(passages), " ".join(rng.choices(vocabulary, k=rng.randint(0, 15)))]
         rows.append((rng.randint(0, 10**6) if d % 5 else d, "\n ".join(text)))
     rows += rows[:3]
-    check(spark, rows, block_bytes=3000)
-    check(spark, rows, window=4)
+    check(spark, rows, block_bytes=3000, levels=True)
+    check(spark, rows, part_bytes=3000)
+    check(spark, rows, window=4, levels=True)
 
 
 def test_edges(spark):

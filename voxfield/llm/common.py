@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import struct
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -55,6 +56,35 @@ def _wide(raw: bytes, size: int) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
+def _join(*parts: bytes) -> bytes:
+    return struct.pack(f"<{len(parts) + 1}I", len(parts), *map(len, parts)) + b"".join(parts)
+
+
+def _cut(blob: bytes) -> list[bytes]:
+    n = struct.unpack_from("<I", blob)[0]
+    ends = np.cumsum([4 * n + 4, *struct.unpack_from(f"<{n}I", blob, 4)]).tolist()
+    return [blob[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _gaps(x: np.ndarray) -> bytes:
+    """Sorted distinct numbers by their gaps, in as many bytes (4 at least) as the widest needs."""
+    gap = np.diff(x, prepend=np.uint64(0))
+    size = max(4, (int(gap[1:].max(initial=0)).bit_length() + 7) // 8)
+    return x[:1].tobytes() + bytes([size]) + _narrow(gap[1:], size)
+
+
+def _sorted(raw: bytes) -> np.ndarray:
+    if not raw[:8]:
+        return np.zeros(0, np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(raw[:8], np.uint64), _wide(raw[9:], raw[8])]), dtype=np.uint64)
+
+
+def split_keys(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Where each part begins in sorted keys of so many bits: parts are equal ranges of the hash."""
+    bounds = np.array([(k << bits) // parts for k in range(parts)], object)
+    return np.append(np.searchsorted(keys, bounds.astype(np.uint64), "left"), len(keys))
+
+
 def is_held_out(id_col: str, parts: int, part: int):
     """True for documents whose crc32 of the id's decimal text leaves `part` when divided by `parts`; null ids are not."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))

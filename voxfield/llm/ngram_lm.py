@@ -30,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxfield.llm.common import as_bytes, by_key, shuffle_width, store, text_blocks
-from voxfield.llm.substring import _cut, _join, _narrow, _wide
+from voxfield.llm.common import _cut, _gaps, _join, _sorted, as_bytes, by_key, shuffle_width, split_keys, store, text_blocks
 
 BUCKETS = 16
 BINS = 64
@@ -53,20 +52,6 @@ def _large(raw: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw[1:]), f"u{raw[0]}").astype(np.int64)
 
 
-def _gaps(x: np.ndarray) -> bytes:
-    """Sorted distinct numbers by their gaps, in 4 bytes where those suffice."""
-    gap = np.diff(x, prepend=np.uint64(0))
-    size = 8 if len(gap) > 1 and gap[1:].max() >> np.uint64(32) else 4
-    return x[:1].tobytes() + bytes([size]) + (gap[1:].tobytes() if size == 8 else _narrow(gap[1:], 4))
-
-
-def _sorted(raw: bytes) -> np.ndarray:
-    if not raw[:8]:
-        return np.zeros(0, np.uint64)
-    gap = np.frombuffer(raw[9:], np.uint64) if raw[8] == 8 else _wide(raw[9:], 4)
-    return np.cumsum(np.concatenate([np.frombuffer(raw[:8], np.uint64), gap]), dtype=np.uint64)
-
-
 def _pairs(h: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """48-bit hashes of each token after the one before it; the end of a text comes before its first token."""
     now = h[tokens]
@@ -114,12 +99,6 @@ def _keys(raw: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return [*out, (keys, np.bincount(place[used], minlength=len(keys)), np.bincount(place[gone], minlength=len(keys)))]
 
 
-def _split(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
-    """Where each part begins in sorted keys of so many bits: parts are equal ranges of the hash."""
-    bounds = np.array([(k << bits) // parts for k in range(parts)], object)
-    return np.append(np.searchsorted(keys, bounds.astype(np.uint64), "left"), len(keys))
-
-
 class Weights:
     """Mixture weights (bucket, 3) for pair, word and uniform estimates, with the counts that they go with."""
 
@@ -181,7 +160,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             for block, held, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "held", "raw")), strict=True):
                 out = []
                 for kind, (keys, count, gone) in enumerate(_keys(raw)):
-                    cuts = _split(keys, 64 - 16 * kind, parts).tolist()
+                    cuts = split_keys(keys, 64 - 16 * kind, parts).tolist()
                     for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                         if b > a:
                             out.append((kind * parts + part, _join(_gaps(keys[a:b]), _small(count[a:b]), _small(gone[a:b]))))

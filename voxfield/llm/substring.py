@@ -1,26 +1,27 @@
-"""Substring dedup: removes passages that a document with a smaller id has too, by windows of 13 words that meet under a 7-word one.
+"""Substring dedup: removes passages of 13 words or more that a document with a smaller id has too, by level-wise doubling.
 
-Levels: windows of HALF = 7 words and of WINDOW = 13 = 2*7 - 1. They replace a doubling that would extend only repeating short
-windows: every 13-word window is hashed and, unless its block settles it, sent; the 7-word test only saves comparisons at the
-receiver. That takes one exchange of hashes; short windows first would take another. Of the seven 7-word windows
-inside a 13-word window one stands for it, that of least hash: equal 13-word windows have the same one, so it names the
-place where they meet. Neighbouring windows mostly share it and travel together as a run.
+Levels: windows of 7 words first, then of 13 (two windows of 7 that share a word), then of 26, 52 and so on. At each level only
+candidates are compared, and only windows that repeat go on: a window of the next length is a candidate if the two windows of this
+length that make it up both start in several documents. The levels end when no candidate survives. The windows of 13 words say what is
+removed; the last level that a window of a document survives is its `longest`.
 
-One exchange carries, for each run, the hash of its 7-word window, its document and place, and 5 bytes for each 13-word
-window. It is dealt by that hash. The receiver drops runs whose 7-word window only one document has, and compares the 13-word
-windows of the rest (88 bits and the part number tell two windows apart). Within a block of documents windows repeat
-before they are sent: those that a smaller id of the block has are settled there, so a passage that a third of all documents
-share costs one run for each block, not for each document. A second exchange brings the places found together with their texts.
+Exchange at a level: documents are dealt into blocks of BLOCK bytes of text, which are stored once. A block sends each distinct hash of its
+candidates once to the part of the hash, in sorted order by gaps; the part finds out which hashes several blocks, or several documents of
+one, have, and what is the smallest id, and answers each block with a bit or two for each hash. So a passage that a third of all
+documents share costs a few bytes for each block, parts are even, and no group is ever collected. The hash of a window twice as
+long comes from the hashes of its halves, so only the first levels read the texts. Equal texts of a block are one candidate.
 
-Memory: blocks of BLOCK bytes of text (or one longer document) when sending, one part when receiving; no group is ever collected.
+Hashes: 48 bits tell windows of 7 words apart (an error only keeps a candidate), 64 bits those of 13 and more: among w such windows
+a wrong match is expected w * w / 2**65 times.
+
+Memory: a block when asking; a part of about PART bytes when answering. Parts are as many as the words need.
 
 Nulls: a null text has no words. A document with a null id neither removes nor loses words. Rows with the same id don't remove
-from each other; each is judged by its own words. Other columns are not carried.
+from each other; each is judged by its own words. An id must be a number or null. Other columns are not carried.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxfield.llm.common import as_bytes, by_key, shuffle_width, text_blocks
+from voxfield.llm.common import _cut, _gaps, _join, _sorted, as_bytes, by_key, drop, shuffle_width, split_keys, store, text_blocks
 
 WINDOW = 13
 BLOCK = 8 << 20
+PART = 12 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
+STATE, PLACES, LONGEST = 0, 1, 2
 
 
 def rolled(h: np.ndarray, size: int) -> np.ndarray:
@@ -41,34 +44,16 @@ def rolled(h: np.ndarray, size: int) -> np.ndarray:
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, factor = np.zeros(n, np.uint64), _MULT
+    out, factor = np.zeros(n, np.uint64), _MULT[None]
     for k in range(size):
         out += h[k : k + n] * factor
         factor = factor * _ODD
-    out ^= out >> np.uint64(29)
-    out *= _MULT
-    return out ^ (out >> np.uint64(32))
-
-
-def _narrow(x: np.ndarray, size: int) -> bytes:
-    """The low `size` bytes of each."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
-
-
-def _wide(raw: bytes, size: int) -> np.ndarray:
-    out = np.zeros((len(raw) // size, 8), np.uint8)
-    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
-    return out.view(np.uint64)[:, 0]
+    return _mixed(out)
 
 
-def _join(*parts: bytes) -> bytes:
-    return struct.pack(f"<{len(parts) + 1}I", len(parts), *map(len, parts)) + b"".join(parts)
-
-
-def _cut(blob: bytes) -> list[bytes]:
-    n = struct.unpack_from("<I", blob)[0]
-    ends = np.cumsum([4 * n + 4, *struct.unpack_from(f"<{n}I", blob, 4)]).tolist()
-    return [blob[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _MULT
+    return x ^ (x >> np.uint64(32))
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -79,100 +64,106 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _found(ids: np.ndarray, tags: np.ndarray, homes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(home, blob) of places (start) found in documents; homes: where each document's text will be."""
-    order = np.lexsort((start, doc, homes[doc]))
-    doc, start = doc[order], start[order]
-    home = homes[doc]
-    cuts = np.append(_runs(home), len(home))
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        first = _runs(doc[a:b])
-        d = doc[a:b][first]
-        yield int(home[a]), _join(ids[d].tobytes(), tags[d].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), start[a:b].astype(np.uint32).tobytes())
-
-
-def _send(texts: list[bytes], ids: np.ndarray, tags: np.ndarray, homes: np.ndarray, parts: int, window: int) -> Iterator[tuple[int, bytes]]:
-    """(part, blob): runs to compare for a part >= 0, places that are settled for home -1 - part."""
-    import xxhash
-
-    half = (window + 1) // 2
-    words = [x.split() for x in texts]
-    size = np.array([len(x) for x in words], np.int64)
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(w) for x in words for w in x), np.uint64, int(size.sum()))
-    first = np.cumsum(size) - size
-    usable = np.maximum(0, size - window + 1)
-    if not usable.any():
-        return
-    doc = np.repeat(np.arange(len(size)), usable)
-    start = np.arange(len(doc)) - np.repeat(np.cumsum(usable) - usable, usable)
-    at = first[doc] + start
-    short = rolled(h, half)
-    least = short[: len(h) - window + 1].copy()
-    for k in range(1, window - half + 1):
-        np.minimum(least, short[k : k + len(least)], out=least)
-    least, whole = least[at], rolled(h, window)[at]
-    del h, short
-    order = np.argsort(whole)
-    group = _runs(whole[order])
-    own = ids[doc[order]]
-    smallest = np.repeat(np.minimum.reduceat(own, group), np.diff(np.append(group, len(own))))
-    settled = np.zeros(len(doc), bool)
-    settled[order] = own > smallest
-    for home, blob in _found(ids, tags, homes, doc[settled], start[settled]):
-        yield -1 - home, blob
-    keep = ~settled
-    doc, start, least, whole = doc[keep], start[keep], least[keep], whole[keep]
-    part = ((least * _ODD) >> np.uint64(33)).astype(np.int64) % parts
-    order = np.argsort(part, kind="stable")
-    doc, start, least, whole, part = doc[order], start[order], least[order], whole[order], part[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (part[1:] != part[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (least[1:] != least[:-1])
-    run = np.flatnonzero(new)
-    length = np.diff(np.append(run, len(doc)))
-    cuts = np.append(_runs(part[run]), len(run))
-    ends = np.append(run, len(doc))
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        r = run[a:b]
-        docs, local = np.unique(doc[r], return_inverse=True)
-        yield int(part[r[0]]), _join(
-            ids[docs].tobytes(), tags[docs].tobytes(), homes[docs].astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), start[r].astype(np.uint32).tobytes(),
-            length[a:b].astype(np.uint32).tobytes(), _narrow(least[r], 6), _narrow(whole[ends[a] : ends[b]], 5),
-        )
-
-
-def _receive(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """Places whose window a smaller id has, of all runs of one part."""
-    cut = [_cut(x) for x in blobs]
-    ids = np.concatenate([np.frombuffer(x[0], np.int64) for x in cut])
-    tags = np.concatenate([np.frombuffer(x[1], np.uint32) for x in cut])
-    homes = np.concatenate([np.frombuffer(x[2], np.uint32) for x in cut]).astype(np.int64)
-    shift = np.cumsum([0, *(len(x[0]) // 8 for x in cut[:-1])])
-    doc = np.concatenate([np.frombuffer(x[3], np.uint32).astype(np.int64) + s for x, s in zip(cut, shift, strict=True)])
-    start = np.concatenate([np.frombuffer(x[4], np.uint32) for x in cut])
-    length = np.concatenate([np.frombuffer(x[5], np.uint32) for x in cut]).astype(np.int64)
-    least = np.concatenate([_wide(x[6], 6) for x in cut])
-    # first level: only 7-word windows of several documents go on
-    order = np.argsort(least)
-    group = _runs(least[order])
-    own = ids[doc[order]]
-    several = np.minimum.reduceat(own, group) != np.maximum.reduceat(own, group)
-    goes = np.zeros(len(doc), bool)
-    goes[order] = np.repeat(several, np.diff(np.append(group, len(own))))
-    if not goes.any():
-        return
-    name = np.zeros(len(doc), np.int64)
-    name[order] = np.repeat(np.arange(len(group)), np.diff(np.append(group, len(own))))
-    whole = np.concatenate([_wide(x[7], 5) for x in cut])[np.repeat(goes, length)]
-    doc, start, length, name = doc[goes], start[goes], length[goes], name[goes]
-    place = np.arange(len(whole)) - np.repeat(np.cumsum(length) - length, length)
-    doc, start, name = np.repeat(doc, length), np.repeat(start, length) + place, np.repeat(name, length)
-    # second level: the 13-word windows of one 7-word window
-    order = np.lexsort((whole, name))
-    group = _runs(name[order], whole[order])
-    own = ids[doc[order]]
-    late = own > np.repeat(np.minimum.reduceat(own, group), np.diff(np.append(group, len(own))))
-    yield from _found(ids, tags, homes, doc[order[late]], start[order[late]].astype(np.int64))
+def _bits(x: np.ndarray) -> bytes:
+    """Flags as bits; none for all false."""
+    return np.packbits(x).tobytes() if x.any() else b""
+
+
+def _flags(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool) if raw else np.zeros(n, bool)
+
+
+def _stored(ids: pa.Array, texts: list[bytes]) -> bytes:
+    """A block: ids, which of them are null, sizes of the texts, the texts (compressed)."""
+    raw = b"".join(texts)
+    packed = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+    sizes = np.array([len(x) for x in texts], np.uint32)
+    return _join(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), np.asarray(ids.is_null()).tobytes(), sizes.tobytes(), packed)
+
+
+def _texts(block: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    ids, null, sizes, packed = _cut(block)
+    ends = np.cumsum(np.concatenate([[0], np.frombuffer(sizes, np.uint32).astype(np.int64)])).tolist()
+    raw = pa.decompress(packed, decompressed_size=ends[-1], codec="zstd", asbytes=True) if packed else b""
+    return np.frombuffer(ids, np.int64), np.frombuffer(null, bool), [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+class _Windows:
+    """The distinct texts of a block with an id and `window` words or more: their words' hashes, and least and greatest ids."""
+
+    def __init__(self, block: bytes, window: int):
+        import xxhash
+
+        ids, null, texts = _texts(block)
+        place: dict[bytes, int] = {}
+        of, rows = [], []
+        for i in np.flatnonzero(~null).tolist():
+            of.append(place.setdefault(texts[i], len(place)))
+            rows.append(i)
+        of, mine = np.array(of, np.int64), ids[rows] if rows else np.zeros(0, np.int64)
+        self.low, self.high = np.full(len(place), np.iinfo(np.int64).max), np.full(len(place), np.iinfo(np.int64).min)
+        np.minimum.at(self.low, of, mine)
+        np.maximum.at(self.high, of, mine)
+        words = [x.split() for x in place]
+        self.size = np.array([len(x) if len(x) >= window else 0 for x in words], np.int64)
+        digest = xxhash.xxh64_intdigest
+        self.h = np.fromiter((digest(w) for x in words if len(x) >= window for w in x), np.uint64, int(self.size.sum()))
+        self.first = np.cumsum(self.size) - self.size
+
+    def at(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, place in h) of all windows of `length` words."""
+        n = np.maximum(0, self.size - length + 1)
+        doc = np.repeat(np.arange(len(n)), n)
+        return doc, self.first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _short(w: _Windows, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of the short windows, their 48-bit hashes' places among the sorted distinct ones, and those."""
+    doc, at = w.at(half)
+    keys, place = np.unique(rolled(w.h, half)[at] >> np.uint64(16), return_inverse=True) if len(at) else (np.zeros(0, np.uint64), at)
+    return doc, at, place, keys
+
+
+def _grouped(place: np.ndarray, n: int, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least of low and greatest of high for each of n groups, none of them empty."""
+    order = np.argsort(place, kind="stable")
+    first = _runs(place[order]) if len(place) else np.zeros(0, np.int64)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
+
+
+class _State:
+    """The candidates of a level in a block: text, start and hash, by text and start; least and greatest ids of the texts."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, doc: np.ndarray, start: np.ndarray, h: np.ndarray):
+        self.low, self.high, self.doc, self.start, self.h = low, high, doc, start, h
+
+    def pack(self) -> bytes:
+        used, doc = np.unique(self.doc, return_inverse=True)
+        return _join(self.low[used].tobytes(), self.high[used].tobytes(), used.astype(np.uint32).tobytes(), doc.astype(np.uint32).tobytes(), self.start.astype(np.uint32).tobytes(), self.h.tobytes())
+
+    @classmethod
+    def read(cls, raw: bytes) -> _State:
+        low, high, name, doc, start, h = (np.frombuffer(x, t) for x, t in zip(_cut(raw), (np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint64), strict=True))
+        out = cls(low, high, doc.astype(np.int64), start.astype(np.int64), h)
+        out.name = name
+        return out
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes, each candidate's place among them, and the least and greatest ids that have them."""
+        keys, place = np.unique(self.h, return_inverse=True)
+        return keys, place, *_grouped(place, len(keys), self.low[self.doc], self.high[self.doc])
+
+
+def _sliced(part_of: np.ndarray, block: int, slices) -> Iterator[pa.RecordBatch]:
+    out = []
+    for part, (a, b) in enumerate(zip(part_of[:-1].tolist(), part_of[1:].tolist(), strict=True)):
+        if b > a:
+            out.append((part, slices(a, b)))
+    for k in range(0, len(out), 64):
+        some = out[k : k + 64]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([x[1] for x in some], pa.binary())], ["part", "block", "data"])
 
 
 def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -183,57 +174,192 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK) -> DataFrame:
-    """id, n_words, n_removed, kept_text and removed array<struct<start, end>> (words), a row for each document."""
+_ROW = "part int, block bigint, data binary"
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK, part_bytes: int = PART) -> DataFrame:
+    """id, n_words, n_removed, kept_text, removed array<struct<start, end>> (words) and longest, a row for each document. longest: the length of the
+    last level at which a window of the document starts in a document with another id too (0: not even the first that counts)."""
     if not 2 <= window <= 200:
         raise ValueError("window must be from 2 to 200 words")
-    width = shuffle_width(docs.sparkSession)
-    parts, homes = 2 * width, 4 * width
+    half, width = (window + 1) // 2, shuffle_width(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))).withColumn("home", F.pmod(F.xxhash64("id"), F.lit(homes)).cast("int"))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, most=block_bytes):
-            out = list(_send(as_bytes(block.column("text")), block.column("id").to_numpy(), block.column("tag").to_numpy().astype(np.uint32), block.column("home").to_numpy().astype(np.int64), parts, window))
-            for k in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out[k : k + 64]], pa.int32()), pa.array([x[1] for x in out[k : k + 64]], pa.binary())], ["part", "blob"])
-
-    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([_stored(block.column("id"), as_bytes(block.column("text")))], pa.binary())], ["data"])
+
+    blocks = store(rows.mapInArrow(number, "data binary").withColumn("block", F.monotonically_increasing_id()), "uncompressed")
+    # a hash and its gap take about 5 bytes, a word about 6
+    parts = int(max(width, (blocks.agg(F.sum(F.length("data"))).first()[0] or 0) * 2 // part_bytes))
+
+    def ask_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
+                w = _Windows(data.as_py(), window)
+                doc, _, place, keys = _short(w, half)
+                low, high = _grouped(place, len(keys), w.low[doc], w.high[doc])
+                several = low != high
+                yield from _sliced(split_keys(keys, 48, parts), block, lambda a, b: _join(_gaps(keys[a:b]), _bits(several[a:b])))  # noqa: B023
+
+    def answer_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, group in by_key(batches, "part"):
-            blobs = group["blob"].to_pylist()
-            out = [(-1 - part, x) for x in blobs] if part < 0 else list(_receive(blobs))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["home", "blob"])
-
-    sent = rows.where("id is not null").select("id", "tag", "home", "text").mapInArrow(send, "part int, blob binary")
-    found = sent.repartition(width, "part").sortWithinPartitions("part").mapInArrow(receive, "home int, blob binary")
-    both = found.select("home", F.lit(0).alias("kind"), "blob", *[F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("tag", "long"), ("text", "string"))])
-    both = both.unionByName(rows.select("home", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("blob"), "id", "tag", "text"))
+            cut = [_cut(x) for x in group["data"].to_pylist()]
+            keys = [_sorted(x[0]) for x in cut]
+            _, place, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+            several = count > 1
+            several[place] |= np.concatenate([_flags(x[1], len(k)) for x, k in zip(cut, keys, strict=True)])
+            ends = np.cumsum([len(k) for k in keys])
+            replies = [_bits(x) for x in np.split(several[place], ends[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(cut), pa.int32()), group["block"].combine_chunks(), pa.array(replies, pa.binary())], ["part", "block", "data"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                keys, _, low, high = _State.read(data).keys()
+
+                def piece(a: int, b: int) -> bytes:
+                    names, place = np.unique(low[a:b], return_inverse=True)  # noqa: B023
+                    kind = np.uint16 if len(names) < 1 << 16 else np.uint32
+                    return _join(_gaps(keys[a:b]), names.tobytes(), place.astype(kind).tobytes(), _bits(low[a:b] != high[a:b]))  # noqa: B023
+
+                yield from _sliced(split_keys(keys, 64, parts), block, piece)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, group in by_key(batches, "part"):
+            cut = [_cut(x) for x in group["data"].to_pylist()]
+            keys = [_sorted(x[0]) for x in cut]
+            low = np.concatenate([np.frombuffer(x[1], np.int64)[np.frombuffer(x[2], np.uint16 if len(x[1]) < 1 << 19 else np.uint32)] for x in cut])
+            two = np.concatenate([_flags(x[3], len(k)) for x, k in zip(cut, keys, strict=True)])
+            every, place = np.unique(np.concatenate(keys), return_inverse=True)
+            least, most = _grouped(place, len(every), low, low)
+            several = least != most
+            several[place] |= two
+            ends = np.cumsum([len(k) for k in keys])[:-1]
+            replies = [_join(_bits(a), _bits(b)) for a, b in zip(np.split(low > least[place], ends), np.split(several[place], ends), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(cut), pa.int32()), group["block"].combine_chunks(), pa.array(replies, pa.binary())], ["part", "block", "data"])
+
+    def row(block: int, kind: int, level: int, data: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([kind], pa.int32()), pa.array([level], pa.int32()), pa.array([data], pa.binary())], ["block", "kind", "level", "data"])
+
+    def grow_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From the answers about short windows to the candidates of `window` words."""
+        for block, group in by_key(batches, "block"):
+            part, data = group["part"].to_pylist(), group["data"]
+            w = _Windows(data[0].as_py(), window)
+            _, at, place, keys = _short(w, half)
+            cuts = split_keys(keys, 48, parts)
+            several = np.zeros(len(keys), bool)
+            for p, x in zip(part[1:], data[1:], strict=True):
+                several[cuts[p] : cuts[p + 1]] = _flags(x.as_py(), int(cuts[p + 1] - cuts[p]))
+            there = np.zeros(len(w.h) + 1, bool)
+            there[at] = several[place]
+            doc, at = w.at(window)
+            keep = there[at] & there[at + window - half]
+            if keep.any():
+                doc, at = doc[keep], at[keep]
+                yield row(block, STATE, window, _State(w.low, w.high, doc, at - w.first[doc], rolled(w.h, window)[at]).pack())
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From the answers about a level's windows to its places and to the candidates of twice the length."""
+        for block, group in by_key(batches, "block"):
+            part, data, level = group["part"].to_pylist(), group["data"], group["level"][0].as_py()
+            s = _State.read(data[0].as_py())
+            keys, place, low, _ = s.keys()
+            cuts = split_keys(keys, 64, parts)
+            late, several = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+            for p, x in zip(part[1:], data[1:], strict=True):
+                n = int(cuts[p + 1] - cuts[p])
+                late[cuts[p] : cuts[p + 1]], several[cuts[p] : cuts[p + 1]] = (_flags(y, n) for y in _cut(x.as_py()))
+            if level == window:
+                gone = late[place] | (s.low[s.doc] > low[place])
+                if gone.any():
+                    yield row(block, PLACES, level, _join(s.name[s.doc[gone]].tobytes(), s.start[gone].astype(np.uint32).tobytes()))
+            several = several[place]
+            if not several.any():
+                continue
+            yield row(block, LONGEST, level, s.name[np.unique(s.doc[several])].tobytes())
+            doc, start, h = s.doc[several], s.start[several], s.h[several]
+            key = doc << 32 | start
+            there = np.minimum(np.searchsorted(key, key + level), len(key) - 1)
+            keep = key[there] == key + level
+            if keep.any():
+                nxt = _State(s.low, s.high, doc[keep], start[keep], _mixed(h[keep] * _MULT + (h[there[keep]] ^ _ODD)))
+                named = _join(*_renamed(nxt, s.name))
+                yield row(block, STATE, 2 * level, named)
+
+    def dealt(asked: DataFrame, reply) -> DataFrame:
+        return asked.repartitionById(parts, F.col("part")).mapInArrow(reply, _ROW)
+
+    def met(state: DataFrame, replies: DataFrame, level: int) -> DataFrame:
+        both = state.select(F.lit(-1).alias("part"), "block", "data").unionByName(replies)
+        return both.withColumn("level", F.lit(level)).repartition(width, "block").sortWithinPartitions("block", "part")
+
+    found, level = [], window
+    replies = dealt(blocks.select("block", "data").mapInArrow(ask_short, _ROW), answer_short)
+    table = store(met(blocks, replies, half).mapInArrow(grow_short, "block bigint, kind int, level int, data binary"), "uncompressed")
+    while True:
+        state = table.where(F.col("kind") == STATE).select("block", "data")
+        if not state.limit(1).count():
+            break
+        replies = dealt(state.mapInArrow(ask, _ROW), answer)
+        new = store(met(state, replies, level).mapInArrow(grow, "block bigint, kind int, level int, data binary"), "uncompressed")
+        found.append(new)
+        if level == window:
+            drop(table)
+        table, level = new, 2 * level
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, places = None, {}
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for block in text_blocks(batches, most=2 << 20, rows=2000):
-            ids, n_words, n_removed, kept, removed = [], [], [], [], []
-            for h, k, blob, id_, tag, text in zip(*(block.column(c).to_pylist() for c in ("home", "kind", "blob", "id", "tag")), as_bytes(block.column("text")), strict=True):
-                if h != home:
-                    home, places = h, {}
-                if k == 0:
-                    i, t, n, s = (np.frombuffer(x, d) for x, d in zip(_cut(blob), (np.int64, np.uint32, np.uint32, np.uint32), strict=True))
-                    ends = np.cumsum(n).tolist()
-                    for key, a, b in zip(zip(i.tolist(), t.tolist(), strict=True), [0, *ends], ends, strict=False):
-                        places.setdefault(key, []).append(s[a:b])
-                    continue
-                words = text.split()
-                gone = covered(len(words), np.concatenate(places[id_, tag]).astype(np.int64), window) if (id_, tag) in places else np.zeros(0, bool)
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                ids.append(id_)
-                n_words.append(len(words))
-                n_removed.append(int(gone.sum()))
-                kept.append(b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x] if len(gone) else words))
-                removed.append([{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(removed, kind)], ["id", "n_words", "n_removed", "kept_text", "removed"])
-
-    dealt = both.repartition(width, "home").sortWithinPartitions("home", "kind")
-    return dealt.mapInArrow(finish, "id bigint, n_words bigint, n_removed bigint, kept_text string, removed array<struct<start: int, end: int>>").withColumnRenamed("id", id_col)
+        for _, group in by_key(batches, "block"):
+            ids, null, texts = _texts(group["data"][0].as_py())
+            place: dict[bytes, int] = {}
+            low: list[int] = []
+            for i in np.flatnonzero(~null).tolist():
+                k = place.setdefault(texts[i], len(place))
+                if k == len(low):
+                    low.append(int(ids[i]))
+                low[k] = min(low[k], int(ids[i]))
+            longest, starts = np.zeros(len(low), np.int32), {}
+            for what, level, x in zip(group["kind"].to_pylist()[1:], group["level"].to_pylist()[1:], group["data"][1:], strict=True):
+                if what == LONGEST:
+                    some = np.frombuffer(x.as_py(), np.uint32)
+                    longest[some] = np.maximum(longest[some], level)
+                else:
+                    doc, start = (np.frombuffer(y, np.uint32).astype(np.int64) for y in _cut(x.as_py()))
+                    cuts = _runs(doc)
+                    starts |= dict(zip(doc[cuts].tolist(), np.split(start, cuts[1:]), strict=True))
+            for at in range(0, len(texts), 2000):
+                out: list[list] = [[], [], [], [], [], []]
+                for i in range(at, min(at + 2000, len(texts))):
+                    words = texts[i].split()
+                    k = None if null[i] else place[texts[i]]
+                    gone = np.zeros(len(words), bool)
+                    if k is not None and len(words) >= window:
+                        if ids[i] > low[k]:
+                            gone[:] = True  # a copy of a smaller id's text in the block
+                        elif k in starts:
+                            gone = covered(len(words), starts[k], window)
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+                    kept = b" ".join(words if not edge else [w for w, x in zip(words, gone.tolist(), strict=True) if not x])
+                    values = (None if null[i] else int(ids[i]), len(words), int(gone.sum()), kept, [{"start": a, "end": b} for a, b in edge], 0 if k is None else int(longest[k]))
+                    for column, v in zip(out, values, strict=True):
+                        column.append(v)
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), kind, pa.int32())
+                arrays = [pa.array(x, t) for x, t in zip(out, types, strict=True)]
+                arrays[3] = arrays[3].cast(pa.string())
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "n_words", "n_removed", "kept_text", "removed", "longest"])
+
+    both = blocks.select("block", F.lit(STATE).alias("kind"), F.lit(0).alias("level"), "data")
+    for x in found:
+        both = both.unionByName(x.where(F.col("kind") != STATE))
+    both = both.repartition(width, "block").sortWithinPartitions("block", "kind")
+    schema = "id bigint, n_words bigint, n_removed bigint, kept_text string, removed array<struct<start: int, end: int>>, longest int"
+    return both.mapInArrow(finish, schema).withColumnRenamed("id", id_col)
+
+
+def _renamed(state: _State, name: np.ndarray) -> list[bytes]:
+    """The packed state with the texts' first names."""
+    parts = _cut(state.pack())
+    parts[2] = name[np.frombuffer(parts[2], np.uint32)].tobytes()
+    return parts
