@@ -63,7 +63,66 @@ def test_edges(spark):
 
 def test_weights_find_the_mixture():
     rng = np.random.default_rng(1)
-    p2, p1 = rng.random(4000) * 0.5, rng.random(4000) * 0.1
-    count = 0.7 * p2 + 0.2 * p1 + 0.1 * 0.01
-    mix = ngram_lm.expectation_maximisation(p2, p1, 0.01, count * 1e6, np.full(4000, 3))
-    assert mix[3].sum() == pytest.approx(1) and mix[3][0] > 0.6 and mix[0][0] == 0
+    p3, p2, p1 = rng.random(4000) * 0.9, rng.random(4000) * 0.5, rng.random(4000) * 0.1
+    count = 0.4 * p3 + 0.4 * p2 + 0.15 * p1 + 0.05 * 0.01
+    est = np.stack([p3, p2, p1, np.full(4000, 0.01)], 1)
+    mix = ngram_lm.expectation_maximisation(est, count, np.full(4000, 3), rounds=300)
+    assert np.abs(mix.sum(1) - 1).max() < 1e-9
+    assert mix[ngram_lm.BUCKETS + 2][0] == 0 and mix[ngram_lm.BUCKETS][1] == 0
+    likely = lambda w: float((count * np.log(est @ w)).sum())
+    assert likely(mix[3]) > max(likely(w) for w in rng.dirichlet(np.ones(4), 300)) - 1
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_score_like_plain_python(spark, monkeypatch, order):
+    """The interpolation with given weights, gram by gram."""
+    rng = random.Random(6)
+    word = [f"w{i}" for i in range(12)]
+    rows = [(d, " ".join(rng.choices(word, k=rng.randint(0, 25)))) for d in range(120)] + [(500, "new words only"), (None, "w1 w2"), (7, None)]
+    k, n_buckets = order + 1, 2 * ngram_lm.BUCKETS
+    mix = np.random.default_rng(2).dirichlet(np.ones(k), n_buckets)
+    monkeypatch.setattr(ngram_lm, "expectation_maximisation", lambda *a: mix)
+    words = [(t or "").split() + ["</s>"] for _, t in rows]
+    train = [d is None or zlib.crc32(str(d).encode()) % 5 != 1 for d, _ in rows]
+    c, texts = [Counter(), Counter(), Counter()], sum(train)
+    for x, use in zip(words, train, strict=True):
+        if use:
+            past = ["</s>", "</s>", *x]
+            for i in range(len(x)):
+                c[0][past[i + 2]] += 1
+                c[1][tuple(past[i + 1 : i + 3])] += 1
+                c[2][tuple(past[i : i + 3]) if i else ("</s>", "</s>", past[2])] += 1
+    n, v = sum(c[0].values()), len(c[0])
+    bucket = lambda x: min(int(math.log2(x + 1)), ngram_lm.BUCKETS - 1)
+    want = {}
+    for (d, t), x in zip(rows, words, strict=True):
+        total, past = 0.0, ["</s>", "</s>", *x]
+        for i in range(len(x)):
+            w, one = past[i + 2], past[i + 1]
+            two = tuple(past[i : i + 2])
+            c2 = c[0][one] if i else texts
+            c3 = c[1][two] if i else texts
+            est = [c[2][(*two, w)] / max(1, c3), c[1][one, w] / max(1, c2), c[0][w] / n, 1 / (v + 1)][3 - order :]
+            b = 1 if order == 1 else bucket(c2) if order == 2 else bucket(c3) if c3 else ngram_lm.BUCKETS + bucket(c2)
+            total += math.log10(sum(a * p for a, p in zip(mix[b], est, strict=True)))
+        want[d, t] = total
+    df = spark.createDataFrame([(d, t, 1, "clash") for d, t in rows], SCHEMA).repartition(3)
+    got = ngram_lm.score_texts(df.withColumn("t", df["text"]), ~is_held_out("doc_id", 5, 1), order=order, block_bytes=600, part_bytes=700).collect()
+    texts_of = {d: t for d, t in rows}
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"], texts_of[r["doc_id"]]] if r["doc_id"] != 7 else r["score"], rel=1e-9)
+
+
+def test_longer_grams_help(spark):
+    """Held-out texts of a second-order source score higher with each order."""
+    rng = random.Random(3)
+    word = [f"w{i}" for i in range(30)]
+    rows = []
+    for d in range(400):
+        x = rng.choices(range(30), k=2)
+        while len(x) < 60:
+            x.append((x[-1] * 7 + x[-2] * 3) % 30 if rng.random() < 0.8 else rng.randrange(30))
+        rows.append((d, " ".join(word[i] for i in x)))
+    held = [sum(r["score"] for r in scored(spark, rows, order=k) if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) for k in (1, 2, 3)]
+    assert held[0] < held[1] < held[2]
+    assert held[2] > held[1] + 0.3 * abs(held[1])

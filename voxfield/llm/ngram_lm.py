@@ -2,22 +2,22 @@
 
 The model of a text is the product over its tokens (words, then one end) of
 
-    a2[b] * c(v, w) / c(v)  +  a1[b] * c(w) / N  +  a0[b] / (V + 1)
+    a3[b] * c(u, v, w) / c(u, v)  +  a2[b] * c(v, w) / c(v)  +  a1[b] * c(w) / N  +  a0[b] / (V + 1)
 
-v is the token before (the end of a text stands before its first word, so c(v) of a start is the number of training texts),
-b the bucket of c(v), floor(log2(c + 1)) up to BUCKETS - 1. The weights of each bucket come from expectation-maximisation on
-held-out counts: training documents are dealt by a hash of their id, one in DELETED is left out of the counts while its tokens
-teach the weights. Scores then use the counts of all training documents. Counts are exact (64-bit hashes of words, 48-bit ones of
-pairs) and cover all documents; nothing is capped.
+u and v are the tokens before (ends of a text stand before its first word, so the count of a start's context is the number of training
+texts). b is the bucket floor(log2(c + 1)), up to BUCKETS - 1, of c(u, v), or if that is 0 another BUCKETS by c(v). The weights of each
+bucket come from expectation-maximisation on held-out counts: training documents are dealt by a hash of their id, one in DELETED is left out
+of the counts while its tokens teach the weights. Scores then use the counts of all training documents. Counts are exact (64-bit hashes of
+words, 48-bit ones of longer grams: among g distinct ones a share of g / 2**48 meets another) and cover all documents; nothing is capped.
 
 Passes: (1) documents become blocks of numbered tokens, with the hashes of the block's distinct words, in a table. (2) From
-each block its distinct words and pairs go, sorted and counted, to the part of their hash. A part adds up the
-training counts of all blocks and sends each block the counts of what it asked for. So a frequent word costs a number for each block. (3) Blocks
-meet their answers; those left out give a histogram for the weights, then all give scores. The driver sees N, V, and the
-histogram (BUCKETS x BINS x BINS cells, whatever the input).
+each block its distinct grams of each order go, sorted and counted, to the part of their hash. A part adds up the
+training counts of all blocks and sends each block the counts of what it asked for. So a frequent gram costs a number for each block, and
+parts, as many as the tokens need, are even. (3) Blocks meet their answers; those left out give a histogram for the weights, then all give
+scores. The driver sees N, V, and the histogram (2 * BUCKETS x BINS ** order cells at most, whatever the input).
 
 Nulls: a null text is an empty one: only its end is a token. A null id trains. Without training tokens every count is 0, V and N are 0, base_score
-follows its formula and score is 0. Rows are scored one by one, repeated or not. Other columns are not carried.
+follows its formula and score is 0. Rows are scored one by one, repeated or not. An id must be a number or null. Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -33,10 +33,12 @@ from pyspark.sql import functions as F
 from voxfield.llm.common import _cut, _gaps, _join, _sorted, as_bytes, by_key, shuffle_width, split_keys, store, text_blocks
 
 BUCKETS = 16
-BINS = 64
+BINS = 24
+ORDER = 3
 DELETED = 16
 BLOCK = 8 << 20
 ROUNDS = 50
+PART = 12 << 20  # bytes that a part is asked for, about
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 _PAIR = np.uint64((1 << 48) - 1)
@@ -52,16 +54,30 @@ def _large(raw: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw[1:]), f"u{raw[0]}").astype(np.int64)
 
 
-def _pairs(h: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """48-bit hashes of each token after the one before it; the end of a text comes before its first token."""
-    now = h[tokens]
-    before = np.empty_like(now)
-    before[1:] = now[:-1]
-    before[np.cumsum(sizes) - sizes] = END
-    x = (before * _MULT ^ (before >> np.uint64(31))) + now * _ODD
-    x ^= x >> np.uint64(30)
-    x *= _MULT
-    return (x ^ (x >> np.uint64(27))) >> np.uint64(16)
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers up to 2**32 as byte planes, which compress apart."""
+    size = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([size]) + pa.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size].T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _from_planes(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 4), np.uint8)
+    out[:, : raw[0]] = np.frombuffer(pa.decompress(raw[1:], decompressed_size=n * raw[0], codec="zstd", asbytes=True), np.uint8).reshape(raw[0], n).T
+    return out.view("<u4")[:, 0]
+
+
+def _grams(h: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each order from 2 on, 48-bit hashes of each token after those before it; ends of a text come before its first token."""
+    first = np.cumsum(sizes) - sizes
+    out, before, x = [], h[tokens], h[tokens]
+    for _ in range(2, order + 1):
+        before = np.concatenate([before[:1], before[:-1]])
+        before[first] = END
+        x = (before * _MULT ^ (before >> np.uint64(31))) + x * _ODD
+        x = (x ^ (x >> np.uint64(30))) * _MULT
+        x ^= x >> np.uint64(27)
+        out.append(x >> np.uint64(16))
+    return out
 
 
 #: The hash of a text's end.
@@ -81,39 +97,39 @@ def _number(texts: list[bytes], train: np.ndarray, left_out: np.ndarray) -> byte
     h[end] = END
     h[~end] = np.fromiter((digest(w) for x in words for w in x), np.uint64, len(h) - len(sizes))
     names, tokens = np.unique(h, return_inverse=True)
-    return _join(_gaps(names), zlib.compress(tokens.astype(np.uint32).tobytes(), 1), sizes.astype(np.uint32).tobytes(), train.tobytes(), left_out.tobytes())
+    return _join(_gaps(names), _planes(tokens), sizes.astype(np.uint32).tobytes(), train.tobytes(), left_out.tobytes())
 
 
 def _block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     names, tokens, sizes, train, left_out = _cut(raw)
-    return _sorted(names), np.frombuffer(zlib.decompress(tokens), np.uint32), np.frombuffer(sizes, np.uint32).astype(np.int64), np.frombuffer(train, bool), np.frombuffer(left_out, bool)
+    sizes = np.frombuffer(sizes, np.uint32).astype(np.int64)
+    return _sorted(names), _from_planes(tokens, int(sizes.sum())), sizes, np.frombuffer(train, bool), np.frombuffer(left_out, bool)
 
 
-def _keys(raw: bytes) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of words, then of pairs: the block's distinct keys (sorted), counts in its training texts and in those left out of them."""
+def _keys(raw: bytes, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each order: the block's distinct keys (sorted), counts in its training texts and in those left out of them."""
     names, tokens, sizes, train, left_out = _block(raw)
     used, gone = np.repeat(train, sizes), np.repeat(train & left_out, sizes)
-    out = [(names, np.bincount(tokens[used], minlength=len(names)), np.bincount(tokens[gone], minlength=len(names)))]
-    pairs = _pairs(names, tokens, sizes)
-    keys, place = np.unique(pairs, return_inverse=True)
-    return [*out, (keys, np.bincount(place[used], minlength=len(keys)), np.bincount(place[gone], minlength=len(keys)))]
-
-
-class Weights:
-    """Mixture weights (bucket, 3) for pair, word and uniform estimates, with the counts that they go with."""
-
-    def __init__(self, mix: np.ndarray, n: int, v: int):
-        self.mix, self.n, self.v = mix, n, v
+    yield names, np.bincount(tokens[used], minlength=len(names)), np.bincount(tokens[gone], minlength=len(names))
+    for grams in _grams(names, tokens, sizes, order):
+        keys, place = np.unique(grams, return_inverse=True)
+        yield keys, np.bincount(place[used], minlength=len(keys)), np.bincount(place[gone], minlength=len(keys))
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(context + 1).astype(np.int64), BUCKETS - 1)
 
 
-def expectation_maximisation(p2: np.ndarray, p1: np.ndarray, p0: float, count: np.ndarray, of: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of each bucket that raise the likelihood of `count` held-out tokens with estimates p2, p1, p0. A bucket without any
-    takes the weights of all tokens together."""
-    est = np.stack([p2, p1, np.full_like(p1, p0)], 1)
+def buckets_of(contexts: list[np.ndarray]) -> np.ndarray:
+    """The bucket of each token: by the longest context's count, or if that is 0 by the one a word shorter. contexts: longest first."""
+    out = bucket(contexts[0])
+    return out if len(contexts) < 2 else np.where(contexts[0] > 0, out, BUCKETS + bucket(contexts[1]))
+
+
+def expectation_maximisation(est: np.ndarray, count: np.ndarray, of: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights (bucket, estimate) that raise the likelihood of `count` held-out tokens with estimates est (rows, estimates; the longest context
+    first, the uniform one last), in buckets `of`. A bucket without any takes the weights of all tokens together."""
+    k = est.shape[1]
 
     def climb(rows: np.ndarray, start: np.ndarray) -> np.ndarray:
         mix = start
@@ -124,20 +140,29 @@ def expectation_maximisation(p2: np.ndarray, p1: np.ndarray, p0: float, count: n
             mix = mix / mix.sum()
         return mix
 
-    whole = climb(np.arange(len(p2)), np.full(3, 1 / 3)) if len(p2) else np.array([0.4, 0.4, 0.2])
-    out = np.tile(whole, (BUCKETS, 1))
-    for b in range(BUCKETS):
+    whole = climb(np.arange(len(est)), np.full(k, 1 / k)) if len(est) else np.full(k, 1 / k)
+    out = np.tile(whole, (2 * BUCKETS, 1))
+    for b in range(2 * BUCKETS):
         rows = np.flatnonzero(of == b)
         if len(rows):
             out[b] = climb(rows, whole)
-    out[0] = [0, *(out[0, 1:] / out[0, 1:].sum())]  # no context, no pair estimate
-    return out
-
-
-def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
-    """id, n_tokens, n_known, train_tokens, base_score and score, a row for each document; learns from rows where train is true."""
+    # no context, no estimate from it
+    if k > 3:
+        out[BUCKETS:, 0] = 0
+        out[BUCKETS, 1] = 0
+    if k > 2:
+        out[0, 0] = 0
+        if k > 3:
+            out[0, 1] = 0
+    return out / out.sum(1, keepdims=True)
+
+
+def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK, order: int = ORDER, part_bytes: int = PART) -> DataFrame:
+    """id, n_tokens, n_known, train_tokens, base_score and score, a row for each document; learns from rows where train is true. order: the
+    longest grams, 1 to 3 tokens."""
+    if order not in (1, 2, 3):
+        raise ValueError("order must be 1, 2 or 3")
     width = shuffle_width(docs.sparkSession)
-    parts = 2 * width
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     rows = rows.withColumn("left_out", F.pmod(F.xxhash64("id", F.lit("deleted")), F.lit(DELETED)) == 0)
 
@@ -154,13 +179,15 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     table = rows.mapInArrow(number, "held boolean, ids array<bigint>, raw binary")
     blocks = store(table.withColumn("block", F.monotonically_increasing_id()), "uncompressed")
+    # a token takes two or three bytes in a block, a gram about five when asked for
+    parts = int(max(width, (blocks.agg(F.sum(F.length("raw"))).first()[0] or 0) * 2 // part_bytes))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, held, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "held", "raw")), strict=True):
                 out = []
-                for kind, (keys, count, gone) in enumerate(_keys(raw)):
-                    cuts = split_keys(keys, 64 - 16 * kind, parts).tolist()
+                for kind, (keys, count, gone) in enumerate(_keys(raw, order)):
+                    cuts = split_keys(keys, 48 if kind else 64, parts).tolist()
                     for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                         if b > a:
                             out.append((kind * parts + part, _join(_gaps(keys[a:b]), _small(count[a:b]), _small(gone[a:b]))))
@@ -185,7 +212,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                 stats = [0, 0, 0, 0]
 
     asked = blocks.select("block", "held", "raw").mapInArrow(ask, "part int, block bigint, held boolean, asked binary")
-    replies = store(asked.repartition(width, "part").sortWithinPartitions("part").mapInArrow(answer, "part int, block bigint, held boolean, reply binary, stats array<bigint>"), "uncompressed")
+    replies = store(asked.repartitionById(order * parts, F.col("part")).mapInArrow(answer, "part int, block bigint, held boolean, reply binary, stats array<bigint>"), "uncompressed")
     n, v, n_main, v_main = (x or 0 for x in replies.agg(*[F.sum(F.col("stats")[k]) for k in range(4)]).first())
 
     def met(held: bool | None) -> DataFrame:
@@ -194,46 +221,58 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         both = a.select("block", F.lit(-1).alias("part"), F.col("raw").alias("data"), "ids").unionByName(b.select("block", "part", F.col("reply").alias("data"), F.lit(None).cast("array<bigint>").alias("ids")))
         return both.repartition(width, "block").sortWithinPartitions("block", "part")
 
-    def counts(group: pa.Table, which: int) -> tuple:
-        """A block's texts with, for each token: its count, its pair's count, and the count of the token before."""
+    def counts(group: pa.Table, which: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """A block's sizes of texts, and for each token its counts and those of its contexts, longest grams first."""
         data = group["data"].to_pylist()
         names, tokens, sizes, *_ = _block(data[0])
-        pairs = _pairs(names, tokens, sizes)
-        keys, place = np.unique(pairs, return_inverse=True)
-        got: list[list[np.ndarray]] = [[], []]
+        got: list[list[np.ndarray]] = [[] for _ in range(order)]
         for part, x in zip(group["part"].to_pylist()[1:], data[1:], strict=True):
-            got[part >= parts].append(_large(_cut(x)[which]))
-        c1 = np.concatenate(got[0])[tokens]
-        c2 = np.concatenate(got[1])[place]
-        ends = np.concatenate(got[0])[np.searchsorted(names, END)]
-        context = np.empty_like(c1)
-        context[1:] = c1[:-1]
-        context[np.cumsum(sizes) - sizes] = ends
-        return sizes, c1, c2, context
+            got[part // parts].append(_large(_cut(x)[which]))
+        words = np.concatenate(got[0])
+        first, ends = np.cumsum(sizes) - sizes, words[np.searchsorted(names, END)]
+        out, contexts = [words[tokens]], []
+        for k, grams in enumerate(_grams(names, tokens, sizes, order), 1):
+            before = np.concatenate([out[0][:1], out[0][:-1]])
+            before[first] = ends
+            contexts.insert(0, before)
+            out.insert(0, np.concatenate(got[k])[np.unique(grams, return_inverse=True)[1]])
+        return sizes, out, contexts
+
+    def estimates(found: list[np.ndarray], contexts: list[np.ndarray], tokens: int, distinct: int) -> list[np.ndarray]:
+        out = [c / np.maximum(1, x) for c, x in zip(found, contexts, strict=False)]
+        return [*out, found[-1] / max(1, tokens), np.full(len(found[-1]), 1 / (distinct + 1))]
+
+    def of_tokens(found: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
+        return buckets_of(contexts) if contexts else np.ones(len(found[-1]), np.int64)
 
     def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Histogram of the tokens left out: cells of (bucket, bin of the pair estimate, bin of the word estimate)."""
-        total = np.zeros((BUCKETS * BINS * BINS, 3))
+        """Histogram of the tokens left out: cells of the bucket and the bins of the estimates, with how many there are and their sums."""
+        total = np.zeros((2 * BUCKETS * BINS**order, 1 + order))
         for _, group in by_key(batches, "block"):
-            sizes, c1, c2, context = counts(group, 1)
-            p1, p2 = c1 / max(1, n_main), c2 / np.maximum(1, context)
-            cell = (bucket(context) * BINS + _bin(p2)) * BINS + _bin(p1)
-            for k, x in enumerate((np.ones(len(c1)), p2, p1)):
+            _, found, contexts = counts(group, 1)
+            est = estimates(found, contexts, n_main, v_main)[:-1]
+            cell = of_tokens(found, contexts)
+            for p in est:
+                cell = cell * BINS + _bin(p)
+            for k, x in enumerate((np.ones(len(cell)), *est)):
                 total[:, k] += np.bincount(cell, weights=x, minlength=len(total))
         some = np.flatnonzero(total[:, 0])
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(total[some, k]) for k in range(3)]], ["cell", "n", "p2", "p1"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(total[some, k]) for k in range(1 + order)]], ["cell", "n", *sums])
 
-    cells = met(True).mapInArrow(held_out, "cell int, n double, p2 double, p1 double").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "p2", "p1")]).orderBy("cell").toArrow()
-    cell, count, p2, p1 = (cells[c].to_numpy() for c in ("cell", "n", "p2", "p1"))
-    mix = expectation_maximisation(p2 / np.maximum(1, count), p1 / np.maximum(1, count), 1 / (v_main + 1), count, cell // (BINS * BINS))
+    sums = [f"p{k}" for k in range(order)]
+    cells = met(True).mapInArrow(held_out, ", ".join(["cell int", "n double", *[f"{c} double" for c in sums]]))
+    cells = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", *sums)]).orderBy("cell").toArrow()
+    count = cells["n"].to_numpy()
+    est = [cells[c].to_numpy() / np.maximum(1, count) for c in sums]
+    mix = expectation_maximisation(np.stack([*est, np.full(len(count), 1 / (v_main + 1))], 1), count, cells["cell"].to_numpy() // BINS**order)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in by_key(batches, "block"):
-            sizes, c1, c2, context = counts(group, 0)
-            first = np.cumsum(sizes) - sizes
+            sizes, found, contexts = counts(group, 0)
+            first, c1 = np.cumsum(sizes) - sizes, found[-1]
             base = np.log10((c1 + 0.5) / (n + 0.5 * (v + 1)))
-            share = mix[bucket(context)]
-            p = share[:, 0] * c2 / np.maximum(1, context) + share[:, 1] * c1 / max(1, n) + share[:, 2] / (v + 1)
+            share = mix[of_tokens(found, contexts)]
+            p = sum(share[:, k] * x for k, x in enumerate(estimates(found, contexts, n, v)))
             whole = np.add.reduceat(np.log10(p), first) if n else np.zeros(len(sizes))
             columns = [pa.array(group["ids"][0].as_py(), pa.int64()), pa.array(sizes), pa.array(np.add.reduceat((c1 > 0).astype(np.int64), first)), pa.array(np.full(len(sizes), n, np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(whole)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -242,5 +281,5 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
 
 def _bin(p: np.ndarray) -> np.ndarray:
-    """Quarter powers of two, 0 for no probability."""
-    return np.where(p > 0, np.clip(np.floor(-4 * np.log2(np.maximum(p, 1e-300))), 0, BINS - 2).astype(np.int64) + 1, 0)
+    """Powers of two, 0 for no probability."""
+    return np.where(p > 0, np.clip(np.floor(-np.log2(np.maximum(p, 1e-300))), 0, BINS - 2).astype(np.int64) + 1, 0)
