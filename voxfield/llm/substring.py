@@ -9,10 +9,11 @@ Exchange at a level: documents are dealt into blocks of BLOCK bytes of text, whi
 candidates once to the part of the hash, in sorted order by gaps; the part finds out which hashes several blocks, or several documents of
 one, have, and what is the smallest id, and answers each block with a bit or two for each hash. So a passage that a third of all
 documents share costs a few bytes for each block, parts are even, and no group is ever collected. The hash of a window twice as
-long comes from the hashes of its halves, so only the first levels read the texts. Equal texts of a block are one candidate.
+long comes from the hashes of its halves, so only the first levels read the texts. Whole texts are exchanged by hash along with the
+windows of 7 words: of equal texts only that of the least id is a candidate, its copies are removed whole.
 
 Hashes: 48 bits tell windows of 7 words apart (an error only keeps a candidate), 64 bits those of 13 and more: among w such windows
-a wrong match is expected w * w / 2**65 times.
+a wrong match is expected w * w / 2**65 times, as among whole texts.
 
 Memory: a block when asking; a part of about PART bytes when answering. Parts are as many as the words need.
 
@@ -22,21 +23,21 @@ from each other; each is judged by its own words. An id must be a number or null
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxfield.llm.common import _cut, _gaps, _join, _sorted, as_bytes, by_key, drop, shuffle_width, split_keys, store, text_blocks
+from voxfield.llm.common import _cut, _gaps, _join, _sorted, as_bytes, by_key, shuffle_width, split_keys, store, text_blocks
 
 WINDOW = 13
 BLOCK = 8 << 20
 PART = 12 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
-STATE, PLACES, LONGEST = 0, 1, 2
+STATE, PLACES, LONGEST, COPIES = 0, 1, 2, 3
 
 
 def rolled(h: np.ndarray, size: int) -> np.ndarray:
@@ -109,6 +110,13 @@ class _Windows:
         digest = xxhash.xxh64_intdigest
         self.h = np.fromiter((digest(w) for x in words if len(x) >= window for w in x), np.uint64, int(self.size.sum()))
         self.first = np.cumsum(self.size) - self.size
+        self.whole = np.array([digest(x) for x in place], np.uint64)
+
+    def texts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the whole texts that count, in order, and which texts they are."""
+        some = np.flatnonzero(self.size)
+        order = some[np.argsort(self.whole[some])]
+        return self.whole[order], order
 
     def at(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(text, place in h) of all windows of `length` words."""
@@ -141,26 +149,34 @@ class _State:
 
     def pack(self) -> bytes:
         used, doc = np.unique(self.doc, return_inverse=True)
-        return _join(self.low[used].tobytes(), self.high[used].tobytes(), used.astype(np.uint32).tobytes(), doc.astype(np.uint32).tobytes(), self.start.astype(np.uint32).tobytes(), self.h.tobytes())
+        run = _runs(doc, self.start - np.arange(len(doc)))  # neighbouring windows
+        size = np.diff(np.append(run, len(doc)))
+        small = (x.astype(np.uint32).tobytes() for x in (used, doc[run], self.start[run], size))
+        return _join(self.low[used].tobytes(), self.high[used].tobytes(), *small, self.h.tobytes())
 
     @classmethod
     def read(cls, raw: bytes) -> _State:
-        low, high, name, doc, start, h = (np.frombuffer(x, t) for x, t in zip(_cut(raw), (np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint64), strict=True))
-        out = cls(low, high, doc.astype(np.int64), start.astype(np.int64), h)
+        low, high, name, doc, start, size, h = (np.frombuffer(x, t) for x, t in zip(_cut(raw), (np.int64, np.int64, *[np.uint32] * 4, np.uint64), strict=True))
+        size = size.astype(np.int64)
+        place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+        out = cls(low, high, np.repeat(doc.astype(np.int64), size), np.repeat(start.astype(np.int64), size) + place, h)
         out.name = name
         return out
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes, each candidate's place among them, and the least and greatest ids that have them."""
+    def keys(self) -> tuple[np.ndarray, ...]:
+        """Distinct hashes, each candidate's place among them, the least and greatest ids that have them, and whether several texts do."""
         keys, place = np.unique(self.h, return_inverse=True)
-        return keys, place, *_grouped(place, len(keys), self.low[self.doc], self.high[self.doc])
+        least, most = _grouped(place, len(keys), self.doc, self.doc)
+        return keys, place, *_grouped(place, len(keys), self.low[self.doc], self.high[self.doc]), least != most
 
 
-def _sliced(part_of: np.ndarray, block: int, slices) -> Iterator[pa.RecordBatch]:
+def _sliced(block: int, cuts: list[np.ndarray], piece: Callable[..., bytes]) -> Iterator[pa.RecordBatch]:
+    """Rows for the parts: a piece for each, of the ranges that the cuts give it, where any isn't empty."""
     out = []
-    for part, (a, b) in enumerate(zip(part_of[:-1].tolist(), part_of[1:].tolist(), strict=True)):
-        if b > a:
-            out.append((part, slices(a, b)))
+    for part in range(len(cuts[0]) - 1):
+        ranges = [(int(c[part]), int(c[part + 1])) for c in cuts]
+        if any(b > a for a, b in ranges):
+            out.append((part, piece(*ranges)))
     for k in range(0, len(out), 64):
         some = out[k : k + 64]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([x[1] for x in some], pa.binary())], ["part", "block", "data"])
@@ -200,7 +216,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 doc, _, place, keys = _short(w, half)
                 low, high = _grouped(place, len(keys), w.low[doc], w.high[doc])
                 several = low != high
-                yield from _sliced(split_keys(keys, 48, parts), block, lambda a, b: _join(_gaps(keys[a:b]), _bits(several[a:b])))  # noqa: B023
+                whole, text = w.texts()
+
+                def piece(x: tuple[int, int], y: tuple[int, int]) -> bytes:
+                    names = text[slice(*y)]  # noqa: B023
+                    return _join(_gaps(keys[slice(*x)]), _bits(several[slice(*x)]), whole[slice(*y)].tobytes(), w.low[names].tobytes(), w.high[names].tobytes())  # noqa: B023
+
+                yield from _sliced(block, [split_keys(keys, 48, parts), split_keys(whole, 64, parts)], piece)
 
     def answer_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, group in by_key(batches, "part"):
@@ -208,33 +230,42 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             keys = [_sorted(x[0]) for x in cut]
             _, place, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
             several = count > 1
-            several[place] |= np.concatenate([_flags(x[1], len(k)) for x, k in zip(cut, keys, strict=True)])
-            ends = np.cumsum([len(k) for k in keys])
-            replies = [_bits(x) for x in np.split(several[place], ends[:-1])]
+            several[place[np.concatenate([_flags(x[1], len(k)) for x, k in zip(cut, keys, strict=True)])]] = True
+            ends = np.cumsum([len(k) for k in keys])[:-1]
+            # whole texts: least and greatest ids; a block whose own least is that stands for the text
+            low, high = (np.concatenate([np.frombuffer(x[k], np.int64) for x in cut]) for k in (3, 4))
+            _, of = np.unique(np.concatenate([np.frombuffer(x[2], np.uint64) for x in cut]), return_inverse=True)
+            least, most = _grouped(of, int(of.max(initial=-1)) + 1, low, high)
+            marks = np.cumsum([len(x[2]) // 8 for x in cut])[:-1]
+            whole = zip(np.split(least[of], marks), np.split(most[of], marks), strict=True)
+            replies = [_join(_bits(x), a.tobytes(), b.tobytes()) for x, (a, b) in zip(np.split(several[place], ends), whole, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(cut), pa.int32()), group["block"].combine_chunks(), pa.array(replies, pa.binary())], ["part", "block", "data"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                keys, _, low, high = _State.read(data).keys()
+                keys, _, low, high, two = _State.read(data).keys()
 
-                def piece(a: int, b: int) -> bytes:
-                    names, place = np.unique(low[a:b], return_inverse=True)  # noqa: B023
+                def piece(x: tuple[int, int]) -> bytes:
+                    mine = slice(*x)
+                    names, place = np.unique(low[mine], return_inverse=True)  # noqa: B023
                     kind = np.uint16 if len(names) < 1 << 16 else np.uint32
-                    return _join(_gaps(keys[a:b]), names.tobytes(), place.astype(kind).tobytes(), _bits(low[a:b] != high[a:b]))  # noqa: B023
+                    return _join(_gaps(keys[mine]), names.tobytes(), place.astype(kind).tobytes(), _bits(low[mine] != high[mine]), _bits(two[mine]))  # noqa: B023
 
-                yield from _sliced(split_keys(keys, 64, parts), block, piece)
+                yield from _sliced(block, [split_keys(keys, 64, parts)], piece)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, group in by_key(batches, "part"):
             cut = [_cut(x) for x in group["data"].to_pylist()]
             keys = [_sorted(x[0]) for x in cut]
             low = np.concatenate([np.frombuffer(x[1], np.int64)[np.frombuffer(x[2], np.uint16 if len(x[1]) < 1 << 19 else np.uint32)] for x in cut])
-            two = np.concatenate([_flags(x[3], len(k)) for x, k in zip(cut, keys, strict=True)])
-            every, place = np.unique(np.concatenate(keys), return_inverse=True)
+            apart, two = (np.concatenate([_flags(x[i], len(k)) for x, k in zip(cut, keys, strict=True)]) for i in (3, 4))
+            every, place, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
             least, most = _grouped(place, len(every), low, low)
-            several = least != most
-            several[place] |= two
+            ids, texts = least != most, count > 1  # several ids, and several texts: a text and its copies are one
+            ids[place[apart]] = True
+            texts[place[two]] = True
+            several = ids & texts
             ends = np.cumsum([len(k) for k in keys])[:-1]
             replies = [_join(_bits(a), _bits(b)) for a, b in zip(np.split(low > least[place], ends), np.split(several[place], ends), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(cut), pa.int32()), group["block"].combine_chunks(), pa.array(replies, pa.binary())], ["part", "block", "data"])
@@ -249,13 +280,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             w = _Windows(data[0].as_py(), window)
             _, at, place, keys = _short(w, half)
             cuts = split_keys(keys, 48, parts)
-            several = np.zeros(len(keys), bool)
+            whole, text = w.texts()
+            marks = split_keys(whole, 64, parts)
+            several, low, high = np.zeros(len(keys), bool), w.low.copy(), w.high.copy()
             for p, x in zip(part[1:], data[1:], strict=True):
-                several[cuts[p] : cuts[p + 1]] = _flags(x.as_py(), int(cuts[p + 1] - cuts[p]))
+                bits, least, most = _cut(x.as_py())
+                several[cuts[p] : cuts[p + 1]] = _flags(bits, int(cuts[p + 1] - cuts[p]))
+                names = text[marks[p] : marks[p + 1]]
+                low[names], high[names] = np.frombuffer(least, np.int64), np.frombuffer(most, np.int64)
+            copied = np.flatnonzero(high > low)
+            if len(copied):
+                yield row(block, COPIES, 0, _join(copied.astype(np.uint32).tobytes(), low[copied].tobytes()))
             there = np.zeros(len(w.h) + 1, bool)
             there[at] = several[place]
+            stands = w.low == low
+            w.low, w.high = low, high
             doc, at = w.at(window)
-            keep = there[at] & there[at + window - half]
+            keep = there[at] & there[at + window - half] & stands[doc]
             if keep.any():
                 doc, at = doc[keep], at[keep]
                 yield row(block, STATE, window, _State(w.low, w.high, doc, at - w.first[doc], rolled(w.h, window)[at]).pack())
@@ -265,7 +306,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for block, group in by_key(batches, "block"):
             part, data, level = group["part"].to_pylist(), group["data"], group["level"][0].as_py()
             s = _State.read(data[0].as_py())
-            keys, place, low, _ = s.keys()
+            keys, place, low, *_ = s.keys()
             cuts = split_keys(keys, 64, parts)
             late, several = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
             for p, x in zip(part[1:], data[1:], strict=True):
@@ -295,9 +336,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         both = state.select(F.lit(-1).alias("part"), "block", "data").unionByName(replies)
         return both.withColumn("level", F.lit(level)).repartition(width, "block").sortWithinPartitions("block", "part")
 
-    found, level = [], window
+    level = window
     replies = dealt(blocks.select("block", "data").mapInArrow(ask_short, _ROW), answer_short)
     table = store(met(blocks, replies, half).mapInArrow(grow_short, "block bigint, kind int, level int, data binary"), "uncompressed")
+    found = [table]
     while True:
         state = table.where(F.col("kind") == STATE).select("block", "data")
         if not state.limit(1).count():
@@ -305,8 +347,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         replies = dealt(state.mapInArrow(ask, _ROW), answer)
         new = store(met(state, replies, level).mapInArrow(grow, "block bigint, kind int, level int, data binary"), "uncompressed")
         found.append(new)
-        if level == window:
-            drop(table)
         table, level = new, 2 * level
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,11 +360,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if k == len(low):
                     low.append(int(ids[i]))
                 low[k] = min(low[k], int(ids[i]))
-            longest, starts = np.zeros(len(low), np.int32), {}
+            longest, starts, copied = np.zeros(len(low), np.int32), {}, {}
             for what, level, x in zip(group["kind"].to_pylist()[1:], group["level"].to_pylist()[1:], group["data"][1:], strict=True):
                 if what == LONGEST:
                     some = np.frombuffer(x.as_py(), np.uint32)
                     longest[some] = np.maximum(longest[some], level)
+                elif what == COPIES:
+                    names, lows = (np.frombuffer(y, t) for y, t in zip(_cut(x.as_py()), (np.uint32, np.int64), strict=True))
+                    copied = dict(zip(names.tolist(), lows.tolist(), strict=True))
                 else:
                     doc, start = (np.frombuffer(y, np.uint32).astype(np.int64) for y in _cut(x.as_py()))
                     cuts = _runs(doc)
@@ -336,10 +379,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     k = None if null[i] else place[texts[i]]
                     gone = np.zeros(len(words), bool)
                     if k is not None and len(words) >= window:
-                        if ids[i] > low[k]:
-                            gone[:] = True  # a copy of a smaller id's text in the block
+                        if ids[i] > copied.get(k, low[k]):
+                            gone[:] = True  # a copy of a smaller id's text
                         elif k in starts:
                             gone = covered(len(words), starts[k], window)
+                        if k in copied:  # all of it is in another document
+                            longest[k] = max(longest[k], window << (len(words) // window).bit_length() - 1)
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
                     kept = b" ".join(words if not edge else [w for w, x in zip(words, gone.tolist(), strict=True) if not x])
                     values = (None if null[i] else int(ids[i]), len(words), int(gone.sum()), kept, [{"start": a, "end": b} for a, b in edge], 0 if k is None else int(longest[k]))
