@@ -46,3 +46,49 @@ def test_operator_edges(spark):
     none = toxicity.learn(docs, marks.limit(0))
     assert none.scores(["idiot", ""]).max() < 0.7
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_forward_pass_like_plain_python():
+    """Words, windows, whole text and layer, n-gram by n-gram."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(0, 1, toxicity.BUCKETS), 0.25, np.array([1.1, -0.4, -0.3, 0.2]))
+    mult, mask, shift = 0x9E3779B97F4A7C15, (1 << 64) - 1, 64 - (toxicity.BUCKETS.bit_length() - 1)
+
+    def word(w):
+        cp = [32, *map(ord, w), 32]
+        total, n = 0.0, 0
+        for i in range(len(cp)):
+            h = cp[i] + 1
+            for k in range(1, 5):
+                if i + k >= len(cp):
+                    break
+                h = (h * mult & mask) ^ (h >> 29) ^ (cp[i + k] + 1)
+                if k >= 2:
+                    total, n = total + float(model.part[(h * mult & mask) >> shift]), n + 1
+        whole = sum((c + 1) * pow(mult, j + 1, 1 << 64) for j, c in enumerate(cp)) & mask
+        return (total + float(model.part[((whole ^ whole >> 31) * mult & mask) >> shift])) / (n + 1)
+
+    for text in ("You IDIOT, go away", "one", "", "a b c d e f g h i j k", "Ünï 12x  y"):
+        words = [word(w) for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()]
+        n = len(words)
+        best = whole = sum(words) / max(1, n)
+        if n > 2:
+            best = np.mean(sorted((words[i] + words[i + 1]) / 2 for i in range(n - 1))[-toxicity.TOP :])
+        z = 1.1 * best - 0.4 * whole - 0.3 * np.log1p(n) + 0.2
+        assert abs(model.scores([text])[0] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_length_alone_flags_nothing():
+    rng = random.Random(4)
+    model = toxicity.fit(*corpus(rng, 400), 0.3)
+    clean = [" ".join("".join(rng.choices(["an", "the", "ti", "on", "er", "wh", "sh"], k=rng.randint(1, 3))) for _ in range(n)) for n in (30, 100, 1000, 5000) for _ in range(10)]
+    flagged = (model.scores(clean) >= 0.7).reshape(4, 10).mean(1)
+    assert flagged.max() <= 0.1
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    texts, labels = corpus(random.Random(5), 30)
+    docs = spark.createDataFrame([(i % 10, x) for i, x in enumerate(texts * 20)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(y)) for i, y in enumerate(labels[:10])], "doc_id long, toxic int")
+    model = toxicity.learn(docs, marks, per_class=10, most_chars=600)
+    assert 0 <= model.scores(["a"])[0] <= 1

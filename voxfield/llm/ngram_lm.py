@@ -180,7 +180,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     table = rows.mapInArrow(number, "held boolean, ids array<bigint>, raw binary")
     blocks = store(table.withColumn("block", F.monotonically_increasing_id()), "uncompressed")
     # a token takes two or three bytes in a block, a gram about five when asked for
-    parts = int(max(width, (blocks.agg(F.sum(F.length("raw"))).first()[0] or 0) * 2 // part_bytes))
+    stored = int(blocks.agg(F.sum(F.length("raw"))).first()[0] or 0)
+    parts, tasks = max(width, stored * 2 // part_bytes), max(width, stored // (2 * part_bytes))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +220,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         """Blocks with their replies side by side, as rows in order: the block, then its replies by part."""
         a, b = (x if held is None else x.where(F.col("held") == held) for x in (blocks, replies))
         both = a.select("block", F.lit(-1).alias("part"), F.col("raw").alias("data"), "ids").unionByName(b.select("block", "part", F.col("reply").alias("data"), F.lit(None).cast("array<bigint>").alias("ids")))
-        return both.repartition(width, "block").sortWithinPartitions("block", "part")
+        return both.repartition(tasks, "block").sortWithinPartitions("block", "part")
 
     def counts(group: pa.Table, which: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """A block's sizes of texts, and for each token its counts and those of its contexts, longest grams first."""

@@ -207,7 +207,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     blocks = store(rows.mapInArrow(number, "data binary").withColumn("block", F.monotonically_increasing_id()), "uncompressed")
     # a hash and its gap take about 5 bytes, a word about 6
-    parts = int(max(width, (blocks.agg(F.sum(F.length("data"))).first()[0] or 0) * 2 // part_bytes))
+    stored = int(blocks.agg(F.sum(F.length("data"))).first()[0] or 0)
+    parts, tasks = max(width, stored * 2 // part_bytes), max(width, stored // (2 * part_bytes))
 
     def ask_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,7 +335,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def met(state: DataFrame, replies: DataFrame, level: int) -> DataFrame:
         both = state.select(F.lit(-1).alias("part"), "block", "data").unionByName(replies)
-        return both.withColumn("level", F.lit(level)).repartition(width, "block").sortWithinPartitions("block", "part")
+        return both.withColumn("level", F.lit(level)).repartition(tasks, "block").sortWithinPartitions("block", "part")
 
     level = window
     replies = dealt(blocks.select("block", "data").mapInArrow(ask_short, _ROW), answer_short)
@@ -398,7 +399,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = blocks.select("block", F.lit(STATE).alias("kind"), F.lit(0).alias("level"), "data")
     for x in found:
         both = both.unionByName(x.where(F.col("kind") != STATE))
-    both = both.repartition(width, "block").sortWithinPartitions("block", "kind")
+    both = both.repartition(tasks, "block").sortWithinPartitions("block", "kind")
     schema = "id bigint, n_words bigint, n_removed bigint, kept_text string, removed array<struct<start: int, end: int>>, longest int"
     return both.mapInArrow(finish, schema).withColumnRenamed("id", id_col)
 

@@ -5,13 +5,16 @@ and of the word itself, all hashed into BUCKETS rows; a text is the mean of its
 gives the two classes. Vectors and layer are trained together, full batch, with Adam on cross-entropy. Misspelt words share most n-grams
 with their pattern, so they score without having been seen.
 
-The score of a text is the greatest over its windows of WINDOW words (steps of half), each averaged on its own, so a passage counts in
-a long text as in a short one; after a first fit on whole texts, training goes on with such windows. Since the layer is linear, each bucket's part of the class difference is one number and scoring
-adds up numbers.
-
-Learning: at most about `per_class` labelled rows of each label, picked by a hash of the id (the bound is a parameter of the classifier only).
-The model is BUCKETS numbers and a bias, whatever the input. Nulls: a null text is an empty one; it scores as the bias says. Labels that are null or not
-0 or 1 teach nothing; a document labelled several times teaches with each. With labels of one class only, or none, the model is the constant share of toxic labels.
+A text is read as a whole and in passages: the mean of all its words, and that of its TOP best windows of WINDOW words (steps of half), each
+averaged on its own, so a passage counts in a long text as in a short one. After a first fit on whole texts, training goes on with such
+windows; of toxic texts the DOUBT share whose best window looks least toxic sits a round out, as their labels may be wrong, and words of less than
+LEAST texts are not trained, so neither is learnt by heart. Long texts have more windows and so better best ones: a logistic layer over
+passage, whole and the logarithm of the number of words, fitted on the CALIBRATE share of the sample that was held back, sets that off. Since the layer is linear,
+each bucket's part of the class difference is one number and scoring adds up numbers.
+
+Learning: at most about `per_class` labelled rows of each label, picked by a hash of the id, of at most `most_chars` characters (the bounds are parameters of the classifier only).
+The model is BUCKETS numbers and a bias, whatever the input. Nulls: a null text is an empty one; a text without words scores like a short one of the usual words of class 0, and so do words whose n-grams were never trained. Labels that are null or not
+0 or 1 teach nothing; a document labelled several times teaches with each. With less than FEW held-back rows of a class, the best window alone decides. With labels of one class only, or none, the model is the constant share of toxic labels.
 Other columns are not carried.
 """
 
@@ -32,9 +35,15 @@ DIM = 8
 SCALE = 3.0
 WINDOW = 2
 HARD = 12
-ROUNDS = 8
+ROUNDS = 4
+TOP = 3
+LEAST = 3
+DOUBT = 0.2
+CALIBRATE = 0.3
+FEW = 10
+MOST_CHARS = 1 << 18
 PER_CLASS = 1500
-STEPS = 40
+STEPS = 25
 DECAY = 0.02
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,8 +93,10 @@ def window_starts(n: int) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, part: np.ndarray, bias: float):
+    def __init__(self, part: np.ndarray, bias: float, layer: np.ndarray | None = None, usual: float = 0.0):
         self.part, self.bias = part.astype(np.float32), bias  # each bucket's part of the class difference
+        self.usual = usual  # the mean of the words of class 0: that of a text without words
+        self.layer = layer  # weights of passage, whole and length, and a constant
 
     def word_scores(self, cp: np.ndarray, size: np.ndarray) -> np.ndarray:
         if not len(size):
@@ -96,18 +107,40 @@ class Model:
         p = size.astype(np.int64)
         return total / (np.maximum(p - 2, 0) + np.maximum(p - 3, 0) + np.maximum(p - 4, 0) + 1)
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """The probability of class 1 for each text."""
+    def features(self, texts: list[str]) -> np.ndarray:
+        """Of each text: the mean of its TOP best windows, the mean of its words, the logarithm of 1 + their number."""
         cp, size, text = tokens(texts)
         words = self.word_scores(cp, size)
         count = np.bincount(text, minlength=len(texts))
         begin = np.cumsum(count) - count
         upto = np.concatenate([[0.0], np.cumsum(words)])
-        best = (upto[begin + count] - upto[begin]) / np.maximum(1, count)
+        whole = (upto[begin + count] - upto[begin]) / np.maximum(1, count)
+        whole[count == 0] = self.usual
+        best = whole.copy()
         for i in np.flatnonzero(count > WINDOW).tolist():
             a = begin[i] + window_starts(int(count[i]))
-            best[i] = ((upto[a + WINDOW] - upto[a]) / WINDOW).max()
-        return 1 / (1 + np.exp(-np.clip(SCALE * best + self.bias, -30, 30)))
+            each = (upto[a + WINDOW] - upto[a]) / WINDOW
+            best[i] = np.sort(each)[-TOP:].mean()
+        return np.stack([best, whole, np.log1p(count)], 1)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """The probability of class 1 for each text."""
+        x = self.features(texts)
+        z = SCALE * x[:, 0] + self.bias if self.layer is None else x @ self.layer[:3] + self.layer[3]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50) -> np.ndarray:
+    """Weights and constant of a logistic layer, by Newton steps; class 1 weighs as the root of how much rarer it is."""
+    mean, spread = x.mean(0), x.std(0) + 1e-9
+    rows = np.c_[(x - mean) / spread, np.ones(len(x))]
+    weight = np.where(y == 1, max(1.0, (y == 0).sum() / (y == 1).sum()) ** 0.5, 1.0)
+    w = np.zeros(rows.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        slope = (rows * (weight * p * (1 - p))[:, None]).T @ rows + ridge * np.eye(len(w))
+        w -= np.linalg.solve(slope, rows.T @ (weight * (p - y)) + ridge * w)
+    return np.append(w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum())
 
 
 def _sums(values: np.ndarray, starts: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -148,12 +181,17 @@ class _Trainer:
         self.touched = np.zeros(BUCKETS, bool)
         self.layer, self.bias = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
 
+    def word_scores(self) -> np.ndarray:
+        part = np.where(self.touched, self.vectors @ (self.layer[:, 1] - self.layer[:, 0]), 0)
+        return (np.add.reduceat(part[self.grams], self.gram_at[:-1]) / np.diff(self.gram_at))[self.words]
+
+    def unit_scores(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0.0], np.cumsum(self.word_scores())])
+        return (upto[b] - upto[a]) / np.maximum(1, b - a)
+
     def windows(self, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, first word, last+1) of each document's most[i] best windows."""
-        part = np.where(self.touched, self.vectors @ (self.layer[:, 1] - self.layer[:, 0]), 0)
-        n = np.diff(self.gram_at)
-        score = (np.add.reduceat(part[self.grams], self.gram_at[:-1]) / n)[self.words]
-        upto = np.concatenate([[0.0], np.cumsum(score)])
+        upto = np.concatenate([[0.0], np.cumsum(self.word_scores())])
         out = []
         for i, (a, n) in enumerate(zip(self.begin.tolist(), self.count.tolist(), strict=True)):
             starts = window_starts(n) + a
@@ -201,20 +239,34 @@ class _Trainer:
 
 def fit(texts: list[str], labels: np.ndarray, prior: float, rounds: int = ROUNDS, seed: int = 7) -> Model:
     """Trains vectors and layer together: first on whole texts, then in rounds on the windows that the model so far scores
-    highest (one of each toxic text, HARD of each other one), which is what scoring looks at."""
+    highest (one of each toxic text, HARD of each other one), which is what scoring looks at. Then fits the layer over passage, whole and length."""
     labels = labels.astype(np.int64)
     p = min(max(prior, 1e-3), 1 - 1e-3)
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
-    t = _Trainer(texts, seed)
-    t.train(t.begin, t.begin + t.count, labels, STEPS, 3)
+    back = np.random.default_rng(seed).random(len(labels)) < CALIBRATE
+    if min(np.bincount(labels[back], minlength=2)) < FEW or labels[~back].min() == labels[~back].max():
+        back[:] = False
+    some = np.flatnonzero(~back)
+    t, y = _Trainer([texts[i] for i in some], seed), labels[some]
+    least = LEAST if len(some) >= 50 * LEAST else 1
+    t.train(t.begin, t.begin + t.count, y, STEPS, least)
     for _ in range(rounds):
-        doc, a, b = t.windows(np.where(labels == 1, 1, HARD))
-        t.train(a, b, labels[doc], STEPS, 1)
-    return Model(np.where(t.touched, t.vectors @ (t.layer[:, 1] - t.layer[:, 0]), 0), float(t.bias[1] - t.bias[0]))
-
-
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Model:
+        doc, a, b = t.windows(np.where(y == 1, 1, HARD))
+        score = t.unit_scores(a, b)
+        sure = (y[doc] == 0) | (score >= np.quantile(score[y[doc] == 1], DOUBT))
+        t.train(a[sure], b[sure], y[doc][sure], STEPS, least)
+    # n-grams that were never trained count like the usual word of class 0, not like one between the classes
+    of_words, clean = t.word_scores(), np.repeat(y == 0, t.count)
+    usual = float(of_words[clean].mean()) if clean.any() else 0.0
+    part, bias = np.where(t.touched, t.vectors @ (t.layer[:, 1] - t.layer[:, 0]), usual), float(t.bias[1] - t.bias[0])
+    bare = Model(part, bias, None, usual)
+    if not back.any():
+        return bare
+    return Model(part, bias, logistic(bare.features([texts[i] for i in np.flatnonzero(back)]), labels[back]), usual)
+
+
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Model:
     """Trains on at most about per_class rows of each label of `labels` (id, label), which holds the rows that may teach."""
     rows = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     seen = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -222,8 +274,9 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         return fit([], np.zeros(0), 0.0)
     share = F.create_map(*[F.lit(x) for y, n in seen.items() for x in (y, min(1.0, per_class / n))])
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 24)) < share[F.col("y")] * (1 << 24))
-    # the picked ids number about 2 * per_class, whatever the input, so they are sent to the texts
-    got = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id").select("id", "text", "y").toArrow()
+    # the picked ids number about 2 * per_class, whatever the input, so they are sent to the texts; ids that repeat don't make the sample larger
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= most_chars)
+    got = texts.join(F.broadcast(picked), "id").select("id", "text", "y").orderBy(F.xxhash64("id", "text", "y")).limit(3 * per_class).toArrow()
     order = sorted(range(got.num_rows), key=lambda i: (got["id"][i].as_py(), got["text"][i].as_py(), got["y"][i].as_py()))
     texts, y = got["text"].to_pylist(), got["y"].to_pylist()
     return fit([texts[i] for i in order], np.array([y[i] for i in order]), seen.get(1, 0) / sum(seen.values()))
