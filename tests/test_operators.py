@@ -58,6 +58,8 @@ def test_compounds_and_expansion(spark):
     assert one(spark, text.compound_variants(F.col("s")), s="AlipayHK") == ["alipay hk", "Alipay HK"]
     assert "iPhone 16" in one(spark, text.compound_variants(F.col("s")), s="iPhone16")
     assert "a b c" in one(spark, text.compound_variants(F.col("s")), s="a_b-c")
+    cases = {"HKDollar": ["hk dollar", "HK Dollar"], "ABC_def": ["ABC def"], "aBC": ["a bc", "a BC"], "x2y": ["x y", "x y", "x 2 y"], "": [], "plain": [], "ABCé": []}
+    assert {k: one(spark, text.compound_variants(F.col("s")), s=k) for k in cases} == cases
     rows = textrank.expand_topics(spark.createDataFrame([("tea",)], "topic string"), ["{topic} review", "TEA", "best {topic}"], 10).orderBy("pos").collect()
     assert [r["query"] for r in rows] == ["tea", "tea review", "best tea"]
 
@@ -140,7 +142,8 @@ def test_keywords(spark):
 
 
 def test_cjk_grams(spark):
-    assert one(spark, textrank.cjk_grams(F.col("s")), s="abc 東京, 駅") == ["東京", "東", "京", "駅"]
+    assert one(spark, textrank.cjk_grams(F.col("s")), s="abc 東京, 駅") == ["東京", "京駅", "東", "京", "駅"]
+    assert one(spark, textrank.cjk_grams(F.col("s")), s="東の京こと") == ["東京", "京こ", "東", "京", "こ", "と"][:5]
     assert one(spark, textrank.tokenize(F.col("s"), F.lit("US")), s="The cats don't") == ["cats", "don't"]
 
 

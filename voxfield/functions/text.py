@@ -81,13 +81,26 @@ def token_set(s: Column) -> Column:
 
 
 def compound_variants(s: Column) -> Column:
-    """Variants of a compound topic: camel-case words (lower, then as they are), digits split off, underscores and hyphens as spaces."""
-    words = F.regexp_extract_all(s, F.lit("[A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z]|[0-9]|[^A-Za-z0-9_]|$)"), 0)
-    camel = F.array_join(words, " ")
-    digits = F.regexp_replace(s, r"(?<=[^0-9])(?=[0-9])|(?<=[0-9])(?=[^0-9])", " ")
+    """Variants of a compound topic: its words lower-cased and as they are (if several), digits set apart, underscores and hyphens as spaces.
+
+    Characters are classified one by one. A word begins where a letter follows another class, a capital follows a small letter, or a
+    capital precedes a small one; capitals that run into an underscore or a letter beyond ASCII are no word."""
+    chars = F.filter(F.split(F.regexp_replace(s, "[A-Z]+(?=[_\\x{80}-\\x{10FFFF}])", "_"), ""), lambda c: c != "")
+    small = lambda c: F.coalesce(c.between("a", "z"), F.lit(False))
+    big = lambda c: F.coalesce(c.between("A", "Z"), F.lit(False))
+    digit = lambda c: F.coalesce(c.between("0", "9"), F.lit(False))
+
+    def letter(c: Column, i: Column) -> Column:
+        before, after = F.get(chars, i - 1), F.get(chars, i + 1)
+        begins = big(c) & (small(before) | small(after))
+        return F.when(~(small(c) | big(c)), " ").when(begins, F.concat(F.lit(" "), c)).otherwise(c)
+
+    words = F.filter(F.split(F.array_join(F.transform(chars, letter), ""), " +"), lambda w: w != "")
+    several, spaced = F.size(words) > 1, F.array_join(words, " ")
+    own = F.filter(F.split(s, ""), lambda c: c != "")
+    apart = F.array_join(F.transform(own, lambda c, i: F.when((i > 0) & (digit(c) != digit(F.get(own, i - 1))), F.concat(F.lit(" "), c)).otherwise(c)), "")
     flat = F.translate(s, "_-", "  ")
-    parts = F.array(F.when(F.size(words) > 1, F.lower(camel)), F.when(F.size(words) > 1, camel), F.when(digits != s, digits), F.when(flat != s, flat))
-    return F.array_compact(parts)
+    return F.array_compact(F.array(F.when(several, F.lower(spaced)), F.when(several, spaced), F.when(apart != s, apart), F.when(flat != s, flat)))
 
 
 def hue(key: Column) -> Column:

@@ -9,7 +9,7 @@ _AT = "TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 600)"
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.substring("text", 1, 120).alias("body"), F.timestamp_seconds(F.col("doc_id") * 600 + 1704067200).alias("at"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.col("text").alias("body"), F.timestamp_seconds(F.col("doc_id") * 600 + 1704067200).alias("at"))
 
 
 def _label(c):
@@ -20,7 +20,7 @@ def _plain(posts, *metrics):
     return posts.select("id", "title", "body", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), *[F.col("metrics")[m].alias(m) for m in metrics])
 
 
-@query("feed_app_store", f"SELECT doc_id::VARCHAR AS id, 'by ' || source AS title, substr(text, 1, 120) AS body, {_AT} AS posted_at, doc_id % 5 + 1 AS rating, n_chars AS vote_sum FROM documents WHERE {_AT} >= TIMESTAMP '2024-01-03 00:00:00'")
+@query("feed_app_store", f"SELECT doc_id::VARCHAR AS id, 'by ' || source AS title, text AS body, {_AT} AS posted_at, doc_id % 5 + 1 AS rating, n_chars AS vote_sum FROM documents WHERE {_AT} >= TIMESTAMP '2024-01-03 00:00:00'")
 def feed_app_store(spark, sf_dir):
     entry = F.struct(
         _label(F.col("doc_id")).alias("id"), F.struct(_label(F.col("source")).alias("name")).alias("author"), _label(F.concat(F.lit("by "), "source")).alias("title"), _label(F.col("body")).alias("content"),
@@ -32,7 +32,7 @@ def feed_app_store(spark, sf_dir):
     return _plain(feeds.app_store(replies, "reply", "hk", "zh-HK", "2024-01-03 00:00:00"), "rating", "vote_sum")
 
 
-@query("feed_reddit", f"SELECT doc_id::VARCHAR AS id, source AS title, trim(source || chr(10) || chr(10) || substr(text, 1, 120)) AS body, {_AT} AS posted_at, n_chars AS score FROM documents WHERE doc_id % 4 <> 0")
+@query("feed_reddit", f"SELECT doc_id::VARCHAR AS id, source AS title, trim(source || chr(10) || chr(10) || text) AS body, {_AT} AS posted_at, n_chars AS score FROM documents WHERE doc_id % 4 <> 0")
 def feed_reddit(spark, sf_dir):
     item = F.struct(F.when(F.col("doc_id") % 4 == 0, "t1").otherwise("t3").alias("kind"), F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.col("body").alias("selftext"), F.unix_seconds("at").cast("double").alias("created_utc"), F.col("n_chars").alias("score")).alias("data"))
     pages = _docs(spark, sf_dir).groupBy(F.floor(F.col("doc_id") / 25).alias("page")).agg(F.collect_list(item).alias("c"))
@@ -40,7 +40,7 @@ def feed_reddit(spark, sf_dir):
     return _plain(feeds.reddit(replies.union(replies), "reply", "HK"), "score")
 
 
-@query("feed_dcard", f"SELECT doc_id::VARCHAR AS id, source AS title, substr(text, 1, 120) AS body, {_AT} AS posted_at, n_chars AS likes FROM documents")
+@query("feed_dcard", f"SELECT doc_id::VARCHAR AS id, source AS title, text AS body, {_AT} AS posted_at, n_chars AS likes FROM documents")
 def feed_dcard(spark, sf_dir):
     d = _docs(spark, sf_dir)
     post = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.when(F.col("doc_id") % 2 == 0, F.col("body")).alias("content"), F.col("body").alias("excerpt"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("createdAt"), F.col("n_chars").alias("likeCount"))
@@ -49,7 +49,7 @@ def feed_dcard(spark, sf_dir):
     return _plain(feeds.dcard(replies, "reply"), "likes")
 
 
-@query("feed_medium", f"SELECT doc_id::VARCHAR AS id, source AS title, source || chr(10) || chr(10) || substr(text, 1, 120) AS body, {_AT} AS posted_at, n_chars AS claps, 'name of ' || source AS author FROM documents")
+@query("feed_medium", f"SELECT doc_id::VARCHAR AS id, source AS title, source || chr(10) || chr(10) || text AS body, {_AT} AS posted_at, n_chars AS claps, 'name of ' || source AS author FROM documents")
 def feed_medium(spark, sf_dir):
     paragraphs = F.array(F.struct(F.lit(3).alias("type"), F.col("source").alias("text")), F.struct(F.lit(4000).alias("type"), F.lit("skipped").alias("text")), F.struct(F.lit(1).alias("type"), F.col("body").alias("text")))
     value = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"), F.col("source").alias("creatorId"), F.unix_millis("at").alias("firstPublishedAt"), F.struct(F.struct(paragraphs.alias("paragraphs")).alias("bodyModel")).alias("content"), F.struct(F.col("n_chars").alias("totalClapCount")).alias("virtuals"))
@@ -59,7 +59,7 @@ def feed_medium(spark, sf_dir):
     return posts.select("id", "title", "body", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), F.col("metrics")["claps"].alias("claps"), "author")
 
 
-@query("feed_json_ld", "SELECT substr(sha256('u' || doc_id || '|' || source || '|2024-01-02|' || substr(text, 1, 120)), 1, 16) AS id, 'h' AS title, substr(text, 1, 120) AS body, TIMESTAMP '2024-01-02 00:00:00' AS posted_at, doc_id % 5 + 1 AS rating FROM documents")
+@query("feed_json_ld", "SELECT substr(sha256('u' || doc_id || '|' || source || '|2024-01-02|' || text), 1, 16) AS id, 'h' AS title, text AS body, TIMESTAMP '2024-01-02 00:00:00' AS posted_at, doc_id % 5 + 1 AS rating FROM documents")
 def feed_json_ld(spark, sf_dir):
     review = F.struct(F.lit("h").alias("headline"), F.col("body").alias("reviewBody"), F.lit("2024-01-02").alias("datePublished"), F.struct(F.col("source").alias("name")).alias("author"), F.struct((F.col("doc_id") % 5 + 1).cast("string").alias("ratingValue")).alias("reviewRating"))
     html = F.concat(F.lit('<html><script type="application/ld+json">'), F.to_json(F.struct(F.array(review).alias("review"))), F.lit("</script>"))

@@ -28,10 +28,10 @@ def members(spark, sf_dir):
 _MEM = "(SELECT label AS cluster, d.* FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"
 
 
-@query("anti_already_embedded", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id < 20)")
+@query("anti_already_embedded", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE source = 'src0')")
 def anti_already_embedded(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("text_hash", F.sha2(F.col("text").cast("binary"), 256))
-    cache = docs.where("doc_id < 20").select("text_hash")
+    cache = docs.where("source = 'src0'").select("text_hash").distinct()
     known = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
     return R.not_seen(R.not_seen(docs, cache, ["text_hash"]), known, ["doc_id"]).select("doc_id")
 
@@ -116,7 +116,7 @@ def verbatim_quote(spark, sf_dir):
 @query(
     "theme_recovery",
     """SELECT b.item_id, count(*) AS matches FROM (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 8)) AS toks FROM benchmark) b
-       JOIN (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9]+'), lambda w: length(w) >= 8)) AS toks FROM documents) d ON len(list_intersect(b.toks, d.toks)) > 0 GROUP BY 1""",
+       JOIN (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 8)) AS toks FROM documents) d ON len(list_intersect(b.toks, d.toks)) > 0 GROUP BY 1""",
 )
 def theme_recovery(spark, sf_dir):
     from voxfield.functions.text import token_set
@@ -126,7 +126,7 @@ def theme_recovery(spark, sf_dir):
         return df.select(id_, F.explode(F.filter(token_set(text), lambda w: F.length(w) >= 8)).alias("token"))
 
     themes = tokens(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
-    claims = tokens(table(spark, sf_dir, "documents"), "doc_id", F.substring("text", 1, 200))
+    claims = tokens(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
     return themes.join(claims, "token").select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count("*").alias("matches"))
 
 
@@ -147,11 +147,11 @@ def distributions_grouping_sets(spark, sf_dir):
 
 
 def _source_counts(spark, sf_dir):
-    counts = members(spark, sf_dir).where("doc_id % 3 <> 0 or cluster <> 2").groupBy("cluster", "source").agg(F.count("*").alias("n"))
+    counts = members(spark, sf_dir).groupBy("cluster", "source").agg(F.count("*").alias("n"))
     return counts.join(registry(spark, sf_dir), "source", "left")
 
 
-_SC = f"(SELECT cluster, source, category, n FROM (SELECT cluster, source, count(*) AS n FROM {_MEM} WHERE doc_id % 3 <> 0 OR cluster <> 2 GROUP BY 1, 2) LEFT JOIN {_REG} USING (source))"
+_SC = f"(SELECT cluster, source, category, n FROM (SELECT cluster, source, count(*) AS n FROM {_MEM} GROUP BY 1, 2) LEFT JOIN {_REG} USING (source))"
 
 
 @query(
@@ -172,11 +172,10 @@ def coverage_tier(spark, sf_dir):
         CASE WHEN len(p) > 0 AND len(list_filter(p, lambda c: c NOT IN ('forums', 'qa', 'news_comments'))) = 0 THEN 'persona likely skews text-first / forum-native; short-form social and video voices are absent' END) AS w
         FROM (SELECT *, list_sort(list_filter(['social', 'video_comments', 'reviews'], lambda c: NOT list_contains(p, c))) AS g FROM
           (SELECT lang, list(DISTINCT category) FILTER (category IS NOT NULL) AS p, sum(n) AS size, max(n) AS top_n, (list(source ORDER BY n DESC, source))[1] AS top FROM
-            (SELECT lang, source, category, n FROM (SELECT lang, source, count(*) AS n FROM documents WHERE lang = 'en' OR (lang = 'fr' AND source = 'src7') OR (lang = 'de' AND source IN ('src7', 'src1', 'src2')) GROUP BY 1, 2) LEFT JOIN {_REG} USING (source)) GROUP BY 1)))""",
+            (SELECT lang, source, category, n FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2) LEFT JOIN {_REG} USING (source)) GROUP BY 1)))""",
 )
 def bias_warning(spark, sf_dir):
-    some = table(spark, sf_dir, "documents").where("lang = 'en' or (lang = 'fr' and source = 'src7') or (lang = 'de' and source in ('src7', 'src1', 'src2'))")
-    counts = some.groupBy("lang", "source").agg(F.count("*").alias("n")).join(registry(spark, sf_dir), "source", "left")
+    counts = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n")).join(registry(spark, sf_dir), "source", "left")
     return R.bias_warning(counts, "lang")
 
 
@@ -185,14 +184,15 @@ _NEG, _POS = ["bad", "worst", "hain", "scum", "idiot"], ["good", "best", "thst",
 
 @query(
     "claim_grounding",
-    f"""WITH ev AS (SELECT user_id AS claim, (user_id % 10)::INTEGER AS cluster, event_id AS doc FROM events WHERE event_id < 2000 UNION ALL SELECT user_id, (user_id % 10)::INTEGER, event_id FROM events WHERE event_id < 300),
+    f"""WITH ev AS (SELECT user_id AS claim, (user_id % 10)::INTEGER AS cluster, event_id AS doc FROM events UNION ALL SELECT user_id, (user_id % 10)::INTEGER, event_id FROM events WHERE event_type = 'error'),
         sc AS (SELECT doc_id AS doc, len(list_filter({_POS}, lambda w: contains(lower(text), w))) - len(list_filter({_NEG}, lambda w: contains(lower(text), w))) AS s FROM documents)
         SELECT claim, cluster, count(DISTINCT ev.doc) AS n_users, count(*) FILTER (s < 0) AS negative, count(*) FILTER (coalesce(s, 0) = 0) AS neutral, count(*) FILTER (s > 0) AS positive,
         round(count(DISTINCT ev.doc) / greatest(any_value(size), 1), 3) AS pct_of_cluster FROM ev LEFT JOIN sc USING (doc) JOIN (SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY 1) USING (cluster) GROUP BY 1, 2""",
 )
 def claim_grounding(spark, sf_dir):
-    mentions = table(spark, sf_dir, "events").select(F.col("user_id").alias("claim"), (F.col("user_id") % 10).cast("int").alias("cluster"), F.col("event_id").alias("doc"))
-    evidence = mentions.where("doc < 2000").unionByName(mentions.where("doc < 300"))
+    mentions = table(spark, sf_dir, "events").select(F.col("user_id").alias("claim"), (F.col("user_id") % 10).cast("int").alias("cluster"), F.col("event_id").alias("doc"), "event_type")
+    # errors are mentioned twice
+    evidence = mentions.drop("event_type").unionByName(mentions.where("event_type = 'error'").drop("event_type"))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
     sizes = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("size"))
     return R.grounding(evidence, texts, sizes, _NEG, _POS)
@@ -280,17 +280,18 @@ def largest_cluster(spark, sf_dir):
 
 @query("scan_counters", "SELECT source, count(*) AS emitted, count(*) - count(DISTINCT text) AS duplicates FROM documents GROUP BY 1")
 def scan_counters(spark, sf_dir):
-    by_text = table(spark, sf_dir, "documents").groupBy("source", F.xxhash64("text").alias("h"), "text").agg(F.count("*").alias("n"))
+    by_text = table(spark, sf_dir, "documents").groupBy("source", F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.count("*").alias("n"))
     return by_text.groupBy("source").agg(F.sum("n").alias("emitted"), F.sum(F.col("n") - 1).alias("duplicates"))
 
 
 def _claims(spark, sf_dir, early):
-    docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0" if early else "doc_id % 3 = 0")
-    return docs.select(F.substring("text", 1, 3).alias("claim"), F.coalesce("lang", F.lit("unspecified")).alias("severity"))
+    # one side has the sources before src5 by name, the other the rest; a claim is a whole text, by its hash
+    docs = table(spark, sf_dir, "documents").where("source < 'src5'" if early else "source >= 'src5'")
+    return docs.select(F.sha2(F.col("text").cast("binary"), 256).alias("claim"), F.coalesce("lang", F.lit("unspecified")).alias("severity"))
 
 
-_BEFORE = "(SELECT substr(text, 1, 3) AS claim, coalesce(lang, 'unspecified') AS severity FROM documents WHERE doc_id % 2 = 0)"
-_AFTER = "(SELECT substr(text, 1, 3) AS claim, coalesce(lang, 'unspecified') AS severity FROM documents WHERE doc_id % 3 = 0)"
+_BEFORE = "(SELECT sha256(text) AS claim, coalesce(lang, 'unspecified') AS severity FROM documents WHERE source < 'src5')"
+_AFTER = "(SELECT sha256(text) AS claim, coalesce(lang, 'unspecified') AS severity FROM documents WHERE source >= 'src5')"
 
 
 @query("emerged_resolved_persisted", f"SELECT *, 'emerged' AS change FROM (SELECT * FROM {_AFTER} EXCEPT SELECT * FROM {_BEFORE}) UNION ALL SELECT *, 'resolved' FROM (SELECT * FROM {_BEFORE} EXCEPT SELECT * FROM {_AFTER}) UNION ALL SELECT *, 'persisted' FROM (SELECT * FROM {_BEFORE} INTERSECT SELECT * FROM {_AFTER})")
@@ -338,11 +339,11 @@ def persona_journey(spark, sf_dir):
     return p.join(j, "persona_id", "left")
 
 
-@query("persona_rows", "SELECT persona_id, field, string_agg(claim, ' | ' ORDER BY pos, claim) AS claims FROM (SELECT conv_id AS persona_id, role AS field, turn AS pos, substr(text, 1, 40) AS claim FROM conversations) GROUP BY 1, 2")
+@query("persona_rows", "SELECT persona_id, field, string_agg(claim, ' | ' ORDER BY pos, claim) AS claims FROM (SELECT conv_id AS persona_id, role AS field, turn AS pos, text AS claim FROM conversations) GROUP BY 1, 2")
 def persona_rows(spark, sf_dir):
     from voxfield.sinks.csv import persona_rows as rows
 
-    return rows(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("persona_id"), F.col("role").alias("field"), F.col("turn").alias("pos"), F.substring("text", 1, 40).alias("claim")))
+    return rows(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("persona_id"), F.col("role").alias("field"), F.col("turn").alias("pos"), F.col("text").alias("claim")))
 
 
 @query("sentiment_rollup", "SELECT event_type, sum(user_id)::BIGINT AS n, round(100.0 * sum(user_id) / sum(sum(user_id)) OVER (), 3)::DOUBLE AS pct FROM events GROUP BY 1")

@@ -12,10 +12,10 @@ _LIST = "[" + ", ".join(f"'{w}'" for w in _WORDS) + "]"
 @query(
     "slugify",
     """SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug
-       FROM (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '_', 'g'), '_') AS s FROM documents)""",
+       FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') AS s FROM documents)""",
 )
 def slugify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.slugify(F.substring("text", 1, 60)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.slugify(F.col("text")).alias("slug"))
 
 
 @query("author_hash", "SELECT user_id, CASE WHEN u = '' THEN '' ELSE sha256('pepper:' || u) END AS author_hash FROM (SELECT DISTINCT user_id, CASE WHEN user_id % 10 = 0 THEN '' ELSE user_id::VARCHAR END AS u FROM events)")

@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from voxfield.plans.catalog import query, table
+from voxfield.session import shared_folder
 from voxfield.streaming import events as S
 
 
@@ -15,8 +16,7 @@ def _stream(spark, sf_dir):
 
 
 def _once(spark, stream, name, mode):
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/voxfield-checkpoints"
-    return S.run_once(stream, name, mode, f"{top.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}")
+    return S.run_once(stream, name, mode, f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}")
 
 
 @query("stream_dedup", "SELECT user_id, event_type, 1::BIGINT AS kept FROM events GROUP BY 1, 2")

@@ -12,16 +12,26 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_EN) + "]"
 _TOK = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9'']{{2,}}'), lambda w: NOT list_contains({_STOP}, w))"
 
 
-@query("tokens_en", f"SELECT doc_id, len({_TOK})::INTEGER AS n_tokens, array_to_string({_TOK}[1:20], ' ') AS first_tokens FROM documents")
+@query("tokens_en", f"SELECT doc_id, len({_TOK})::INTEGER AS n_tokens, sha256(array_to_string({_TOK}, ' ')) AS tokens_sha256 FROM documents")
 def tokens_en(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", T.tokens_en(F.col("text")).alias("t"))
-    return rows.select("doc_id", F.size("t").alias("n_tokens"), F.array_join(F.slice("t", 1, 20), " ").alias("first_tokens"))
+    return rows.select("doc_id", F.size("t").alias("n_tokens"), F.sha2(F.array_join("t", " ").cast("binary"), 256).alias("tokens_sha256"))
 
 
-@query("cjk_bigrams", "SELECT item_id, '東京 京の 東 京' AS grams FROM benchmark")
+#: Letters of the documents as kana and Han, some of them stop characters: the tables hold no such texts.
+_LATIN, _CJK = "abcdefghijklmnopqrstuvwxyz", "東の京日本と語カタナ人会社さくら山川は海空道ここそこ"
+_JA = "[" + ", ".join(f"'{w}'" for w in T.STOP_JA) + "]"
+
+
+@query(
+    "cjk_bigrams",
+    f"""SELECT doc_id, len(g)::INTEGER AS n_grams, sha256(array_to_string(g, ' ')) AS grams_sha256 FROM
+        (SELECT doc_id, list_filter(list_concat(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]), c), lambda w: NOT list_contains({_JA}, w)) AS g FROM
+          (SELECT doc_id, list_filter(string_split(translate(lower(text), '{_LATIN}', '{_CJK}'), ''), lambda x: x >= '\u3040' AND x <= '\u9fff' AND NOT list_contains({_JA}, x)) AS c FROM documents))""",
+)
 def cjk_bigrams(spark, sf_dir):
-    text = F.concat(F.lit("abc 東京の, "), F.col("item_id").cast("string"))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.cjk_grams(text), " ").alias("grams"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.cjk_grams(F.translate(F.lower("text"), _LATIN, _CJK)).alias("g"))
+    return rows.select("doc_id", F.size("g").alias("n_grams"), F.sha2(F.array_join("g", " ").cast("binary"), 256).alias("grams_sha256"))
 
 
 @query(

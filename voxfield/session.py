@@ -1,5 +1,7 @@
 """Session defaults for local runs; a cluster brings its own."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +22,15 @@ def local_session(app: str = "voxfield", cores: int = 8, shuffle_partitions: int
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Without one a local session gets a folder of its own; a cluster
+    must name one."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="voxfield-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    return top.rstrip("/")

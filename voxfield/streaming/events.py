@@ -42,7 +42,7 @@ def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFr
     table = f"{checkpoint}/table"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(table)
+        batch.write.mode("overwrite").parquet(f"{table}/_batch={number}")  # a batch that is tried again replaces itself
 
     q = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
@@ -55,14 +55,20 @@ def append_jsonl(stream: DataFrame, path: str, checkpoint: str):
 
 
 def upsert_state(batch: DataFrame, table: str, keys: list[str], newest: str) -> None:
-    """For foreachBatch: merges a batch into a Parquet table of the newest row of each key."""
+    """For foreachBatch: merges a batch into a Parquet table of the newest row of each key. The old table is set aside until the new one is in
+    place; a run that was cut off in between finds it there, and merging a batch again changes nothing."""
     from voxfield.sinks.csv import upsert
 
     spark = batch.sparkSession
     jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table)
+    path, old, fresh = (jvm.org.apache.hadoop.fs.Path(table + x) for x in ("", "-old", "-next"))
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path) and fs.exists(old):
+        fs.rename(old, path)
     new = batch if not fs.exists(path) else upsert(spark.read.parquet(table), batch, keys, newest)
     new.write.mode("overwrite").parquet(table + "-next")
-    fs.delete(path, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(table + "-next"), path)
+    fs.delete(old, True)
+    if fs.exists(path):
+        fs.rename(path, old)
+    fs.rename(fresh, path)
+    fs.delete(old, True)
