@@ -66,18 +66,17 @@ def _from_planes(raw: bytes, n: int) -> np.ndarray:
     return out.view("<u4")[:, 0]
 
 
-def _grams(h: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+def _grams(h: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """For each order from 2 on, 48-bit hashes of each token after those before it; ends of a text come before its first token."""
     first = np.cumsum(sizes) - sizes
-    out, before, x = [], h[tokens], h[tokens]
+    before, x = h[tokens], h[tokens]
     for _ in range(2, order + 1):
         before = np.concatenate([before[:1], before[:-1]])
         before[first] = END
         x = (before * _MULT ^ (before >> np.uint64(31))) + x * _ODD
         x = (x ^ (x >> np.uint64(30))) * _MULT
         x ^= x >> np.uint64(27)
-        out.append(x >> np.uint64(16))
-    return out
+        yield x >> np.uint64(16)
 
 
 #: The hash of a text's end.
@@ -89,14 +88,13 @@ def _number(texts: list[bytes], train: np.ndarray, left_out: np.ndarray) -> byte
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    words = [x.lower().split() for x in texts]
-    sizes = np.array([len(x) + 1 for x in words], np.int64)
-    h = np.empty(int(sizes.sum()), np.uint64)
-    end = np.zeros(len(h), bool)
-    end[np.cumsum(sizes) - 1] = True
-    h[end] = END
-    h[~end] = np.fromiter((digest(w) for x in words for w in x), np.uint64, len(h) - len(sizes))
-    names, tokens = np.unique(h, return_inverse=True)
+    hashed = []
+    for x in texts:  # the words of one text at a time
+        words = x.lower().split()
+        hashed.append(np.fromiter(map(digest, words), np.uint64, len(words)))
+    sizes = np.array([len(x) + 1 for x in hashed], np.int64)
+    end = np.array([END])
+    names, tokens = np.unique(np.concatenate([y for x in hashed for y in (x, end)]), return_inverse=True)
     return _join(_gaps(names), _planes(tokens), sizes.astype(np.uint32).tobytes(), train.tobytes(), left_out.tobytes())
 
 
@@ -186,15 +184,14 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, held, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "held", "raw")), strict=True):
-                out = []
                 for kind, (keys, count, gone) in enumerate(_keys(raw, order)):
-                    cuts = split_keys(keys, 48 if kind else 64, parts).tolist()
+                    cuts, out = split_keys(keys, 48 if kind else 64, parts).tolist(), []
                     for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                         if b > a:
                             out.append((kind * parts + part, _join(_gaps(keys[a:b]), _small(count[a:b]), _small(gone[a:b]))))
-                for k in range(0, len(out), 64):
-                    n = len(out[k : k + 64])
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out[k : k + 64]], pa.int32()), pa.array([block] * n, pa.int64()), pa.array([held] * n), pa.array([x[1] for x in out[k : k + 64]], pa.binary())], ["part", "block", "held", "asked"])
+                        if len(out) == 64 or (out and part == parts - 1):
+                            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([block] * len(out), pa.int64()), pa.array([held] * len(out)), pa.array([x[1] for x in out], pa.binary())], ["part", "block", "held", "asked"])
+                            out = []
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, group in by_key(batches, "part"):
@@ -202,15 +199,19 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             keys = [_sorted(x[0]) for x in cut]
             every, place = np.unique(np.concatenate(keys), return_inverse=True)
             total, left = (np.bincount(place, weights=np.concatenate([_large(x[k]) for x in cut]), minlength=len(every)).astype(np.int64) for k in (1, 2))
-            at, main = 0, total - left
+            at, main, out, size = 0, total - left, [], 0
             # words also say how many tokens and distinct tokens there are, of all training texts and without those left out
             stats = [int(total.sum()), int((total > 0).sum()), int(main.sum()), int((main > 0).sum())] if part < parts else [0, 0, 0, 0]
             for block, held, k in zip(group["block"].to_pylist(), group["held"].to_pylist(), keys, strict=True):
                 mine = place[at : at + len(k)]
                 at += len(k)
-                reply = _join(_small(total[mine]), _small(main[mine]) if held else b"")
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([held]), pa.array([reply], pa.binary()), pa.array([stats], pa.list_(pa.int64()))], ["part", "block", "held", "reply", "stats"])
+                out.append((part, block, held, _join(_small(total[mine]), _small(main[mine]) if held else b""), stats))
+                size += len(out[-1][3])
                 stats = [0, 0, 0, 0]
+                if size > 1 << 20 or at == len(place):
+                    columns = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["part", "block", "held", "reply", "stats"])
+                    out, size = [], 0
 
     asked = blocks.select("block", "held", "raw").mapInArrow(ask, "part int, block bigint, held boolean, asked binary")
     replies = store(asked.repartitionById(order * parts, F.col("part")).mapInArrow(answer, "part int, block bigint, held boolean, reply binary, stats array<bigint>"), "uncompressed")
@@ -239,9 +240,10 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             out.insert(0, np.concatenate(got[k])[np.unique(grams, return_inverse=True)[1]])
         return sizes, out, contexts
 
-    def estimates(found: list[np.ndarray], contexts: list[np.ndarray], tokens: int, distinct: int) -> list[np.ndarray]:
-        out = [c / np.maximum(1, x) for c, x in zip(found, contexts, strict=False)]
-        return [*out, found[-1] / max(1, tokens), np.full(len(found[-1]), 1 / (distinct + 1))]
+    def estimates(found: list[np.ndarray], contexts: list[np.ndarray], tokens: int) -> Iterator[np.ndarray]:
+        """One for each order, longest grams first; the uniform one is left to the caller."""
+        yield from (c / np.maximum(1, x) for c, x in zip(found, contexts, strict=False))
+        yield found[-1] / max(1, tokens)
 
     def of_tokens(found: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
         return buckets_of(contexts) if contexts else np.ones(len(found[-1]), np.int64)
@@ -251,7 +253,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         total = np.zeros((2 * BUCKETS * BINS**order, 1 + order))
         for _, group in by_key(batches, "block"):
             _, found, contexts = counts(group, 1)
-            est = estimates(found, contexts, n_main, v_main)[:-1]
+            est = list(estimates(found, contexts, n_main))
             cell = of_tokens(found, contexts)
             for p in est:
                 cell = cell * BINS + _bin(p)
@@ -272,8 +274,10 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             sizes, found, contexts = counts(group, 0)
             first, c1 = np.cumsum(sizes) - sizes, found[-1]
             base = np.log10((c1 + 0.5) / (n + 0.5 * (v + 1)))
-            share = mix[of_tokens(found, contexts)]
-            p = sum(share[:, k] * x for k, x in enumerate(estimates(found, contexts, n, v)))
+            of = of_tokens(found, contexts)
+            p = mix[of, -1] / (v + 1)
+            for k, x in enumerate(estimates(found, contexts, n)):
+                p += mix[of, k] * x
             whole = np.add.reduceat(np.log10(p), first) if n else np.zeros(len(sizes))
             columns = [pa.array(group["ids"][0].as_py(), pa.int64()), pa.array(sizes), pa.array(np.add.reduceat((c1 > 0).astype(np.int64), first)), pa.array(np.full(len(sizes), n, np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(whole)]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
