@@ -153,3 +153,41 @@ def feed_google_play(spark, sf_dir):
     pages = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 100).alias("page")).agg(F.to_json(F.collect_list(review)).alias("reply"))
     posts = sites.google_play(pages, "reply", "app", "jp", "ja")
     return posts.select("id", "title", "body", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), F.col("metrics")["rating"].alias("rating"), F.col("metrics")["thumbs_up"].alias("thumbs_up"), "source")
+
+
+@query("site_discuss_hk", f"SELECT 'discuss_hk:' || doc_id AS id, lang AS title, source AS author, {_BODY} AS body, TIMESTAMP '2024-02-02 20:05:00' AS posted_at, 12000 + doc_id % 100 AS views, doc_id AS replies, 2::BIGINT AS posts FROM documents")
+def site_discuss_hk(spark, sf_dir):
+    d = F.col("doc_id")
+    page = _html(
+        '<h1 class="thread-subject"><span>', F.col("lang"), '</span></h1><ul class="viewthread-number"><li>瀏覽: 12,', F.format_string("%03d", d % 100), "</li><li>回覆: ", d, '</li></ul><div class="author-detail"><a class="name">', F.col("source"),
+        '</a></div><div class="postinfo"><span class="post-date">#1 發表於 2024-2-3 4:05</span></div><div class="postmessage-content t_msgfont">', F.col("t"), '</div><div class="postmessage-content t_msgfont">reply</div>',
+    )
+    posts = sites.discuss_hk(_docs(spark, sf_dir).select(_html("https://site.example/viewthread.php?tid=", d).alias("u"), page.alias("h")), "h", "u")
+    return posts.select("id", "title", "author", "body", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), *[F.col("metrics")[m].alias(m) for m in ("views", "replies", "posts")])
+
+
+_SQUARE = r"regexp_replace(text, '^ +| +$', '', 'g')"
+
+
+@query("site_hk01", f"SELECT 'hk01:' || (1000000 + doc_id) AS id, source AS title, CASE WHEN doc_id % 3 > 0 THEN {_SQUARE} WHEN length({_BODY}) > 20 THEN {_BODY} ELSE '' END AS body, CASE doc_id % 3 WHEN 0 THEN TIMESTAMP '1970-01-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS posted_at, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 50 END AS comments FROM documents")
+def site_hk01(spark, sf_dir):
+    """Every third page has no data script; the times of the others are seconds or milliseconds."""
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").join(_docs(spark, sf_dir).select("doc_id", "t"), "doc_id")
+    article = F.struct(F.col("source").alias("title"), F.struct(F.array(F.struct(F.col("text").alias("text")), F.struct(F.lit(" ").alias("text"))).alias("blocks")).alias("content"), F.when(d % 3 == 1, 1704067200).otherwise(1704067200000).alias("publishTime"), (d % 50).alias("commentCount"))
+    data = F.replace(F.to_json(F.struct(F.struct(F.struct(F.struct(article.alias("article")).alias("pageProps")).alias("initialProps")).alias("props"))), F.lit("</"), F.lit("<\\/"))
+    script = F.when(d % 3 == 0, "").otherwise(_html('<script id="__NEXT_DATA__" type="application/json">', data, "</script>"))
+    page = _html("<head>", script, '</head><body><h1 id="articleTitle" data-author="x">', F.col("source"), "</h1><article><p>", F.when(d % 3 == 0, F.col("t")).otherwise("seen"), "</p></article></body>")
+    posts = sites.hk01(docs.select(_html("https://site.example/article/", d + 1000000).alias("u"), page.alias("h")), "h", "u")
+    return posts.select("id", "title", "body", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), F.col("metrics")["comments"].alias("comments"))
+
+
+_TB = r"regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^[ \n\t]+|[ \n\t]+$', '', 'g')"
+
+
+@query("site_openrice", f"SELECT 'openrice_' || doc_id || '_' || substr(sha256(substr({_TB}, 1, 80)), 1, 12) AS id, lang || ' place' AS title, {_TB} AS body, source AS author, TIMESTAMP '2024-02-03 00:00:00' AS posted_at, doc_id % 6 AS rating FROM documents")
+def site_openrice(spark, sf_dir):
+    d = F.col("doc_id")
+    page = _html("<article><b>", F.col("source"), "</b><i>Level ", d % 6, "</i><i>2024-02-03</i><i>12 views</i><i>Follow</i><h3>", F.col("lang"), " place</h3><p>", F.col("t"), "</p></article>")
+    posts = sites.openrice(_docs(spark, sf_dir).select(_html("https://site.example/hk/r-x-r", d).alias("u"), page.alias("h")), "h", "u")
+    return posts.select("id", "title", "body", "author", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), F.col("metrics")["rating"].alias("rating"))

@@ -23,13 +23,14 @@ _STEP = re.compile(r"(?P<tag>^[a-zA-Z][\w-]*)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|
 
 
 class Field(NamedTuple):
-    """What to take: `choices` are tried in turn and the first with a match gives all its matches; `attr` takes an attribute instead of the text;
-    `lines` keeps the pieces of text apart by line breaks; elements that match `without` are left out of the text."""
+    """What to take: `choices` are tried in turn and the first with a match gives all its matches ("" is the card or page itself); `attr` takes an attribute instead of the text;
+    `lines` keeps the pieces of text apart by line breaks; `raw` takes a script's content; elements that match `without` are left out of the text."""
 
     choices: tuple[str, ...]
     attr: str | None = None
     lines: bool = False
     without: str | None = None
+    raw: bool = False
 
 
 class Node:
@@ -149,9 +150,11 @@ def text_of(top: Node, lines: bool = False, without: frozenset[int] = frozenset(
 
 def take(top: Node, field: Field) -> list[str]:
     for selector in field.choices:
-        if nodes := find(top, selector):
+        if nodes := find(top, selector) if selector else [top]:
             if field.attr:
                 return [n.attrs.get(field.attr, "") for n in nodes]
+            if field.raw:
+                return ["".join(x for x in n.down if isinstance(x, str)) for n in nodes]
             out = frozenset(map(id, find(top, field.without))) if field.without else frozenset()
             return [text_of(n, field.lines, out) for n in nodes]
     return []

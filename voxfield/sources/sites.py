@@ -149,6 +149,67 @@ def quora(pages: DataFrame, html: str, url: str, region: str, language: str, sin
     return _posts(rows, "quora", region, language, since, id=_digest("quora", F.col(url)), url=F.col(url), author=author, title=_first("title"), body=body, posted_at=_time(at, None), metrics=_metrics(answers=_number(_first("count"))))
 
 
+def discuss_hk(pages: DataFrame, html: str, url: str, since: str | None = None) -> DataFrame:
+    """Threads: the opening post, with the views and replies of the head. Times are Hong Kong's and become UTC; the id is the address's `tid`."""
+    # The names of the two counts.
+    views, replies = "瀏覽", "回覆"
+    wanted = {"title": Field((".thread-subject span", "title")), "head": Field((".viewthread-number li",)), "body": Field((".postmessage-content.t_msgfont",)), "author": Field((".author-detail a.name",)), "date": Field((".postinfo .post-date",))}
+    rows = fields(pages, url, html, wanted).where(F.size("body") > 0)
+    stamp = F.regexp_extract(_first("date"), r"([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\s+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)", 1)
+    local = F.coalesce(F.try_to_timestamp(stamp, F.lit("yyyy-M-d H:mm:ss")), F.try_to_timestamp(stamp, F.lit("yyyy-M-d H:mm")))
+    count = lambda name: F.regexp_replace(F.coalesce(F.try_element_at(F.filter("head", lambda x: F.contains(x, F.lit(name))), F.lit(1)), F.lit("")), "[^0-9]", "")
+    thread = F.coalesce(F.nullif(F.regexp_extract(F.col(url), "tid=([0-9]+)", 1), F.lit("")), F.regexp_extract(F.col(url), "([0-9]+)[^0-9]*$", 1))
+    return _posts(
+        rows, "discuss_hk", "HK", "zh-HK", since, id=F.concat(F.lit("discuss_hk:"), F.nullif(thread, F.lit(""))), url=F.col(url), author=_first("author"), title=_first("title"), body=_first("body"),
+        posted_at=F.coalesce(F.to_utc_timestamp(local, "Asia/Hong_Kong"), F.lit(_EPOCH).cast("timestamp")), metrics=_metrics(views=count(views), replies=count(replies), posts=F.size("body")),
+    )
+
+
+_NEXT = "struct<props: struct<initialProps: struct<pageProps: struct<article: struct<articleId: string, title: string, content: struct<text: string, blocks: array<struct<text: string>>>, author: struct<nickname: string, name: string>, publishTime: string, publishedAt: string, createdAt: string, commentCount: bigint>>>>>"
+
+
+def hk01(pages: DataFrame, html: str, url: str, since: str | None = None) -> DataFrame:
+    """Articles: what the page's own data script says, and where it says nothing the visible title and paragraphs beyond 20 characters."""
+    wanted = {
+        "script": Field(("script#__NEXT_DATA__",), raw=True), "heading": Field(("h1#articleTitle", "h1[data-testid=article-title]", "h1")), "meta": Field(("meta[property=og:title]",), "content"),
+        "paragraphs": Field((".article-grid__content-section p, [class*=article] p, .content p, article p",)), "by": Field(("h1#articleTitle",), "data-author"), "author": Field(("[class*=author], .author-name, [data-author]",)),
+    }
+    rows = fields(pages, url, html, wanted).withColumn("a", F.from_json(_first("script"), _NEXT)["props"]["initialProps"]["pageProps"]["article"])
+    some = lambda *c: F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in c], F.lit(""))
+    blocks = F.filter(F.transform(F.coalesce("a.content.blocks", F.array().cast("array<struct<text: string>>")), lambda b: F.trim(F.coalesce(b["text"], F.lit("")))), lambda t: t != "")
+    told = F.concat_ws("\n\n", F.nullif(F.array_join(blocks, "\n\n"), F.lit("")), F.nullif(F.col("a.content.text"), F.lit("")))
+    stamp = F.coalesce(F.nullif("a.publishTime", F.lit("")), F.nullif("a.publishedAt", F.lit("")), F.nullif("a.createdAt", F.lit("")))
+    number = stamp.try_cast("double").cast("long")
+    at = F.coalesce(F.timestamp_millis(F.when(number > 10_000_000_000, number).otherwise(number * 1000)), F.try_to_timestamp(stamp), F.lit(_EPOCH).cast("timestamp"))
+    article = some(F.col("a.articleId"), F.regexp_extract(F.col(url), "/article/([0-9]+)", 1))
+    out = rows.select(
+        F.col(url).alias("u"), some(F.col("a.title"), _first("heading"), _first("meta")).alias("title"), some(told, _joined("paragraphs", 20)).alias("body"),
+        some(F.col("a.author.nickname"), F.col("a.author.name"), _first("by"), _first("author")).alias("author"), at.alias("at"), F.coalesce("a.commentCount", F.lit(0)).alias("n"), article.alias("article"),
+    )
+    out = out.where((F.col("title") != "") | (F.col("body") != ""))
+    key = F.when(F.col("article") != "", F.concat(F.lit("hk01:"), "article")).otherwise(_digest("hk01", F.col("u")))
+    return _posts(out, "hk01", "HK", "zh-HK", since, id=key, url=F.col("u"), author=F.col("author"), title=F.col("title"), body=F.col("body"), posted_at=F.col("at"), metrics=_metrics(comments=F.col("n")))
+
+
+def openrice(pages: DataFrame, html: str, url: str, fetched: str | None = None, since: str | None = None) -> DataFrame:
+    """Review articles told by their text alone: the first word is the author, `Level n` the rating; after the date and the views come the title, if its
+    line has fewer than 100 characters, and the body."""
+    rows = fields(pages, url, html, {"lines": Field(("",), lines=True)}, "article").select(F.col(url).alias("u"), _first("lines").alias("t"))
+    after = F.regexp_extract("t", r"(?s)[0-9]{4}-[0-9]{2}-[0-9]{2}\s*[0-9]+\s*views?\s*(?:Follow\s*)?(.+)", 1)
+    rows = rows.withColumn("rest", F.trim(F.when(after != "", after).otherwise(F.col("t")), F.lit(" \n\t")))
+    line = F.trim(F.substring_index("rest", "\n", 1))
+    short = F.length(line) < 100
+    title = F.when(short, line).otherwise("")
+    body = F.when(short, F.trim(F.substring(F.col("rest"), F.length(F.substring_index("rest", "\n", 1)) + 2, F.lit(1 << 30)), F.lit(" \n\t"))).otherwise(F.col("rest"))
+    place = F.coalesce(F.nullif(F.regexp_extract("u", "-r([0-9]+)(?:/|$)", 1), F.lit("")), F.col("u"))
+    # the id takes the first 80 characters, as the site's own ids of reviews aren't on the page
+    key = F.concat(F.lit("openrice_"), place, F.lit("_"), F.substring(F.sha2(F.substring(body, 1, 80).cast("binary"), 256), 1, 12))
+    return _posts(
+        rows.where((body != "") | (title != "")), "openrice", "HK", "zh-HK", since, id=key, url=F.col("u"), author=F.coalesce(F.nullif(F.regexp_extract("t", r"^(\S+)", 1), F.lit("")), F.lit("anonymous")), title=title, body=body,
+        posted_at=_time(F.regexp_extract("t", "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), fetched), metrics=_metrics(rating=_number(F.col("t"), r"Level\s*([0-9]+)")),
+    )
+
+
 def count_text(s: Column) -> Column:
     """`1.7M`, `73K` or `1,234` as a whole number, cut towards zero; 0 for another form."""
     pattern = r"^\s*([0-9,.]+)([KkMmBb]?)"
