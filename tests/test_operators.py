@@ -235,3 +235,23 @@ def test_synthesis_retries_and_isolates(spark):
     bad = S.synthesize(packs, failing).first()
     assert bad["errors"] == ["call failed: down"]
     assert S.persona_errors({"goals": [{"claim": "x", "evidence": ["doc_z"]}], "representative_quotes": []}, {"doc_a"}, {}) == ["goals[0] cites unknown doc_z", "0 quotes, at least 1 needed"]
+
+
+def test_evidence_pack_shows_representatives_first(spark):
+    members = spark.createDataFrame([(1, k, None if k == 3 else f"text\n{k}" + "x" * 700, "s", None if k == 5 else "en") for k in range(40)] + [(2, 99, "only", None, "fr")], "cluster int, doc_id int, text string, source string, lang string")
+    reps = spark.createDataFrame([(1, 30, 1), (1, 3, 2), (1, 5, 3), (2, 99, 1)], "cluster int, doc_id int, rank int")
+    pack = evidence.evidence_pack(members, reps, others=30)
+    rows = {r.doc_id: r for r in pack.collect()}
+    assert sorted(rows) == [k for k in range(33) if k != 3] + [99] and rows[30].rep_no == 1 and rows[5].rep_no == 2 and rows[0].rep_no is None
+    assert len(rows[30].snippet) == 600 and len(rows[0].snippet) == 300 and rows[0].hidden == 7 and rows[99].hidden == 0 and rows[5].lang == "unknown"
+    blocks = {r.cluster: r for r in evidence.evidence_block(pack).collect()}
+    assert blocks[1].n_docs == 32 and blocks[1].block.endswith("... and 7 more posts in this cluster (not shown)") and "representative #2" in blocks[1].block
+    words = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "cluster int, rank int, term string")
+    heads = {r.cluster: r.header for r in evidence.evidence_header(members, words).collect()}
+    assert heads[1].splitlines()[2:5] == ["- size: 40 posts", "- top keywords (c-TF-IDF): a, b", '- source distribution: {"s": 40}'] and "- source distribution: {}" in heads[2]
+
+
+def test_themes_are_recovered_by_token_or_phrase(spark):
+    claims = spark.createDataFrame([(1, "App drains the Battery overnight"), (2, "batteries"), (3, "slow on start up"), (4, None), (5, "")], "id int, t string")
+    got = relations.recovered(claims, "id", "t", {"power": (["battery"], []), "start": ([], ["START up"])})
+    assert sorted(map(tuple, got.collect())) == [(1, "power"), (3, "start")]

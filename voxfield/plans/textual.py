@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from voxfield.functions import jsonx
+from voxfield.operators import clusters as C
 from voxfield.operators import evidence as E
+from voxfield.operators import relations as R
 from voxfield.operators import textrank as T
 from voxfield.plans.catalog import query, table
-from voxfield.plans.relational import members
+from voxfield.plans.relational import _MEM, members
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_EN) + "]"
 _TOK = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9'']{{2,}}'), lambda w: NOT list_contains({_STOP}, w))"
@@ -67,9 +69,51 @@ def query_expansion(spark, sf_dir):
     return T.expand_topics(topics, ["{topic} review", "{topic} vs", "{topic} comparison", "best {topic}"], 6)
 
 
-@query("evidence_pack", None)
+_EV = "list_transform(embedding, lambda x: x::DOUBLE)"
+_EVIDENCE = f"""WITH cen AS (SELECT label, list(mean ORDER BY dim) AS c FROM (SELECT label, dim, avg(x) AS mean FROM (SELECT label, unnest(range(64)) AS dim, unnest({_EV}) AS x FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
+  reps AS (SELECT label AS cluster, vec_id AS doc_id, row_number() OVER (PARTITION BY label ORDER BY round(list_distance({_EV}, c), 6), vec_id) AS pos FROM embeddings JOIN cen USING (label) QUALIFY pos <= 10),
+  rest AS (SELECT m.cluster, m.doc_id FROM {_MEM} m ANTI JOIN reps r ON r.cluster = m.cluster AND r.doc_id = m.doc_id),
+  shown AS (SELECT *, 0 AS last FROM reps UNION ALL SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY doc_id) AS pos, 1 AS last FROM rest) WHERE pos <= 30),
+  lines AS (SELECT m.cluster, last, pos, row_number() OVER (PARTITION BY m.cluster ORDER BY last, pos) AS no, doc_id, source, lang, trim(text) AS body FROM shown JOIN {_MEM} m USING (cluster, doc_id) WHERE trim(text) <> '')
+  SELECT l.cluster, count(*) AS n_docs, string_agg('[doc_' || substr(sha256(doc_id::VARCHAR), 1, 12) || '] (source: ' || source || ', lang: ' || lang || CASE WHEN last = 0 THEN ', representative #' || no ELSE '' END || ')' || chr(10) || '  ' || replace(substr(body, 1, CASE WHEN last = 0 THEN 600 ELSE 300 END), chr(10), ' ') || chr(10), chr(10) ORDER BY last, pos)
+    || coalesce(any_value((SELECT chr(10) || '... and ' || (count(*) - 30) || ' more posts in this cluster (not shown)' FROM rest r WHERE r.cluster = l.cluster HAVING count(*) > 30)), '') AS block FROM lines l GROUP BY 1"""
+
+
+def representatives(spark, sf_dir):
+    rows = C.representatives(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 10)
+    return rows.select(F.col("label").alias("cluster"), F.col("vec_id").alias("doc_id"), "rank")
+
+
+@query("evidence_pack", _EVIDENCE)
 def evidence_pack(spark, sf_dir):
-    return E.evidence_block(E.evidence_pack(members(spark, sf_dir), 10, 30))
+    return E.evidence_block(E.evidence_pack(members(spark, sf_dir), representatives(spark, sf_dir)))
+
+
+@query(
+    "evidence_header",
+    f"""WITH s AS (SELECT cluster, '{{' || string_agg('"' || source || '": ' || n, ', ' ORDER BY source) || '}}' AS x FROM (SELECT cluster, source, count(*) AS n FROM {_MEM} GROUP BY 1, 2) GROUP BY 1),
+  l AS (SELECT cluster, '{{' || string_agg('"' || lang || '": ' || n, ', ' ORDER BY lang) || '}}' AS x FROM (SELECT cluster, lang, count(*) AS n FROM {_MEM} GROUP BY 1, 2) GROUP BY 1)
+  SELECT cluster, 'CLUSTER METADATA' || chr(10) || '- cluster_id: ' || cluster || chr(10) || '- size: ' || (SELECT count(*) FROM {_MEM} m WHERE m.cluster = s.cluster) || ' posts' || chr(10) || '- top keywords (c-TF-IDF): one, two' || chr(10) || '- source distribution: ' || s.x || chr(10) || '- language distribution: ' || l.x AS header FROM s JOIN l USING (cluster)""",
+)
+def evidence_header(spark, sf_dir):
+    """The keywords are two for every cluster: those of real texts are checked by the c-TF-IDF queries."""
+    rows = members(spark, sf_dir)
+    words = rows.select("cluster").distinct().select("cluster", F.posexplode(F.array(F.lit("one"), F.lit("two"))).alias("rank", "term"))
+    return E.evidence_header(rows, words)
+
+
+# Themes as an evaluation lists them: keywords and phrases.
+_THEMES = {"words": (["ther", "the", "PA"], []), "phrases": ([], ["e la", "the Ch"]), "both": (["benchmark"], ["aux "]), "none": (["qqqqq"], ["never said"])}
+
+
+def _theme_sql(words, phrases):
+    tests = [f"len(list_intersect(regexp_extract_all(lower(text), '[a-z0-9]+'), [{', '.join(repr(w.lower()) for w in words)}])) > 0"] * bool(words) + [f"contains(lower(text), {p.lower()!r})" for p in phrases]
+    return " OR ".join(tests)
+
+
+@query("theme_phrases", " UNION ALL ".join(f"SELECT doc_id, '{name}' AS theme FROM documents WHERE {_theme_sql(*both)}" for name, both in _THEMES.items()))
+def theme_phrases(spark, sf_dir):
+    return R.recovered(table(spark, sf_dir, "documents"), "doc_id", "text", _THEMES)
 
 
 _CL = "(SELECT conv_id, turn, role AS field, conv_id * 2 + turn AS cite, text FROM conversations)"
