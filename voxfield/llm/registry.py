@@ -167,3 +167,26 @@ def op9_language_model(spark, sf_dir):
     docs, held_out = documents(spark, sf_dir), is_held_out("doc_id", 5, 1)
     out = score_texts(docs, ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+r AS (SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+s AS (SELECT *, payload_bytes >= 100 AND page_id IS DISTINCT FROM first AS again FROM r)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM s
+"""
+
+
+@query("op12_warc", _WARC_SQL)
+def op12_warc(spark, sf_dir):
+    from voxfield.llm.warc import page_of, read_all, write_bundles
+
+    records = read_all(write_bundles(spark.read.parquet(f"{sf_dir}/pages.parquet")), payloads=False)
+    return records.select(page_of(F.col("record_id")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).cast("long").alias("refers_to"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark, sf_dir):
+    from voxfield.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
