@@ -190,3 +190,49 @@ def op13_whitening(spark, sf_dir):
     from voxfield.llm.whitening import whiten
 
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: CRC-32 of the id's decimal digits by its bitwise definition; the runs by pairs of equal words and islands of neighbouring pairs.
+_PERIODS_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+     xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT), lambda c, b: list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295) AS h FROM documents),
+g AS (SELECT r, doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS planted, h // 10 AS g FROM w),
+a AS (SELECT *, CASE WHEN planted THEN g % n ELSE n END AS a FROM g),
+p AS (SELECT *, CASE WHEN planted THEN 1 + (n - a) // (3 + g % 8) ELSE 1 END AS p FROM a),
+d AS (SELECT r, doc_id, n, unnest(ws) AS own, unnest(range(n)) AS i, ws, a, p FROM p),
+t AS (SELECT r, doc_id, n, i, CASE WHEN i < a THEN own ELSE ws[a + (i - a) % p + 1] END AS x FROM d),
+pairs AS (SELECT s.r, s.i, u.i - s.i AS q FROM t s JOIN t u ON s.r = u.r AND s.x = u.x AND u.i > s.i AND u.i - s.i <= s.n // 3 WHERE s.n >= 24),
+isles AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM pairs) GROUP BY r, q, k HAVING count(*) >= greatest(24 - q, 2 * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM isles GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length / period DESC, start, period) AS k FROM runs),
+sums AS (SELECT r, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS said FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS said FROM t ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT g.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period, (1000 * b.length // b.period)::BIGINT AS exponent_milli,
+       sha256(coalesce(s.said, '')) AS runs_sha256, sha256(coalesce(k.said, '')) AS collapsed_sha256
+FROM g LEFT JOIN sums s USING (r) LEFT JOIN kept k USING (r) LEFT JOIN (SELECT * FROM best WHERE k = 1) b USING (r)
+"""
+
+
+@query("op11_periods", _PERIODS_SQL)
+def op11_periods(spark, sf_dir):
+    from voxfield.llm.periods import WORDS, find_runs, repeat_tail, strongest
+
+    # the contract's planted runs: in a tenth of the documents the words from a on repeat p of them
+    h, n = F.crc32(F.col("doc_id").cast("string")), F.regexp_count("text", F.lit(WORDS))
+    sized = documents(spark, sf_dir).select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, n).alias("n"))
+    placed = sized.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    planted = placed.select("doc_id", F.when(F.col("n") > 0, repeat_tail(F.col("text"), F.col("a"), period)).otherwise(F.col("text")).alias("text"))
+    out = find_runs(planted).withColumn("best", strongest(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))), "")
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
