@@ -54,3 +54,27 @@ def test_short_bodies_and_bad_times(spark):
 def test_counts(spark):
     rows = spark.createDataFrame([("1.7M",), ("73K",), ("1,234",), ("2b",), ("none",), (None,)], "s string")
     assert [r[0] for r in rows.select(sites.count_text(rows.s)).collect()] == [1_700_000, 73_000, 1234, 2_000_000_000, 0, 0]
+
+
+def test_reviews_fall_back_by_the_parsed_script(spark):
+    """Cards count unless the first JSON-LD script is sound and lists reviews: an organisation's script, a broken one and one without reviews all fall back."""
+    from voxfield.sources import sites
+
+    card = '<article><h2>t</h2><p class="review-body">card {}</p></article>'
+    org, review = '{"@type": "Organization", "name": "n"}', '{"review": [{"headline": "h", "reviewBody": "ld %d", "datePublished": "2024-01-02", "author": {"name": "a"}}]}'
+    script = '<script type="application/ld+json">{}</script>'.format
+    pages = [
+        (1, card.format(1)), (2, script(org) + card.format(2)), (3, script(review % 3) + card.format(3)), (4, script(org) + script(review % 4) + card.format(4)),
+        (5, script('{"review": [{"reviewBody": "broken"') + card.format(5)), (6, script('"reviewBody"') + card.format(6)), (7, script('{"review": []}') + card.format(7)), (8, None),
+    ]
+    df = spark.createDataFrame([(f"u{k}", h) for k, h in pages], "u string, h string")
+    got = {(r["url"], r["body"]) for r in sites.reviews_or_json_ld(df, "h", "u", "trustpilot", "US", "en").collect()}
+    assert got == {("u1", "card 1"), ("u2", "card 2"), ("u3", "ld 3"), ("u4", "card 4"), ("u5", "card 5"), ("u6", "card 6")}
+
+
+def test_one_row_of_an_id_stays_whatever_the_order(spark):
+    from voxfield.sources import feeds
+
+    rows = [('{"data": {"children": [{"kind": "t3", "data": {"id": "a", "title": "%s", "created_utc": 1700000000.0, "score": %d}}]}}' % (t, k),) for k, t in enumerate("cab")]
+    got = [feeds.reddit(spark.createDataFrame(x, "r string"), "r", "US").collect() for x in (rows, rows[::-1])]
+    assert [[r["title"] for r in g] for g in got] == [["a"], ["a"]]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def tolerant_array(text: Column) -> Column:
     return F.filter(F.coalesce(whole, part, lines), lambda x: F.coalesce(x, F.lit("")) != "")
 
 
+def script_text(html: Column, kind: str) -> Column:
+    """The text of the first script element with this id or type; empty if there is none."""
+    return F.regexp_extract(html, rf'(?is)<script[^>]*(?:id|type)="{re.escape(kind)}"[^>]*>(.*?)</script>', 1)
+
+
 def script_json(html: Column, kind: str) -> Column:
-    """The JSON of the first script element with this id or type, as a variant."""
-    return F.try_parse_json(F.nullif(F.regexp_extract(html, rf'(?is)<script[^>]*(?:id|type)="{kind}"[^>]*>(.*?)</script>', 1), F.lit("")))
+    """The JSON of the first script element with this id or type, as a variant; null if it is broken."""
+    return F.try_parse_json(F.nullif(script_text(html, kind), F.lit("")))

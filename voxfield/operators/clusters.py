@@ -57,12 +57,15 @@ def pooled_chunks(chunks: DataFrame, key: str, vector: str, pos: str, mode: str
 
 
 def hashing_encoder(texts: DataFrame, key: str, tokens: str, dims: int = 64) -> DataFrame:
-    """A vector of hashed token counts at unit length: stands in for a model where there is none. Not semantic."""
-    counts = texts.select(key, F.explode(tokens).alias("t")).groupBy(key, F.pmod(F.xxhash64("t"), F.lit(dims)).cast("int").alias("d")).agg(F.count("*").cast("double").alias("n"))
-    entries = F.map_from_entries(F.collect_list(F.struct("d", "n")))
+    """A vector of hashed token counts at unit length, zeros for a text without tokens: stands in for a model where there is none. Not semantic.
+    A token's place is the number in the first 8 hex digits of its MD5, modulo dims."""
+    place = F.pmod(F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int")
+    counts = texts.select(key, F.explode_outer(tokens).alias("t")).groupBy(key, place.alias("d")).agg(F.count("t").cast("double").alias("n"))
+    entries = F.map_from_entries(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "n"))))
     raw = counts.groupBy(key).agg(entries.alias("m"))
     dense = raw.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0))).alias("v"))
-    return normalised(dense, key, "v")
+    v = F.col("v")
+    return dense.select(key, F.transform(v, lambda x: F.coalesce(F.try_divide(x, norm(v)), F.lit(0.0))).alias("v"))
 
 
 def small_guard(vectors: DataFrame, groups: list[str], least: int) -> DataFrame:

@@ -78,6 +78,17 @@ def grounding(evidence: DataFrame, texts: DataFrame, sizes: DataFrame, negative:
     return out.join(sizes, "cluster").withColumn("pct_of_cluster", F.round(F.col("n_users") / F.greatest(F.col("size"), F.lit(1)), 3)).drop("size")
 
 
+def theme_matches(themes: DataFrame, theme: str, claims: DataFrame, key: str, text: str) -> DataFrame:
+    """(theme, matches): how many claims share a token with the theme's text, for themes with any. Themes that share a token come as one list for it, and lists of equal
+    tokens' themes are one group, so a claim's tokens become the groups it meets, each once, before themes are unfolded and counted on the map side."""
+    from voxfield.functions.text import token_set
+
+    tokens = themes.select(theme, F.explode(token_set(F.col(text))).alias("token"))
+    groups = tokens.groupBy("token").agg(F.array_sort(F.collect_set(theme)).alias("themes"))
+    met = claims.select(key, F.explode(token_set(F.col(text))).alias("token")).join(groups, "token").groupBy(key).agg(F.collect_set("themes").alias("sets"))
+    return met.select(F.explode(F.array_distinct(F.flatten("sets"))).alias(theme)).groupBy(theme).agg(F.count("*").alias("matches"))
+
+
 def confidence(unverified: Column) -> Column:
     return F.greatest(F.lit(0.0), F.round(1 - 0.1 * unverified, 6))
 

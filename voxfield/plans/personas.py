@@ -8,8 +8,10 @@ from voxfield.operators.relations import STAGES
 from voxfield.plans.catalog import QUERIES, query, table
 from voxfield.plans.relational import _MEM, members
 
+#: Claims cite ids below the number of vectors, which is the number of documents that packs may hold.
+_N = "(SELECT count(*) FROM embeddings)"
 _STAGE = "[" + ", ".join(f"'{s}'" for s in STAGES) + "]"
-_C = f"(SELECT (event_id % 10)::INTEGER AS owner, {_STAGE}[event_id // 10 % 6 + 1] AS stage, event_type AS field, event_id AS pos, CASE WHEN event_id % 7 = 0 THEN []::VARCHAR[] ELSE [(event_id * 3 % 200)::VARCHAR, (user_id % 200)::VARCHAR] END AS cites FROM events)"
+_C = f"(SELECT (event_id % 10)::INTEGER AS owner, {_STAGE}[event_id // 10 % 6 + 1] AS stage, event_type AS field, event_id AS pos, CASE WHEN event_id % 7 = 0 THEN []::VARCHAR[] ELSE [(event_id * 3 % {_N})::VARCHAR, (user_id % {_N})::VARCHAR] END AS cites FROM events)"
 _P = f"(SELECT cluster AS owner, doc_id::VARCHAR AS doc, * FROM {_MEM})"
 _X = f"(SELECT c.owner, c.stage, c.field, c.pos, c.doc, p.doc IS NOT NULL AS known FROM (SELECT owner, stage, field, pos, unnest(CASE WHEN len(cites) = 0 THEN [NULL] ELSE cites END) AS doc FROM {_C}) c LEFT JOIN {_P} p ON p.owner = c.owner AND p.doc = c.doc)"
 _BAD = f"(SELECT owner, stage, field, pos, bool_or(NOT known) AS bad FROM {_X} GROUP BY ALL)"
@@ -20,7 +22,8 @@ _Q = f"(SELECT CASE WHEN doc_id % 15 = 0 THEN owner + 1 ELSE owner END AS owner,
 
 def claims(spark, sf_dir):
     e = F.col("event_id")
-    two = F.array((e * 3 % 200).cast("string"), (F.col("user_id") % 200).cast("string"))
+    n = F.lit(table(spark, sf_dir, "embeddings").count())
+    two = F.array((e * 3 % n).cast("string"), (F.col("user_id") % n).cast("string"))
     return table(spark, sf_dir, "events").select((e % 10).cast("int").alias("owner"), F.element_at(F.array(*map(F.lit, STAGES)), (F.floor(e / 10) % 6 + 1).cast("int")).alias("stage"), F.col("event_type").alias("field"), e.alias("pos"), F.when(e % 7 == 0, F.array().cast("array<string>")).otherwise(two).alias("cites"))
 
 
@@ -116,11 +119,11 @@ def bundle(spark, sf_dir):
 
 
 _W = r"string_split_regex(lower(text), '[^\p{L}]+')"
-_N = {lang: f"len(list_filter({_W}, lambda w: w IN ({', '.join(repr(x) for x in v)})))" for lang, v in O._WORDS.items()}
-_TOP = f"greatest({', '.join(_N.values())})"
+_HITS = {lang: f"len(list_filter({_W}, lambda w: w IN ({', '.join(repr(x) for x in v)})))" for lang, v in O._WORDS.items()}
+_TOP = f"greatest({', '.join(_HITS.values())})"
 
 
-@query("language_hint", "SELECT doc_id, CASE WHEN length(trim(text)) < 2 THEN NULL " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{lang}'" for lang, p in O._SCRIPTS.items()) + " " + " ".join(f"WHEN {n} = {_TOP} THEN '{lang}'" for lang, n in _N.items()) + " END AS lang FROM documents")
+@query("language_hint", "SELECT doc_id, CASE WHEN length(trim(text)) < 2 THEN NULL " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{lang}'" for lang, p in O._SCRIPTS.items()) + " " + " ".join(f"WHEN {n} = {_TOP} THEN '{lang}'" for lang, n in _HITS.items()) + " END AS lang FROM documents")
 def language_hint(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", O.language_hint(F.col("text")).alias("lang"))
 

@@ -115,19 +115,11 @@ def verbatim_quote(spark, sf_dir):
 
 @query(
     "theme_recovery",
-    """SELECT b.item_id, count(*) AS matches FROM (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 8)) AS toks FROM benchmark) b
-       JOIN (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 8)) AS toks FROM documents) d ON len(list_intersect(b.toks, d.toks)) > 0 GROUP BY 1""",
+    """SELECT b.item_id, count(*) AS matches FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS toks FROM benchmark) b
+       JOIN (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS toks FROM documents) d ON len(list_intersect(b.toks, d.toks)) > 0 GROUP BY 1""",
 )
 def theme_recovery(spark, sf_dir):
-    from voxfield.functions.text import token_set
-
-    def tokens(df, id_, text):
-        # an equi-join on shared tokens instead of a comparison of every theme with every claim
-        return df.select(id_, F.explode(F.filter(token_set(text), lambda w: F.length(w) >= 8)).alias("token"))
-
-    themes = tokens(table(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
-    claims = tokens(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
-    return themes.join(claims, "token").select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count("*").alias("matches"))
+    return R.theme_matches(table(spark, sf_dir, "benchmark"), "item_id", table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("distribution", f"""SELECT cluster, string_agg(lang || ':' || n, ',' ORDER BY n DESC, lang) AS histogram FROM (SELECT cluster, lang, count(*) AS n FROM {_MEM} GROUP BY 1, 2) GROUP BY 1""")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from voxfield.operators import clusters as C
+from voxfield.operators.textrank import STOP_EN
 from voxfield.plans.catalog import query, table
 
 #: The query vector of the searches: the unit vector of the first component and half of the second.
@@ -67,11 +68,18 @@ def pca(spark, sf_dir):
     return C.pca(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
 
 
-@query("hashing_encoder")
+@query(
+    "hashing_encoder",
+    f"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9'']{{2,}}'), lambda w: w NOT IN ({", ".join("'" + w + "'" for w in dict.fromkeys(STOP_EN))})) AS t FROM documents),
+    p AS (SELECT doc_id, list_transform(t, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64) AS p FROM t),
+    v AS (SELECT doc_id, list_transform(range(64), lambda d: len(list_filter(p, lambda x: x = d))::DOUBLE) AS v FROM p)
+    SELECT doc_id, list_transform(v, lambda x: round(coalesce(x / nullif(sqrt(list_sum(list_transform(v, lambda y: y * y))), 0), 0), 9)) AS v FROM v""",
+)
 def hashing_encoder(spark, sf_dir):
     from voxfield.operators.textrank import tokens_en
 
-    return C.hashing_encoder(table(spark, sf_dir, "documents").select("doc_id", tokens_en(F.col("text")).alias("t")), "doc_id", "t")
+    out = C.hashing_encoder(table(spark, sf_dir, "documents").select("doc_id", tokens_en(F.col("text")).alias("t")), "doc_id", "t")
+    return out.select("doc_id", F.transform("v", lambda x: F.round(x, 9)).alias("v"))
 
 
 @query("chunk_pool", f"SELECT label, round(list_sum(list_transform(m, lambda x: x * x)), 6) AS squared_norm FROM (SELECT label, list_transform(cen, lambda x: x / sqrt(list_sum(list_transform(cen, lambda y: y * y)))) AS m FROM (SELECT label, list(mean ORDER BY dim) AS cen FROM {_CEN} GROUP BY 1))")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxfield.functions.jsonx import script_text
 from voxfield.functions.time import epoch
 
 
@@ -17,7 +18,10 @@ def _posts(rows: DataFrame, source: str, region: str, language: str, since: str
         *[F.coalesce(columns.get(c, F.lit("")), F.lit("")).alias(c) for c in ("url", "author", "title", "body")], columns["posted_at"].cast("timestamp").alias("posted_at"), columns["metrics"].alias("metrics"),
     )
     out = out.where(F.col("id").isNotNull() & (F.col("id") != "") & F.col("posted_at").isNotNull())
-    return (out.where(F.col("posted_at") >= F.lit(since).cast("timestamp")) if since else out).dropDuplicates(["id"])
+    out = out.where(F.col("posted_at") >= F.lit(since).cast("timestamp")) if since else out
+    # of several rows of an id the first in this order stays, so a rerun keeps the same
+    order = F.struct(*[c for c in out.columns if c not in ("id", "metrics")], F.map_entries("metrics").alias("m"))
+    return out.groupBy("id").agg(F.min_by(F.struct(*out.columns), order).alias("p")).select("p.*")
 
 
 def _metrics(**values: Column) -> Column:
@@ -89,7 +93,7 @@ _LD = "struct<`@type`: string, itemReviewed: struct<name: string>, review: array
 
 def json_ld_reviews(pages: DataFrame, column: str, url: str, source: str, region: str, language: str, since: str | None = None) -> DataFrame:
     """Reviews in a page's JSON-LD script. Ids are hashes of address, author, time and text, so a reread finds the same."""
-    script = F.regexp_extract(column, r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1)
+    script = script_text(F.col(column), "application/ld+json")
     rows = pages.select(F.col(url).alias("u"), F.explode(F.from_json(script, _LD)["review"]).alias("r"))
     r = lambda name: F.col("r")[name]
     author, at = F.col("r.author.name"), r("datePublished")

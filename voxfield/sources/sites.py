@@ -63,11 +63,12 @@ def reviews(pages: DataFrame, html: str, url: str, source: str, region: str, lan
 
 
 def reviews_or_json_ld(pages: DataFrame, html: str, url: str, source: str, region: str, language: str, fetched: str | None = None, since: str | None = None) -> DataFrame:
-    """A page's JSON-LD reviews; cards only of the pages that have none."""
+    """A page's JSON-LD reviews where its first script of that type is sound and has a list of them; the cards of all other pages."""
+    from voxfield.functions.jsonx import script_json
     from voxfield.sources.feeds import json_ld_reviews
 
-    has = F.contains(F.col(html), F.lit("application/ld+json")) & F.contains(F.col(html), F.lit('"reviewBody"'))
-    rest = pages.where(~F.coalesce(has, F.lit(False)))
+    has = F.coalesce(F.try_variant_get(script_json(F.col(html), "application/ld+json"), "$.review", "array<variant>").isNotNull(), F.lit(False))
+    rest = pages.where(~has)
     return json_ld_reviews(pages.where(has), html, url, source, region, language, since).unionByName(reviews(rest, html, url, source, region, language, fetched, since)).dropDuplicates(["id"])
 
 
