@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,7 @@ def is_held_out(id_col: str, parts: int, part: int):
 
 
 _made: dict[str, SparkSession] = {}
+_owner: ContextVar[set[str] | None] = ContextVar("tables of the innermost scratch()", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -114,6 +116,8 @@ def store(df: DataFrame, compression: str = "snappy") -> DataFrame:
     path = f"{shared_folder(spark)}/voxfield-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     _made[path] = spark
+    if (own := _owner.get()) is not None:
+        own.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._voxfield_path = path
     return out
@@ -134,8 +138,10 @@ def drop(*tables: DataFrame) -> None:
 
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Gives `store` for results; every other table made meanwhile is removed at the end."""
-    before, kept = set(_made), set()
+    """Gives `store` for results; every other table that this block made is removed at the end. Tables of other threads, of what runs beside it and of an
+    outer block before it are left alone; what an inner block keeps belongs to the outer one."""
+    own, kept = set(), set()
+    outer, token = _owner.get(), _owner.set(own)
 
     def keep(df: DataFrame) -> DataFrame:
         out = store(df)
@@ -145,8 +151,12 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        for path in set(_made) - before - kept:
-            _delete(_made.pop(path), path)
+        _owner.reset(token)
+        if outer is not None:
+            outer |= own & kept
+        for path in own - kept:
+            if spark := _made.pop(path, None):
+                _delete(spark, path)
 
 
 @atexit.register
