@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxfield.functions import jsonx, text, time, vector
-from voxfield.operators import clusters, evidence, relations, textrank, trends
+from voxfield.operators import clusters, density, evidence, relations, textrank, trends
 from voxfield.sinks import csv
 from voxfield.sources import html
 
@@ -152,7 +152,7 @@ def test_planted_clusters(spark):
     centers = rng.normal(0, 6, (5, 8))
     rows = [("t", 20 * c + i, (centers[c] + rng.normal(0, 0.4, 8)).tolist(), c) for c in range(5) for i in range(20)] + [("u", 500, [1.0] * 8, 9)]
     df = spark.createDataFrame(rows, "topic string, id long, v array<double>, planted int")
-    got = clusters.density_clusters(df, ["topic"], "id", "v", 8).join(df, ["topic", "id"]).collect()
+    got = density.density_clusters(df, ["topic"], "id", "v", 1.6, 5, 8).join(df, ["topic", "id"]).collect()
     found = sum(any(sum(r["planted"] == c and r["label"] == k for r in got) >= 10 for k in range(9)) for c in range(5))
     assert found >= 4 and [r["label"] for r in got if r["topic"] == "u"] == [-1]
     assert clusters.representatives(df.where("topic = 't'"), "planted", "id", "v", 3).count() == 15

@@ -59,7 +59,7 @@ def test_embedding_reuses_what_is_there(spark):
 
 def test_small_groups_are_one_cluster(spark):
     v = spark.createDataFrame([("t", k, [float(k), 0.0]) for k in range(7)] + [("u", 100 + k, [k % 2 * 100.0 + k / 50, k / 70]) for k in range(40)], "topic string, id int, v array<double>")
-    rows = O.cluster_posts(v, ["topic"], "id", "v", 10, 0.0).collect()
+    rows = O.cluster_posts(v, ["topic"], "id", "v", 0.2, 4, 10).collect()
     small = sorted((r.id, r.cluster, r.rank) for r in rows if r.topic == "t")
     assert small == [(k, "single", k + 1 if k < 5 else None) for k in range(7)]
     of = {r.id: r.cluster for r in rows if r.topic == "u"}

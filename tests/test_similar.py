@@ -89,3 +89,55 @@ def test_recall_of_bands(spark):
         rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:-4], "x", "y", "z", "u"]))]
     got = near.near_duplicates(spark.createDataFrame(rows, "id long, body string"), "id", "body")
     assert got.where("class_size = 2").count() >= 0.99 * len(rows)
+
+
+def dbscan(ids, x, eps, least, min_size=1):
+    near = ((x[:, None] - x[None]) ** 2).sum(-1) <= eps * eps
+    core = near.sum(1) >= least
+    n = len(x)
+    root = roots(n, [(i, j) for i in range(n) for j in range(i) if core[i] and core[j] and near[i, j]])
+    name = {}
+    for i in range(n):
+        if core[i]:
+            name[root[i]] = min(name.get(root[i], ids[i]), ids[i])
+    of = {}
+    for i in range(n):
+        if core[i]:
+            of[i] = name[root[i]]
+        elif (near[i] & core).any():
+            of[i] = min(name[root[j]] for j in np.flatnonzero(near[i] & core))
+    sizes = {c: list(of.values()).count(c) for c in of.values()}
+    order = {c: k for k, c in enumerate(sorted(c for c, s in sizes.items() if s >= min_size))}
+    return {ids[i]: (order.get(of.get(i), -1), bool(core[i]) and of.get(i) in order) for i in range(n)}
+
+
+@pytest.mark.parametrize(("block", "dims"), [(16, 5), (8, 1)])
+def test_density_like_brute_force(spark, block, dims):
+    from voxfield.operators import density
+
+    rng = np.random.default_rng(dims)
+    x = np.vstack([rng.normal(c, 0.25, (70, dims)) for c in rng.uniform(-3, 3, (5, dims))] + [rng.uniform(-4, 4, (60, dims))])
+    ids = rng.permutation(len(x)).tolist()
+    rows = [(int(i), [float(y) for y in v], int(i) % 2, "c") for i, v in zip(ids, x, strict=True)] + [(None, [0.0] * dims, 0, "c"), (9999, [], 1, "c"), (9998, None, 1, "c")]
+    df = spark.createDataFrame(rows, "id int, v array<double>, topic int, label string").repartition(3)
+    got = {r["id"]: (r["topic"], r["label"], r["core"], r["strength"]) for r in density.density_clusters(df, ["topic"], "id", "v", 0.6, 5, 4, block).collect()}
+    assert len(got) == len(rows) and got[None][1] == got[9999][1] == got[9998][1] == -1
+    for topic in (0, 1):
+        at = [k for k, i in enumerate(ids) if i % 2 == topic]
+        want = dbscan([ids[k] for k in at], x[at], 0.6, 5, 4)
+        assert {i: (label, core) for i, (t, label, core, _) in got.items() if t == topic and i is not None and i < 9000} == want
+    assert density.density_clusters(df.limit(0), ["topic"], "id", "v", 0.6).count() == 0
+
+
+def test_planted_clusters_are_found(spark):
+    """Five planted groups among noise, one with half of all rows: each is one cluster by majority."""
+    from voxfield.operators import density
+
+    rng = np.random.default_rng(9)
+    centres = np.linalg.qr(rng.normal(size=(32, 32)))[0][:5]
+    kinds = np.repeat(np.arange(5), [600, 150, 150, 150, 150])
+    x = centres[kinds] + rng.normal(0, 0.04, (len(kinds), 32))
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, kinds, strict=True))], "id int, v array<double>, kind int")
+    rows = density.density_clusters(df.withColumn("t", df.id * 0), ["t"], "id", "v", 0.45, 5, 10, 64).collect()
+    found = {k: {r["label"] for r in rows if kinds[r["id"]] == k} for k in range(5)}
+    assert len({next(iter(s)) for s in found.values() if len(s) == 1 and -1 not in s}) == 5

@@ -1,9 +1,7 @@
-"""Neighbours, centroids, representatives and density clusters of vectors."""
+"""Neighbours, centroids, representatives, encoders of vectors."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +15,18 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str, vector: st
     return vectors.select(key, F.round(d, 4).alias("dist")).orderBy("dist", key).limit(k)
 
 
-def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
-    """(group, dim, mean): the mean of each component, in partial sums."""
-    parts = vectors.select(group, F.posexplode(as_double(F.col(vector))).alias("dim", "x"))
-    return parts.groupBy(group, "dim").agg(F.avg("x").alias("mean"))
+def centroid_vectors(vectors: DataFrame, group: str, vector: str) -> DataFrame:
+    """(group, centroid): one aggregate over whole vectors, which must have one length in a group; null vectors say nothing."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
+    rows = vectors.where(F.col(vector).isNotNull()).select(group, array_to_vector(as_double(F.col(vector))).alias("_v"))
+    return rows.groupBy(group).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("centroid"))
 
-def centroid_vectors(vectors: DataFrame, group: str, vector: str) -> DataFrame:
-    """(group, centroid)."""
-    sorted_parts = F.array_sort(F.collect_list(F.struct("dim", "mean")))
-    return centroids(vectors, group, vector).groupBy(group).agg(F.transform(sorted_parts, lambda x: x["mean"]).alias("centroid"))
+
+def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
+    """(group, dim, mean): the mean of each component."""
+    return centroid_vectors(vectors, group, vector).select(group, F.posexplode("centroid").alias("dim", "mean"))
 
 
 def representatives(vectors: DataFrame, group: str, key: str, vector: str, k: int = 5) -> DataFrame:
@@ -74,109 +74,6 @@ def small_guard(vectors: DataFrame, groups: list[str], least: int) -> DataFrame:
     return vectors.join(sizes, groups).withColumn("path", F.when(F.col("_n") < least, "single").otherwise("density")).drop("_n")
 
 
-def density_labels(x: np.ndarray, min_size: int) -> tuple[np.ndarray, np.ndarray]:
-    """HDBSCAN on a matrix of one group: labels (-1 noise) and membership strengths. Prim's tree over mutual reachability, condensed by min_size,
-    clusters picked by excess of mass. Quadratic in the group's rows, with one row of distances in memory."""
-    n = len(x)
-    labels, strength = np.full(n, -1), np.zeros(n)
-    if n < max(2, min_size):
-        return labels, strength
-    square = (x * x).sum(1)
-    row = lambda i: np.sqrt(np.maximum(0, square + square[i] - 2 * x @ x[i]))
-    k = min(min_size, n) - 1
-    core = np.array([np.partition(row(i), k)[k] for i in range(n)])
-    near, parent, done = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
-    at, edges = 0, []
-    for _ in range(n - 1):
-        done[at] = True
-        d = np.maximum(np.maximum(row(at), core), core[at])
-        closer = ~done & (d < near)
-        near[closer], parent[closer] = d[closer], at
-        at = int(np.where(done, np.inf, near).argmin())
-        edges.append((near[at], at, parent[at]))
-    edges.sort()
-    root, size, tree = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), {}
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for j, (d, a, b) in enumerate(edges):
-        a, b = find(a), find(b)
-        root[a] = root[b] = n + j
-        size[n + j] = size[a] + size[b]
-        tree[n + j] = (a, b, d)
-
-    def leaves(i):
-        out, todo = [], [i]
-        while todo:
-            y = todo.pop()
-            if y < n:
-                out.append(y)
-            else:
-                todo += tree[y][:2]
-        return out
-
-    # condensed clusters: id -> parent, birth, stability, members with the level at which they fall out
-    found = [{"parent": None, "birth": 0.0, "mass": 0.0, "out": [], "kids": []}]
-    todo = [(2 * n - 2, 0)]
-    while todo:
-        node, c = todo.pop()
-        if node < n:
-            continue
-        a, b, d = tree[node]
-        level = 1 / d if d > 0 else 1e12
-        big = [y for y in (a, b) if size[y] >= min_size]
-        me = found[c]
-        for y in (a, b):
-            if size[y] < min_size:
-                fallen = leaves(y)
-                me["out"] += [(z, level) for z in fallen]
-                me["mass"] += len(fallen) * (level - me["birth"])
-        if len(big) == 2:
-            me["mass"] += (size[a] + size[b]) * (level - me["birth"])
-            for y in big:
-                found.append({"parent": c, "birth": level, "mass": 0.0, "out": [], "kids": []})
-                me["kids"].append(len(found) - 1)
-                todo.append((y, len(found) - 1))
-        elif big:
-            todo.append((big[0], c))
-    picked = {}
-    for c in range(len(found) - 1, 0, -1):
-        kids = sum(found[y]["mass"] for y in found[c]["kids"])
-        picked[c] = not found[c]["kids"] or found[c]["mass"] >= kids
-        found[c]["mass"] = max(found[c]["mass"], kids)
-    number = 0
-    todo = [(c, None) for c in found[0]["kids"]]
-    while todo:
-        c, label = todo.pop(0)
-        if label is None and picked[c]:
-            label, number = number, number + 1
-        top = max((lv for _, lv in found[c]["out"]), default=1.0)
-        for z, level in found[c]["out"]:
-            if label is not None:
-                labels[z], strength[z] = label, min(1.0, level / top) if top else 1.0
-        todo += [(y, label) for y in found[c]["kids"]]
-    return labels, strength
-
-
-def density_clusters(vectors: DataFrame, groups: list[str], key: str, vector: str, min_size: int, threshold: float = 0.0) -> DataFrame:
-    """groups, key, label and strength: HDBSCAN for each group (a topic and region of bounded size, as the algorithm is quadratic); members weaker than threshold become noise."""
-    fields = {f.name: f.dataType.simpleString() for f in vectors.schema}
-    schema = ", ".join(f"{c} {fields[c]}" for c in [*groups, key]) + ", label int, strength double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        labels, strength = density_labels(np.stack(pdf[vector].to_numpy()).astype(float), min_size)
-        out = pdf[[*groups, key]].copy()
-        out["label"], out["strength"] = np.where(strength < threshold, -1, labels).astype("int32"), strength
-        return out
-
-    return vectors.select(*groups, key, vector).groupBy(*groups).applyInPandas(run, schema)
-
-
 def pca(vectors: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
     """The first principal components: stands in for UMAP, which Spark has no equal of."""
     from pyspark.ml.feature import PCA

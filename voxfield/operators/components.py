@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxfield.tables import release, written
 
 SALTS = 8
+EDGES = 1 << 19
 
 
 def spread_join(rows: DataFrame, small: DataFrame, on: str, key: str, how: str = "left") -> DataFrame:
@@ -17,13 +21,48 @@ def spread_join(rows: DataFrame, small: DataFrame, on: str, key: str, how: str =
     return salted.join(each, (salted[on] == each[key]) & (salted["_salt"] == each["_s"]), how).drop("_salt", "_s", key)
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every EDGES links of a partition those of a star for each of their components, which say the same."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        up: dict = {}
+
+        def find(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = y
+            return x
+
+        for batch in held:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = find(x), find(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        found = [(find(x), x) for x in up]
+        ends = [pa.array([p[k] for p in found if p[0] != p[1]], held[0].schema.field(0).type) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= EDGES:
+            yield stars(held)
+            held, n = [], 0
+    if held:
+        yield stars(held)
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of each node of a link; a component is named by its smallest node. Links that are null or lead to themselves say nothing.
 
     At each level every node points to the neighbour (or itself) that comes first in an order by hash, which is another at each level, and pointed-at nodes
     take the place of those that point. That leaves a part of the nodes, on paths and stars alike, so levels are as many as the logarithm of the nodes. The minimum is
-    an aggregate with partial sums, joins are spread, and each level is a written table: no group of links comes together in one task."""
-    edges = written(links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").distinct())
+    an aggregate with partial sums, joins are spread, and each level is a written table: no group of links comes together in one task. Before a level each task
+    replaces the links it holds by stars, EDGES at a time."""
+    kind = links.schema[a].dataType.simpleString()
+    ends = links.select(F.col(a).alias("a"), F.col(b).cast(kind).alias("b")).where("a is not null and b is not null and a <> b")
+    edges = written(ends.mapInArrow(_forest, f"a {kind}, b {kind}").distinct())
     levels: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -32,7 +71,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         levels.append(parents)
         left = spread_join(edges, parents.select("node", F.col("parent").alias("pa")), "a", "node")
         right = spread_join(left.select("pa", "b"), parents.select("node", F.col("parent").alias("pb")), "b", "node")
-        following = written(right.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        following = written(right.where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).mapInArrow(_forest, f"a {kind}, b {kind}").distinct())
         release(edges)
         edges = following
     release(edges)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxfield.operators.clusters import density_clusters, name, pooled_chunks, representatives, small_guard
+from voxfield.operators.clusters import name, pooled_chunks, representatives, small_guard
+from voxfield.operators.density import density_clusters
 from voxfield.operators.relations import not_seen
 from voxfield.operators.textrank import chunks
 from voxfield.sinks.csv import upsert
@@ -49,12 +50,13 @@ def embed_posts(posts: DataFrame, table: DataFrame, encode: Callable[[DataFrame]
     return upsert(table.select("id", "text_hash", "vector", "created_at"), reused.unionByName(fresh).withColumn("created_at", at), ["id"], "created_at")
 
 
-def cluster_posts(vectors: DataFrame, groups: list[str], key: str, vector: str, min_size: int, threshold: float) -> DataFrame:
+def cluster_posts(vectors: DataFrame, groups: list[str], key: str, vector: str, eps: float, min_points: int, min_size: int, threshold: float = 0.0) -> DataFrame:
     """groups, key, cluster, strength and rank (1 to 5 of the representatives, else null): groups below min_size are the one cluster `single`, whose
-    representatives are the first keys; the others are clustered by density, members weaker than threshold are noise."""
+    representatives are the first keys; the others are clustered by density (`density_clusters`), members weaker than threshold are noise."""
     guarded = small_guard(vectors, groups, min_size)
     small = guarded.where("path = 'single'").select(*groups, key, F.lit("single").alias("cluster"), F.lit(1.0).alias("strength"), vector)
-    dense = density_clusters(guarded.where("path = 'density'"), groups, key, vector, min_size, threshold)
+    dense = density_clusters(guarded.where("path = 'density'"), groups, key, vector, eps, min_points, min_size)
+    dense = dense.withColumn("label", F.when(F.col("strength") < threshold, -1).otherwise(F.col("label")))
     dense = dense.join(vectors.select(*groups, key, vector), [*groups, key]).select(*groups, key, name(F.col("label")).alias("cluster"), "strength", vector)
     every = small.unionByName(dense)
     group = F.struct(*groups, "cluster")

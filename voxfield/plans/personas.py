@@ -147,13 +147,6 @@ def embed_posts(spark, sf_dir):
     return out.select("id", "text_hash", (F.col("vector") == mark).alias("reused"), "created_at")
 
 
-@query("cluster_posts")
-def cluster_posts(spark, sf_dir):
-    """Topics are source numbers of about 100 rows and one of a few rows that is too small."""
-    v = table(spark, sf_dir, "embeddings").withColumn("topic", F.when(F.col("vec_id") < 7, -1).otherwise(F.floor(F.col("vec_id") / 400).cast("int")))
-    return O.cluster_posts(v, ["topic"], "vec_id", "embedding", 10, 0.1).select("topic", "vec_id", "cluster", F.round("strength", 6).alias("strength"), "rank")
-
-
 @query("cluster_subset", f"SELECT doc_id, cluster FROM {_MEM} WHERE cluster IN (1, 3)")
 def cluster_subset(spark, sf_dir):
     return O.in_clusters(members(spark, sf_dir).select("doc_id", "cluster"), [1, 3])

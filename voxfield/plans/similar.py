@@ -2,21 +2,62 @@
 
 from pyspark.sql import functions as F
 
+from voxfield.operators import density as D
 from voxfield.operators import near as N
+from voxfield.operators import posts as O
 from voxfield.plans.catalog import query, table
 
-#: All pairs by shared shingles, and what is reachable over links.
+#: All pairs of different texts by shared shingles, and what is reachable over links.
 _NEAR = r"""
-WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-sh AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS s FROM w WHERE len(ws) > 0),
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+t AS MATERIALIZED (SELECT min(doc_id) AS t, ws FROM w WHERE len(ws) > 0 GROUP BY ws),
+of AS (SELECT w.doc_id, coalesce(t.t, w.doc_id) AS t FROM w LEFT JOIN t ON t.ws = w.ws),
+sh AS MATERIALIZED (SELECT t AS doc_id, hash(s) AS s FROM (SELECT t, unnest(list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS s FROM t)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
-met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-link AS (SELECT x, y FROM met JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 20 * c >= 17 * (nx.n + ny.n - c)),
-reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
-SELECT x AS doc_id, min(y) AS class_id, count(*) AS class_size FROM reach GROUP BY 1
+met AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT x, y FROM met JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 20 * c >= 17 * (nx.n + ny.n - c)),
+reach AS (SELECT t AS x, t AS y FROM of UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+class AS (SELECT x AS t, min(y) AS class_id FROM reach GROUP BY 1)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM of JOIN class USING (t)
 """
 
 
 @query("near_duplicates", _NEAR)
 def near_duplicates(spark, sf_dir):
     return N.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _density(rows, least):
+    """DBSCAN by all pairs: eps 1.14, 3 points. rows gives vec_id and e."""
+    return f"""v AS ({rows}), p AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON list_distance(a.e, b.e) <= 1.14),
+    n AS (SELECT x, count(*) AS n FROM p GROUP BY 1), core AS (SELECT x FROM n WHERE n >= 3),
+    link AS (SELECT x, y FROM p WHERE x IN (SELECT x FROM core) AND y IN (SELECT x FROM core)),
+    reach AS (SELECT x, x AS y FROM core UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+    c AS (SELECT x, min(y) AS cluster FROM reach GROUP BY 1),
+    m AS (SELECT x, cluster FROM c UNION ALL SELECT p.x, min(cluster) FROM p JOIN c ON c.x = p.y WHERE p.x NOT IN (SELECT x FROM core) GROUP BY 1),
+    s AS (SELECT cluster, (row_number() OVER (ORDER BY cluster) - 1)::INTEGER AS label FROM m GROUP BY 1 HAVING count(*) >= {least}),
+    den AS (SELECT v.vec_id, v.e, coalesce(label, -1)::INTEGER AS label, CASE WHEN label IS NULL THEN 0.0 ELSE least(1.0, n / 3) END::DOUBLE AS strength, label IS NOT NULL AND n >= 3 AS core FROM v LEFT JOIN n ON n.x = v.vec_id LEFT JOIN (SELECT m.x, s.label FROM m JOIN s USING (cluster)) k ON k.x = v.vec_id)"""
+
+
+_VECTORS = "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings"
+
+
+@query("density_cluster", f"WITH RECURSIVE {_density(_VECTORS, 3)} SELECT vec_id, label, round(strength, 6) AS strength, core FROM den")
+def density_cluster(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumn("topic", F.lit("all"))
+    return D.density_clusters(rows, ["topic"], "vec_id", "embedding", 1.14, 3, 3).select("vec_id", "label", F.round("strength", 6).alias("strength"), "core")
+
+
+@query(
+    "cluster_posts",
+    f"""WITH RECURSIVE {_density(_VECTORS + " WHERE vec_id >= 7", 10)},
+    cen AS (SELECT label, list(mean ORDER BY dim) AS cen FROM (SELECT label, dim, avg(y) AS mean FROM (SELECT label, unnest(range(64)) AS dim, unnest(e) AS y FROM den WHERE label >= 0) GROUP BY 1, 2) GROUP BY 1),
+    rep AS (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY round(list_distance(e, cen), 6), vec_id)::INTEGER AS rank FROM den JOIN cen USING (label)),
+    every AS (SELECT 0 AS topic, vec_id, CASE WHEN label < 0 THEN 'noise' ELSE printf('cluster_%03d', label) END AS cluster, round(strength, 6) AS strength, CASE WHEN rank <= 5 THEN rank END AS rank FROM den LEFT JOIN rep USING (vec_id)
+              UNION ALL SELECT -1, vec_id, 'single', 1.0, CASE WHEN vec_id < 5 THEN vec_id + 1 END::INTEGER FROM embeddings WHERE vec_id < 7)
+    SELECT * FROM every""",
+)
+def cluster_posts(spark, sf_dir):
+    """Two topics: seven rows, which are too few to cluster, and all the others."""
+    v = table(spark, sf_dir, "embeddings").withColumn("topic", F.when(F.col("vec_id") < 7, -1).otherwise(0))
+    return O.cluster_posts(v, ["topic"], "vec_id", "embedding", 1.14, 3, 10, 0.1).select("topic", "vec_id", "cluster", F.round("strength", 6).alias("strength"), "rank")

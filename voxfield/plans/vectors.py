@@ -56,13 +56,6 @@ def knn_lsh(spark, sf_dir):
     return C.nearest_lsh(table(spark, sf_dir, "embeddings"), _Q, 10, "vec_id", "embedding")
 
 
-@query("density_cluster")
-def density_cluster(spark, sf_dir):
-    # groups of about 500 rows stand for topics
-    rows = table(spark, sf_dir, "embeddings").withColumn("topic", F.floor(F.col("vec_id") / 500))
-    return C.density_clusters(rows, ["topic"], "vec_id", "embedding", 10)
-
-
 @query("pca")
 def pca(spark, sf_dir):
     return C.pca(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
