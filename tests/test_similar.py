@@ -141,3 +141,28 @@ def test_planted_clusters_are_found(spark):
     rows = density.density_clusters(df.withColumn("t", df.id * 0), ["t"], "id", "v", 0.45, 5, 10, 64).collect()
     found = {k: {r["label"] for r in rows if kinds[r["id"]] == k} for k in range(5)}
     assert len({next(iter(s)) for s in found.values() if len(s) == 1 and -1 not in s}) == 5
+
+
+def test_index_recall_and_pruning(spark, tmp_path):
+    """Recall at 10 against the exact search on the test vectors and on clustered ones; only probed lists are read; added rows are found."""
+    from voxfield.operators import clusters, index
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    clustered = spark.createDataFrame([(i, (centres[i % 40] + rng.normal(0, 0.3, 16)).tolist()) for i in range(2000)] + [(9999, None), (9998, [])], "vec_id long, embedding array<double>").cache()
+    plain = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    for name, df, lists, probes in (("clustered", clustered, None, 4), ("plain", plain, 16, 12)):
+        path = str(tmp_path / name)
+        index.build(df.where("vec_id <> 7"), "vec_id", "embedding", path, lists)
+        index.add(df.where("vec_id = 7"), "vec_id", "embedding", path)
+        queries = [list(map(float, r["embedding"])) for r in df.where("vec_id % 101 = 7 and size(embedding) > 0").orderBy("vec_id").limit(8).collect()]
+        hits = 0
+        for q in queries:
+            want = {r["vec_id"] for r in clusters.nearest(df.where("size(embedding) > 0"), q, 10, "vec_id", "embedding").collect()}
+            hits += len(want & {r["vec_id"] for r in index.knn(spark, path, q, 10, "vec_id", "embedding", probes).collect()})
+        assert hits >= 0.9 * 10 * len(queries), (name, hits)
+        found = index.knn(spark, path, queries[0], 10, "vec_id", "embedding", probes)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "list#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+        assert found.first()["vec_id"] == 7 and found.first()["dist"] == 0.0
+        assert spark.read.parquet(path + "/lists").count() == df.where("size(embedding) > 0").count()

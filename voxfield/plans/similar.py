@@ -1,11 +1,16 @@
 """Queries of near-duplicates, density clusters and the vector index."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from voxfield.operators import density as D
+from voxfield.operators import index as I
 from voxfield.operators import near as N
 from voxfield.operators import posts as O
 from voxfield.plans.catalog import query, table
+from voxfield.plans.vectors import _Q
+from voxfield.session import shared_folder
 
 #: All pairs of different texts by shared shingles, and what is reachable over links.
 _NEAR = r"""
@@ -48,6 +53,14 @@ def density_cluster(spark, sf_dir):
     return D.density_clusters(rows, ["topic"], "vec_id", "embedding", 1.14, 3, 3).select("vec_id", "label", F.round("strength", 6).alias("strength"), "core")
 
 
+@query("knn_index")
+def knn_index(spark, sf_dir):
+    """Builds the index once in the shared folder, then searches three quarters of its lists: the vectors have no clusters, so fewer would miss neighbours."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    I.build(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", path, lists=16)
+    return I.knn(spark, path, _Q, 10, "vec_id", "embedding", probes=12)
+
+
 @query(
     "cluster_posts",
     f"""WITH RECURSIVE {_density(_VECTORS + " WHERE vec_id >= 7", 10)},
