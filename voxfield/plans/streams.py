@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxfield.plans.catalog import query, table
 from voxfield.session import shared_folder
 from voxfield.streaming import events as S
+from voxfield.streaming import runs as R
 
 
 def _stream(spark, sf_dir):
@@ -52,5 +53,18 @@ def stream_sessions(spark, sf_dir):
 
 @query("stream_terminal", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, bool_or(event_type = 'purchase') AS done FROM events GROUP BY 1")
 def stream_terminal(spark, sf_dir):
-    out = _once(spark, S.latest_stage(_stream(spark, sf_dir)), "stream_terminal", "update")
+    out = _once(spark, R.latest_stage(_stream(spark, sf_dir), "user_id", "ts", "event_id", "event_type", ["purchase"]), "stream_terminal", "update")
     return out.groupBy("user_id").agg(F.max_by(F.struct("last_type", "done"), "_batch").alias("x")).select("user_id", "x.last_type", "x.done")
+
+
+@query(
+    "stream_numbered",
+    """SELECT user_id, event_id, seq, event_type FROM (SELECT *, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended,
+       row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events) WHERE ended = 0""",
+)
+def stream_numbered(spark, sf_dir):
+    """Numbers a run's events up to its first purchase and hands the batches to two sinks; the rows are read back from the second."""
+    top = f"{shared_folder(spark)}/stream-numbered-{uuid.uuid4().hex}"
+    out = R.numbered(_stream(spark, sf_dir).select("user_id", "event_id", "ts", "event_type"), "user_id", ["ts", "event_id"], "event_type", ["purchase"])
+    R.fan_out(out, [R.json_sink(f"{top}/log"), R.parquet_sink(f"{top}/table")], f"{top}/state")
+    return spark.read.parquet(f"{top}/table").select("user_id", "event_id", "seq", "event_type")

@@ -31,18 +31,16 @@ def sessions(events: DataFrame, gap: str = "2 hours", lateness: str = "7 days")
     return events.withWatermark("ts", lateness).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "n")
 
 
-def latest_stage(events: DataFrame) -> DataFrame:
-    """For update mode: the last value of each run's stage, and whether the run has ended."""
-    return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.bool_or(F.col("event_type") == "purchase").alias("done"))
-
-
 def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what there is and returns what its table holds then."""
+    """Runs a stream over what there is and returns what its table holds then. In complete mode a batch holds the whole result, so only the last one is kept."""
     spark = stream.sparkSession
     table = f"{checkpoint}/table"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/_batch={number}")  # a batch that is tried again replaces itself
+        if mode == "complete" and number:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/_batch={number - 1}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     q = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
@@ -56,7 +54,8 @@ def append_jsonl(stream: DataFrame, path: str, checkpoint: str):
 
 def upsert_state(batch: DataFrame, table: str, keys: list[str], newest: str) -> None:
     """For foreachBatch: merges a batch into a Parquet table of the newest row of each key. The old table is set aside until the new one is in
-    place; a run that was cut off in between finds it there, and merging a batch again changes nothing."""
+    place; a run that was cut off in between finds it there, and merging a batch again changes nothing. That needs a file system whose rename is atomic: object stores have
+    none, there `runs.parquet_sink` and an upsert over its batches do."""
     from voxfield.sinks.csv import upsert
 
     spark = batch.sparkSession
