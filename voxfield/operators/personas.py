@@ -118,3 +118,17 @@ def card_quotes(quotes: DataFrame, chars: int = 200, most: int = 3) -> DataFrame
 def bundle(personas: DataFrame, journeys: DataFrame, run_id: str) -> DataFrame:
     """A run's personas, in the order of their ids, each with its journey if it has one. personas: run_id, persona_id; journeys: persona_id, journey_id."""
     return personas.where(F.col("run_id") == run_id).join(journeys.select("persona_id", "journey_id"), "persona_id", "left").orderBy("persona_id", "journey_id")
+
+
+def merged_personas(personas: DataFrame, key: str, vector: str, claims: str, least: float = 0.9) -> DataFrame:
+    """(key, merged, claims): personas whose vectors have a cosine of `least` or more are one, and what is joined by others too; the smallest key stays, `merged` lists all keys in order and `claims` the
+    distinct claims of all. At unit length a cosine is a distance, so this is the epsilon-join of `density` with every row a core. Zero and null vectors join nothing."""
+    from voxfield.operators.clusters import normalised
+    from voxfield.operators.density import density_clusters
+
+    unit = normalised(personas.select(key, vector), key, vector).where(F.forall(vector, lambda x: x.isNotNull()))
+    labels = density_clusters(unit.withColumn("all", F.lit(0)), ["all"], key, vector, (2 * (1 - least)) ** 0.5, 1).where("label >= 0").select(F.col(key).alias("_k"), "label")
+    rows = personas.join(labels, F.col(key) == F.col("_k"), "left").withColumn("_g", F.when(F.col("label").isNull(), F.col(key)))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(claims).alias("c"))))
+    out = rows.groupBy("label", "_g").agg(ordered.alias("x"))
+    return out.select(F.col("x")[0]["k"].alias(key), F.transform("x", lambda r: r["k"]).alias("merged"), F.array_distinct(F.flatten(F.transform("x", lambda r: F.coalesce(r["c"], F.array().cast(personas.schema[claims].dataType))))).alias(claims))

@@ -1,16 +1,20 @@
-"""Queries of near-duplicates, density clusters and the vector index."""
+"""Queries of near-duplicates, density clusters, the vector index and its tables, robots rules and cached lookups."""
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voxfield.operators import density as D
 from voxfield.operators import index as I
+from voxfield.operators import lookups as L
 from voxfield.operators import near as N
+from voxfield.operators import personas as P
 from voxfield.operators import posts as O
 from voxfield.plans.catalog import query, table
 from voxfield.plans.vectors import _Q
 from voxfield.session import shared_folder
+from voxfield.sinks.csv import read_partitions, write_partitioned
 
 #: All pairs of different texts by shared shingles, and what is reachable over links.
 _NEAR = r"""
@@ -74,3 +78,58 @@ def cluster_posts(spark, sf_dir):
     """Two topics: seven rows, which are too few to cluster, and all the others."""
     v = table(spark, sf_dir, "embeddings").withColumn("topic", F.when(F.col("vec_id") < 7, -1).otherwise(0))
     return O.cluster_posts(v, ["topic"], "vec_id", "embedding", 1.14, 3, 10, 0.1).select("topic", "vec_id", "cluster", F.round("strength", 6).alias("strength"), "rank")
+
+
+@query(
+    "persona_merge",
+    """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    link AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON list_cosine_similarity(a.e, b.e) >= 0.4), reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+    h AS (SELECT x, min(y) AS vec_id FROM reach GROUP BY 1)
+    SELECT h.vec_id, count(*) AS n_merged, count(DISTINCT label) AS n_claims FROM h JOIN v ON v.vec_id = h.x GROUP BY 1""",
+)
+def persona_merge(spark, sf_dir):
+    """At a cosine of 0.4, as the test vectors hardly have closer ones."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.array("label").alias("claims"))
+    out = P.merged_personas(rows, "vec_id", "embedding", "claims", 0.4)
+    return out.select("vec_id", F.size("merged").cast("long").alias("n_merged"), F.size("claims").cast("long").alias("n_claims"))
+
+
+@query("embeddings_by_topic", "SELECT vec_id, label AS topic, CASE label % 2 WHEN 0 THEN 'HK' ELSE 'US' END AS region FROM embeddings WHERE label IN (SELECT n_nationkey % 10 FROM nation WHERE n_regionkey = 2)")
+def embeddings_by_topic(spark, sf_dir):
+    """The vectors as a table by topic and region, of which a dimension's topics are read."""
+    path = f"{shared_folder(spark)}/embeddings-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("topic"), F.when(F.col("label") % 2 == 0, "HK").otherwise("US").alias("region"), "embedding")
+    write_partitioned(rows, path, ["topic", "region"])
+    wanted = table(spark, sf_dir, "nation").where("n_regionkey = 2").select((F.col("n_nationkey") % 10).alias("topic"))
+    return read_partitions(spark, path, wanted, ["topic"]).select("vec_id", "topic", "region")
+
+
+_ROBOTS = """SELECT host, CASE k WHEN 0 THEN 'User-agent: other' || chr(10) || 'Disallow: /' WHEN 1 THEN 'User-agent: *' || chr(10) || 'Disallow: /en/1' || chr(10) || 'Disallow: /en # all' || chr(10) || 'Disallow:'
+             WHEN 2 THEN 'Disallow: /fr' || chr(13) || chr(10) || 'User-Agent: Bot' || chr(10) || 'disallow: /de/2' END AS text FROM (SELECT host, (row_number() OVER (ORDER BY host) - 1) % 4 AS k FROM (SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/:?#]+)', 1) AS host FROM pages))"""
+
+
+@query(
+    "robots_rules",
+    f"""WITH f AS ({_ROBOTS}), r AS (SELECT host, unnest(CASE WHEN starts_with(text, 'User-agent: *') THEN ['/en/1', '/en'] WHEN starts_with(text, 'Disallow') THEN ['/de/2'] ELSE [] END) AS prefix FROM f),
+    u AS (SELECT DISTINCT url, regexp_extract(url, '^([a-z]+://[^/:?#]+)', 1) AS host, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/') AS path FROM pages)
+    SELECT u.url, arg_max(prefix, length(prefix)) AS rule FROM u LEFT JOIN r ON r.host = u.host AND starts_with(u.path, r.prefix) GROUP BY 1""",
+)
+def robots_rules(spark, sf_dir):
+    """Every fourth host has no file, the others one of three."""
+    pages = table(spark, sf_dir, "pages")
+    hosts = pages.select(L.host_and_path(F.col("url"))[0].alias("host")).distinct()
+    kind = (F.row_number().over(Window.orderBy("host")) - 1) % 4  # over hosts
+    text = F.when(kind == 0, "User-agent: other\nDisallow: /").when(kind == 1, "User-agent: *\nDisallow: /en/1\nDisallow: /en # all\nDisallow:").when(kind == 2, "Disallow: /fr\r\nUser-Agent: Bot\ndisallow: /de/2")
+    return L.robots_check(pages, "url", L.robots_rules(hosts.select("host", text.alias("text")), "host", "text", "bot"))
+
+
+@query(
+    "cached_lookups",
+    """WITH c AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view'), r AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'click')
+    SELECT r.event_id, CASE WHEN c.ts IS NULL THEN 'miss' WHEN r.ts - c.ts <= INTERVAL 12 HOUR THEN 'hit' ELSE 'expired' END AS status, CASE WHEN r.ts - c.ts <= INTERVAL 12 HOUR THEN c.event_id END AS result FROM r ASOF LEFT JOIN c ON r.user_id = c.user_id AND r.ts >= c.ts""",
+)
+def cached_lookups(spark, sf_dir):
+    """Clicks look up their user's last view, which lives for twelve hours."""
+    events = table(spark, sf_dir, "events")
+    cache = events.where("event_type = 'view'").select("user_id", F.col("ts").alias("recorded_at"), F.col("event_id").alias("result"))
+    return L.cached(events.where("event_type = 'click'").select("event_id", "user_id", "ts"), cache, "user_id", "ts", 12 * 3600).select("event_id", "status", "result")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,5 +33,24 @@ def write_partitioned(rows: DataFrame, path: str, by: list[str]) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def read_partitions(spark: SparkSession, path: str, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of a table written by `write_partitioned` whose partition wanted has: the scan leaves out all others by the join's keys as it runs. Spark broadcasts the keys if they
+    are small."""
+    return spark.read.parquet(path).join(wanted.select(*by).distinct(), by)
+
+
+def write_run(rows: DataFrame, path: str, run: dict[str, str], at: str) -> dict:
+    """Writes the rows as JSON to path/records, then path/sidecar with what the run is, when it wrote and what it wrote: the number of rows and the first and last time, observed while they
+    were written, not by a second pass. A task that is run again counts once. A reader that waits for the sidecar never sees half a run."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    rows.observe(seen, F.count("*").alias("records_emitted"), F.min(at).cast("string").alias("first"), F.max(at).cast("string").alias("last")).write.mode("overwrite").json(f"{path}/records")
+    meta = run | {k: v for k, v in seen.get.items() if v is not None}
+    line = rows.sparkSession.range(1).select(*[F.lit(v).alias(k) for k, v in meta.items()], F.current_timestamp().alias("finished_at"))
+    line.coalesce(1).write.mode("overwrite").json(f"{path}/sidecar")
+    return meta
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
