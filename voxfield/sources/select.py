@@ -24,13 +24,15 @@ _STEP = re.compile(r"(?P<tag>^[a-zA-Z][\w-]*)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|
 
 class Field(NamedTuple):
     """What to take: `choices` are tried in turn and the first with a match gives all its matches ("" is the card or page itself); `attr` takes an attribute instead of the text;
-    `lines` keeps the pieces of text apart by line breaks; `raw` takes a script's content; elements that match `without` are left out of the text."""
+    `lines` keeps the pieces of text apart by line breaks; `raw` takes a script's content; elements that match `without` are left out of the text; `above` takes the text of
+    the nearest element of that tag around each match, its pieces joined by spaces (empty if there is none)."""
 
     choices: tuple[str, ...]
     attr: str | None = None
     lines: bool = False
     without: str | None = None
     raw: bool = False
+    above: str | None = None
 
 
 class Node:
@@ -135,8 +137,15 @@ def find(top: Node, selector: str) -> list[Node]:
     return out
 
 
-def text_of(top: Node, lines: bool = False, without: frozenset[int] = frozenset()) -> str:
-    """The trimmed pieces of text, joined by nothing or by line breaks; scripts and styles have none."""
+def around(node: Node, tag: str) -> Node | None:
+    """The nearest ancestor of this tag."""
+    while (node := node.up) is not None and node.tag != tag:
+        pass
+    return node
+
+
+def text_of(top: Node, lines: bool = False, without: frozenset[int] = frozenset(), joint: str | None = None) -> str:
+    """The trimmed pieces of text, joined by nothing, by line breaks or by `joint`; scripts and styles have none."""
     out, stack = [], list(reversed(top.down))
     while stack:
         node = stack.pop()
@@ -145,12 +154,14 @@ def text_of(top: Node, lines: bool = False, without: frozenset[int] = frozenset(
                 out.append(piece)
         elif node.tag not in ("script", "style", "template") and id(node) not in without:
             stack.extend(reversed(node.down))
-    return ("\n" if lines else "").join(out)
+    return (joint or ("\n" if lines else "")).join(out)
 
 
 def take(top: Node, field: Field) -> list[str]:
     for selector in field.choices:
         if nodes := find(top, selector) if selector else [top]:
+            if field.above:
+                return [text_of(up, joint=" ") if (up := around(n, field.above)) else "" for n in nodes]
             if field.attr:
                 return [n.attrs.get(field.attr, "") for n in nodes]
             if field.raw:
