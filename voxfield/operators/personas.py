@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxfield.functions.text import truncate
-from voxfield.operators.relations import STAGES, confidence
+from voxfield.operators.relations import STAGES, TIERS, confidence
 
 _ID = ("owner", "stage", "field", "pos")
 
@@ -132,3 +132,36 @@ def merged_personas(personas: DataFrame, key: str, vector: str, claims: str, lea
     ordered = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(claims).alias("c"))))
     out = rows.groupBy("label", "_g").agg(ordered.alias("x"))
     return out.select(F.col("x")[0]["k"].alias(key), F.transform("x", lambda r: r["k"]).alias("merged"), F.array_distinct(F.flatten(F.transform("x", lambda r: F.coalesce(r["c"], F.array().cast(personas.schema[claims].dataType))))).alias(claims))
+
+
+def contested_merge(claims: DataFrame, contested: DataFrame) -> DataFrame:
+    """claims with `contested_by`: the documents that contested (owner, stage, field, pos, doc) has against them, each once in order; empty where there are none."""
+    by = contested.groupBy(*_ID).agg(F.array_sort(F.collect_set("doc")).alias("docs"))
+    joined = claims.alias("a").join(by.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in _ID], "left")
+    return joined.select("a.*", F.coalesce("b.docs", F.array().cast("array<string>")).alias("contested_by"))
+
+
+def contested_count(claims: DataFrame) -> DataFrame:
+    """(owner, contested, unverified): how many claims have a contesting document, and the fields whose coverage is unverified, in order. claims: owner, field, contested_by, coverage."""
+    lost = F.array_sort(F.collect_set(F.when(F.col("coverage") == "unverified", F.col("field"))))
+    return claims.groupBy("owner").agg(F.count_if(F.size("contested_by") > 0).alias("contested"), lost.alias("unverified"))
+
+
+def sentiment_rollup(claims: DataFrame, moods: tuple[str, ...] = ("negative", "neutral", "positive")) -> DataFrame:
+    """(owner, mood, n, pct): the mentions of each mood over all claims of an owner, and their share of all (1 digit; 0 where there are none)."""
+    sums = claims.groupBy("owner").agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in moods])
+    total = sum((F.col(m) for m in moods), F.lit(0))
+    long = sums.select("owner", total.alias("t"), F.explode(F.array(*[F.struct(F.lit(m).alias("mood"), F.col(m).alias("n")) for m in moods])).alias("x"))
+    return long.select("owner", "x.mood", "x.n", F.coalesce(F.round(100.0 * F.try_divide(F.col("x.n"), F.col("t")), 1), F.lit(0.0)).alias("pct"))
+
+
+def eval_scores(expected: DataFrame, recovered: DataFrame, coverage: DataFrame) -> DataFrame:
+    """The suite's report, a row for each fixture: expected (fixture, theme), recovered (fixture, theme; any more are not counted) and coverage (fixture, tier of a persona; from single-perspective 1 to high 4,
+    anything else 0) -> expected, recovered, recovery_rate (4 digits), unmatched (themes in order), mean_coverage (4 digits, null without personas)."""
+    hits = recovered.select("fixture", "theme", F.lit(True).alias("hit")).distinct()
+    rows = expected.distinct().join(hits, ["fixture", "theme"], "left").groupBy("fixture")
+    scores = rows.agg(F.count("*").alias("expected"), F.count_if("hit").alias("recovered"), F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.col("theme")))).alias("unmatched"))
+    rank = F.greatest(F.array_position(F.array(*map(F.lit, TIERS)), F.coalesce("tier", F.lit(""))), F.lit(0))
+    means = coverage.groupBy("fixture").agg(F.round(F.avg(rank), 4).alias("mean_coverage"))
+    rate = F.round(F.col("recovered") / F.col("expected"), 4)
+    return scores.join(means, "fixture", "left").select("fixture", "expected", "recovered", rate.alias("recovery_rate"), "unmatched", "mean_coverage")

@@ -23,8 +23,12 @@ def seen_update(seen: DataFrame, rows: DataFrame, keys: list[str], at: str) -> D
     return seen.unionByName(new).groupBy(*keys).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
+#: Tiers of coverage, from the lowest.
+TIERS = ["single-perspective", "limited", "balanced", "high"]
+
+
 def tier(n: Column) -> Column:
-    return F.when(n <= 1, "single-perspective").when(n == 2, "limited").when(n <= 4, "balanced").otherwise("high")
+    return F.when(n <= 1, TIERS[0]).when(n == 2, TIERS[1]).when(n <= 4, TIERS[2]).otherwise(TIERS[3])
 
 
 def coverage(counts: DataFrame, group: str) -> DataFrame:

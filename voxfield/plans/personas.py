@@ -6,7 +6,7 @@ from voxfield.operators import personas as P
 from voxfield.operators import posts as O
 from voxfield.operators.relations import STAGES
 from voxfield.plans.catalog import QUERIES, query, table
-from voxfield.plans.relational import _MEM, members
+from voxfield.plans.relational import _MEM, _NEG, _POS, members
 
 #: Claims cite ids below the number of vectors, which is the number of documents that packs may hold.
 _N = "(SELECT count(*) FROM embeddings)"
@@ -166,3 +166,70 @@ def health_summary(spark, sf_dir):
 def parser_drift(spark, sf_dir):
     parsed = QUERIES["site_mobile01"](spark, sf_dir).groupBy(F.col("author").alias("source")).agg(F.count("*").alias("n"))
     return O.parser_drift(table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")), parsed)
+
+
+_SCORE = f"(SELECT doc_id::VARCHAR AS doc, len(list_filter({_POS}, lambda w: contains(lower(text), w))) - len(list_filter({_NEG}, lambda w: contains(lower(text), w))) AS s FROM documents)"
+_AGAINST = f"(SELECT DISTINCT owner, stage, field, pos, x.doc FROM {_X} x JOIN {_SCORE} c ON c.doc = x.doc WHERE known AND s < 0)"
+
+
+def _contested(spark, sf_dir):
+    """Claims with the documents they cite from their pack that speak against them."""
+    from voxfield.functions.text import hits
+
+    docs, cited = pack(spark, sf_dir), claims(spark, sf_dir)
+    against = docs.where(hits(F.col("text"), _POS) < hits(F.col("text"), _NEG)).select("owner", "doc")
+    rows = cited.select("owner", "stage", "field", "pos", F.explode("cites").alias("doc")).join(against, ["owner", "doc"])
+    return P.contested_merge(cited, rows)
+
+
+@query("contested_merge", f"SELECT c.owner, c.stage, c.field, c.pos, coalesce(string_agg(a.doc, ',' ORDER BY a.doc), '') AS contested_by FROM {_C} c LEFT JOIN {_AGAINST} a ON a.owner = c.owner AND a.stage = c.stage AND a.field = c.field AND a.pos = c.pos GROUP BY ALL")
+def contested_merge(spark, sf_dir):
+    return _contested(spark, sf_dir).select("owner", "stage", "field", "pos", F.array_join("contested_by", ",").alias("contested_by"))
+
+
+@query(
+    "contested_count",
+    f"""WITH v AS (SELECT b.owner, b.stage, b.field, b.pos, f.lost FROM {_BAD} b JOIN (SELECT owner, stage, field, bool_or(bad) AS lost FROM {_BAD} GROUP BY ALL) f USING (owner, stage, field) WHERE NOT b.bad)
+    SELECT v.owner, count(*) FILTER ((v.owner, stage, field, pos) IN (SELECT (owner, stage, field, pos) FROM {_AGAINST})) AS contested, coalesce(string_agg(DISTINCT field, ',' ORDER BY field) FILTER (lost), '') AS unverified FROM v GROUP BY 1""",
+)
+def contested_count(spark, sf_dir):
+    out = P.contested_count(P.verified_claims(_contested(spark, sf_dir), pack(spark, sf_dir)))
+    return out.select("owner", "contested", F.array_join("unverified", ",").alias("unverified"))
+
+
+@query(
+    "sentiment_rollup",
+    f"""WITH m AS (SELECT x.owner, CASE WHEN s < 0 THEN 'negative' WHEN s > 0 THEN 'positive' ELSE 'neutral' END AS mood FROM {_X} x LEFT JOIN {_SCORE} c ON c.doc = x.doc WHERE known)
+    SELECT o.owner, t.mood, count(m.mood) AS n, coalesce(round(100.0 * count(m.mood) / nullif((SELECT count(*) FROM m WHERE m.owner = o.owner), 0), 1), 0)::DOUBLE AS pct
+    FROM (SELECT DISTINCT owner FROM m) o, (SELECT unnest(['negative', 'neutral', 'positive']) AS mood) t LEFT JOIN m ON m.owner = o.owner AND m.mood = t.mood GROUP BY 1, 2""",
+)
+def sentiment_rollup(spark, sf_dir):
+    from voxfield.operators.relations import grounding
+
+    docs = pack(spark, sf_dir)
+    cited = claims(spark, sf_dir).select("owner", F.col("pos").alias("claim"), F.explode("cites").alias("doc")).join(docs.select("owner", "doc"), ["owner", "doc"])
+    sizes = docs.groupBy(F.col("owner").alias("cluster")).agg(F.count("*").alias("size"))
+    grounded = grounding(cited.withColumnRenamed("owner", "cluster"), docs.select("doc", "text"), sizes, _NEG, _POS)
+    return P.sentiment_rollup(grounded.withColumnRenamed("cluster", "owner"))
+
+
+_THEMES = {"praise": _POS, "anger": _NEG, "none": ["zzzzzz"], "words": ["the", "der", "le", "el"]}
+_TCASE = ", ".join(f"('{k}', {v})" for k, v in _THEMES.items())
+
+
+@query(
+    "eval_scores",
+    f"""WITH t(theme, words) AS (VALUES {_TCASE}), f AS (SELECT source AS fixture, list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z0-9]+')))) AS toks FROM documents GROUP BY 1),
+    h AS (SELECT fixture, theme, len(list_intersect(toks, words)) > 0 AS hit FROM f, t),
+    k AS (SELECT source AS fixture, avg(CASE WHEN n <= 1 THEN 1 WHEN n = 2 THEN 2 WHEN n <= 4 THEN 3 ELSE 4 END) AS m FROM (SELECT source, lang, count(DISTINCT doc_id % 6) AS n FROM documents GROUP BY 1, 2) GROUP BY 1)
+    SELECT fixture, count(*) AS expected, count(*) FILTER (hit) AS recovered, round(count(*) FILTER (hit) / count(*), 4) AS recovery_rate, coalesce(string_agg(theme, ',' ORDER BY theme) FILTER (NOT hit), '') AS unmatched, round(any_value(m), 4) AS mean_coverage FROM h JOIN k USING (fixture) GROUP BY 1""",
+)
+def eval_scores(spark, sf_dir):
+    """Sources stand for fixtures, their documents for claims, languages for personas."""
+    from voxfield.operators.relations import recovered, tier
+
+    docs = table(spark, sf_dir, "documents")
+    found = recovered(docs.withColumnRenamed("source", "fixture"), "fixture", "text", {k: (v, []) for k, v in _THEMES.items()})
+    expected = docs.select(F.col("source").alias("fixture")).distinct().select("fixture", F.explode(F.array(*map(F.lit, _THEMES))).alias("theme"))
+    tiers = docs.groupBy(F.col("source").alias("fixture"), "lang").agg(tier(F.countDistinct(F.col("doc_id") % 6)).alias("tier"))
+    return P.eval_scores(expected, found, tiers).select("fixture", "expected", "recovered", "recovery_rate", F.array_join("unmatched", ",").alias("unmatched"), "mean_coverage")

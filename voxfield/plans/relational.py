@@ -190,12 +190,6 @@ def claim_grounding(spark, sf_dir):
     return R.grounding(evidence, texts, sizes, _NEG, _POS)
 
 
-@query("contested_count", "SELECT user_id, count(*) FILTER (value > 0 AND event_type = 'error') AS contested, count(DISTINCT event_type) FILTER (event_type = 'error') AS fields FROM events GROUP BY 1")
-def contested_count(spark, sf_dir):
-    bad = F.col("event_type") == "error"
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if((F.col("value") > 0) & bad).alias("contested"), F.countDistinct(F.when(bad, F.col("event_type"))).alias("fields"))
-
-
 @query("stage_sparsity", "SELECT k AS stage, coalesce(n, 0) AS cites, CASE WHEN n IS NULL THEN 'none' WHEN n < 2 THEN 'thin' ELSE 'ok' END AS sparsity FROM (SELECT unnest(range(6)) AS k) LEFT JOIN (SELECT conv_id % 7 AS k, count(DISTINCT text) AS n FROM conversations WHERE turn > 2 AND conv_id % 7 <> 1 GROUP BY 1) USING (k)")
 def stage_sparsity(spark, sf_dir):
     cites = table(spark, sf_dir, "conversations").where("turn > 2 and conv_id % 7 <> 1").groupBy((F.col("conv_id") % 7).alias("stage")).agg(F.countDistinct("text").alias("n"))
@@ -252,13 +246,6 @@ def dominance(spark, sf_dir):
     return counts.select("cluster", "lang", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("cluster")), 2).alias("pct")).where("pct > 60")
 
 
-@query("noise_pct", "SELECT count(*) AS total, count(*) FILTER (label = 0) AS noise, round(100.0 * count(*) FILTER (label = 0) / count(*), 1)::DOUBLE AS noise_pct, CASE WHEN 100.0 * count(*) FILTER (label = 0) / count(*) > 40 THEN 'high' WHEN 100.0 * count(*) FILTER (label = 0) / count(*) < 5 THEN 'low' ELSE 'normal' END AS advice FROM embeddings")
-def noise_pct(spark, sf_dir):
-    out = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("total"), F.count_if(F.col("label") == 0).alias("noise"))
-    pct = F.try_divide(100.0 * F.col("noise"), F.col("total"))
-    return out.select("total", "noise", F.round(pct, 1).alias("noise_pct"), F.when(pct > 40, "high").when(pct < 5, "low").otherwise("normal").alias("advice"))
-
-
 @query("stats_distinct", "SELECT count(*) AS posts, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs, max(n_chars) AS longest FROM documents")
 def stats_distinct(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("posts"), F.countDistinct("source").alias("sources"), F.countDistinct("lang").alias("langs"), F.max("n_chars").alias("longest"))
@@ -298,19 +285,6 @@ def comparative(spark, sf_dir):
     return out.select("claim", "severity", F.when(F.col("lo") != F.col("hi"), "both").otherwise(F.col("lo")).alias("unique_to"))
 
 
-@query("contested_merge", "SELECT d.doc_id, d.lang AS field, coalesce(string_agg(c.item_id::VARCHAR, ',' ORDER BY c.item_id), '') AS contested_by FROM documents d LEFT JOIN (SELECT item_id, item_id * 3 AS doc_id, CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END AS lang FROM benchmark) c ON c.doc_id = d.doc_id AND c.lang = d.lang GROUP BY 1, 2")
-def contested_merge(spark, sf_dir):
-    contested = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") * 3).alias("doc_id"), F.when(F.col("item_id") % 2 == 0, "en").otherwise("fr").alias("lang"))
-    by = contested.groupBy("doc_id", "lang").agg(F.array_join(F.array_sort(F.collect_list("item_id")).cast("array<string>"), ",").alias("contested_by"))
-    return table(spark, sf_dir, "documents").join(by, ["doc_id", "lang"], "left").select("doc_id", F.col("lang").alias("field"), F.coalesce("contested_by", F.lit("")).alias("contested_by"))
-
-
-@query("eval_scores", "SELECT lang AS fixture, count(*) AS expected, count(*) FILTER (toxic = 0) AS recovered, round(count(*) FILTER (toxic = 0) / count(*), 4) AS recovery_rate, round(avg(quality), 4) AS mean_coverage FROM labels JOIN documents USING (doc_id) GROUP BY 1")
-def eval_scores(spark, sf_dir):
-    out = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").groupBy(F.col("lang").alias("fixture"))
-    return out.agg(F.count("*").alias("expected"), F.count_if(F.col("toxic") == 0).alias("recovered"), F.round(F.count_if(F.col("toxic") == 0) / F.count("*"), 4).alias("recovery_rate"), F.round(F.avg("quality"), 4).alias("mean_coverage"))
-
-
 @query("ttl_lookup", "SELECT user_id, max(ts) AS recorded_at, arg_max(event_type, (ts, event_id)) AS result FROM events WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 24 HOUR GROUP BY 1")
 def ttl_lookup(spark, sf_dir):
     fresh = table(spark, sf_dir, "events").where("ts >= TIMESTAMP_NTZ '2024-01-30 00:00:00' - INTERVAL 24 HOUR")
@@ -338,12 +312,6 @@ def persona_rows(spark, sf_dir):
     return rows(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("persona_id"), F.col("role").alias("field"), F.col("turn").alias("pos"), F.col("text").alias("claim")))
 
 
-@query("sentiment_rollup", "SELECT event_type, sum(user_id)::BIGINT AS n, round(100.0 * sum(user_id) / sum(sum(user_id)) OVER (), 3)::DOUBLE AS pct FROM events GROUP BY 1")
-def sentiment_rollup(spark, sf_dir):
-    out = table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum("user_id").alias("n"))
-    return out.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 3))
-
-
 @query("region_rollup", "SELECT r_name, n_name, count(*) AS suppliers, round(sum(s_acctbal), 2) AS balance FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY ROLLUP (r_name, n_name)")
 def region_rollup(spark, sf_dir):
     r, n, s = (table(spark, sf_dir, x) for x in ("region", "nation", "supplier"))

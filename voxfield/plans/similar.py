@@ -133,3 +133,20 @@ def cached_lookups(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     cache = events.where("event_type = 'view'").select("user_id", F.col("ts").alias("recorded_at"), F.col("event_id").alias("result"))
     return L.cached(events.where("event_type = 'click'").select("event_id", "user_id", "ts"), cache, "user_id", "ts", 12 * 3600).select("event_id", "status", "result")
+
+
+@query("outlier_mask", f"WITH RECURSIVE {_density(_VECTORS, 3)} SELECT vec_id, CASE WHEN strength < 1 THEN -1 ELSE label END::INTEGER AS label FROM den")
+def outlier_mask(spark, sf_dir):
+    """Members of a cluster that are less than core become noise."""
+    return density_cluster(spark, sf_dir).select("vec_id", F.when(F.col("strength") < 1, -1).otherwise(F.col("label")).alias("label"))
+
+
+@query(
+    "noise_pct",
+    f"""WITH RECURSIVE {_density(_VECTORS, 3)}, t AS (SELECT count(*) AS total, count(*) FILTER (label < 0) AS noise FROM den)
+    SELECT total, noise, round(100.0 * noise / total, 1)::DOUBLE AS noise_pct, CASE WHEN 100.0 * noise / total > 40 THEN 'high' WHEN 100.0 * noise / total < 5 THEN 'low' ELSE 'normal' END AS advice FROM t""",
+)
+def noise_pct(spark, sf_dir):
+    out = density_cluster(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(F.col("label") < 0).alias("noise"))
+    pct = F.try_divide(100.0 * F.col("noise"), F.col("total"))
+    return out.select("total", "noise", F.round(pct, 1).alias("noise_pct"), F.when(pct > 40, "high").when(pct < 5, "low").otherwise("normal").alias("advice"))

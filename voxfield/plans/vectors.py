@@ -40,12 +40,6 @@ def small_dataset_guard(spark, sf_dir):
     return C.small_guard(table(spark, sf_dir, "embeddings"), ["label"], 50).groupBy("label", "path").agg(F.count("*").alias("n"))
 
 
-@query("outlier_mask", f"SELECT vec_id, CASE WHEN n < 0.9 THEN -1 ELSE label END AS label FROM (SELECT vec_id, label, 2 * abs(embedding[1]::DOUBLE) + 0.7 AS n FROM embeddings)")
-def outlier_mask(spark, sf_dir):
-    strength = 2 * F.abs(F.col("embedding")[0].cast("double")) + 0.7
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.when(strength < 0.9, -1).otherwise(F.col("label")).alias("label"))
-
-
 @query("cluster_name", "SELECT CASE WHEN label < 1 THEN 'noise' ELSE printf('cluster_%03d', label - 1) END AS cluster, count(*) AS size FROM embeddings GROUP BY 1")
 def cluster_name(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").groupBy(C.name(F.col("label") - 1).alias("cluster")).agg(F.count("*").alias("size"))
