@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxfield.functions.text import short_id, snippet
@@ -36,8 +36,9 @@ def evidence_block(pack: DataFrame) -> DataFrame:
     return out.select("cluster", "n_docs", F.concat(F.array_join(F.transform("x", lambda y: y["line"]), "\n"), more).alias("block"))
 
 
-def evidence_header(members: DataFrame, keywords: DataFrame, group: str = "cluster") -> DataFrame:
-    """(cluster, header): id, size, keywords and the distributions of source and language. keywords: cluster, term, rank."""
+def evidence_header(members: DataFrame, keywords: DataFrame, group: str = "cluster", coverage: DataFrame | None = None, region: Column | None = None) -> DataFrame:
+    """(cluster, header): id, region where it is given, size, keywords and the distributions of source and language; with coverage (cluster, coverage: see
+    `relations.coverage_json`) also that block and the line that opens the pack. keywords: cluster, term, rank."""
 
     def counts(column: str) -> DataFrame:
         n = members.where(F.col(column).isNotNull()).groupBy(group, column).agg(F.count("*").alias("n"))
@@ -46,8 +47,12 @@ def evidence_header(members: DataFrame, keywords: DataFrame, group: str = "clust
 
     words = keywords.where("rank <= 10").groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), ", ").alias("_words"))
     out = members.groupBy(group).agg(F.count("*").alias("_size")).join(words, group, "left").join(counts("source"), group, "left").join(counts("lang"), group, "left")
-    parts = [("- cluster_id: ", F.col(group)), ("- size: ", F.concat(F.col("_size"), F.lit(" posts"))), ("- top keywords (c-TF-IDF): ", F.coalesce("_words", F.lit(""))), ("- source distribution: ", F.coalesce("_source", F.lit("{}"))), ("- language distribution: ", F.coalesce("_lang", F.lit("{}")))]
-    return out.select(group, F.concat_ws("\n", F.lit("CLUSTER METADATA"), *[F.concat(F.lit(a), b) for a, b in parts]).alias("header"))
+    parts = [("- cluster_id: ", F.col(group)), *([] if region is None else [("- region: ", region)]), ("- size: ", F.concat(F.col("_size"), F.lit(" posts"))), ("- top keywords (c-TF-IDF): ", F.coalesce("_words", F.lit(""))), ("- source distribution: ", F.coalesce("_source", F.lit("{}"))), ("- language distribution: ", F.coalesce("_lang", F.lit("{}")))]
+    lines = [F.lit("CLUSTER METADATA"), *[F.concat(F.lit(a), b) for a, b in parts]]
+    if coverage is not None:
+        out = out.join(coverage, group, "left")
+        lines += [F.lit(""), F.lit("DATA SOURCE COVERAGE (deterministic; informational)"), F.coalesce("coverage", F.lit("{}")), F.lit(""), F.lit("EVIDENCE PACK"), F.lit("")]
+    return out.select(group, F.concat_ws("\n", *lines).alias("header"))
 
 
 def unknown_citations(cites: DataFrame, known: DataFrame) -> DataFrame:

@@ -54,6 +54,26 @@ def bias_warning(counts: DataFrame, group: str) -> DataFrame:
     return out.select(group, F.when(parts == "", "balanced coverage across categories").otherwise(parts).alias("bias_warning"))
 
 
+def coverage_json(counts: DataFrame, group: str) -> DataFrame:
+    """counts as for coverage -> (group, coverage): the coverage of each group as JSON with sorted keys, indented by two. Sources are listed by
+    number of posts, then name; posts without a source count for the size alone. Letters beyond ASCII stay as they are."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    block = lambda rows, a, b: F.when(F.size(rows) == 0, a + b).otherwise(F.concat(F.lit(f"{a}\n    "), F.array_join(rows, ",\n    "), F.lit(f"\n  {b}")))
+    known = F.when(F.col("source").isNotNull(), F.struct((-F.col("n")).alias("neg"), "source"))
+    used = F.array_sort(F.collect_list(known))
+    by_name = F.array_sort(F.transform(used, lambda x: F.struct(x["source"].alias("source"), (-x["neg"]).alias("n"))))
+    present = F.array_sort(F.collect_set("category"))
+    missing = F.array_sort(F.array_except(F.array(*map(F.lit, CATEGORIES)), present))
+    parts = counts.groupBy(group).agg(
+        block(F.transform(missing, quoted), "[", "]").alias("m"), block(F.transform(present, quoted), "[", "]").alias("p"), F.size(present).alias("k"),
+        block(F.transform(by_name, lambda x: F.concat(quoted(x["source"]), F.lit(": "), x["n"])), "{", "}").alias("d"), block(F.transform(used, lambda x: quoted(x["source"])), "[", "]").alias("u"),
+    )
+    fields = [("bias_warning", quoted(F.col("bias_warning"))), ("categories_missing", F.col("m")), ("categories_present", F.col("p")), ("category_count", F.col("k").cast("string")), ("coverage_tier", quoted(tier(F.col("k")))), ("doc_counts", F.col("d")), ("sources_used", F.col("u"))]
+    lines = F.concat_ws(",\n", *[F.concat(F.lit(f'  "{name}": '), x) for name, x in fields])
+    both = parts.join(bias_warning(counts, group).withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")))
+    return both.select(group, F.concat(F.lit("{\n"), lines, F.lit("\n}")).alias("coverage"))
+
+
 def distribution(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, value as text, n), nulls left out."""
     return rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("string").alias("value")).agg(F.count("*").alias("n"))

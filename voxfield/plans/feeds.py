@@ -87,11 +87,6 @@ def first_match(spark, sf_dir):
     return table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
 
 
-@query("weighted_evidence", "SELECT lang, sum(w)::BIGINT AS weight FROM (SELECT lang, substr(source, 4)::INTEGER % 5 + 1 AS w FROM documents) GROUP BY 1")
-def weighted_evidence(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(F.substring("source", 4, 9).cast("int") % 5 + 1).alias("weight"))
-
-
 @query("job_matrix", "SELECT source AS topic, v AS variant, p AS phase, row_number() OVER (PARTITION BY source ORDER BY p, v)::INTEGER AS job FROM (SELECT DISTINCT source FROM documents), (SELECT unnest(['', ' review', ' vs']) AS v), (SELECT unnest([1, 2]) AS p)")
 def job_matrix(spark, sf_dir):
     from pyspark.sql import Window

@@ -45,10 +45,3 @@ def synthesize_mock(spark, sf_dir):
     docs = pack.groupBy("cluster").agg(F.collect_list(F.struct(F.col("short_id").alias("doc"), F.col("snippet").alias("text"))).alias("docs"))
     packs = E.evidence_block(pack).join(docs, "cluster").select("cluster", "block", "docs")
     return S.synthesize(packs, S.quoting_client).select("cluster", "attempts", F.size("errors").alias("n_errors"))
-
-
-@query("region_listing", "SELECT n_name AS region, count(*) AS sources, count(*) FILTER (s_acctbal > 0) AS enabled, string_agg(s_name, ',' ORDER BY s_acctbal DESC, s_name) AS names FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
-def region_listing(spark, sf_dir):
-    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    order = F.array_sort(F.collect_list(F.struct((-F.col("s_acctbal")).alias("o"), "s_name")))
-    return s.join(n, s["s_nationkey"] == n["n_nationkey"]).groupBy(F.col("n_name").alias("region")).agg(F.count("*").alias("sources"), F.count_if(F.col("s_acctbal") > 0).alias("enabled"), F.array_join(F.transform(order, lambda x: x["s_name"]), ",").alias("names"))

@@ -58,7 +58,7 @@ def ctfidf_all(spark, sf_dir):
     return T.ctfidf(_terms(spark, sf_dir), "cluster")
 
 
-@query("ctfidf_one_vs_rest", f"WITH {_TERMS}, tot AS (SELECT term, sum(tf) AS total FROM tf GROUP BY 1), w AS (SELECT cluster, term, round(tf * (ln(3.0 / (1 + CASE WHEN total > tf THEN 2 ELSE 1 END)) + 1), 6) AS weight FROM tf JOIN tot USING (term)) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term)::INTEGER AS rank FROM w) WHERE rank <= 10")
+@query("ctfidf_one_vs_rest", f"WITH {_TERMS}, tot AS (SELECT term, sum(tf) AS total FROM tf GROUP BY 1 ORDER BY total DESC, term LIMIT 1000), w AS (SELECT cluster, term, round(tf * (ln(3.0 / (1 + CASE WHEN total > tf THEN 2 ELSE 1 END)) + 1), 6) AS weight FROM tf JOIN tot USING (term)) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, term)::INTEGER AS rank FROM w) WHERE rank <= 10")
 def ctfidf_one_vs_rest(spark, sf_dir):
     return T.ctfidf_one_vs_rest(_terms(spark, sf_dir), "cluster")
 
