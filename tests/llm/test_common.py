@@ -2,7 +2,9 @@
 
 import threading
 
-from voxfield.llm.common import _made, drop, scratch, store
+import pyarrow as pa
+
+from voxfield.llm.common import _made, drop, scratch, small_batches, store
 
 
 def test_scratch_removes_its_own_tables_only(spark):
@@ -30,3 +32,19 @@ def test_scratch_removes_its_own_tables_only(spark):
     assert {temporary._voxfield_path, inner[0]._voxfield_path, passed._voxfield_path}.isdisjoint(_made)
     drop(before, others[0], result)
     assert {before._voxfield_path, result._voxfield_path}.isdisjoint(_made)
+
+
+def test_batches_get_no_larger(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        small_batches(spark, 50)
+        sizes = lambda: {r[0] for r in spark.range(0, 300, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"id": [b.num_rows]}) for b in batches), "id long").collect()}
+        assert sizes() == {50}
+        small_batches(spark, 100)
+        assert spark.conf.get(key) == "50"
+        spark.conf.set(key, "0")  # no bound
+        small_batches(spark, 100)
+        assert spark.conf.get(key) == "100"
+    finally:
+        spark.conf.set(key, before)

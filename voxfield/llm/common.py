@@ -34,6 +34,15 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int
             at = to
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows in this session, unless it asks for fewer. A batch of whole texts is held by the JVM and the Python worker, going
+    and coming, for each task at once, so its rows bound what an executor needs beside its heap; the rows' results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; a null text is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
