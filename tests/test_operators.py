@@ -1,6 +1,7 @@
 """Known cases: expected values of scalar functions, trends, coverage, keywords, clusters, pages and streams."""
 
 import datetime as dt
+import json
 import random
 
 import numpy as np
@@ -167,10 +168,15 @@ def test_pages():
 
 
 def test_exports(spark, tmp_path):
-    docs = spark.createDataFrame([(1, None, "en", 'say "hi", ok', 3)], "doc_id long, source string, lang string, text string, n_chars long")
-    csv.write_posts(docs, f"{tmp_path}/c")
-    back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/c").first()
-    assert back["body"] == 'say "hi", ok' and back["engagement_metrics"] == '{"n_chars":3}'
+    rows = [("p1", None, 'say "hi",\nok', dt.datetime(2024, 1, 2, 3, 4, 5), {"likes": 3, 'a"b': None}, "x"), ("p2", "s", None, dt.datetime(2024, 1, 2, 3, 4, 5, 600), {}, "x"), ("p3", "s", "", None, None, "x")]
+    posts = spark.createDataFrame(rows, "id string, source string, body string, posted_at timestamp, engagement_metrics map<string,bigint>, raw_metadata string")
+    csv.write_posts(posts, f"{tmp_path}/c")
+    back = {r["id"]: r for r in spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{tmp_path}/c").fillna("").collect()}
+    assert list(back["p1"].asDict()) == csv.POST_COLUMNS
+    assert back["p1"]["body"] == 'say "hi",\nok' and back["p1"]["source"] == "" and back["p1"]["title"] == ""
+    assert json.loads(back["p1"]["engagement_metrics"]) == {"likes": 3, 'a"b': None} and '"likes": 3' in back["p1"]["engagement_metrics"]
+    assert [back[k]["engagement_metrics"] for k in ("p2", "p3")] == ["", ""] and back["p3"]["posted_at"] == ""
+    assert dt.datetime.fromisoformat(back["p2"]["posted_at"]).microsecond == 600 and "." not in back["p1"]["posted_at"]
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, at int")
     got = csv.upsert(old, spark.createDataFrame([(2, "c", 2), (3, "d", 2)], old.schema), ["k"], "at").collect()
     assert {(r["k"], r["v"]) for r in got} == {(1, "a"), (2, "c"), (3, "d")}

@@ -157,12 +157,22 @@ def post_text(spark, sf_dir):
 
 @query(
     "csv_projection",
-    """SELECT doc_id::VARCHAR AS id, coalesce(source, '') AS source, coalesce(lang, '') AS language, coalesce(text, '') AS body, '{"n_chars":' || n_chars || '}' AS engagement_metrics FROM documents""",
+    """SELECT doc_id::VARCHAR AS id, coalesce(source, '') AS source, 'forums' AS source_category, '' AS region, coalesce(lang, '') AS language, coalesce(lang, '') AS language_detected, 'https://x/' || doc_id AS url,
+       coalesce(sha256(source), '') AS author_hash, '' AS title, coalesce(text, '') AS body, coalesce(strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END, '') AS posted_at,
+       '' AS signal_type, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '{"chars": ' || coalesce(n_chars::VARCHAR, 'null') || ', "likes": ' || doc_id % 7 || '}' END AS engagement_metrics
+       FROM documents LEFT JOIN (SELECT event_id, ts FROM events) ON event_id = doc_id""",
 )
 def csv_projection(spark, sf_dir):
     from voxfield.sinks.csv import post_rows
 
-    return post_rows(table(spark, sf_dir, "documents"))
+    docs, times = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("posted_at"))
+    number = F.col("doc_id")
+    metrics = F.when(number % 3 == 0, F.create_map().cast("map<string,bigint>")).otherwise(F.create_map(F.lit("chars"), F.col("n_chars").cast("long"), F.lit("likes"), number % 7))
+    posts = docs.join(times, "doc_id", "left").select(
+        number.alias("id"), "source", F.lit("forums").alias("source_category"), F.col("lang").alias("language"), F.col("lang").alias("language_detected"), F.concat(F.lit("https://x/"), number).alias("url"),
+        F.sha2(F.col("source").cast("binary"), 256).alias("author_hash"), F.lit(None).cast("string").alias("title"), F.col("text").alias("body"), "posted_at", metrics.alias("engagement_metrics"), "n_chars",
+    )
+    return post_rows(posts)
 
 
 @query("ordered_distinct", "SELECT user_id, string_agg(event_type, ',' ORDER BY first_id) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY 1, 2) GROUP BY 1")

@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Columns of the posts export, in order.
+POST_COLUMNS = ["id", "source", "source_category", "region", "language", "language_detected", "url", "author_hash", "title", "body", "posted_at", "signal_type", "engagement_metrics"]
+
+
+def _text(posts: DataFrame, name: str) -> Column:
+    if name not in posts.columns:
+        return F.lit("")
+    c, kind = F.col(name), posts.schema[name].dataType
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
+        whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        zone = F.date_format(c, "XXX") if isinstance(kind, T.TimestampType) else F.lit("")
+        c = F.concat(whole, F.when(F.extract(F.lit("SECOND"), c) % 1 == 0, "").otherwise(F.date_format(c, ".SSSSSS")), zone)
+    elif isinstance(kind, T.MapType):
+        name_of = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+        pairs = F.transform(F.map_entries(c), lambda x: F.concat(name_of(x["key"]), F.lit(": "), F.coalesce(x["value"].cast("string"), F.lit("null"))))
+        c = F.when(F.size(c) > 0, F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")))
+    return F.coalesce(c.cast("string"), F.lit(""))
 
 
 def post_rows(posts: DataFrame) -> DataFrame:
-    """The columns of the posts export; nulls become empty, metrics become JSON text."""
-    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return posts.select(empty("doc_id").alias("id"), empty("source").alias("source"), empty("lang").alias("language"), empty("text").alias("body"), F.to_json(F.struct("n_chars")).alias("engagement_metrics"))
+    """The thirteen columns of the posts export as text. Nulls, columns that posts lack and empty metrics become empty; metrics become JSON, times ISO 8601
+    in the session's zone, with a fraction only where there is one. Other columns stay out."""
+    return posts.select(*[_text(posts, name).alias(name) for name in POST_COLUMNS])
 
 
 def write_posts(posts: DataFrame, path: str) -> None:
