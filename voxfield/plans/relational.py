@@ -280,9 +280,9 @@ def emerged_resolved_persisted(spark, sf_dir):
 
 @query("comparative", f"SELECT claim, severity, CASE WHEN a > 0 AND b > 0 THEN 'both' WHEN a > 0 THEN 'a' ELSE 'b' END AS unique_to FROM (SELECT claim, severity, sum(a) AS a, sum(b) AS b FROM (SELECT *, 1 AS a, 0 AS b FROM {_BEFORE} UNION ALL SELECT *, 0, 1 FROM {_AFTER}) GROUP BY 1, 2)")
 def comparative(spark, sf_dir):
-    sides = _claims(spark, sf_dir, True).withColumn("side", F.lit("a")).unionByName(_claims(spark, sf_dir, False).withColumn("side", F.lit("b")))
-    out = sides.groupBy("claim", "severity").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
-    return out.select("claim", "severity", F.when(F.col("lo") != F.col("hi"), "both").otherwise(F.col("lo")).alias("unique_to"))
+    from voxfield.operators.windows import comparative as compared
+
+    return compared(_claims(spark, sf_dir, True), _claims(spark, sf_dir, False), "a", "b").fillna("both", ["unique_to"])
 
 
 @query("ttl_lookup", "SELECT user_id, max(ts) AS recorded_at, arg_max(event_type, (ts, event_id)) AS result FROM events WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 24 HOUR GROUP BY 1")
