@@ -16,7 +16,7 @@ _T = "(SELECT *, conv_id || '-' || turn AS doc, trim(substr(text, 1, 20)) AS cla
 _SIZE = f"(SELECT conv_id, count(*) AS size FROM {_T} GROUP BY 1)"
 _MOOD = f"(SELECT doc, sign(len(list_filter({_POS}, lambda w: contains(lower(text), w))) - len(list_filter({_NEG}, lambda w: contains(lower(text), w)))) AS s FROM {_T})"
 # goals of users cite their turn and the next, pain points of assistants their turn, behaviours of every fourth turn nothing
-_CITED = f"""c AS (SELECT conv_id, turn, claim, 'goals' AS field, [doc, conv_id || '-' || (turn + 1)] AS cites FROM {_T} WHERE role = 'user' UNION ALL SELECT conv_id, turn, claim, 'pain_points', [doc] FROM {_T} WHERE role <> 'user'
+_CITED = f"""c AS (SELECT conv_id, turn, claim, 'goals' AS field, [doc, conv_id || '-' || (turn + 1)] AS cites FROM {_T} WHERE role = 'user' UNION ALL SELECT conv_id, turn, trim(substr(text, 1, 3)), 'pain_points', [doc] FROM {_T} WHERE role <> 'user'
     UNION ALL SELECT conv_id, turn, claim, 'behaviors', []::VARCHAR[] FROM {_T} WHERE turn % 4 = 1),
   x AS (SELECT conv_id, turn, field, c.doc, s FROM (SELECT *, unnest(cites) AS doc FROM c) c LEFT JOIN {_MOOD} m ON m.doc = c.doc),
   g AS (SELECT c.conv_id, c.turn, c.field, any_value(c.claim) AS claim, coalesce(bool_and(x.s IS NOT NULL) FILTER (x.doc IS NOT NULL), false) AS good, count(DISTINCT x.doc) AS n, count(*) FILTER (s < 0) AS neg, count(*) FILTER (s > 0) AS pos FROM c LEFT JOIN x USING (conv_id, turn, field) GROUP BY 1, 2, 3),
@@ -38,11 +38,11 @@ def _replies(spark, sf_dir, keys=()):
     """A persona reply for each conversation, fenced, after a line of talk."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "doc", "role", "text")))
     t = _turns(spark, sf_dir).groupBy(F.col("conv_id").alias("owner"), *keys).agg(turns.alias("t"))
-    claim = lambda x, *cites: F.struct(F.substring(x["text"], 1, 20).alias("claim"), F.array(*cites).cast("array<string>").alias("evidence"), F.when(x["turn"] % 3 == 0, "high").alias("severity"))
+    claim = lambda x, *cites, n=20: F.struct(F.substring(x["text"], 1, n).alias("claim"), F.array(*cites).cast("array<string>").alias("evidence"), F.when(x["turn"] % 3 == 0, "high").alias("severity"))
     mine = lambda keep, make: F.transform(F.filter("t", keep), make)
     body = F.struct(
         F.concat(F.lit("P "), "owner").alias("name"), mine(lambda x: x["role"] == "user", lambda x: claim(x, x["doc"], F.concat_ws("-", "owner", x["turn"] + 1))).alias("goals"),
-        mine(lambda x: x["role"] != "user", lambda x: claim(x, x["doc"])).alias("pain_points"), mine(lambda x: x["turn"] % 4 == 1, lambda x: claim(x)).alias("behaviors"),
+        mine(lambda x: x["role"] != "user", lambda x: claim(x, x["doc"], n=3)).alias("pain_points"), mine(lambda x: x["turn"] % 4 == 1, lambda x: claim(x)).alias("behaviors"),
         F.transform("t", lambda x: F.struct(x["doc"].alias("doc_id"), F.when(x["turn"] % 3 == 0, "never said").otherwise(F.substring(x["text"], 3, 25)).alias("text_original"))).alias("representative_quotes"),
     )
     return t.select("owner", F.concat(F.lit("Here:\n```json\n"), F.to_json(body), F.lit("\n```")).alias("reply"))
@@ -111,14 +111,26 @@ def generated_personas(spark, sf_dir):
     return rows.join(replies.select(F.col("owner").alias("cluster_id"), "attempts"), "cluster_id")
 
 
+# times of posts: a day of January by their number; those of conversations alike
 _BEFORE, _AFTER = "2024-01-20 00:00:00", "2024-01-10 00:00:00"
-_SIDES = f"(SELECT *, 'before' AS side FROM (SELECT event_id, ts FROM events) WHERE ts < TIMESTAMP '{_BEFORE}' UNION ALL SELECT *, 'after' FROM (SELECT event_id, ts FROM events) WHERE ts >= TIMESTAMP '{_AFTER}')"
+
+
+def _side(key):
+    """SQL: the windows that the post of a key falls in."""
+    ts = f"(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 DAY * ({key} % 30))"
+    return f"unnest(list_filter([CASE WHEN {ts} < TIMESTAMP '{_BEFORE}' THEN 'before' END, CASE WHEN {ts} >= TIMESTAMP '{_AFTER}' THEN 'after' END], lambda x: x IS NOT NULL)) AS side"
+
+
+def _at(key):
+    return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((F.col(key) % 30).cast("int"))
+
+
 _REPS = _EVIDENCE.split(", rest AS")[0].split(",\n  rest AS")[0]
 
 
 @query(
     "window_clusters",
-    _REPS + f""", w AS (SELECT side, m.cluster, m.doc_id FROM {_MEM} m JOIN {_SIDES} e ON e.event_id = m.doc_id), z AS (SELECT side, cluster, count(*) AS size FROM w GROUP BY 1, 2),
+    _REPS + f""", w AS (SELECT cluster, doc_id, {_side('doc_id')} FROM {_MEM}), z AS (SELECT side, cluster, count(*) AS size FROM w GROUP BY 1, 2),
   i AS (SELECT z.side, z.cluster, r.doc_id, r.pos, w.doc_id IS NOT NULL AS inside FROM z JOIN reps r USING (cluster) LEFT JOIN w ON w.side = z.side AND w.cluster = z.cluster AND w.doc_id = r.doc_id),
   k AS (SELECT side, cluster, string_agg(doc_id, ',' ORDER BY pos) FILTER (inside) AS those, string_agg(doc_id, ',' ORDER BY pos) AS every FROM i GROUP BY 1, 2)
   SELECT CASE side WHEN 'before' THEN 'Before {_BEFORE[:10]}' ELSE 'After {_AFTER[:10]}' END AS label, cluster, size, coalesce(those, every, '') AS representatives FROM z LEFT JOIN k USING (side, cluster)""",
@@ -126,21 +138,20 @@ _REPS = _EVIDENCE.split(", rest AS")[0].split(",\n  rest AS")[0]
 def window_clusters(spark, sf_dir):
     """The windows overlap by ten days."""
     before, after = (F.lit(x).cast("timestamp_ntz") for x in (_BEFORE, _AFTER))
-    posts = members(spark, sf_dir).select("cluster", "doc_id").join(table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id")
+    posts = members(spark, sf_dir).select("cluster", "doc_id", _at("doc_id").alias("ts"))
     sizes, reps = W.window_clusters(W.window_members(posts, "ts", before, after), representatives(spark, sf_dir))
     listed = reps.groupBy("side", "cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string")), ",").alias("representatives"))
     label = F.when(F.col("side") == "before", W.window_label("before", before)).otherwise(W.window_label("after", after))
     return sizes.join(listed, ["side", "cluster"], "left").select(label.alias("label"), "cluster", "size", F.coalesce("representatives", F.lit("")).alias("representatives"))
 
 
-_PAIN = f"(SELECT DISTINCT side, claim FROM {_T} JOIN {_SIDES} ON event_id = conv_id WHERE role <> 'user')"
+_PAIN = f"(SELECT DISTINCT trim(substr(text, 1, 3)) AS claim, {_side('conv_id')} FROM {_T} WHERE role <> 'user')"
 
 
 def _sides(spark, sf_dir):
     """The pain points of personas by the window that their conversation falls in, a set of claims for each."""
     before, after = (F.lit(x).cast("timestamp_ntz") for x in (_BEFORE, _AFTER))
-    at = table(spark, sf_dir, "events").select(F.col("event_id").alias("cluster_id"), "ts")
-    people = W.window_members(_personas(spark, sf_dir).join(at, "cluster_id"), "ts", before, after)
+    people = W.window_members(_personas(spark, sf_dir).withColumn("ts", _at("cluster_id")), "ts", before, after)
     return [W.pain_points(people.where(F.col("side") == side)).select("claim").distinct() for side in W.SIDES]
 
 
@@ -164,7 +175,7 @@ def window_summary(spark, sf_dir):
     return W.shift_summary(window_shifts(spark, sf_dir))
 
 
-_TOPICS = f"SELECT claim, severity, CASE WHEN count(*) > 1 THEN NULL WHEN min(topic) = 0 THEN 'even' ELSE 'odd' END AS unique_to FROM (SELECT DISTINCT claim, CASE WHEN turn % 3 = 0 THEN 'high' ELSE 'unspecified' END AS severity, conv_id % 2 AS topic FROM {_T} WHERE role <> 'user') GROUP BY 1, 2"
+_TOPICS = f"SELECT claim, severity, CASE WHEN count(*) > 1 THEN NULL WHEN min(topic) = 0 THEN 'even' ELSE 'odd' END AS unique_to FROM (SELECT DISTINCT trim(substr(text, 1, 3)) AS claim, CASE WHEN turn % 3 = 0 THEN 'high' ELSE 'unspecified' END AS severity, conv_id % 2 AS topic FROM {_T} WHERE role <> 'user') GROUP BY 1, 2"
 
 
 def _topics(spark, sf_dir):
