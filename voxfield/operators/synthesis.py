@@ -107,13 +107,3 @@ def quoting_client() -> Callable[[str], str]:
         return "Here:\n```json\n" + json.dumps({"pain_points": [{"claim": "slow", "evidence": evidence}], "representative_quotes": quotes}) + "\n```"
 
     return ask
-
-
-def diagnostics(rows: DataFrame, group: str, source: str) -> DataFrame:
-    """(group, line): for each group its size and share, its leading source, and a warning beyond 80 %."""
-    counts = rows.groupBy(group, source).agg(F.count("*").alias("n"))
-    top = counts.groupBy(group).agg(F.sum("n").alias("size"), F.min(F.struct((-F.col("n")).alias("neg"), F.col(source).alias("s"))).alias("t"))
-    share = F.round(100.0 * F.col("size") / F.sum("size").over(Window.partitionBy()), 1)
-    lead = F.round(-100.0 * F.col("t.neg") / F.col("size"), 1)
-    line = F.concat(F.lit("size "), F.col("size"), F.lit(" ("), share.cast("string"), F.lit(" %), top "), F.col("t.s"), F.lit(" "), lead.cast("string"), F.lit(" %"), F.when(lead > 80, " WARNING: one source dominates").otherwise(""))
-    return top.select(group, line.alias("line"))

@@ -203,35 +203,28 @@ def confidence(spark, sf_dir):
 
 
 _PRICES = [("a", 3.0, 0.3, 3.75, 15.0), ("b", 0.27, 0.07, 0.27, 1.1)]
+_PRICED = "(VALUES ('a', 3.0, 0.3, 3.75, 15.0), ('b', 0.27, 0.07, 0.27, 1.1)) t(provider, p_in, p_cached, p_write, p_out)"
+
+
+def _prices(spark):
+    from voxfield.operators.costs import PRICES
+
+    return spark.createDataFrame(_PRICES, f"provider string, {', '.join(f'{p} double' for p in PRICES)}")
 
 
 @query(
     "token_cost",
-    """SELECT provider, sum(i)::BIGINT AS input_tokens, round(sum(i) / 1e6 * p_in + sum(c) / 1e6 * p_cached + sum(w) / 1e6 * p_write + sum(o) / 1e6 * p_out, 6) AS cost_usd
+    f"""SELECT provider, sum(i)::BIGINT AS input_tokens, sum(c)::BIGINT AS cached_input_tokens, sum(o)::BIGINT AS output_tokens, round(sum(i) / 1e6 * p_in + sum(c) / 1e6 * p_cached + sum(w) / 1e6 * p_write + sum(o) / 1e6 * p_out, 6) AS cost_usd
        FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS provider, n_chars AS i, n_chars // 2 AS c, n_chars // 4 AS w, 350 AS o FROM documents)
-       JOIN (VALUES ('a', 3.0, 0.3, 3.75, 15.0), ('b', 0.27, 0.07, 0.27, 1.1)) t(provider, p_in, p_cached, p_write, p_out) USING (provider) GROUP BY provider, p_in, p_cached, p_write, p_out""",
+       JOIN {_PRICED} USING (provider) GROUP BY provider, p_in, p_cached, p_write, p_out""",
 )
 def token_cost(spark, sf_dir):
-    prices = spark.createDataFrame(_PRICES, "provider string, p_in double, p_cached double, p_write double, p_out double")
-    n = F.col("n_chars")
-    use = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("provider"), n.alias("i"), F.floor(n / 2).alias("c"), F.floor(n / 4).alias("w"), F.lit(350).alias("o"))
-    total = use.groupBy("provider").agg(*[F.sum(x).alias(x) for x in "icwo"]).join(prices, "provider")
-    cost = sum(F.col(x) / 1e6 * F.col(p) for x, p in zip("icwo", ("p_in", "p_cached", "p_write", "p_out"), strict=True))
-    return total.select("provider", F.col("i").alias("input_tokens"), F.round(cost, 6).alias("cost_usd"))
+    from voxfield.operators.costs import TOKENS, usage_cost
 
-
-@query(
-    "cost_estimate",
-    f"""SELECT cluster, ev AS evidence_tokens, round(((ev + 350 + 50) + (ev + 450 + 50)) / 1e6 * 3.0 + ev / 1e6 * 0.3 + ev / 1e6 * 3.75 + 3700 / 1e6 * 15.0, 4) AS cost_usd
-        FROM (SELECT cluster, CASE WHEN count(*) > 50 THEN 200 + 80 * count(*) ELSE floor(sum(least(length(text), 600)) / 3.5)::BIGINT END AS ev FROM {_MEM} GROUP BY 1)""",
-)
-def cost_estimate(spark, sf_dir):
-    n = F.count("*")
-    ev = F.when(n > 50, 200 + 80 * n).otherwise(F.floor(F.sum(F.least(F.length("text"), F.lit(600))) / 3.5))
-    out = members(spark, sf_dir).groupBy("cluster").agg(ev.cast("long").alias("e"))
-    e = F.col("e")
-    cost = ((e + 400) + (e + 500)) / 1e6 * 3.0 + e / 1e6 * 0.3 + e / 1e6 * 3.75 + F.lit(3700) / 1e6 * 15.0
-    return out.select("cluster", e.alias("evidence_tokens"), F.round(cost, 4).alias("cost_usd"))
+    n = F.col("n_chars")
+    counts = (n, F.floor(n / 2), F.floor(n / 4), F.lit(350))
+    use = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("provider"), *[c.alias(t) for c, t in zip(counts, TOKENS, strict=True)])
+    return usage_cost(use, _prices(spark)).drop("cache_write_tokens")
 
 
 @query("source_share", "SELECT source, n, round(100.0 * n / sum(n) OVER (), 2)::DOUBLE AS pct FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")

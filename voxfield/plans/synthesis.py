@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from voxfield.operators import costs as C
+from voxfield.operators import diagnostics as D
 from voxfield.operators import evidence as E
 from voxfield.operators import synthesis as S
-from voxfield.plans.catalog import query, table
-from voxfield.plans.relational import members
-from voxfield.plans.textual import representatives
+from voxfield.plans.catalog import ORACLES, QUERIES, query, table
+from voxfield.plans.relational import _MEM, _prices, members
+from voxfield.plans.textual import _EVIDENCE, representatives
 
 
 @query("retry_prefix", "SELECT user_id, 'Fix these errors:' || chr(10) || '1. ' || min(event_type) || chr(10) || '2. ' || max(event_type) AS prefix FROM events GROUP BY 1")
@@ -34,9 +36,67 @@ def cost_gate(spark, sf_dir):
     return S.within_budget(costs, "cluster", "cost", 0.25)
 
 
-@query("diagnostics", None)
+_COST = "(e + 900) / 1e6 * 3.0 + e / 1e6 * 0.3 + e / 1e6 * 3.75 + 3700 / 1e6 * 15.0"
+
+
+@query(
+    "cost_estimate",
+    f"""SELECT 'a' AS provider, count(*) AS clusters, sum(e)::BIGINT AS evidence_tokens, sum(e + 900)::BIGINT AS input_tokens, count(*) * 3700 AS output_tokens, round(sum({_COST}), 4) AS cost_usd
+  FROM (SELECT cluster, CASE WHEN block IS NULL THEN 200 + 80 * size ELSE floor(length(block) / 3.5)::BIGINT END AS e FROM (SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY 1) LEFT JOIN ({_EVIDENCE}) USING (cluster))""",
+)
+def cost_estimate(spark, sf_dir):
+    """From each cluster's evidence, or its size where no pack was made."""
+    sizes = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("size"))
+    blocks = E.evidence_block(E.evidence_pack(members(spark, sf_dir), representatives(spark, sf_dir)))
+    use = C.estimated_usage(sizes.join(blocks, "cluster", "left"), "cluster", "block", "size")
+    total = use.agg(F.count("*").alias("clusters"), F.sum("evidence_tokens").alias("evidence_tokens"), *[F.sum(t).alias(t) for t in C.TOKENS]).withColumn("provider", F.lit("a"))
+    cost = C.usage_cost(total, _prices(spark)).select("provider", F.round("cost_usd", 4).alias("cost_usd"))
+    return total.join(cost, "provider").select("provider", "clusters", "evidence_tokens", "input_tokens", "output_tokens", "cost_usd")
+
+
+# every cluster numbered 3 is noise here
+_GROUPED = f"(SELECT nullif(cluster, 3) AS cluster, * EXCLUDE (cluster) FROM {_MEM})"
+_COUNTED = "SELECT *, round(100.0 * n / sum(n) OVER (PARTITION BY cluster), 1)::DOUBLE AS pct, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, value) AS place FROM"
+
+
+def _listed(column, title, block, pct):
+    n = f"({_COUNTED} (SELECT cluster, {column} AS value, count(*) AS n FROM m WHERE cluster IS NOT NULL GROUP BY ALL))"
+    said = "'  - ' || value || ': ' || n" + (" || ' (' || pct || '%)'" if pct else "")
+    warn = f" UNION ALL SELECT 2, cluster::VARCHAR, {block + 1}, 2 * place + 1, '    ⚠ This cluster is >80% from one source — bias risk' FROM {n} WHERE pct > 80" if pct else ""
+    return f"SELECT 2, cluster::VARCHAR, {block}, 0, '**{title} distribution:**' FROM {n} WHERE place = 1 UNION ALL SELECT 2, cluster::VARCHAR, {block + 1}, 2 * place, {said} FROM {n} UNION ALL SELECT 2, cluster::VARCHAR, {block + 2}, 0, '' FROM {n} WHERE place = 1" + warn
+
+
+def _put(part, block, lines, source, cluster="NULL"):
+    return " UNION ALL ".join(f"SELECT {part}, {cluster}, {block}, {k}, {line} FROM {source}" for k, line in enumerate(lines) if line)
+
+
+_DIAGNOSTICS = (
+    _EVIDENCE.split(",\n  rest AS")[0] + f""", m AS (FROM {_GROUPED}), z AS (SELECT cluster, count(*) AS size FROM m WHERE cluster IS NOT NULL GROUP BY 1), d AS (SELECT min(size) AS low, max(size) AS high FROM z),
+  t AS (SELECT count(*) AS posts, count(*) FILTER (cluster IS NULL) AS noise, count(DISTINCT cluster) AS found, round(100.0 * count(*) FILTER (cluster IS NULL) / count(*), 1)::DOUBLE AS pct FROM m),
+  k AS (SELECT cluster, string_agg(term, ', ' ORDER BY rank) AS w FROM ({ORACLES['ctfidf_all']}) WHERE cluster <> 3 GROUP BY 1),
+  r AS (SELECT cluster, pos, doc_id, text FROM reps JOIN m USING (cluster, doc_id) WHERE pos <= 3), """
+    + "o(part, cluster, block, pos, line) AS ("
+    + " UNION ALL ".join(
+        [
+            _put(0, 0, ["'# Cluster Diagnostics — t (r)'", "''", "'Total posts: ' || posts", "'Clusters found: ' || found", "'Noise (unclustered): ' || noise || ' (' || pct || '%)'", "''"], "t"),
+            _put(1, 0, ["'## 1. Cluster Sizes'", "''", "'Range: ' || low || ' – ' || high", "'```'"], "d"), "SELECT 1, NULL, 1, -size, '  ' || repeat('█', greatest(1, size * 40 // high)::INTEGER) || ' ' || size FROM z, d", _put(1, 2, ["'```'", "''", "'## 2. Cluster Details'", "''"], "d"),
+            _put(2, 0, ["'### Cluster ' || cluster || ' — size ' || size", "''"], "z", "cluster::VARCHAR"), _put(2, 1, ["'**Keywords:** ' || w", "''"], "k", "cluster::VARCHAR"), _put(2, 2, ["'**Representative posts:**'"], "z", "cluster::VARCHAR"),
+            "SELECT 2, cluster::VARCHAR, 3, pos, pos || '. `' || doc_id || '`: ' || replace(substr(text, 1, 200), chr(10), ' ') || CASE WHEN length(text) > 200 THEN '…' ELSE '' END FROM r", _put(2, 4, ["''"], "z", "cluster::VARCHAR"),
+            _listed("source", "Source", 5, True), _listed("lang", "Language", 8, False),
+            _put(3, 0, ["'## 3. Parameter Suggestions'", "''", "CASE WHEN pct > 40 THEN '⚠ Noise ratio is high (' || pct || '%). Consider:' WHEN pct < 5 THEN 'ℹ Noise ratio is low (' || pct || '%). Consider:' ELSE '✓ Noise ratio (' || pct || '%) is in a healthy range (5–40%).' END"], "t"),
+            "SELECT 3, NULL, 0, 5, '' FROM t", "SELECT 3, NULL, 0, 3, CASE WHEN pct > 40 THEN '  - Lowering the least cluster size (current: N/A)' ELSE '  - Raising the least cluster size to produce tighter clusters' END FROM t WHERE pct > 40 OR pct < 5",
+            "SELECT 3, NULL, 0, 4, CASE WHEN pct > 40 THEN '  - Lowering the outlier threshold (current: N/A)' ELSE '  - Raising the outlier threshold to be more selective' END FROM t WHERE pct > 40 OR pct < 5",
+        ]
+    )
+    + ") SELECT part::INTEGER AS part, cluster, block::INTEGER AS block, pos::BIGINT AS pos, line FROM o"
+)
+
+
+@query("diagnostics", _DIAGNOSTICS)
 def diagnostics(spark, sf_dir):
-    return S.diagnostics(members(spark, sf_dir), "cluster", "lang")
+    noise = lambda df: df.withColumn("cluster", F.nullif("cluster", F.lit(3)))
+    named = lambda df: df.where("cluster <> 3")
+    return D.report_lines(noise(members(spark, sf_dir)), named(representatives(spark, sf_dir)), named(QUERIES["ctfidf_all"](spark, sf_dir)), "t", "r")
 
 
 @query("synthesize_mock", "SELECT label AS cluster, 2::INTEGER AS attempts, 0::INTEGER AS n_errors FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) GROUP BY 1")
