@@ -11,7 +11,7 @@ _QUOTE = "owner string, pos int, doc string, text string, url string, source str
 
 
 def made(spark):
-    claims = spark.createDataFrame([("a", None, "goals", 0, "x", ["d1"]), ("a", None, "goals", 1, "y", ["d1", "d9"]), ("a", None, "pains", 0, "z", []), ("a", None, "pains", 1, "z", None), ("b", "usage", "emotions", 0, "w", ["d1"])], _CLAIM)
+    claims = spark.createDataFrame([("a", None, "goals", 0, "x", ["d1"]), ("a", None, "goals", 1, "y", ["d1", "d9"]), ("a", None, "pains", 0, "z", []), ("a", None, "pains", 1, "z", None), ("b", "Use", "emotions", 0, "w", ["d1"])], _CLAIM)
     pack = spark.createDataFrame([("a", "d1", "It is slow, very slow.", "u1", "s1", "fr"), ("a", "d2", None, None, None, None), ("b", "d3", "t", "", "", "")], _PACK)
     return claims, pack
 
@@ -19,7 +19,7 @@ def made(spark):
 def test_claims(spark):
     claims, pack = made(spark)
     errors = sorted(tuple(r) for r in P.claim_errors(claims, pack).collect())
-    assert errors == [("a", "goals[1] cites unknown doc_id 'd9'"), ("a", "pains[0] missing evidence array"), ("a", "pains[1] missing evidence array"), ("b", "usage.emotions[0] cites unknown doc_id 'd1'")]
+    assert errors == [("a", "goals[1] cites unknown doc_id 'd9'"), ("a", "pains[0] missing evidence array"), ("a", "pains[1] missing evidence array"), ("b", "Use.emotions[0] cites unknown doc_id 'd1'")]
     kept = P.verified_claims(claims, pack)
     assert [(r.owner, r.field, r.pos, r.coverage) for r in kept.collect()] == [("a", "goals", 0, "unverified")]
     assert {r.owner: (r.unverified_fields, r.confidence) for r in P.persona_confidence(claims, kept).collect()} == {"a": (2, 0.8), "b": (1, 0.9)}
@@ -39,7 +39,7 @@ def test_quotes(spark):
 def test_stages(spark):
     claims, pack = made(spark)
     rows = {(r.owner, r.stage): (r.n_cited, r.coverage) for r in P.journey_stages(pack, claims).collect()}
-    assert len(rows) == 12 and rows["b", "usage"] == (1, "thin") and rows["a", "usage"] == (0, "none")
+    assert len(rows) == 12 and rows["b", "Use"] == (1, "thin") and rows["a", "Use"] == (0, "none")
 
 
 def test_language_hint(spark):

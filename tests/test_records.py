@@ -57,7 +57,7 @@ def test_journey_records(spark, made):
     rows = {r.persona_id: r for r in R.journey_records(replies, people, pack, sizes, RUN).collect()}
     ids = {r.cluster_id: r.id for r in people.collect()}
     a = {s.stage: s for s in rows[ids["a"]].stages}
-    assert [s.stage for s in rows[ids["a"]].stages] == R.JOURNEY_STAGES
+    assert [s.stage for s in rows[ids["a"]].stages] == R.STAGES
     assert [s.coverage for s in rows[ids["a"]].stages] == ["thin", "none", "none", "none", "ok", "none"]
     assert [c.claim for c in a["Awareness"].touchpoints.claims] == ["new"]
     assert ([c.claim for c in a["Use"].frictions.claims], a["Use"].frictions.coverage, a["Use"].touchpoints.coverage) == (["f"], "unverified", "ok")

@@ -73,3 +73,29 @@ def test_shifts_and_topics(spark):
     assert sorted(map(repr, map(tuple, both.collect()))) == sorted(map(repr, [("x", "high", "A"), ("x", "low", "B"), ("y", "unspecified", None), ("z", "low", "B")]))
     assert W.comparative_summary(both, "A", "B").first()[0] == "1 pain points shared across both topics. 1 pain points unique to A. 2 pain points unique to B."
     assert W.comparative_summary(both.limit(0), "A", "B").first()[0] == "No pain points identified in either topic."
+
+
+def test_said_dates(spark):
+    from voxfield.functions.time import said_date
+
+    now = dt.datetime(2026, 5, 1, 12)
+    said = {"3 days ago": now - dt.timedelta(3), "2hours ago": now - dt.timedelta(hours=2), "1 MONTH ago": now - dt.timedelta(30), "Yesterday": now - dt.timedelta(1), " today ": now, "2024-01-15": dt.datetime(2024, 1, 15), "15 jan 2024": dt.datetime(2024, 1, 15), "15 January 2024": dt.datetime(2024, 1, 15), "JAN 15, 2024": dt.datetime(2024, 1, 15), "soon": None, "": None}
+    rows = spark.createDataFrame([(k,) for k in said], "s string")
+    assert {r.s: r.t for r in rows.select("s", said_date(F.col("s"), F.lit(now).cast("timestamp_ntz")).alias("t")).collect()} == said
+
+
+def test_runs_order_and_jobs(spark, tmp_path):
+    from voxfield.operators import posts as O
+    from voxfield.sinks.csv import write_comparison
+
+    rows = spark.createDataFrame([("r1", "p1", 2), ("r1", "p2", 1), ("r2", "p1", None)], "run_id string, persona_id string, at int")
+    assert (O.of_run(rows).count(), O.of_run(rows, "r1").count(), O.of_run(rows, "r1", "p1").count(), O.of_run(rows, None, "p1").count()) == (3, 2, 1, 2)
+    assert [r.at for r in O.in_time_order(rows, "at", "persona_id").collect()] == [1, 2, None] and [r.at for r in O.in_time_order(rows, "at", "persona_id", 1).collect()] == [1]
+    jobs = spark.createDataFrame([("HK", ["a", "b", "a"], "t", {"x": "1"}), ("TW", [], "t", {})], "region string, sources array<string>, topic string, extra map<string,string>")
+    known = spark.createDataFrame([("a", "HK"), ("b", "TW")], "source string, region string")
+    assert sorted((r.region, r.source, r.limit, r.known) for r in O.batch_jobs(jobs, known, 5).collect()) == [("HK", "a", 5, True), ("HK", "b", 5, False)]
+    one = spark.createDataFrame([("x",)], "claim string")
+    changed = W.shifts(one, one, "claim")
+    write_comparison(str(tmp_path / "c"), one.withColumn("side", F.lit("before")), changed, W.shift_summary(changed), {"topic": "t", "region": "HK"})
+    line = spark.read.json(str(tmp_path / "c" / "comparison")).first()
+    assert (line.topic, line.summary) == ("t", "1 pain points persisted.") and spark.read.json(str(tmp_path / "c" / "personas")).first().side == "before"

@@ -39,6 +39,18 @@ def relative_date(s: Column, now: Column) -> Column:
     return now - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (n * step).cast("decimal(18,6)"))
 
 
+#: Absolute dates on review pages, tried in order.
+DATES = ["yyyy-MM-dd", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy"]
+
+
+def said_date(s: Column, now: Column) -> Column:
+    """A date as people write it: `3 days ago` (hours to months), `yesterday`, `today`, 2024-01-15, 15 Jan 2024, 15 January 2024 or Jan 15, 2024, in either case; null for another form."""
+    text = F.initcap(F.trim(s))
+    ago = F.when(F.rlike(F.lower(s), F.lit(r"[0-9]+\s*(hour|day|week|month)s?\s*ago")), relative_date(F.regexp_replace(F.lower(s), r"([0-9])\s*(hour|day|week|month)(s?)\s*ago", "$1 $2$3 ago"), now))
+    dates = [F.try_to_timestamp(text, F.lit(p)).cast("timestamp_ntz") for p in DATES]
+    return F.coalesce(ago, F.when(text == "Yesterday", now - F.make_dt_interval(F.lit(1))).when(text == "Today", now), *dates)
+
+
 def epoch(n: Column) -> Column:
     """Seconds since 1970, or milliseconds beyond 1e10."""
     return F.timestamp_millis(F.when(n > 10_000_000_000, n).otherwise(n * 1000))

@@ -87,3 +87,23 @@ def parser_drift(expected: DataFrame, parsed: DataFrame) -> DataFrame:
     """(source, expected, parsed, drifted) from counts of rows (source, n): drifted where a source that should give rows gives none or fewer."""
     both = expected.select("source", F.col("n").alias("expected")).join(parsed.select("source", F.col("n").alias("parsed")), "source", "left").withColumn("parsed", F.coalesce("parsed", F.lit(0)))
     return both.withColumn("drifted", F.col("parsed") < F.col("expected"))
+
+
+def of_run(rows: DataFrame, run_id: str | None = None, persona_id: str | None = None) -> DataFrame:
+    """Rows of a run, of a persona, or of both; None wants all."""
+    for column, wanted in (("run_id", run_id), ("persona_id", persona_id)):
+        rows = rows if wanted is None else rows.where(F.col(column) == wanted)
+    return rows
+
+
+def in_time_order(posts: DataFrame, at: str, key: str, most: int | None = None) -> DataFrame:
+    """Posts from the first to the last, equal times by key, those without a time last. With `most` a top-k that sorts no more than that in each task; without, a range-partitioned sort."""
+    out = posts.orderBy(F.asc_nulls_last(at), key)
+    return out.limit(most) if most else out
+
+
+def batch_jobs(jobs: DataFrame, sources: DataFrame, limit: int = 200) -> DataFrame:
+    """jobs (region, sources array, topic, extra map) as one row for each source to read: region, topic, source, limit, extra, known. `known` says whether the dimension (source, region) has it."""
+    long = jobs.select("region", "topic", F.explode(F.array_distinct("sources")).alias("source"), F.lit(limit).alias("limit"), "extra")
+    known = sources.select("source", "region", F.lit(True).alias("_k")).distinct()
+    return long.join(known, ["source", "region"], "left").select("region", "topic", "source", "limit", "extra", F.coalesce("_k", F.lit(False)).alias("known"))

@@ -14,14 +14,13 @@ from pyspark.sql import functions as F
 from voxfield.functions.jsonx import tolerant_object
 from voxfield.functions.text import hits, short_id
 from voxfield.operators import personas as P
-from voxfield.operators.relations import confidence
+from voxfield.operators.relations import STAGES, confidence
 from voxfield.operators.synthesis import retry_prefix
 from voxfield.tables import written
 
-# The fields of claims, the stages of a journey, the words that make a mention negative or positive.
+# The fields of claims, the words that make a mention negative or positive.
 PERSONA_FIELDS = ["goals", "motivations", "pain_points", "preferred_channels", "behaviors"]
 STAGE_FIELDS = ["touchpoints", "user_actions", "frictions", "opportunities"]
-JOURNEY_STAGES = ["Awareness", "Consideration", "Decision", "Onboarding", "Use", "Loyalty/Churn"]
 NEGATIVE = ["bad", "terrible", "awful", "hate", "worst", "poor", "broken", "frustrat", "annoy", "bug", "crash", "fail", "useless", "rubbish", "差", "廢", "垃圾", "爛", "煩", "討厭", "唔掂", "死", "呃錢"]
 POSITIVE = ["good", "great", "excellent", "love", "best", "amazing", "awesome", "useful", "helpful", "convenient", "fast", "smooth", "好", "正", "讚", "方便", "快", "好用", "唔錯", "推薦"]
 
@@ -70,7 +69,7 @@ def _stages(replies: DataFrame, stages: list[str]) -> DataFrame:
     return listed.select("owner", F.explode(grid).alias("g")).select("owner", "g.stage", "g.at", F.col("g.v").alias("_v"))
 
 
-def journey_claims(replies: DataFrame, stages: list[str] = JOURNEY_STAGES) -> DataFrame:
+def journey_claims(replies: DataFrame, stages: list[str] = STAGES) -> DataFrame:
     """The claims of journey replies by stage; an emotion is a claim with its label as text and an intensity."""
     return _long(_stages(replies, stages), [*STAGE_FIELDS, "emotions"], "owner", "stage")
 
@@ -147,7 +146,7 @@ def persona_records(replies: DataFrame, pack: DataFrame, sizes: DataFrame, run:
     )
 
 
-def journey_records(replies: DataFrame, personas: DataFrame, pack: DataFrame, sizes: DataFrame, run: dict[str, str], stages: list[str] = JOURNEY_STAGES, negative: list[str] = NEGATIVE, positive: list[str] = POSITIVE) -> DataFrame:
+def journey_records(replies: DataFrame, personas: DataFrame, pack: DataFrame, sizes: DataFrame, run: dict[str, str], stages: list[str] = STAGES, negative: list[str] = NEGATIVE, positive: list[str] = POSITIVE) -> DataFrame:
     """One record a persona, all stages in order. A stage is `none` where the reply has no object with entries for it, `thin` below two documents cited by what is kept, else ok. An emotion whose
     intensity is no number from 0 to 1 is left out, but what it cites counts. personas: records of `persona_records`."""
     grid = _stages(replies, stages).select("owner", "stage", "at", F.coalesce(F.size(_get(F.col("_v"), "$", "map<string,variant>")) > 0, F.lit(False)).alias("there"))
@@ -194,13 +193,16 @@ def replies(prompts: DataFrame, client: Callable[[], Callable[[str], str]], erro
 
 
 def generated_personas(prompts: DataFrame, pack: DataFrame, sizes: DataFrame, client: Callable[[], Callable[[str], str]], run: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """The records of all owners with a prompt (owner, prompt: the evidence block and the task), and the replies they come from."""
+    """The records of all owners with a prompt (owner, prompt: the evidence block and the task), and the replies they come from. Packs and sizes are written once, as both
+    rounds of calls, the checks and the records read them: packs hold what the prompts show, not whole clusters."""
+    pack, sizes = written(pack), written(sizes)
     made = replies(prompts, client, lambda r: P.persona_errors(reply_claims(r), reply_quotes(r), pack.join(r.where("reply is not null").select("owner"), "owner", "left_semi")))
     return persona_records(made, pack, sizes, run), made
 
 
 def generated_journeys(personas: DataFrame, prompts: DataFrame, pack: DataFrame, sizes: DataFrame, client: Callable[[], Callable[[str], str]], run: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """The journeys of persona records: the same prompts, each followed by its persona's name and line."""
+    pack, sizes, personas = written(pack), written(sizes), written(personas)
     who = personas.select(F.col("cluster_id").alias("owner"), F.concat(F.lit("\n\nPersona: "), "name", F.lit(". "), "one_liner").alias("who"))
     asked = prompts.join(who, "owner").select("owner", F.concat("prompt", "who").alias("prompt"))
     made = replies(asked, client, lambda r: P.claim_errors(journey_claims(r), pack))

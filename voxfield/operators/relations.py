@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The categories of sources.
+# The categories of sources, the stages of a journey.
 CATEGORIES = ["forums", "reviews", "social", "video_comments", "qa", "blogs", "news_comments"]
-STAGES = ["awareness", "consideration", "purchase", "onboarding", "usage", "advocacy"]
+STAGES = ["Awareness", "Consideration", "Decision", "Onboarding", "Use", "Loyalty/Churn"]
 
 
 def not_seen(rows: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:

@@ -233,3 +233,42 @@ def eval_scores(spark, sf_dir):
     expected = docs.select(F.col("source").alias("fixture")).distinct().select("fixture", F.explode(F.array(*map(F.lit, _THEMES))).alias("theme"))
     tiers = docs.groupBy(F.col("source").alias("fixture"), "lang").agg(tier(F.countDistinct(F.col("doc_id") % 6)).alias("tier"))
     return P.eval_scores(expected, found, tiers).select("fixture", "expected", "recovered", "recovery_rate", F.array_join("unmatched", ",").alias("unmatched"), "mean_coverage")
+
+
+@query("of_run", "SELECT c_custkey AS persona_id, o_orderpriority AS run_id, o_orderkey AS journey_id FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND c_custkey = (SELECT min(o_custkey) FROM orders WHERE o_orderpriority = '1-URGENT')")
+def of_run(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("persona_id"), F.col("o_orderpriority").alias("run_id"), F.col("o_orderkey").alias("journey_id"))
+    urgent = O.of_run(orders, "1-URGENT")
+    return O.of_run(urgent, persona_id=urgent.agg(F.min("persona_id")).first()[0])
+
+
+@query("in_time_order", "SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id)::INTEGER AS place FROM events ORDER BY ts, event_id LIMIT 500")
+def in_time_order(spark, sf_dir):
+    """The 500 earliest, numbered after the cut."""
+    from pyspark.sql import Window
+
+    first = O.in_time_order(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", "event_id", 500)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("ts", "event_id")))
+
+
+_SAID = "(SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%-d %b %Y') WHEN 2 THEN upper(strftime(o_orderdate, ' %-d %B %Y ')) WHEN 3 THEN strftime(o_orderdate, '%b %-d, %Y') WHEN 4 THEN (o_orderkey % 50) || ' Weeks ago' WHEN 5 THEN 'yesterday' ELSE 'some day' END AS said, o_orderkey % 7 AS form, date_trunc('day', o_orderdate) AS day FROM orders)"
+
+
+@query("said_date", f"SELECT o_orderkey, CASE WHEN form < 4 THEN day WHEN form = 4 THEN TIMESTAMP '2026-05-01 12:00:00' - INTERVAL 7 DAY * (o_orderkey % 50) WHEN form = 5 THEN TIMESTAMP '2026-04-30 12:00:00' END AS day FROM {_SAID}")
+def said_date(spark, sf_dir):
+    from voxfield.functions.time import said_date as parsed
+
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    forms = [F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "d MMM yyyy"), F.upper(F.concat(F.lit(" "), F.date_format(d, "d MMMM yyyy"), F.lit(" "))), F.date_format(d, "MMM d, yyyy"), F.concat(k % 50, F.lit(" Weeks ago")), F.lit("yesterday"), F.lit("some day")]
+    said = F.element_at(F.array(*forms), (k % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", parsed(said, F.lit("2026-05-01 12:00:00").cast("timestamp_ntz")).alias("day"))
+
+
+@query("batch_jobs", "SELECT r_name AS region, 't' AS topic, n_name AS source, 200::INTEGER AS \"limit\", c > 0 AS known FROM (SELECT r_name, n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000) AS c FROM region JOIN nation ON n_regionkey = r_regionkey)")
+def batch_jobs(spark, sf_dir):
+    """Regions read their nations' sources; the dimension has those with a rich supplier."""
+    r, n, s = (table(spark, sf_dir, x) for x in ("region", "nation", "supplier"))
+    placed = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", F.col("n_name").alias("source"), F.col("r_name").alias("region"))
+    jobs = placed.groupBy("region").agg(F.collect_list("source").alias("sources")).select("region", F.lit("t").alias("topic"), "sources", F.create_map(F.lit("a"), F.lit("b")).alias("extra"))
+    rich = s.where("s_acctbal > 9000").join(placed, F.col("s_nationkey") == F.col("n_nationkey"))
+    return O.batch_jobs(jobs, rich).drop("extra")

@@ -66,7 +66,7 @@ def persona_records(spark, sf_dir):
     return rows.select("cluster_id", "id", "f.field", "f.v.coverage", F.array_join(F.transform("f.v.claims", line), ";").alias("claims"), "quotes", "confidence", "cluster_size")
 
 
-_STAGES = "[" + ", ".join(f"'{s}'" for s in R.JOURNEY_STAGES) + "]"
+_STAGES = "[" + ", ".join(f"'{s}'" for s in R.STAGES) + "]"
 
 
 @query(
@@ -81,7 +81,7 @@ def journey_records(spark, sf_dir):
     """Every turn gives its stage a friction, which cites the turn and the one six later, and an emotion as strong as the turn is late: beyond the tenth it is no valid one."""
     pack, sizes = _pack(spark, sf_dir)
     t = _turns(spark, sf_dir)
-    name = F.element_at(F.array(*map(F.lit, R.JOURNEY_STAGES)), (F.col("turn") % 6 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, R.STAGES)), (F.col("turn") % 6 + 1).cast("int"))
     at = t.groupBy(F.col("conv_id").alias("owner"), name.alias("stage")).agg(F.array_sort(F.collect_list(F.struct("turn", "doc", "text"))).alias("t"))
     friction = F.transform("t", lambda x: F.struct(F.substring(x["text"], 1, 20).alias("claim"), F.array(x["doc"], F.concat_ws("-", "owner", x["turn"] + 6)).alias("evidence")))
     emotion = F.transform("t", lambda x: F.struct(F.lit("e").alias("label"), ((x["turn"] + 1) / 10).alias("intensity"), F.array(x["doc"]).alias("evidence")))

@@ -91,7 +91,7 @@ def status_full_outer(spark, sf_dir):
     return c.join(s, "key", "full").join(d, "key", "full")
 
 
-@query("stage_dimension", "SELECT k AS stage_no, s AS stage, coalesce(n, 0) AS posts FROM (SELECT unnest(range(6)) AS k, unnest(['awareness', 'consideration', 'purchase', 'onboarding', 'usage', 'advocacy']) AS s) LEFT JOIN (SELECT doc_id % 4 AS k, count(*) AS n FROM documents GROUP BY 1) USING (k)")
+@query("stage_dimension", "SELECT k AS stage_no, s AS stage, coalesce(n, 0) AS posts FROM (SELECT unnest(range(6)) AS k, unnest(['Awareness', 'Consideration', 'Decision', 'Onboarding', 'Use', 'Loyalty/Churn']) AS s) LEFT JOIN (SELECT doc_id % 4 AS k, count(*) AS n FROM documents GROUP BY 1) USING (k)")
 def stage_dimension(spark, sf_dir):
     stages = spark.createDataFrame(list(enumerate(R.STAGES)), "stage_no long, stage string")
     counts = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 4).alias("stage_no")).agg(F.count("*").alias("posts"))

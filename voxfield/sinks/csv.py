@@ -74,3 +74,12 @@ def write_run(rows: DataFrame, path: str, run: dict[str, str], at: str) -> dict:
 
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
+
+
+def write_comparison(path: str, personas: DataFrame, changed: DataFrame, summary: DataFrame, about: dict[str, str]) -> None:
+    """A comparison as JSON: path/personas by side (records with `side`), path/changes, and last path/comparison, one line of what is compared, when, and the summary. A reader that waits
+    for the last sees all of it. Personas stay rows, so a comparison of any size is written by its tasks."""
+    personas.write.mode("overwrite").partitionBy("side").json(f"{path}/personas")
+    changed.write.mode("overwrite").json(f"{path}/changes")
+    line = summary.select(*[F.lit(v).alias(k) for k, v in about.items()], "summary", F.current_timestamp().alias("generated_at"))
+    line.coalesce(1).write.mode("overwrite").json(f"{path}/comparison")
