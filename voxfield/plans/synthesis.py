@@ -74,7 +74,7 @@ _DIAGNOSTICS = (
     _EVIDENCE.split(",\n  rest AS")[0] + f""", m AS (FROM {_GROUPED}), z AS (SELECT cluster, count(*) AS size FROM m WHERE cluster IS NOT NULL GROUP BY 1), d AS (SELECT min(size) AS low, max(size) AS high FROM z),
   t AS (SELECT count(*) AS posts, count(*) FILTER (cluster IS NULL) AS noise, count(DISTINCT cluster) AS found, round(100.0 * count(*) FILTER (cluster IS NULL) / count(*), 1)::DOUBLE AS pct FROM m),
   k AS (SELECT cluster, string_agg(term, ', ' ORDER BY rank) AS w FROM ({ORACLES['ctfidf_all']}) WHERE cluster <> 3 GROUP BY 1),
-  r AS (SELECT cluster, pos, doc_id, text FROM reps JOIN m USING (cluster, doc_id) WHERE pos <= 3), """
+  r AS (SELECT cluster, pos, doc_id, coalesce(text, '') AS text FROM (SELECT cluster, doc_id, pos FROM reps WHERE cluster <> 3 AND pos <= 3) LEFT JOIN m USING (cluster, doc_id)), """
     + "o(part, cluster, block, pos, line) AS ("
     + " UNION ALL ".join(
         [
