@@ -129,6 +129,23 @@ def test_density_like_brute_force(spark, block, dims):
     assert density.density_clusters(df.limit(0), ["topic"], "id", "v", 0.6).count() == 0
 
 
+def test_density_over_many_tiles(spark):
+    """Tiles of four blocks, with clusters, borders and noise across them, like brute force; each block goes once to a task, however many partners it has there."""
+    from voxfield.operators import density
+
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(c, 0.3, (90, 2)) for c in ((0, 0), (1.5, 0), (4, 4))] + [rng.uniform(-3, 6, (60, 2))])
+    ids = rng.permutation(len(x)).tolist()
+    df = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x, strict=True)], "id int, v array<double>, t int")
+    got = {r["id"]: (r["label"], r["core"]) for r in density.density_clusters(df, ["t"], "id", "v", 0.4, 6, 4, 8, 4 * 8 * 2 * 8).collect()}
+    assert got == dbscan(ids, x, 0.4, 6, 4)
+    packed = density.blocks(df, ["t"], "id", "v", 3.0, 8)
+    pairs = density.tiled(density.block_pairs(packed, 3.0), packed, 4 * 8 * 2 * 8)
+    sent = density._dealt(pairs, packed, packed.select("id", "radius")).count()
+    tiles, blocks = pairs.where("apart = 0").select("task").distinct().count(), packed.count()
+    assert tiles > 4 and sent <= blocks * tiles < pairs.count()
+
+
 def test_planted_clusters_are_found(spark):
     """Five planted groups among noise, one with half of all rows: each is one cluster by majority."""
     from voxfield.operators import density
