@@ -21,7 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each class of documents whose five-word shingles overlap by 0.8 or more."""
+    """Keeps the smallest id of each class of documents whose five-word shingles overlap by 0.8 or more. Candidates are texts whose SimHash fingerprints
+    differ in two bits at most, and those of an exact prefix filter, which adds what fingerprints miss; each is judged by its shingles."""
     small_batches(spark)
     return simhash.keep_one(docs)
 

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from voxfield.llm import simhash
 
@@ -126,6 +127,18 @@ def test_copy_classes_like_brute_force(spark, monkeypatch, most):
     assert [got[i] for i in range(len(texts))] == root
 
 
+def test_near_copies_go_through_fingerprints(spark, monkeypatch):
+    """Without the prefix filter, fingerprints alone bring a copy with a changed end and its original together; what they bring together is judged by its shingles."""
+    text = " ".join(f"w{i}" for i in range(3000))
+    rows = [(1, text), (2, text + " x"), (3, "w1 w2 w3")]
+    bits = [brute_fp(t, 5) for _, t in rows]
+    assert (bits[0] ^ bits[1]).bit_count() <= 2
+    monkeypatch.setattr(simhash, "prefix_forest", lambda marked, least: marked.select(F.col("same").alias("a"), F.col("same").alias("b")).limit(0))
+    assert dict(map(tuple, simhash.copy_classes(frame(spark, rows)).collect())) == {1: 1, 2: 1, 3: 3}
+    monkeypatch.setattr(simhash, "fingerprint_forest", lambda texts: texts.select(F.lit(texts.first()["same"]).alias("a"), F.col("same").alias("b")))
+    assert dict(map(tuple, simhash.copy_classes(frame(spark, rows)).collect())) == {1: 1, 2: 1, 3: 3}
+
+
 def test_one_id_with_several_texts(spark):
     """Other texts of an id are no copies of it; equal rows are."""
     rng = random.Random(5)

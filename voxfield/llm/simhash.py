@@ -476,14 +476,23 @@ def _weighed(of: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     return store(sized.join(total, "root").select("same", "rep", "root", (F.col("total") > most).alias("large")))
 
 
+def fingerprint_forest(texts: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """texts (same, fp) -> links (a, b) whose classes are those of all pairs of texts with fingerprints of at most `budget` differing bits."""
+    heads = store(texts.groupBy("fp").agg(F.min("same").alias("head")))
+    a, b = (heads.select(F.col("fp").alias(f"{c}_fp"), F.col("head").alias(c)) for c in "ab")
+    apart = links(heads.select("fp"), budget).distinct().select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp")).join(a, "a_fp").join(b, "b_fp").select("a", "b")
+    equal = texts.select("same", F.col("fp").alias("a_fp")).join(a, "a_fp").where("same <> a").select("a", F.col("same").alias("b"))
+    return apart.unionByName(equal)
+
+
 def overlap_links(marked: DataFrame, texts: DataFrame, docs: DataFrame, words: int, least: float, order: Broadcast, most: int = MOST) -> DataFrame:
     """Links (a, b) of texts whose classes are those of all pairs with an overlap of `least` or more; marked (same, n, prefix), texts (same, rep,
-    n, last), docs (id, text), order: that of the prefixes.
+    n, last, fp), docs (id, text), order: that of the prefixes.
 
-    Classes of candidates from `prefix_forest` meet in one task each: the sets of shingles travel once and pairs are judged there. A
+    Classes of candidates from `fingerprint_forest` and `prefix_forest` meet in one task each: the sets of shingles travel once and pairs are judged there. A
     class of more than `most` shingles, as long texts make that share a passage, is parted first by `prefix_pairs`. What is larger even
     then is judged pair by pair, each with its two sets, so no task holds more. Shingles are compared by 40 bits of their hash."""
-    first = _weighed(classes(prefix_forest(marked, least)), texts, most)
+    first = _weighed(classes(fingerprint_forest(texts).unionByName(prefix_forest(marked, least))), texts, most)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -549,8 +558,8 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lower-cased words. Texts (same, rows, root, class_id): root names the text's class of near copies, class_id is the least id in
     it, rows the number of its rows. Texts whose sets of `words`-word shingles overlap by `least` or more are near copies, and so are chains of them.
 
-    Candidates come from an exact prefix filter, not from fingerprints (few changed words move half of the bits of a fingerprint
-    of long shingles): in one order of all shingles, two sets of n and m that overlap so far share one of the first
+    Candidates come from the SimHash fingerprints of the shingles, and from an exact prefix filter for what these miss (few changed words move
+    half of the bits of a fingerprint of long shingles): in one order of all shingles, two sets of n and m that overlap so far share one of the first
     n - ceil(least * n) + 1 and m - ceil(least * m) + 1. Every candidate that isn't of its partner's class yet is checked by the exact
     overlap. Shared shingles come last in the order, so passages that many texts hold bring few texts together."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -564,22 +573,23 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for block in text_blocks(batches):
             split = [x.lower().split() for x in as_bytes(block.column("text"))]
             same = _same(split)
-            n, prefix, last = np.zeros(len(split), np.int32), [b""] * len(split), np.zeros(len(split), np.uint64)
+            n, prefix, last, fp = np.zeros(len(split), np.int32), [b""] * len(split), np.zeros(len(split), np.uint64), np.zeros(len(split), np.uint64)
             done: dict[int, int] = {}
             for i, (x, k) in enumerate(zip(split, same.tolist(), strict=True)):
                 if (j := done.setdefault(k, i)) < i:  # a copy within the block
-                    n[i], last[i] = n[j], last[j]
+                    n[i], last[i], fp[i] = n[j], last[j], fp[j]
                     continue
                 grams = shingles(x, words, hashes)
                 n[i] = len(grams)
                 first = _ordered(grams, by_hash, place)[: _prefix(len(grams), least)]
                 prefix[i], last[i] = first.tobytes(), first[-1]
+                fp[i] = fingerprint(b" ".join(x), words)
             last = (last ^ np.uint64(1 << 63)).view(np.int64)  # the same order in signed numbers
-            yield pa.RecordBatch.from_arrays([block.column("id"), block.column("raw"), pa.array(same), pa.array(n), pa.array(last), pa.array(prefix, pa.binary())], ["id", "raw", "same", "n", "last", "prefix"])
+            yield pa.RecordBatch.from_arrays([block.column("id"), block.column("raw"), pa.array(same), pa.array(n), pa.array(last), pa.array(fp.view(np.int64)), pa.array(prefix, pa.binary())], ["id", "raw", "same", "n", "last", "fp", "prefix"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    marked = store(rows.withColumn("raw", F.xxhash64("text")).mapInArrow(mark, f"id {kind}, raw bigint, same bigint, n int, last bigint, prefix binary"))
-    texts = store(marked.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.min("n").alias("n"), F.min("last").alias("last")))
+    marked = store(rows.withColumn("raw", F.xxhash64("text")).mapInArrow(mark, f"id {kind}, raw bigint, same bigint, n int, last bigint, fp bigint, prefix binary"))
+    texts = store(marked.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("rows"), F.min("n").alias("n"), F.min("last").alias("last"), F.min("fp").alias("fp")))
     near = store(overlap_links(marked, texts, rows, words, least, sent))
     of = classes(near)
     member = store(texts.join(of, texts["same"] == of["node"], "left").select("same", "rep", "rows", F.coalesce("root", "same").alias("root")))
