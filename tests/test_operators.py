@@ -23,6 +23,17 @@ def test_slugify(spark, said, want):
     assert one(spark, text.slugify(F.col("s")), s=said) == want
 
 
+def test_pages_come_in_pieces():
+    """All rows in order, null pages too; no piece of several pages is beyond the bound."""
+    import pyarrow as pa
+
+    pages = ["x" * n for n in (10, 900, 200, 5000, 1, 1)] + [None, "é" * 400, ""]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(9)), "h": pa.array(pages, pa.string())})
+    cut = list(html.pieces([batch, batch.slice(0, 0)], most=1000))
+    assert [x for b in cut for x in b["h"].to_pylist()] == pages and [b.num_rows for b in cut] == [2, 1, 1, 5]
+    assert all(b.num_rows == 1 or sum(len((x or "").encode()) for x in b["h"].to_pylist()) <= 1000 for b in cut)
+
+
 def test_slugify_query_like_its_sql(spark, tmp_path):
     """Texts that are device names, or null."""
     import duckdb

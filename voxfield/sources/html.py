@@ -6,6 +6,7 @@ import html.parser
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,12 +70,25 @@ def _clean(parts: list[str]) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], html_col: str = "h", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about `most` bytes of pages each; a longer page is a slice of its own. So a worker holds the strings of one slice, not of a whole batch."""
+    for b in batches:
+        at, size = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(b.column(html_col)), 0).to_pylist()):
+            if i > at and size + n > most:
+                yield b.slice(at, i - at)
+                at, size = i, 0
+            size += n
+        if at < b.num_rows:
+            yield b.slice(at)
+
+
 def page_text(pages: DataFrame, key: str, html_col: str) -> DataFrame:
     """(key, text): the readable text of each page, a line for each block; a null page has the empty text."""
     rows = pages.select(F.col(key).alias("k"), F.col(html_col).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array([_clean(parse(x).parts) for x in b.column("h").to_pylist()], pa.string())], ["k", "text"])
 
     return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, text string").withColumnRenamed("k", key)
@@ -85,7 +99,7 @@ def page_links(pages: DataFrame, key: str, html_col: str) -> DataFrame:
     rows = pages.select(F.col(key).alias("k"), F.col(html_col).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out = [(k, i, href, " ".join("".join(t).split())) for k, x in zip(b.column("k").to_pylist(), b.column("h").to_pylist(), strict=True) for i, (href, t) in enumerate(parse(x).links)]
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.schema.field("k").type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], ["k", "pos", "href", "label"])
@@ -98,7 +112,7 @@ def page_cards(pages: DataFrame, key: str, html_col: str, card_class: str, least
     rows = pages.select(F.col(key).alias("k"), F.col(html_col).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out = [(k, i, c) for k, x in zip(b.column("k").to_pylist(), b.column("h").to_pylist(), strict=True) for i, c in enumerate(" ".join("".join(t).split()) for t in parse(x, card_class).cards) if len(c) >= least]
             columns = list(zip(*out, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.schema.field("k").type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], ["k", "pos", "body"])
