@@ -285,3 +285,35 @@ def test_themes_are_recovered_by_token_or_phrase(spark):
     claims = spark.createDataFrame([(1, "App drains the Battery overnight"), (2, "batteries"), (3, "slow on start up"), (4, None), (5, "")], "id int, t string")
     got = relations.recovered(claims, "id", "t", {"power": (["battery"], []), "start": ([], ["START up"])})
     assert sorted(map(tuple, got.collect())) == [(1, "power"), (3, "start")]
+
+
+def shuffled(spark, f):
+    """Bytes that all stages that f runs write for others."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+
+    def total():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    f()
+    return total() - before
+
+
+def test_evidence_pack_moves_only_the_texts_it_shows(spark, tmp_path):
+    """Where the clusters of documents are too many to broadcast, other texts stay where they are."""
+    text = F.concat_ws("", *[F.sha2(F.concat(F.col("id"), F.lit(f"-{i}")).cast("binary"), 256) for i in range(30)])
+    spark.range(6000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang")).write.parquet(f"{tmp_path}/documents")
+    spark.range(6000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("cluster")).write.parquet(f"{tmp_path}/ids")
+    members = spark.read.parquet(f"{tmp_path}/documents").join(spark.read.parquet(f"{tmp_path}/ids"), "doc_id")
+    reps = spark.createDataFrame([(c, 2 * r + c, r) for c in (0, 1) for r in (1, 2)], "cluster long, doc_id long, rank int")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "16000")
+    try:
+        rows = []
+        moved = shuffled(spark, lambda: rows.extend(evidence.evidence_pack(members, reps, others=3).collect()))
+    finally:
+        spark.conf.set(key, old)
+    assert len(rows) == 10 and {(r.cluster, r.doc_id, r.rep_no, r.hidden) for r in rows} == {(c, 2 * k + c, n, 2995) for c in (0, 1) for k, n in ((1, 1), (2, 2), (0, None), (3, None), (4, None))}
+    assert moved < 1_000_000  # the texts are 11.5 MB

@@ -6,20 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxfield.functions.text import short_id, snippet
+from voxfield.tables import written
 
 
 def evidence_pack(members: DataFrame, reps: DataFrame, others: int = 30) -> DataFrame:
     """members (cluster, doc_id, text, source, lang) and reps (cluster, doc_id, rank: the representatives, ten or fewer a cluster) -> the representatives by
     rank with 600 characters, then the first `others` of the rest by id with 300; empty texts take a place but no row. `hidden` counts those beyond,
-    `rep_no` the representatives that have a row. Ids alone are ranked and counted; texts are fetched for those that are shown."""
+    `rep_no` the representatives that have a row. Ids alone are ranked and counted, and those that are shown are written as a table, so that Spark knows how few they are:
+    they cut the documents before these meet their clusters, and no other text is moved."""
     ids = members.select("cluster", "doc_id")
     chosen = reps.select("cluster", "doc_id", F.col("rank").cast("int").alias("pos")).join(ids, ["cluster", "doc_id"], "left_semi")
     rest = ids.join(reps, ["cluster", "doc_id"], "left_anti")
     few = rest.withColumn("pos", F.row_number().over(Window.partitionBy("cluster").orderBy("doc_id"))).where(F.col("pos") <= others)
     picked = chosen.withColumn("is_representative", F.lit(True)).unionByName(few.withColumn("is_representative", F.lit(False)))
     hidden = rest.groupBy("cluster").agg(F.greatest(F.count("*") - others, F.lit(0)).alias("hidden"))
+    picked = written(picked.join(hidden, "cluster", "left"))
     body = F.trim(F.coalesce("text", F.lit("")))
-    rows = members.select("cluster", "doc_id", "source", "lang", body.alias("body")).join(picked, ["cluster", "doc_id"]).where("body <> ''").join(hidden, "cluster", "left")
+    texts = members.join(picked.select("doc_id"), "doc_id", "left_semi").select("cluster", "doc_id", "source", "lang", body.alias("body"))
+    rows = texts.join(picked, ["cluster", "doc_id"]).where("body <> ''")
     number = F.when(F.col("is_representative"), F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("is_representative"), "pos", "doc_id")))
     return rows.select(
         "cluster", "doc_id", "pos", "is_representative", number.alias("rep_no"), short_id("doc", F.col("doc_id")).alias("short_id"), F.when(F.col("is_representative"), snippet(F.col("body"), 600)).otherwise(snippet(F.col("body"), 300)).alias("snippet"),

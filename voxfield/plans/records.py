@@ -10,6 +10,7 @@ from voxfield.operators import windows as W
 from voxfield.plans.catalog import query, table
 from voxfield.plans.relational import _MEM, _NEG, _POS, members
 from voxfield.plans.textual import _EVIDENCE, representatives
+from voxfield.tables import written
 
 RUN = {"run_id": "r", "model": "m", "provider": "p"}
 _T = "(SELECT *, conv_id || '-' || turn AS doc, trim(substr(text, 1, 20)) AS claim FROM conversations)"
@@ -101,7 +102,7 @@ def journey_records(spark, sf_dir):
 def generated_personas(spark, sf_dir):
     """Evidence packs of all clusters go to a client that leaves out the evidence at first, and whose second reply is right."""
     docs = members(spark, sf_dir)
-    shown = E.evidence_pack(docs, representatives(spark, sf_dir))
+    shown = written(E.evidence_pack(docs, representatives(spark, sf_dir)))
     pack = shown.select(F.col("cluster").alias("owner"), F.col("short_id").alias("doc"), F.col("snippet").alias("text"), F.lit("").alias("url"), "source", "lang")
     prompts = E.evidence_block(shown).select(F.col("cluster").alias("owner"), F.col("block").alias("prompt"))
     sizes = docs.groupBy(F.col("cluster").alias("owner")).agg(F.count("*").alias("size"))
