@@ -9,6 +9,7 @@ from voxfield.operators import synthesis as S
 from voxfield.plans.catalog import ORACLES, QUERIES, query, table
 from voxfield.plans.relational import _MEM, _prices, members
 from voxfield.plans.textual import _EVIDENCE, representatives
+from voxfield.tables import written
 
 
 @query("retry_prefix", "SELECT user_id, 'Fix these errors:' || chr(10) || '1. ' || min(event_type) || chr(10) || '2. ' || max(event_type) AS prefix FROM events GROUP BY 1")
@@ -101,7 +102,7 @@ def diagnostics(spark, sf_dir):
 
 @query("synthesize_mock", "SELECT label AS cluster, 2::INTEGER AS attempts, 0::INTEGER AS n_errors FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) GROUP BY 1")
 def synthesize_mock(spark, sf_dir):
-    pack = E.evidence_pack(members(spark, sf_dir), representatives(spark, sf_dir))
+    pack = written(E.evidence_pack(members(spark, sf_dir), representatives(spark, sf_dir)))
     docs = pack.groupBy("cluster").agg(F.collect_list(F.struct(F.col("short_id").alias("doc"), F.col("snippet").alias("text"))).alias("docs"))
     packs = E.evidence_block(pack).join(docs, "cluster").select("cluster", "block", "docs")
     return S.synthesize(packs, S.quoting_client).select("cluster", "attempts", F.size("errors").alias("n_errors"))
