@@ -317,3 +317,28 @@ def test_evidence_pack_moves_only_the_texts_it_shows(spark, tmp_path):
         spark.conf.set(key, old)
     assert len(rows) == 10 and {(r.cluster, r.doc_id, r.rep_no, r.hidden) for r in rows} == {(c, 2 * k + c, n, 2995) for c in (0, 1) for k, n in ((1, 1), (2, 2), (0, None), (3, None), (4, None))}
     assert moved < 1_000_000  # the texts are 11.5 MB
+
+
+def test_keywords_count_rare_terms_by_hash(spark):
+    """A million terms that occur once are neither held nor moved one by one; the frequent ones are counted in full."""
+    rare = spark.range(0, 1_000_000, numPartitions=4).select((F.col("id") % 2).alias("c"), F.md5(F.col("id").cast("string").cast("binary")).alias("term"))
+    often = spark.range(40_000).select(F.floor(F.col("id") / 20_000).alias("c"), F.concat(F.lit("w"), F.floor(F.sqrt(F.col("id") % 10_000)) / 10).alias("term"))
+    rows = []
+    moved = shuffled(spark, lambda: rows.extend(textrank.ctfidf(rare.union(often), "c", 3, most=50).collect()))
+    assert sorted((r.c, r["rank"], r.term, r.weight) for r in rows) == [(c, k + 1, f"w9.{9 - k}", 398.0 - 4 * k) for c in (0, 1) for k in range(3)]
+    assert moved < 40_000_000  # the rare terms are 32 MB, and were moved twice
+
+
+@pytest.mark.parametrize("spread", [1, 4])
+@pytest.mark.parametrize("f", ["ctfidf", "ctfidf_one_vs_rest"])
+def test_keywords_are_exact_where_buckets_are_full(spark, monkeypatch, spread, f):
+    """Few buckets for terms of nearly equal counts: those left out at first may hold one of the most frequent."""
+    monkeypatch.setattr(textrank, "_BUCKETS", 64)
+    rng = random.Random(spread)
+    mentions = [(rng.randrange(3), f"t{int(400 * rng.random() ** spread)}") for _ in range(6000)]
+    got = {(r.c, r.term) for r in getattr(textrank, f)(spark.createDataFrame(mentions, "c int, term string"), "c", 100, most=3).collect()}
+    total = {}
+    for _, t in mentions:
+        total[t] = total.get(t, 0) + 1
+    want = set(sorted(total, key=lambda t: (-total[t], t))[:3])
+    assert got == {(c, t) for c, t in mentions if t in want}
