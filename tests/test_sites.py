@@ -124,3 +124,29 @@ def test_the_second_branch_is_left_out(spark, tmp_path):
     assert sorted(r["x"] for r in first_or(one, fails).collect()) == [0, 1, 2]
     assert sorted(r["x"] for r in first_or(one.where("x > 9"), one.where("x > 0")).collect()) == [1, 2]
     assert first_or(one.where("x > 9"), one.where("x > 9")).count() == 0
+
+
+def test_pages_are_held_one_at_a_time(spark):
+    """The tree of a page goes when its fields are taken, without waiting for the collector; batches of pages are short."""
+    import gc
+    import tracemalloc
+
+    from voxfield.sources import select
+
+    page = "".join(f"<div class=c><p>{k} " + "x" * 80 + "</p></div>" for k in range(1000))
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for _ in range(20):
+            for card in select._parts(page, ".c"):
+                assert len(select.take(card, select.Field(("p",)))) == 1
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert peak < 5_000_000  # a tree is about 1 MB
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    out = select.fields(spark.createDataFrame([(1, page), (2, None)], "k int, h string"), "k", "h", {"p": select.Field(("p",))})
+    assert int(spark.conf.get(key)) <= 1000 and sorted((r.k, len(r.p)) for r in out.collect()) == [(1, 1000), (2, 0)]

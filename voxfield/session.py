@@ -34,3 +34,11 @@ def shared_folder(spark: SparkSession) -> str:
         top = tempfile.mkdtemp(prefix="voxfield-")
         spark.conf.set("spark.checkpoint.dir", top)
     return top.rstrip("/")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows in this session, unless it asks for fewer: a worker holds a whole batch, and rows of pages are long. Results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))

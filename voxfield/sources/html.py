@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxfield.session import small_batches
+
 _SKIP = {"script", "style", "noscript", "template", "nav", "footer", "head"}
 _BREAK = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "article", "section", "header", "ul", "ol", "table", "blockquote"}
 _VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -86,6 +88,7 @@ def pieces(batches: Iterator[pa.RecordBatch], html_col: str = "h", most: int = 1
 def page_text(pages: DataFrame, key: str, html_col: str) -> DataFrame:
     """(key, text): the readable text of each page, a line for each block; a null page has the empty text."""
     rows = pages.select(F.col(key).alias("k"), F.col(html_col).alias("h"))
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -97,6 +100,7 @@ def page_text(pages: DataFrame, key: str, html_col: str) -> DataFrame:
 def page_links(pages: DataFrame, key: str, html_col: str) -> DataFrame:
     """(key, pos, href, label): a row for each link."""
     rows = pages.select(F.col(key).alias("k"), F.col(html_col).alias("h"))
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -110,6 +114,7 @@ def page_links(pages: DataFrame, key: str, html_col: str) -> DataFrame:
 def page_cards(pages: DataFrame, key: str, html_col: str, card_class: str, least: int = 10) -> DataFrame:
     """(key, pos, body): the texts of the elements with a class (reviews, answers, replies), of `least` characters or more."""
     rows = pages.select(F.col(key).alias("k"), F.col(html_col).alias("h"))
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
