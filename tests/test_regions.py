@@ -2,6 +2,7 @@
 
 import json
 
+from tests.test_operators import shuffled
 from voxfield.operators import evidence, relations, textrank
 from voxfield.sources import regions as G
 
@@ -80,3 +81,25 @@ def test_one_vs_rest_looks_at_the_most_frequent_terms(spark):
     terms = spark.createDataFrame([(1, "a")] * 3 + [(2, "b")] * 2 + [(1, "c")] * 2 + [(2, "d")], "k int, term string")
     got = {(r.k, r.term) for r in textrank.ctfidf_one_vs_rest(terms, "k", most=2).collect()}
     assert got == {(1, "a"), (2, "b")}  # b and c are equal: by name
+
+
+def test_terms_leave_texts_where_they_are(spark, tmp_path):
+    """Vectors don't count where Spark weighs whether clusters can be broadcast; texts, of signs that are no words here, are not moved to meet them."""
+    from pyspark.sql import functions as F
+
+    from voxfield.plans.regions import _terms
+
+    signs = F.concat_ws("", *[F.translate(F.sha2(F.concat(F.col("id"), F.lit(f"-{i}")).cast("binary"), 256), "0123456789abcdef", "!#$%&()*+,-./:;<") for i in range(30)])
+    spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha beta "), signs).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    vector = F.array(*[F.rand(k) for k in range(16)])
+    spark.range(3000).select((2 * F.col("id")).alias("vec_id"), vector.alias("embedding"), (F.col("id") % 2).cast("int").alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "60000")
+    try:
+        rows = []
+        moved = shuffled(spark, lambda: rows.extend(textrank.ctfidf(_terms(spark, str(tmp_path)), "cluster").collect()))
+    finally:
+        spark.conf.set(key, old)
+    assert sorted((r.cluster, r["rank"], r.term, r.weight) for r in rows) == [(c, k + 1, t, 1500.0) for c in (0, 1) for k, t in enumerate(["alpha", "alpha beta", "beta"])]
+    assert moved < 1_000_000  # the texts are 11.5 MB

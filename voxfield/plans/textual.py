@@ -9,6 +9,7 @@ from voxfield.operators import relations as R
 from voxfield.operators import textrank as T
 from voxfield.plans.catalog import query, table
 from voxfield.plans.relational import _MEM, members
+from voxfield.tables import written
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_EN) + "]"
 _TOK = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9'']{{2,}}'), lambda w: NOT list_contains({_STOP}, w))"
@@ -46,7 +47,11 @@ def chunks(spark, sf_dir):
 
 
 def _terms(spark, sf_dir):
-    return members(spark, sf_dir).select("cluster", F.explode(T.bigrams(T.tokens_en(F.col("text")))).alias("term"))
+    """(cluster, term), a row for each mention. Ids and clusters are written as a table, without their vectors: Spark then knows how small it is, and up to its threshold
+    for broadcasts no text is moved or sorted to meet its cluster."""
+    ids = written(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster")))
+    rows = table(spark, sf_dir, "documents").join(ids, "doc_id")
+    return rows.select("cluster", F.explode(T.bigrams(T.tokens_en(F.col("text")))).alias("term"))
 
 
 _TERMS = f"""terms AS (SELECT cluster, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM (SELECT label AS cluster, {_TOK} AS t FROM documents JOIN embeddings ON doc_id = vec_id)),
