@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tests.test_operators import shuffled
 from voxfield.operators import costs as C
 from voxfield.operators import diagnostics as D
 from voxfield.operators import windows as W
@@ -40,6 +41,27 @@ def test_report_without_clusters(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()][0] == "# Cluster Diagnostics — t (r)"
 
 
+def test_report_moves_only_the_texts_it_shows(spark, tmp_path):
+    """Where the clusters of documents are too many to broadcast, other texts stay where they are."""
+    text = F.concat_ws("", *[F.sha2(F.concat(F.col("id"), F.lit(f"-{i}")).cast("binary"), 256) for i in range(30)])
+    spark.range(6000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang")).write.parquet(f"{tmp_path}/documents")
+    spark.range(6000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("cluster")).write.parquet(f"{tmp_path}/ids")
+    members = spark.read.parquet(f"{tmp_path}/documents").join(spark.read.parquet(f"{tmp_path}/ids"), "doc_id")
+    reps = spark.createDataFrame([(c, 2 * r + c, r) for c in (0, 1) for r in (1, 2, 3, 4)] + [(0, 9000, 3)], "cluster long, doc_id long, rank int")
+    words = spark.createDataFrame([(0, "w", 1)], "cluster long, term string, rank int")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "16000")
+    try:
+        rows = []
+        moved = shuffled(spark, lambda: rows.extend(D.report_lines(members, reps, words, "topic", "HK").collect()))
+    finally:
+        spark.conf.set(key, old)
+    shown = sorted((r.cluster, r.pos, r.line.split("`: ")[1][-1:], r.line.split("`")[1]) for r in rows if r.part == 2 and r.block == 3)
+    assert shown == sorted([(str(c), k, "…", str(2 * k + c)) for c in (0, 1) for k in (1, 2, 3)] + [("0", 3, "", "9000")])
+    assert moved < 1_000_000  # the texts are 11.5 MB
+
+
 def test_costs(spark):
     packs = spark.createDataFrame([("a", "x" * 36, 9), ("b", None, 2)], "k string, block string, size int")
     rows = {r.k: r for r in C.estimated_usage(packs, "k", "block", "size").collect()}

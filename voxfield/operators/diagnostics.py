@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxfield.functions.text import bar
+from voxfield.tables import written
 
 #: The columns that lines sort by: part of the report, cluster, block of the cluster, place in the block.
 ORDER = ["part", "cluster", "block", "pos"]
@@ -34,7 +35,8 @@ def _counts(clustered: DataFrame, column: str) -> DataFrame:
 
 def report_lines(members: DataFrame, reps: DataFrame, keywords: DataFrame, topic: str, region: str, least: object = "N/A", threshold: object = "N/A", dominant: float = 80.0) -> DataFrame:
     """The report on members (cluster, doc_id, source, lang, text; a null cluster is noise): sizes, ten keywords, three snippets of 200 characters, sources with a warning beyond `dominant` percent,
-    languages, and advice from the share of noise. reps: cluster, doc_id, rank; keywords: cluster, term, rank. Only the texts of representatives are fetched; what is counted is a row a cluster and value."""
+    languages, and advice from the share of noise. reps: cluster, doc_id, rank; keywords: cluster, term, rank. What is counted is a row a cluster and value. Only the texts of representatives are fetched: their ids are written as a table,
+    so that Spark knows how few they are, and cut the documents before these meet their clusters."""
     clustered = members.where("cluster is not null")
     sizes = clustered.groupBy("cluster").agg(F.count("*").alias("size"))
     total = members.agg(F.count("*").alias("posts"), F.count_if(F.col("cluster").isNull()).alias("noise"), F.countDistinct("cluster").alias("found"))
@@ -52,7 +54,9 @@ def report_lines(members: DataFrame, reps: DataFrame, keywords: DataFrame, topic
     titles = _several(sizes, 2, 0, [F.concat(F.lit("### Cluster "), c.cast("string"), F.lit(" — size "), "size"), ""], c)
     terms = F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"])
     words = _several(keywords.where("rank <= 10").groupBy("cluster").agg(F.array_join(terms, ", ").alias("w")), 2, 1, [F.concat(F.lit("**Keywords:** "), "w"), ""], c)
-    shown = reps.where("rank <= 3").join(members.select("cluster", "doc_id", F.coalesce("text", F.lit("")).alias("text")), ["cluster", "doc_id"], "left")
+    few = written(reps.where("rank <= 3").select("cluster", "doc_id", "rank"))
+    texts = members.join(few.select("doc_id"), "doc_id", "left_semi").select("cluster", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    shown = few.join(texts, ["cluster", "doc_id"], "left")
     cut = F.concat(F.replace(F.substring("text", 1, 200), F.lit("\n"), F.lit(" ")), F.when(F.length("text") > 200, "…").otherwise(""))
     posts = _lines(shown, 2, 3, F.concat("rank", F.lit(". `"), F.col("doc_id").cast("string"), F.lit("`: "), F.coalesce(cut, F.lit(""))), F.col("rank"), c)
     around = [_several(sizes, 2, 2, ["**Representative posts:**"], c), _several(sizes, 2, 4, [""], c)]

@@ -19,9 +19,9 @@ def registry(spark, sf_dir):
     return rows.select("source", F.element_at(F.array(*map(F.lit, R.CATEGORIES)), (number % 7 + 1).cast("int")).alias("category"), F.floor(number / 7).cast("int").alias("p")).select("source", "category", (F.col("p") + 1).alias("priority"))
 
 
-def members(spark, sf_dir):
-    """(cluster, doc_id, source, lang, text): documents with a cluster."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster"))
+def members(spark, sf_dir, cluster="label"):
+    """(cluster, doc_id, source, lang, text): documents with a cluster, which is an expression on embeddings. Spark moves a semi-join on members to the documents only while all columns are plain ones."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.expr(cluster).alias("cluster"))
     return table(spark, sf_dir, "documents").join(e, "doc_id")
 
 

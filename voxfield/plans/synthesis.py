@@ -95,9 +95,8 @@ _DIAGNOSTICS = (
 
 @query("diagnostics", _DIAGNOSTICS)
 def diagnostics(spark, sf_dir):
-    noise = lambda df: df.withColumn("cluster", F.nullif("cluster", F.lit(3)))
     named = lambda df: df.where("cluster <> 3")
-    return D.report_lines(noise(members(spark, sf_dir)), named(representatives(spark, sf_dir)), named(QUERIES["ctfidf_all"](spark, sf_dir)), "t", "r")
+    return D.report_lines(members(spark, sf_dir, "nullif(label, 3)"), named(representatives(spark, sf_dir)), named(QUERIES["ctfidf_all"](spark, sf_dir)), "t", "r")
 
 
 @query("synthesize_mock", "SELECT label AS cluster, 2::INTEGER AS attempts, 0::INTEGER AS n_errors FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) GROUP BY 1")
